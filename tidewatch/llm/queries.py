@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm.common import table
 from tidewatch.llm.line_dedup import drop_shared_lines
+from tidewatch.llm.pieces import decode_ids, encode_texts
+from tidewatch.llm.quality import judge, train
 from tidewatch.llm.simhash import near_duplicate_groups
 
 
@@ -36,3 +38,15 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = judge(docs, train(docs, table(spark, sf_dir, "labels")))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality_score")
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = encode_texts(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = decode_ids(spark, encoded)
+    return back.select("doc_id", "n_tokens", "n_byte_tokens", F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"))

@@ -4,5 +4,5 @@ from __future__ import annotations
 
 from tidewatch.llm import queries as q
 
-QUERIES = {f.__name__: f for f in (q.op2_simhash_near_dedup, q.op4_line_dedup)}
+QUERIES = {f.__name__: f for f in (q.op2_simhash_near_dedup, q.op4_line_dedup, q.op7_sentencepiece, q.op9_quality_rules)}
 ORACLES = {"op4_line_dedup": q.OP4_SQL}
