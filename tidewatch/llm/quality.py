@@ -165,15 +165,15 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
     def features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            yield pd.DataFrame({"labelled": pdf["labelled"], "y": pdf["y"], "x": [measure(t)[1] for t in pdf["body"]]})
+            yield pd.DataFrame({"sample": 0, "labelled": pdf["labelled"], "y": pdf["y"], "x": [measure(t)[1] for t in pdf["body"]]})
 
     def fit_one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("labelled")
         model = fit(np.array(pdf["x"].tolist(), float), (pdf["y"] > 0).to_numpy(float))
         return pd.DataFrame([model])[[c.split()[0] for c in MODEL.split(", ")]]
 
-    measured = rows.mapInPandas(features, "labelled long, y int, x array<double>")
-    fitted = measured.groupBy(F.lit(0)).applyInPandas(fit_one, MODEL).first()
+    measured = rows.mapInPandas(features, "sample int, labelled long, y int, x array<double>")
+    fitted = measured.groupBy("sample").applyInPandas(fit_one, MODEL).first()
     return {k: np.asarray(v) for k, v in fitted.asDict().items()} if fitted else {k: np.asarray(v) for k, v in fit(np.empty((0, len(FEATURES))), np.empty(0)).items()}
 
 
