@@ -56,3 +56,8 @@ def ascii_lower(col):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def checked_broadcast(df: DataFrame, rows: int) -> DataFrame:
+    """Hint a broadcast only where a count proves the size; otherwise let the planner shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
