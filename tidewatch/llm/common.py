@@ -61,3 +61,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checked_broadcast(df: DataFrame, rows: int) -> DataFrame:
     """Hint a broadcast only where a count proves the size; otherwise let the planner shuffle."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def narrow_batches(spark: SparkSession, size: str = "16m") -> None:
+    """Send long texts to Python in batches of at most ``size`` bytes, unless the session says otherwise already."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("67108864b", "64MB", str(64 << 20)):
+        spark.conf.set(key, size)

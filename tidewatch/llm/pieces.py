@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import fresh
+from tidewatch.llm.common import fresh, narrow_batches
 
 MARK = "▁"
 DEFAULT_MODEL = os.path.join(os.environ.get("TOKENIZER_FILES", "/opt/tokenizers"), "piece_bpe_32k.model")
@@ -115,6 +115,15 @@ def double_array(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return base, check, value
 
 
+class _Either(dict):
+    """A view of the cache for one batch, with more entries beside it."""
+
+    more: dict
+
+    def __missing__(self, key):
+        return self.more[key]
+
+
 class Pieces:
     """Tables of one vocabulary: trie, scores, byte pieces, and the bytes of every id."""
 
@@ -230,20 +239,29 @@ class Pieces:
             out[i] = self._spell(words[i], list(zip(sizes[i, :k].tolist(), picks[i, :k].tolist(), strict=True)))
         return out
 
-    def solve(self, chunks: list[str], cache: dict[str, bytes]) -> None:
-        marks = np.array(self.byte_ids[list(MARK.encode())], np.int32).tobytes()
-        words = [(c, c.replace(" ", MARK).encode("utf-8", "surrogatepass")) for c in chunks if c != MARK]
-        cache[MARK] = marks
-        cache.update((c, self.solve_one(w)) for c, w in words if len(w) > LONG)
-        short = sorted((x for x in words if len(x[1]) <= LONG), key=lambda x: len(x[1]))
-        for i in range(0, len(short), GROUP):
-            part = short[i : i + GROUP]
-            cache.update(zip((c for c, _ in part), self.solve_many([w for _, w in part]), strict=True))
+    def solve(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of every distinct chunk; a lone marker is spelled in bytes."""
+        words = [c.replace(" ", MARK).encode("utf-8", "surrogatepass") for c in chunks]
+        order = sorted(range(len(chunks)), key=lambda i: len(words[i]))
+        out = {}
+        for i in range(0, len(order), GROUP):
+            part = order[i : i + GROUP]
+            short = [j for j in part if len(words[j]) <= LONG]
+            if short:
+                out.update(zip([chunks[j] for j in short], self.solve_many([words[j] for j in short]), strict=True))
+            out.update((chunks[j], self.solve_one(words[j])) for j in part[len(short) :])
+        if MARK in out:
+            out[MARK] = self.byte_ids[list(MARK.encode())].tobytes()
+        return out
 
     # ------------------------------------------------------------------- texts
 
     def encode(self, texts: list[str | None], cache: dict[str, bytes]) -> list[np.ndarray]:
-        """Ids of every text; the unseen chunks of about TOGETHER characters are solved at once."""
+        """Ids of every text; the unseen chunks of about TOGETHER characters are solved at once.
+
+        The cache takes chunks until it is full; frequent ones come early. Later ones
+        are solved for the texts at hand only.
+        """
         out, at = [], 0
         while at < len(texts):
             split, size = [], 0
@@ -251,13 +269,17 @@ class Pieces:
                 split.append(self.chunk.findall(" " + texts[at]) if texts[at] else [])
                 size += len(texts[at] or "")
                 at += 1
-            new = {c for chunks in split for c in chunks if c not in cache}
-            if len(cache) + len(new) > CACHE:
-                cache.clear()
-                new = {c for chunks in split for c in chunks}
+            new = set().union(*split).difference(cache)
+            known = cache
             if new:
-                self.solve(list(new), cache)
-            out += [np.frombuffer(b"".join([cache[c] for c in chunks]), np.int32) for chunks in split]
+                solved = self.solve(list(new))
+                if len(cache) + len(solved) <= CACHE:
+                    cache.update(solved)
+                else:
+                    known = _Either(cache)
+                    known.more = solved
+            look = known.__getitem__
+            out += [np.frombuffer(b"".join(map(look, chunks)), np.int32) for chunks in split]
         return out
 
     def decode(self, ids) -> str:
@@ -265,19 +287,22 @@ class Pieces:
         return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
-ENCODED = "ids array<int>, n_tokens long, n_byte_tokens long"
+ENCODED = "ids array<int>, n_tokens long, n_byte_tokens long, decoded string"
 
 
-def encode_texts(spark: SparkSession, docs: DataFrame, text: str = "text", model: str = DEFAULT_MODEL, scores: str = "zipf") -> DataFrame:
-    """``docs`` with ``ids``, ``n_tokens`` and ``n_byte_tokens`` (columns of these names are replaced).
+def encode_texts(spark: SparkSession, docs: DataFrame, text: str = "text", model: str = DEFAULT_MODEL, scores: str = "zipf", decoded: bool = False) -> DataFrame:
+    """``docs`` with ``ids``, ``n_tokens``, ``n_byte_tokens`` and, if asked for, ``decoded``.
 
-    ``scores`` are Zipf log scores by rank, or ``"stored"``: the file's own.
+    ``decoded`` is the text that the ids give back, made in the same pass. Columns of
+    these names are replaced. ``scores`` are Zipf log scores by rank, or ``"stored"``:
+    the file's own.
 
     Defined cases: a null text has null ids and no tokens, an empty one no ids; ties
     go to the path found first (earlier start, then shorter piece); texts of any
     length are encoded whole; repeated rows are encoded alike; an empty table stays
     empty.
     """
+    narrow_batches(spark)
     shared = spark.sparkContext.broadcast(Pieces(read_pieces(model), scores))  # bounded by the vocabulary
 
     @F.pandas_udf(ENCODED)
@@ -286,13 +311,16 @@ def encode_texts(spark: SparkSession, docs: DataFrame, text: str = "text", model
         is_byte = np.zeros(len(pieces.spelled), bool)
         is_byte[pieces.byte_ids] = True
         for texts in batches:
-            texts = [None if t is None else t for t in texts]
+            texts = texts.tolist()
             got = pieces.encode(texts, cache)
-            yield pd.DataFrame({"ids": [None if t is None else x for t, x in zip(texts, got, strict=True)], "n_tokens": [len(x) for x in got], "n_byte_tokens": [int(is_byte[x].sum()) for x in got]})
+            ids = [None if t is None else x for t, x in zip(texts, got, strict=True)]
+            back = [None if x is None or not decoded else pieces.decode(x.tolist()) for x in ids]
+            yield pd.DataFrame({"ids": ids, "n_tokens": [len(x) for x in got], "n_byte_tokens": [int(is_byte[x].sum()) for x in got], "decoded": pd.Series(back, dtype=object)})
 
     held = fresh("encoded", docs)
-    rest = [c for c in docs.columns if c.lower() not in ("ids", "n_tokens", "n_byte_tokens")]
-    return docs.withColumn(held, run(F.col(text))).select(*rest, f"{held}.ids", f"{held}.n_tokens", f"{held}.n_byte_tokens")
+    names = ["ids", "n_tokens", "n_byte_tokens", *["decoded"] * decoded]
+    rest = [c for c in docs.columns if c.lower() not in names]
+    return docs.withColumn(held, run(F.col(text))).select(*rest, *(f"{held}.{n}" for n in names))
 
 
 def decode_ids(spark: SparkSession, encoded: DataFrame, ids: str = "ids", out: str = "decoded", model: str = DEFAULT_MODEL) -> DataFrame:

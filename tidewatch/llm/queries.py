@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from tidewatch.llm.common import table
 from tidewatch.llm.decontaminate import phrase_matches, words_hit
 from tidewatch.llm.line_dedup import drop_shared_lines
-from tidewatch.llm.pieces import decode_ids, encode_texts
+from tidewatch.llm.pieces import encode_texts
 from tidewatch.llm.quality import judge, train
+from tidewatch.llm.secrets import KINDS, find_secrets
 from tidewatch.llm.simhash import near_duplicate_groups
+from tidewatch.llm.url_filter import judge_urls, rule_table
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,9 +50,8 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = encode_texts(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
-    back = decode_ids(spark, encoded)
-    return back.select("doc_id", "n_tokens", "n_byte_tokens", F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"))
+    encoded = encode_texts(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), decoded=True)
+    return encoded.select("doc_id", "n_tokens", "n_byte_tokens", F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"))
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,3 +85,35 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 """
+
+
+#: Fixed rules of the URL query: host, path, action.
+URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
+
+
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rule_table(spark, URL_RULES))
+    return judged.withColumnRenamed("page", "page_id")
+
+
+OP8_SQL = """
+WITH rules(rule_host, rule_path, action) AS (VALUES %s),
+parts AS (
+  SELECT page_id, url, row_number() OVER () AS r, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), named AS (
+  SELECT page_id, r, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts
+), fits AS (
+  SELECT r, rule_host || rule_path AS rule, action, row_number() OVER (PARTITION BY r ORDER BY length(rule_host || rule_path) DESC, length(rule_host) DESC) AS k
+  FROM named JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+)
+SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM named LEFT JOIN (SELECT * FROM fits WHERE k = 1) USING (r)
+""" % ", ".join(map(repr, URL_RULES))
+
+
+def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kinds = F.array(*map(F.lit, KINDS))
+    digest = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(kinds, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
+    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
+    base = F.filter("spans", lambda s: s["kind"] < 3)
+    return found.select(F.col("doc").alias("doc_id"), count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(digest(base), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"))
