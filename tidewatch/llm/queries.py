@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.llm import chat, language, pii
 from tidewatch.llm.common import table
 from tidewatch.llm.decontaminate import phrase_matches, words_hit
 from tidewatch.llm.line_dedup import drop_shared_lines
@@ -117,3 +119,60 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
     base = F.filter("spans", lambda s: s["kind"] < 3)
     return found.select(F.col("doc").alias("doc_id"), count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(digest(base), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"))
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    apart = language.held_out(F.col("doc_id"))
+    model = language.train(docs, ~apart & F.col("doc_id").isNotNull())
+    judged = language.identify(docs.select("doc_id", "text"), model)
+    return judged.select("doc_id", apart.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kinds = F.array(*map(F.lit, pii.KINDS))
+    digest = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(kinds, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
+    counts = [F.size(F.filter("base", _is_kind(k))).cast("long").alias(f"n_{pii.KINDS[k]}") for k in range(4)]
+    return found.select("doc_id", *counts, F.sha2(digest(F.col("base")), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"))
+
+
+def _is_kind(kind: int):
+    return lambda span: span["kind"] == kind
+
+
+#: The conversation that the chat query adds: both texts are full of control strings.
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)], rows.schema)
+    formatted = chat.format_conversations(spark, rows.unionByName(more))
+
+    @F.pandas_udf("string")
+    def read_back(texts: pd.Series) -> pd.Series:
+        return pd.Series(["".join(f"{role}\n{text}\n" for role, text in chat.parse(t)) for t in texts], dtype=object)
+
+    return formatted.select(
+        F.col("conv").alias("conv_id"), "n_turns", F.sha2(read_back("formatted"), 256).alias("turns_sha256"),
+        F.char_length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+OP6_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), sized AS (
+  SELECT *, length(role) + (length(role) - length(replace(role, '\', ''))) AS role_chars,
+    length(replace(replace(replace(replace(replace(text, '\', '\\'), '<s>', '<\s>'), '</s>', '<\/s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]')) AS text_chars
+  FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(role_chars + text_chars + length('<s>[INST][/INST]</s>')) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
