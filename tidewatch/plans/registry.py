@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tidewatch.plans import metrics, traces
+
+_AREAS = (traces, metrics)
+QUERIES: dict = {k: v for area in _AREAS for k, v in area.QUERIES.items()}
+ORACLES: dict = {k: v for area in _AREAS for k, v in area.ORACLES.items()}
