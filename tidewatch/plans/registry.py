@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidewatch.plans import metrics, rules, traces
+from tidewatch.plans import jobs, metrics, rules, traces
 
-_AREAS = (traces, metrics, rules)
+_AREAS = (traces, metrics, rules, jobs)
 QUERIES: dict = {k: v for area in _AREAS for k, v in area.QUERIES.items()}
 ORACLES: dict = {k: v for area in _AREAS for k, v in area.ORACLES.items()}

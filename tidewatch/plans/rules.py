@@ -318,11 +318,12 @@ def maintenance_suppressed(spark, sf_dir):
     return rules.suppressed(found, windows).groupBy("rule_id").agg(F.count("*").alias("total"))
 
 
-@query("last_deploy", f"WITH {SPANS_SQL}, b AS (SELECT DISTINCT service_name, {DAY} AS bucket FROM spans), d AS (SELECT service_name, epoch_us(ts) // 1000000 AS dep FROM spans WHERE k >= 98) SELECT service_name, bucket, (SELECT max(dep) FROM d WHERE d.service_name = b.service_name AND dep <= bucket) AS last_deploy FROM b")
+@query("last_deploy", f"WITH {SPANS_SQL}, b AS (SELECT DISTINCT service_name, {DAY} AS bucket FROM spans), d AS (SELECT service_name, epoch_us(ts) // 1000000 AS dep FROM spans WHERE k >= 98) SELECT service_name, bucket, coalesce((SELECT max(dep) FROM d WHERE d.service_name = b.service_name AND dep <= bucket), 0) AS last_deploy FROM b")
 def last_deploy(spark, sf_dir):
     rows = bind.spans(spark, sf_dir)
     deploys = rows.where(F.col("attributes")["k"].cast("int") >= 98).select("service_name", F.unix_seconds("ts").alias("deployed"))
-    return rules.last_deploy(rows.select("service_name", bucket(86400).alias("bucket")).distinct(), deploys)
+    found = rules.last_deploy(rows.select("service_name", bucket(86400).alias("bucket")).distinct(), deploys)
+    return found.withColumn("last_deploy", F.coalesce("last_deploy", F.lit(0)))
 
 
 # ---------------------------------------------------------------------- metering
