@@ -15,6 +15,7 @@ the documents that hold an entity.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -130,14 +131,34 @@ def scan(docs: DataFrame, text: str, *keep: Column) -> DataFrame:
     return rows.mapInArrow(run, FOUND + kinds)
 
 
+def documents_with(docs: DataFrame, text: str, terms: DataFrame, most: int = 1 << 18) -> DataFrame:
+    """(term, n_t): documents that hold each term.
+
+    Up to ``most`` terms go to every task, which sends one sum for each of them; more
+    terms join the words of the documents instead.
+    """
+    if terms.limit(most + 1).count() > most:
+        words = F.array_distinct(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), BETWEEN), ascii_lower))
+        return docs.select(F.explode(words).alias("term")).join(terms, "term").groupBy("term").agg(F.count("*").alias("n_t"))
+    wanted = docs.sparkSession.sparkContext.broadcast(frozenset(r.term for r in terms.collect()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for batch in batches:
+            for body in batch.column(0).to_pylist():
+                if body and wanted.value:
+                    seen.update(wanted.value.intersection(_TERM.findall(_lower(body))))
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["term", "n"])
+
+    return docs.select(text).mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
+
+
 def disclosing_terms(docs: DataFrame, text: str, clues: DataFrame, threshold: float, support: int) -> DataFrame:
     """(entity, term, disclosure) of the pairs at or over the threshold, from counts over all of ``docs``."""
     seen = clues.select("entity", "term", "context").distinct()
     pairs = materialize(seen.groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support), "clue-pairs")
     entities = clues.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    terms = pairs.select("term").distinct()
-    words = F.array_distinct(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), BETWEEN), ascii_lower))
-    counted = docs.select(F.explode(words).alias("term")).join(checked_broadcast(terms, 1 << 18), "term").groupBy("term").agg(F.count("*").alias("n_t"))
+    counted = documents_with(docs, text, pairs.select("term").distinct())
     n = F.lit(float(max(docs.count(), 1)))
     ratio = F.log(n * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) / F.greatest(F.log(n / F.col("n_e")), F.lit(1e-9))
     return pairs.join(entities, "entity").join(counted, "term").select("entity", "term", ratio.alias("disclosure")).where(F.col("disclosure") >= threshold)
