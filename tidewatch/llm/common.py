@@ -63,7 +63,7 @@ def checked_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def narrow_batches(spark: SparkSession, size: str = "16m") -> None:
+def narrow_batches(spark: SparkSession, size: str = "4m") -> None:
     """Send long texts to Python in batches of at most ``size`` bytes, unless the session says otherwise already."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(key) in ("67108864b", "64MB", str(64 << 20)):

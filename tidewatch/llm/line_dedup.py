@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import fresh, materialize
+from tidewatch.llm.common import fresh, materialize, narrow_batches
 
 STRIPPED = b" \t\n\x0b\x0c\r"
 #: Bits of a level for each key that is left, and levels before the rest is listed.
@@ -237,6 +237,7 @@ def drop_shared_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     its lines becomes empty; a row without an id counts, but is left whole; rows
     that repeat an id count each, and are cut alike; an empty table stays empty.
     """
+    narrow_batches(docs.sparkSession)
     hashes = line_hashes(docs, doc_id, text, min_chars)
     index, shards = build_index(materialize(shared_lines(hashes, min_docs), "shared-lines"))
     lost = fresh("lost_lines", docs)

@@ -21,6 +21,7 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,9 +35,9 @@ NORMAL, USER_DEFINED, BYTE = 1, 4, 6
 #: An unknown character scores this much less than the worst piece.
 UNKNOWN_PENALTY = 10.0
 #: Chunks kept for each task; chunks over LONG bytes are solved alone.
-CACHE, LONG, GROUP = 1 << 18, 64, 16384
+CACHE, LONG, GROUP = 1 << 16, 64, 8192
 #: Characters of text whose unseen chunks are solved together.
-TOGETHER = 1 << 21
+TOGETHER = 1 << 20
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -316,6 +317,8 @@ def encode_texts(spark: SparkSession, docs: DataFrame, text: str = "text", model
             ids = [None if t is None else x for t, x in zip(texts, got, strict=True)]
             back = [None if x is None or not decoded else pieces.decode(x.tolist()) for x in ids]
             yield pd.DataFrame({"ids": ids, "n_tokens": [len(x) for x in got], "n_byte_tokens": [int(is_byte[x].sum()) for x in got], "decoded": pd.Series(back, dtype=object)})
+            del texts, got, ids, back
+            pa.default_memory_pool().release_unused()
 
     held = fresh("encoded", docs)
     names = ["ids", "n_tokens", "n_byte_tokens", *["decoded"] * decoded]

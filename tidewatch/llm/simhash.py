@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import fresh, materialize
+from tidewatch.llm.common import fresh, materialize, narrow_batches
 
 BITS, PLACES = 64, 8
 _GROUPS = ((0, 1, 2), (3, 4, 5), (6, 7))
@@ -62,6 +62,8 @@ def fingerprint(text: str | None, words_per_shingle: int = 4, seed: int = 42) ->
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words_per_shingle: int = 4) -> DataFrame:
     """(doc, fp) with the fingerprint as a signed long."""
 
+    narrow_batches(docs.sparkSession)
+
     @F.pandas_udf("long")
     def simhash(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t, words_per_shingle) for t in texts], np.uint64).view(np.int64))
