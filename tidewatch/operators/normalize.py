@@ -176,7 +176,7 @@ def body_severity(body: Column, status: Column) -> tuple[Column, Column]:
 
 
 def epoch_ns(at: Column, now_ns: int) -> Column:
-    """Nanoseconds from an epoch time whose unit is told by its size."""
+    """Nanoseconds from an epoch time whose unit is told by its size: seconds only up to 10^9, then milliseconds."""
     return F.when(at.isNull(), F.lit(now_ns)).when(at > 1_000_000_000_000_000, at).when(at > 1_000_000_000, at * 1_000_000).otherwise(at * 1_000_000_000).cast("bigint")
 
 

@@ -192,27 +192,27 @@ def ewma_anomaly(values: DataFrame, keys: list[str], order: str, sensitivity: fl
     start. The deviation of the last value is from the mean it has moved, in units of
     the deviation before. A series is folded on the JVM; its window bounds it.
     """
-    grouped = values.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col("value").cast("double").alias("v")))), lambda x: x["v"]).alias("v"))
-    warm = F.slice("v", 1, 12)
+    grouped = values.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col("value").cast("double").alias("v")))), lambda x: x["v"]).alias("_v"))
+    warm = F.slice("_v", 1, 12)
     n = F.size(warm)
     mean = F.aggregate(warm, F.lit(0.0), lambda a, x: a + x) / n
-    with_mean = grouped.withColumns({"warm": n, "mean0": mean})
-    spread = F.aggregate(warm, F.lit(0.0), lambda a, x: a + (x - F.col("mean0")) * (x - F.col("mean0"))) / F.col("warm")
-    ready = with_mean.withColumn("var0", spread)
-    start = F.struct(F.lit(0).alias("i"), F.col("mean0").alias("mean"), F.col("var0").alias("var"), F.lit(False).alias("hit"), F.lit(0.0).alias("dev"))
+    with_mean = grouped.withColumns({"_warm": n, "_mean0": mean})
+    spread = F.aggregate(warm, F.lit(0.0), lambda a, x: a + (x - F.col("_mean0")) * (x - F.col("_mean0"))) / F.col("_warm")
+    ready = with_mean.withColumn("_var0", spread)
+    start = F.struct(F.lit(0).alias("i"), F.col("_mean0").alias("mean"), F.col("_var0").alias("var"), F.lit(False).alias("hit"), F.lit(0.0).alias("dev"))
 
     def step(a: Column, x: Column) -> Column:
         std = F.sqrt(a["var"])
-        hit = (a["i"] >= F.col("warm")) & ((x > a["mean"] + sensitivity * std) | (x < F.greatest(a["mean"] - sensitivity * std, F.lit(0.0))))
+        hit = (a["i"] >= F.col("_warm")) & ((x > a["mean"] + sensitivity * std) | (x < F.greatest(a["mean"] - sensitivity * std, F.lit(0.0))))
         moves = (a["i"] > 0) & ~hit
         diff, slow = x - a["mean"], alpha * 0.25
         mean = F.when(moves, alpha * x + (1 - alpha) * a["mean"]).otherwise(a["mean"])
-        var = F.when(moves, F.greatest(slow * diff * diff + (1 - slow) * a["var"], 0.3 * F.col("var0"))).otherwise(a["var"])
+        var = F.when(moves, F.greatest(slow * diff * diff + (1 - slow) * a["var"], 0.3 * F.col("_var0"))).otherwise(a["var"])
         dev = F.when(std > 0, F.abs(x - mean) / F.nullif(std, F.lit(0.0))).otherwise(0.0)
         return F.struct((a["i"] + 1).alias("i"), mean.alias("mean"), var.alias("var"), hit.alias("hit"), dev.alias("dev"))
 
-    folded = ready.withColumn("s", F.aggregate("v", start, step))
-    return folded.select(*keys, F.col("s.mean").alias("mean"), F.col("s.hit").alias("anomalous"), F.col("s.dev").alias("deviation"))
+    folded = ready.withColumn("_fold", F.aggregate("_v", start, step))
+    return folded.select(*keys, F.col("_fold.mean").alias("mean"), F.col("_fold.hit").alias("anomalous"), F.col("_fold.dev").alias("deviation"))
 
 
 def anomaly_verdict(scored: DataFrame, rule_keys: list[str], series: str) -> DataFrame:
