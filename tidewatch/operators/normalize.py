@@ -177,6 +177,7 @@ def body_severity(body: Column, status: Column) -> tuple[Column, Column]:
 
 def epoch_ns(at: Column, now_ns: int) -> Column:
     """Nanoseconds from an epoch time whose unit is told by its size: seconds only up to 10^9, then milliseconds."""
+    at = at.cast("bigint")
     return F.when(at.isNull(), F.lit(now_ns)).when(at > 1_000_000_000_000_000, at).when(at > 1_000_000_000, at * 1_000_000).otherwise(at * 1_000_000_000).cast("bigint")
 
 
@@ -228,12 +229,12 @@ def agent_metrics(rows: DataFrame, tenant: str) -> DataFrame:
     """Agent series (metric, type, host, tags, points of seconds and value) to metric rows, with a ``kind`` of gauge or sum."""
     x = rows.withColumn("t", tags(F.array_join("tags", ","))).select("*", F.explode("points").alias("p"))
     labels = F.map_concat(F.map_filter("t", lambda k, v: ~k.isin("service", "host.name")), _present({"host.name": F.col("host")}))
-    return x.select(*_cols({"tenant_id": F.lit(tenant), "kind": metric_table(F.col("type")), "metric_name": F.col("metric"), "service_name": F.coalesce(F.col("t")["service"], F.lit("")), "attributes": labels, "ts_ns": (F.col("p")["timestamp"] * 1_000_000_000).cast("bigint"), "value": F.col("p")["value"]}))
+    return x.select(*_cols({"tenant_id": F.lit(tenant), "kind": metric_table(F.col("type")), "metric_name": F.col("metric"), "service_name": F.coalesce(F.col("t")["service"], F.lit("")), "attributes": labels, "ts_ns": F.col("p")["timestamp"].cast("bigint") * 1_000_000_000, "value": F.col("p")["value"]}))
 
 
 def service_checks(rows: DataFrame, tenant: str) -> DataFrame:
     """Service checks (check, status, host, tags, timestamp) as gauges ``check.<name>``."""
-    return rows.select(*_cols({"tenant_id": F.lit(tenant), "metric_name": F.concat(F.lit("check."), F.col("check")), "attributes": F.map_concat(F.map_filter(tags(F.array_join("tags", ",")), lambda k, v: k != "host.name"), _present({"host.name": F.col("host")})), "ts_ns": (F.col("timestamp") * 1_000_000_000).cast("bigint"), "value": F.col("status").cast("double")}))
+    return rows.select(*_cols({"tenant_id": F.lit(tenant), "metric_name": F.concat(F.lit("check."), F.col("check")), "attributes": F.map_concat(F.map_filter(tags(F.array_join("tags", ",")), lambda k, v: k != "host.name"), _present({"host.name": F.col("host")})), "ts_ns": F.col("timestamp").cast("bigint") * 1_000_000_000, "value": F.col("status").cast("double")}))
 
 
 def gauge_to_sum(gauges: DataFrame, monotonic: bool = True) -> DataFrame:
@@ -244,7 +245,7 @@ def remote_write(series: DataFrame, tenant: str, metadata: DataFrame | None = No
     """Series (labels, samples of ms and value) to gauges; help and unit come from the metadata of the metric."""
     x = series.select("labels", F.explode("samples").alias("s"))
     rows = x.select(*_cols({
-        "tenant_id": F.lit(tenant), "metric_name": attr("labels", "__name__"), "service_name": attr("labels", "job"), "attributes": F.map_filter("labels", lambda k, v: ~k.isin("__name__", "job")), "ts_ns": F.col("s")["timestamp"] * 1_000_000, "value": F.col("s")["value"],
+        "tenant_id": F.lit(tenant), "metric_name": attr("labels", "__name__"), "service_name": attr("labels", "job"), "attributes": F.map_filter("labels", lambda k, v: ~k.isin("__name__", "job")), "ts_ns": F.col("s")["timestamp"].cast("bigint") * 1_000_000, "value": F.col("s")["value"],
     }))
     if metadata is None:
         return rows.withColumns({"metric_description": F.lit(""), "metric_unit": F.lit("")})
