@@ -77,9 +77,9 @@ def labelled_samples(scanned: DataFrame) -> DataFrame:
 
 def pair_codes(value: Column) -> Column:
     """Array with the number of each pair of neighbouring characters."""
-    chars = F.split(value, "")
-    codes = F.transform(chars, lambda c: F.when(F.position(c, F.lit(ALPHABET)) > 0, F.position(c, F.lit(ALPHABET)) - 1).otherwise(OTHER))
-    return F.transform(F.sequence(F.lit(1), F.size(chars) - 1), lambda i: F.element_at(codes, i) * SIZE + F.element_at(codes, i + 1))
+    codes = F.transform(F.split(value, ""), lambda c: F.coalesce(F.nullif(F.position(c, F.lit(ALPHABET)), F.lit(0)) - 1, F.lit(OTHER)))
+    pairs = F.char_length(value) - 1
+    return F.zip_with(F.slice(codes, F.lit(1), pairs), F.slice(codes, F.lit(2), pairs), lambda a, b: a * SIZE + b)
 
 
 def train(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
