@@ -14,6 +14,7 @@ the documents that hold an entity.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -85,16 +86,30 @@ def entity(kind: int, value: str) -> int:
     return h - (h >> 63 << 64)
 
 
-def terms_near(text: str, spans: list[tuple[int, int, int]], start: int, end: int) -> list[tuple[str, int, int]]:
-    """Up to NEAR terms with a letter on either side of a span, outside of all spans."""
+def terms_near(text: str, covered: tuple[list[int], list[int]], start: int, end: int) -> list[tuple[str, int, int]]:
+    """Up to NEAR terms with a letter on either side of a span, outside of all ``covered`` spans."""
     def usable(m: re.Match) -> bool:
-        return len(m[0]) > 2 and any(c.isalpha() for c in m[0]) and all(b <= m.start() or m.end() <= a for _, a, b in spans if b > start - REACH and a < end + REACH)
+        starts, ends = covered
+        before = bisect.bisect_left(starts, m.end()) - 1  # the last span that starts before the term's end
+        return len(m[0]) > 2 and any(c.isalpha() for c in m[0]) and (before < 0 or ends[before] <= m.start())
 
     low = max(0, start - REACH)
-    before = [m for m in _TERM.finditer(text, low, start) if (m.start() > low or low == 0) and usable(m)][-NEAR:]
+    left = [m for m in _TERM.finditer(text, low, start) if (m.start() > low or low == 0) and usable(m)][-NEAR:]
     high = min(len(text), end + REACH)
-    after = [m for m in _TERM.finditer(text, end, high) if (m.end() < high or high == len(text)) and usable(m)][:NEAR]
-    return [(m[0], m.start(), m.end()) for m in before + after]
+    right = [m for m in _TERM.finditer(text, end, high) if (m.end() < high or high == len(text)) and usable(m)][:NEAR]
+    return [(m[0], m.start(), m.end()) for m in left + right]
+
+
+def union(spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the union of spans, sorted."""
+    starts, ends = [], []
+    for _, a, b in sorted(spans, key=lambda s: s[1:]):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
 
 
 def _lower(term: str) -> str:
@@ -116,9 +131,9 @@ def scan(docs: DataFrame, text: str, *keep: Column) -> DataFrame:
             bases, clues = [], []
             for text in batch.column(1).to_pylist():
                 spans = base_spans(text) if text else []
-                found = []
+                found, covered = [], union(spans)
                 for kind, a, b in spans:
-                    near = [(_lower(t), s, e) for t, s, e in terms_near(text, spans, a, b)]
+                    near = [(_lower(t), s, e) for t, s, e in terms_near(text, covered, a, b)]
                     context = xxhash.xxh64_intdigest(" ".join(t for t, _, _ in near)) >> 1
                     name = entity(kind, text[a:b])
                     found += [{"entity": name, "context": context, "term": t, "start": s, "end": e} for t, s, e in near]
