@@ -15,7 +15,7 @@ SAMPLE = (
 
 
 def cells(row):
-    return tuple(None if v is None else "nan" if isinstance(v, float) and math.isnan(v) else round(float(v), 4) + 0.0 if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in row)
+    return tuple(None if v is None else "nan" if isinstance(v, float) and math.isnan(v) else round(float(v), 3) + 0.0 if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in row)
 
 
 @pytest.fixture(scope="module")
