@@ -50,7 +50,7 @@ def rule_stacks(rules: DataFrame) -> DataFrame:
     return around.agg(stack.alias("stack")).select("site", F.concat("site", "of").alias("key"), "stack")
 
 
-def judge_urls(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", url: str = "url", default: str = ALLOW, salts: int = 16) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", url: str = "url", default: str = ALLOW, salts: int = 64) -> DataFrame:
     """(page, host, path, rule, verdict): one row for each row of ``pages``.
 
     ``rules`` has host, path, action (``allow`` or ``block``). A rule fits its host and
