@@ -99,7 +99,7 @@ def train(docs: DataFrame, usable: Column, doc_id: str = "doc_id", text: str = "
     def measured(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             keep = pdf[np.array([bool(_LETTER.search(t)) for t in pdf["body"]], bool)]
-            yield pd.DataFrame({"id": keep["id"].astype(str), "lang": keep["lang"], "x": [features(t) for t in keep["body"]]})
+            yield pd.DataFrame({"id": keep["id"].astype(str), "lang": keep["lang"], "x": pd.Series([features(t) for t in keep["body"]], index=keep.index, dtype=object)})
 
     langs = sorted(r.lang for r in ids.select("lang").distinct().collect())
     plan = machines(langs)

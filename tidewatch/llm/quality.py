@@ -166,7 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
     def features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            yield pd.DataFrame({"sample": 0, "labelled": pdf["labelled"], "y": pdf["y"], "x": [measure(t)[1] for t in pdf["body"]]})
+            yield pd.DataFrame({"sample": 0, "labelled": pdf["labelled"], "y": pdf["y"], "x": pd.Series([measure(t)[1] for t in pdf["body"]], index=pdf.index, dtype=object)})
 
     def fit_one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("labelled")
