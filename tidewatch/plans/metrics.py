@@ -30,8 +30,8 @@ RANGE_QUERIES = [
     ("increase", None, True, f"CASE WHEN count(*) >= 2 AND max(ts_ms) > min(ts_ms) THEN sum({INC}) END", 4),
     ("sum_over_time", None, False, "sum(v)", 6), ("avg_over_time", None, False, "avg(v)", 6), ("min_over_time", None, False, "min(v)", 6), ("max_over_time", None, False, "max(v)", 6), ("count_over_time", None, False, "CAST(count(*) AS DOUBLE)", 6),
     ("stddev_over_time", None, False, "stddev_pop(v)", 6), ("stdvar_over_time", None, False, "var_pop(v)", 7), ("quantile_over_time", 0.9, False, "quantile_cont(v, 0.9)", 6), ("last_over_time", None, False, "max_by(v, ts_ms)", 6), ("first_over_time", None, False, "min_by(v, ts_ms)", 6),
-    ("delta", None, False, TWO.format("max_by(v, ts_ms) - min_by(v, ts_ms)"), 6), ("idelta", None, False, TWO.format("max_by(v - p, ts_ms)"), 6), ("deriv", None, False, f"regr_slope(v, {X})", 6),
-    ("predict_linear", 3600.0, False, f"regr_slope(v, {X}) * (max({X}) + 3600) + regr_intercept(v, {X})", 3), ("changes", None, False, "CAST(count(*) FILTER (p IS NOT NULL AND abs(v - p) > 2.220446049250313e-16) AS DOUBLE)", 6),
+    ("delta", None, False, TWO.format("max_by(v, ts_ms) - min_by(v, ts_ms)"), 6), ("idelta", None, False, TWO.format("max_by(v - p, ts_ms)"), 6), ("deriv", None, False, f"CASE WHEN count(DISTINCT ts_ms) >= 2 THEN regr_slope(v, {X}) END", 6),
+    ("predict_linear", 3600.0, False, f"CASE WHEN count(DISTINCT ts_ms) >= 2 THEN regr_slope(v, {X}) * (max({X}) + 3600) + regr_intercept(v, {X}) END", 3), ("changes", None, False, "CAST(count(*) FILTER (p IS NOT NULL AND abs(v - p) > 2.220446049250313e-16) AS DOUBLE)", 6),
     ("resets", None, True, "CAST(count(*) FILTER (v < p) AS DOUBLE)", 6), ("present_over_time", None, False, "1.0", 6),
 ]
 
