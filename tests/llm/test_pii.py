@@ -59,3 +59,18 @@ def test_query(spark, sf_dir):
         assert [row.n_email, row.n_ip, row.n_card, row.n_phone] == [sum(k == i for k, _, _ in want) for i in range(4)]
         spans = [f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in sorted(want)]
         assert [s for s in row.spans.split(",") if s and not s.startswith("term")] == spans
+
+
+def _filler(i):
+    return (1000 + i, f"about the budget and the note of day {i}")
+
+
+def test_terms_are_measured_and_masked_in_the_whole_text(spark):
+    between = " ".join(f"filler{j}" for j in range(60))
+    rows = [(i, f"Zanzibar {between} day {'abcdefgh'[i]}{'pqrstuvw'[i]}z Zanzibar writes to ann@example.org {between} so zanzibar says") for i in range(5)]
+    rows += [(10 + i, f"{between} nothing {i}") for i in range(100)] + [_filler(i) for i in range(400)]
+    far = [(20 + 100 * i, f"Plimsoll {between} {'abcdefgh'[i]}yx bob@example.org {between}") for i in range(1, 5)]
+    docs = spark.createDataFrame(rows + far, "doc_id long, text string")
+    got = {r.doc_id: [r.text[s.start : s.end] for s in r.spans if s.kind == 4] for r in pii.find_personal_data(docs, keep=("doc_id", "text")).collect()}
+    assert got[0] == ["Zanzibar", "Zanzibar", "writes", "zanzibar", "says"]
+    assert all(got[i] == ["Plimsoll"] for i, _ in far)

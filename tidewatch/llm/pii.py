@@ -1,15 +1,16 @@
 """Personal data: fixed patterns, then terms that reveal what the patterns protect.
 
 The patterns give protected entities (an e-mail address, an IP address, a card or a
-phone number). From the corpus the operator estimates how strongly a term near an
-entity reveals it: pointwise mutual information over the entity's own information
-content, log(N n_et / (n_e n_t)) / log(N / n_e), which is 1 for a term that is only
-ever found with the entity. Terms over the disclosure threshold, seen with the entity
-in enough different contexts (copies of a text are one context), are generalised or
-removed as well.
-
-Texts go through Python once; what is counted, joined and shuffled are small rows of
-the documents that hold an entity.
+phone number). From the corpus the operator estimates how strongly a term in a text
+reveals an entity of that text: pointwise mutual information over the entity's own
+information content, log(N n_et / (n_e n_t)) / log(N / n_e), which is 1 for a term that
+is only ever found with the entity. All four are numbers of different texts, so copies
+of a text count once. Terms over the disclosure threshold, found with the entity in
+enough different texts, are generalised or removed wherever they stand in a text that
+holds the entity.
+
+Texts go through Python twice: once for the patterns, once to count terms. The terms of
+texts that hold an entity, and of those that have copies, are shuffled.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import ascii_lower, checked_broadcast, materialize, narrow_batches
+from tidewatch.llm.common import checked_broadcast, materialize, narrow_batches
 
 KINDS = ("email", "ip", "card", "phone", "term")
 _LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]")
@@ -34,10 +35,6 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-#: The same characters for Spark's ``split``.
-BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Terms on either side of an entity, and characters that are searched for them.
-NEAR, REACH = 6, 200
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -86,20 +83,6 @@ def entity(kind: int, value: str) -> int:
     return h - (h >> 63 << 64)
 
 
-def terms_near(text: str, covered: tuple[list[int], list[int]], start: int, end: int) -> list[tuple[str, int, int]]:
-    """Up to NEAR terms with a letter on either side of a span, outside of all ``covered`` spans."""
-    def usable(m: re.Match) -> bool:
-        starts, ends = covered
-        before = bisect.bisect_left(starts, m.end()) - 1  # the last span that starts before the term's end
-        return len(m[0]) > 2 and any(c.isalpha() for c in m[0]) and (before < 0 or ends[before] <= m.start())
-
-    low = max(0, start - REACH)
-    left = [m for m in _TERM.finditer(text, low, start) if (m.start() > low or low == 0) and usable(m)][-NEAR:]
-    high = min(len(text), end + REACH)
-    right = [m for m in _TERM.finditer(text, end, high) if (m.end() < high or high == len(text)) and usable(m)][:NEAR]
-    return [(m[0], m.start(), m.end()) for m in left + right]
-
-
 def union(spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
     """Starts and ends of the union of spans, sorted."""
     starts, ends = [], []
@@ -116,67 +99,140 @@ def _lower(term: str) -> str:
     return term if term.islower() else term.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
+def places(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """(term, start, end) of all terms of a lower-case text that touch none of its ``spans``."""
+    starts, ends = union(spans)
+    for m in _TERM.finditer(text):
+        before = bisect.bisect_left(starts, m.end()) - 1  # the last span that starts before the term's end
+        if before < 0 or ends[before] <= m.start():
+            yield m[0], m.start(), m.end()
+
+
+def terms_of(text: str, spans: list[tuple[int, int, int]]) -> set[str]:
+    """Lower-case terms of three characters or more, with a letter, that stand outside of the spans."""
+    return {t for t, _, _ in places(_lower(text), spans) if len(t) > 2 and any(c.isalpha() for c in t)}
+
+
 _SPAN = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
-_CLUE = pa.struct([("entity", pa.int64()), ("context", pa.int64()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
-FOUND = "row long, base array<struct<kind:int,start:int,end:int>>, clues array<struct<entity:long,context:long,term:string,start:int,end:int>>"
+SPANS = "array<struct<kind:int,start:int,end:int>>"
+
+
+def _copy(text: str) -> Column:
+    """Name of a text, the same for all of its copies."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("copy")
+
+
+def _tuples(spans: list[dict]) -> list[tuple[int, int, int]]:
+    return [(s["kind"], s["start"], s["end"]) for s in spans]
 
 
 def scan(docs: DataFrame, text: str, *keep: Column) -> DataFrame:
-    """(row, base, clues, *keep): one row for each row of ``docs``; ``row`` numbers them."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text).alias("body"), *keep)
-    kept = rows.columns[2:]
+    """(row, copy, body, base, names, *keep): one row for each row of ``docs``; ``row`` numbers them.
+
+    ``names`` are the different entities of a text; texts without one are left out of ``body``.
+    """
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), _copy(text), F.col(text).alias("body"), *keep)
+    kept = rows.columns[3:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bases, clues = [], []
-            for text in batch.column(1).to_pylist():
+            bodies, bases, names = [], [], []
+            for text in batch.column(2).to_pylist():
                 spans = base_spans(text) if text else []
-                found, covered = [], union(spans)
-                for kind, a, b in spans:
-                    near = [(_lower(t), s, e) for t, s, e in terms_near(text, covered, a, b)]
-                    context = xxhash.xxh64_intdigest(" ".join(t for t, _, _ in near)) >> 1
-                    name = entity(kind, text[a:b])
-                    found += [{"entity": name, "context": context, "term": t, "start": s, "end": e} for t, s, e in near]
+                bodies.append(text if spans else None)
                 bases.append([{"kind": k, "start": a, "end": b} for k, a, b in spans])
-                clues.append(found)
-            columns = [batch.column(0), pa.array(bases, pa.list_(_SPAN)), pa.array(clues, pa.list_(_CLUE)), *(batch.column(i) for i in range(2, batch.num_columns))]
-            yield pa.RecordBatch.from_arrays(columns, ["row", "base", "clues", *kept])
+                names.append(sorted({entity(k, text[a:b]) for k, a, b in spans}))
+            columns = [batch.column(0), batch.column(1), pa.array(bodies, pa.string()), pa.array(bases, pa.list_(_SPAN)), pa.array(names, pa.list_(pa.int64())), *(batch.column(i) for i in range(3, batch.num_columns))]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "copy", "body", "base", "names", *kept])
 
-    kinds = "".join(f", {f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[2:])
-    return rows.mapInArrow(run, FOUND + kinds)
+    kinds = "".join(f", {f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[3:])
+    return rows.mapInArrow(run, f"row long, copy long, body string, base {SPANS}, names array<long>" + kinds)
 
 
-def documents_with(docs: DataFrame, text: str, terms: DataFrame, most: int = 1 << 18) -> DataFrame:
-    """(term, n_t): documents that hold each term.
+def documents_with(docs: DataFrame, text: str, terms: DataFrame, repeated: DataFrame, most_terms: int = 1 << 18, most_copies: int = 1 << 20) -> DataFrame:
+    """(term, n_t): different texts that hold each term outside of the fixed patterns.
 
-    Up to ``most`` terms go to every task, which sends one sum for each of them; more
-    terms join the words of the documents instead.
+    ``repeated(copy)`` names the texts that have copies. Up to ``most_terms`` terms and
+    ``most_copies`` names go to every task. It sends one sum for each term, and the terms
+    of repeated texts by name, which are then counted once. Beyond these numbers all
+    terms, or the terms of all texts, are sent by name.
     """
-    if terms.limit(most + 1).count() > most:
-        words = F.array_distinct(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), BETWEEN), ascii_lower))
-        return docs.select(F.explode(words).alias("term")).join(terms, "term").groupBy("term").agg(F.count("*").alias("n_t"))
-    wanted = docs.sparkSession.sparkContext.broadcast(frozenset(r.term for r in terms.collect()))
+    context = docs.sparkSession.sparkContext
+    few = terms.limit(most_terms + 1).count() <= most_terms
+    wanted = context.broadcast(frozenset(r.term for r in terms.collect())) if few else None
+    named = context.broadcast(frozenset(r.copy for r in repeated.collect())) if repeated.limit(most_copies + 1).count() <= most_copies else None
+
+    def terms_in(body: str) -> set[str]:
+        if wanted is None:
+            return terms_of(body, base_spans(body))
+        found = wanted.value.intersection(_TERM.findall(_lower(body)))
+        spans = base_spans(body) if found else []
+        return found.intersection(t for t, _, _ in places(_lower(body), spans)) if spans else found
+
+    def rows(copies: list, terms: list, sums: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(copies, pa.int64()), pa.array(terms, pa.string()), pa.array(sums, pa.int64())], ["copy", "term", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        seen, sent = Counter(), set()
         for batch in batches:
-            for body in batch.column(0).to_pylist():
-                if body and wanted.value:
-                    seen.update(wanted.value.intersection(_TERM.findall(_lower(body))))
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["term", "n"])
+            copies, terms = [], []
+            for copy, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if not body or copy in sent:
+                    continue
+                if wanted is not None and named is not None and copy not in named.value:
+                    seen.update(terms_in(body))
+                    continue
+                sent.add(copy)
+                found = terms_in(body)
+                copies += [copy] * len(found)
+                terms += found
+            yield rows(copies, terms, [1] * len(terms))
+        yield rows([None] * len(seen), list(seen), list(seen.values()))
+
+    sent = docs.select(_copy(text), text).mapInArrow(run, "copy long, term string, n long")
+    if wanted is None:
+        sent = sent.join(terms, "term")
+    once = sent.groupBy("copy", "term").agg(F.sum("n").alias("n"))
+    return once.groupBy("term").agg(F.sum(F.when(F.col("copy").isNull(), F.col("n")).otherwise(1)).alias("n_t"))
+
+
+def entity_terms(found: DataFrame) -> DataFrame:
+    """(names, terms): entities and terms of each different text that holds an entity."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms = [list(terms_of(body, _tuples(base))) for body, base in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(terms, pa.list_(pa.string()))], ["names", "terms"])
+
+    texts = found.where(F.size("names") > 0).select("copy", "names", "body", "base").dropDuplicates(["copy"])
+    return texts.select("names", "body", "base").mapInArrow(run, "names array<long>, terms array<string>")
+
+
+def disclosing_terms(docs: DataFrame, text: str, found: DataFrame, threshold: float, support: int) -> DataFrame:
+    """(entity, term, disclosure) of the pairs at or over the threshold, from counts of different texts over all of ``docs``."""
+    texts = materialize(found.groupBy("copy").agg(F.count("*").alias("copies")), "texts")
+    n = F.lit(float(max(texts.count(), 1)))
+    # A pair is in no more texts than its entity, so rarer entities have no pair with enough support.
+    entities = found.select("copy", F.explode("names").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
+    entities = materialize(entities, "entities")
+    held = entity_terms(found).select(F.explode("names").alias("entity"), "terms").join(checked_broadcast(entities, 1 << 18), "entity")
+    pairs = materialize(held.select("entity", "n_e", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_et"), F.first("n_e").alias("n_e")).where(F.col("n_et") >= support), "entity-terms")
+    counted = documents_with(docs, text, pairs.select("term").distinct(), texts.where("copies > 1").select("copy"))
+    ratio = F.log(n * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) / F.greatest(F.log(n / F.col("n_e")), F.lit(1e-9))
+    return pairs.join(counted, "term").select("entity", "term", ratio.alias("disclosure")).where(F.col("disclosure") >= threshold)
 
-    return docs.select(text).mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
 
+def term_spans(found: DataFrame, terms: DataFrame) -> DataFrame:
+    """(row, hits): spans of all places of the ``terms(row, terms)`` outside of the fixed patterns."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hits = []
+            for body, base, wanted in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+                some = frozenset(wanted)
+                hits.append([{"kind": 4, "start": a, "end": b} for t, a, b in places(_lower(body), _tuples(base)) if t in some])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hits, pa.list_(_SPAN))], ["row", "hits"])
 
-def disclosing_terms(docs: DataFrame, text: str, clues: DataFrame, threshold: float, support: int) -> DataFrame:
-    """(entity, term, disclosure) of the pairs at or over the threshold, from counts over all of ``docs``."""
-    seen = clues.select("entity", "term", "context").distinct()
-    pairs = materialize(seen.groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support), "clue-pairs")
-    entities = clues.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    counted = documents_with(docs, text, pairs.select("term").distinct())
-    n = F.lit(float(max(docs.count(), 1)))
-    ratio = F.log(n * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) / F.greatest(F.log(n / F.col("n_e")), F.lit(1e-9))
-    return pairs.join(entities, "entity").join(counted, "term").select("entity", "term", ratio.alias("disclosure")).where(F.col("disclosure") >= threshold)
+    held = found.where(F.size("names") > 0).select("row", "body", "base").join(terms, "row")
+    return held.mapInArrow(run, f"row long, hits {SPANS}")
 
 
 def find_personal_data(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), threshold: float = 0.6, support: int = 3) -> DataFrame:
@@ -186,20 +242,19 @@ def find_personal_data(docs: DataFrame, text: str = "text", keep: tuple[str, ...
     the disclosing terms; kinds count along ``KINDS``, places are code points, and both
     are sorted by kind and start.
 
-    Defined cases: a null or empty text has no spans; repeated rows are searched alike
-    and count as documents, but copies of a context support a term once; a term near
-    two entities is one span; an empty table stays empty; extra columns are ignored,
-    but those of ``keep`` must not be called row, base, clues or spans.
+    Defined cases: a null or empty text has no spans; repeated rows are searched alike,
+    but copies of a text count once; a term that discloses two entities of a text is one
+    span; an empty table stays empty; extra columns are ignored, but those of ``keep``
+    must not be called row, copy, body, base, names, hits or spans.
     """
     narrow_batches(docs.sparkSession)
     found = materialize(scan(docs, text, *(F.col(c) for c in keep)), "personal-data")
-    clues = found.where(F.size("clues") > 0).select("row", F.explode("clues").alias("c")).select("row", "c.*")
-    bad = materialize(disclosing_terms(docs, text, clues, threshold, support), "disclosing-terms")
-    hits = clues.join(checked_broadcast(bad.select("entity", "term"), 1 << 18), ["entity", "term"])
-    per_row = hits.groupBy("row").agg(F.collect_set(F.struct(F.lit(4).alias("kind"), "start", "end")).alias("terms"))
+    bad = materialize(disclosing_terms(docs, text, found, threshold, support), "disclosing-terms")
+    hits = found.select("row", F.explode("names").alias("entity")).join(checked_broadcast(bad.select("entity", "term"), 1 << 18), "entity")
+    per_row = hits.groupBy("row").agg(F.collect_set("term").alias("terms"))
     base = F.array_sort("base")
-    none = F.array().cast("array<struct<kind:int,start:int,end:int>>")
-    return found.join(per_row, "row", "left").select(*keep, base.alias("base"), F.array_sort(F.concat("base", F.coalesce("terms", none))).alias("spans"))
+    spans = F.concat("base", F.coalesce("hits", F.array().cast(SPANS)))
+    return found.join(term_spans(found, per_row), "row", "left").select(*keep, base.alias("base"), F.array_sort(spans).alias("spans"))
 
 
 def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -208,8 +263,8 @@ def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **opti
     A term with a digit is generalised to a code, a capitalised one to a name, others
     are removed. Of overlapping spans the first one names the mask.
     """
-    picked = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("body"), F.col(text).alias("kept_body"))
-    found = find_personal_data(picked, "body", ("doc", "kept_body"), **options)
+    picked = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("kept_body"))
+    found = find_personal_data(picked, "kept_body", ("doc", "kept_body"), **options)
     by_start = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
     body = F.col("kept_body")
 
