@@ -74,3 +74,22 @@ def test_terms_are_measured_and_masked_in_the_whole_text(spark):
     got = {r.doc_id: [r.text[s.start : s.end] for s in r.spans if s.kind == 4] for r in pii.find_personal_data(docs, keep=("doc_id", "text")).collect()}
     assert got[0] == ["Zanzibar", "Zanzibar", "writes", "zanzibar", "says"]
     assert all(got[i] == ["Plimsoll"] for i, _ in far)
+
+
+def test_copies_do_not_lower_the_disclosure(spark):
+    rows = [(i, f"day {'abcdefgh'[i]}xx Zanzibar writes to ann@example.org") for i in range(3)]
+    rows += [(10 + i, rows[0][1]) for i in range(300)] + [_filler(i) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: {r.text[s.start : s.end] for s in r.spans if s.kind == 4} for r in pii.find_personal_data(docs, keep=("doc_id", "text")).collect()}
+    assert got[0] == got[10] == got[309] == {"Zanzibar", "writes"}
+
+
+def test_all_ways_to_count_terms_agree(spark):
+    rows = [(i, f"alpha {'beta ' * (i % 3 == 0)}gamma{i % 7} x{i % 5}@example.org") for i in range(60)] + [(99, None), (100, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    texts = {t for _, t in rows if t}
+    want = {t: sum(t in pii.terms_of(x, pii.base_spans(x)) for x in texts) for t in ("alpha", "beta", "gamma1")}
+    terms = spark.createDataFrame([(t,) for t in [*want, "example"]], "term string")
+    repeated = docs.groupBy(pii._copy("text")).count().where("count > 1").select("copy")
+    for limits in ((9, 10**6), (9, 0), (1, 10**6), (1, 0)):
+        assert {r.term: r.n_t for r in pii.documents_with(docs, "text", terms, repeated, *limits).collect()} == want
