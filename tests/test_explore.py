@@ -24,6 +24,14 @@ def test_deep_chain(spark):
     assert max(r.depth for r in services.span_tree(df).collect()) == 39
 
 
+def test_chains_of_any_depth_and_cycles(spark):
+    chain = [("t", f"s{i}", f"s{i - 1}" if i else "", i) for i in range(1100)]
+    stray = [("t", "c1", "c3", 1), ("t", "c2", "c1", 2), ("t", "c3", "c2", 3), ("t", "d", "c1", 4), ("t", "o1", "missing", 5), ("t", "o2", "o1", 6)]
+    df = spans(spark, [(t, s, p, n, 1, "s", "OK", 200, {}) for t, s, p, n in chain + stray])
+    assert {r.span_id: r.depth for r in services.span_tree(df).collect()} == {f"s{i}": i for i in range(1100)}
+    assert services.span_tree(spans(spark, [(t, s, p, n, 1, "s", "OK", 200, {}) for t, s, p, n in stray])).count() == 0
+
+
 def test_filters_search_and_cursor(spark):
     df = spans(spark, [("t", "a", "", 2, 5, "api", "ERROR", 500, {"k": "7", "x.y": "Gateway timeout"}), ("t", "b", "", 2, 6, "db", "OK", 200, {"k": "x"}), ("t", "c", "", 1, 7, "api", "OK", 404, None)])
     ids = lambda cond: sorted(r.span_id for r in df.where(cond).collect())

@@ -91,22 +91,25 @@ def trace_spans(spans: DataFrame, wanted: DataFrame, index: DataFrame, pad_ns: i
     return spans.join(bounds, "trace_id").where(F.col("ts_ns").between(F.col("_low"), F.col("_high"))).drop("_low", "_high")
 
 
-def span_tree(spans: DataFrame, max_depth: int = 256) -> DataFrame:
+def span_tree(spans: DataFrame) -> DataFrame:
     """(trace_id, span_id, depth, path) of all traces at once.
 
     Roots have no parent (or zeros for one); ``path`` orders children by time; spans
-    that no root reaches are dropped. Each round doubles how far every span sees up, so
-    a depth of 256 takes eight joins; rounds are cut by checkpoints.
+    that no root reaches (orphans, cycles) are dropped. Each round doubles how far every
+    span sees up, so a depth of 256 takes eight joins; rounds are cut by checkpoints.
+    They end when no span is left waiting or none of those left can reach a root.
     """
     step = F.lpad(F.row_number().over(Window.partitionBy("trace_id", "parent_span_id").orderBy("ts_ns", "span_id")).cast("string"), 6, "0")
     up = F.when(F.col("parent_span_id").rlike("^0*$"), "").otherwise(F.col("parent_span_id"))
     seen = _cut(spans.select("trace_id", "span_id", up.alias("up"), F.when(up == "", 0).otherwise(1).alias("depth"), step.alias("path")))
-    reach = 1
-    while reach <= max_depth and not seen.where("up <> ''").isEmpty():
+    while not seen.where("up <> ''").isEmpty():
+        done = seen.where("up = ''").count()
         above = seen.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("higher"), F.col("depth").alias("more"), F.col("path").alias("before"))
         further = seen.where("up <> ''").join(above, ["trace_id", "up"]).select("trace_id", "span_id", F.col("higher").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), F.concat_ws("/", "before", "path").alias("path"))
         seen = _cut(seen.where("up = ''").unionByName(further))
-        reach *= 2
+        # Spans within reach of a root end in each round, so a round in which none ends leaves only cycles and what hangs on orphans.
+        if seen.where("up = ''").count() == done:
+            break
     return seen.where("up = ''").drop("up")
 
 
