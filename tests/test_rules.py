@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.core import clamp_bucket, normalize_status, threshold
 from tidewatch.operators import rollup, rules
+from tidewatch.plans import rules as plans
 
 CASES = [  # state, value, critical, critical recovery, warning, warning recovery, comparator, next
     ("ok", 50, 50, None, None, None, "above", "alert"), ("ok", 40, 50, None, 40, None, "above", "warn"), ("no_data", 1, 50, None, 40, None, "above", "ok"),
@@ -77,3 +78,15 @@ def test_rollup_source():
 def test_thresholds_and_statuses(spark):
     row = spark.range(1).select(threshold(F.lit(1.0), "=", 1.0).alias("a"), threshold(F.lit(2.0), "<=", 1.0).alias("b"), normalize_status(F.lit("STATUS_CODE_ERROR")).alias("c"), normalize_status(F.lit("error")).alias("d"), normalize_status(F.lit(None).cast("string")).alias("e")).first()
     assert tuple(row) == (True, False, "ERROR", "ERROR", "UNSET")
+
+
+def test_detection_queries_take_logs_of_any_time(spark, sf_dir, tmp_path):
+    spark.read.parquet(f"{sf_dir}/events.parquet").write.parquet(f"{tmp_path}/events.parquet")
+    ids = spark.range(600_000, 600_300).withColumnRenamed("id", "doc_id")
+    ids.selectExpr("doc_id", "'text' AS text", "'en' AS lang", "'src1' AS source").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda query: sorted(tuple(r) for r in query(spark, str(tmp_path)).collect())
+    assert run(plans.detect_severe_logs) == [("src1", "ERROR", 30), ("src1", "FATAL", 30)]
+    assert run(plans.detect_brute_force) == [("src1", 30)]
+    errors = [r.span_errors for r in plans.detect_logs_and_traces(spark, sf_dir).where("service_name = 'src1'").collect()]
+    assert run(plans.detect_logs_and_traces) == [("src1", 60, *errors)] and errors
+    assert ("noise", 2) in run(plans.detect_all)

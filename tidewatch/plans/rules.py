@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.core import bucket, is_error
@@ -36,6 +39,12 @@ def _tables(spark, sf_dir):
     return {"spans": bind.spans(spark, sf_dir), "logs": bind.logs(spark, sf_dir), "gauges": gauges, "sums": gauges}
 
 
+def _times(*tables):
+    """The first and the last time of any row of the tables."""
+    ts = reduce(DataFrame.unionByName, (t.select(F.unix_micros("ts").alias("us")) for t in tables))
+    return [F.timestamp_micros(F.lit(us).cast("long")) for us in ts.agg(F.min("us"), F.max("us")).first()]
+
+
 # ------------------------------------------------------------------ monitors
 
 
@@ -217,7 +226,8 @@ def correlation_buckets(spark, sf_dir):
 
 @query("detect_brute_force", f"WITH {LOGS_SQL} SELECT service_name AS source, count(*) AS attempts FROM logs WHERE severity_text = 'WARN' GROUP BY 1 HAVING count(*) >= 10")
 def detect_brute_force(spark, sf_dir):
-    return rules.brute_force(_tables(spark, sf_dir), "2024-01-01", "2025-01-01", F.col("service_name"), F.col("severity_text") == "WARN")
+    tables = _tables(spark, sf_dir)
+    return rules.brute_force(tables, *_times(tables["logs"]), F.col("service_name"), F.col("severity_text") == "WARN")
 
 
 @query("detect_error_rate_spike", f"WITH {SPANS_SQL} SELECT service_name, count(*) FILTER (status = 'STATUS_CODE_ERROR') AS errors, count(*) AS total FROM spans WHERE {IN} GROUP BY 1 HAVING count(*) > 100 AND errors > 0.05 * count(*)")
@@ -250,14 +260,15 @@ def detect_errors_and_latency(spark, sf_dir):
 
 @query("detect_severe_logs", f"WITH {LOGS_SQL} SELECT service_name, severity_text, count(*) AS total FROM logs WHERE severity_text IN ('ERROR', 'FATAL') GROUP BY 1, 2 HAVING count(*) >= 20")
 def detect_severe_logs(spark, sf_dir):
-    return rules.severe_logs(_tables(spark, sf_dir), "2024-01-01", "2025-01-01", 20)
+    tables = _tables(spark, sf_dir)
+    return rules.severe_logs(tables, *_times(tables["logs"]), 20)
 
 
 @query("detect_logs_and_traces", f"WITH {SPANS_SQL}, {LOGS_SQL}, l AS (SELECT service_name, count(*) AS log_errors FROM logs WHERE severity_text IN ('ERROR', 'FATAL') GROUP BY 1 HAVING count(*) >= 5), s AS (SELECT 'src' || CAST(k % 20 AS VARCHAR) AS service_name, count(*) AS span_errors FROM spans WHERE status = 'STATUS_CODE_ERROR' GROUP BY 1 HAVING count(*) >= 5) SELECT * FROM l JOIN s USING (service_name)")
 def detect_logs_and_traces(spark, sf_dir):
     tables = _tables(spark, sf_dir)
     named = tables["spans"].withColumn("service_name", F.concat(F.lit("src"), (F.col("attributes")["k"].cast("int") % 20).cast("string")))
-    return rules.logs_and_traces(tables | {"spans": named}, "2024-01-01", "2025-01-01")
+    return rules.logs_and_traces(tables | {"spans": named}, *_times(tables["logs"], tables["spans"]))
 
 
 @query("detect_latency_and_memory", f"WITH {SPANS_SQL}, {SAMPLES_SQL}, a AS (SELECT min(value) * 0 + 200 AS allowed FROM samples) SELECT service_name FROM spans WHERE {IN} GROUP BY 1 HAVING quantile_cont(duration_ns / 1e6, 0.99) > 100 AND count(*) > 50 AND service_name IN (SELECT service_name FROM samples WHERE {IN} GROUP BY 1 HAVING max(value) > 0.85 * (SELECT min(value) FROM samples WHERE {IN} AND value > 200))")
@@ -286,8 +297,10 @@ def detect_cascading_failures(spark, sf_dir):
 
 @query("detect_all", f"WITH {SPANS_SQL}, {LOGS_SQL} SELECT 'errors' AS rule_id, count(*) AS matches FROM (SELECT service_name FROM spans WHERE {IN} GROUP BY 1 HAVING count(*) > 100 AND count(*) FILTER (status = 'STATUS_CODE_ERROR') > 0.05 * count(*)) UNION ALL SELECT 'noise', count(*) FROM (SELECT service_name, severity_text FROM logs WHERE severity_text IN ('ERROR', 'FATAL') GROUP BY 1, 2 HAVING count(*) >= 5)")
 def detect_all(spark, sf_dir):
-    queries = {"errors": (lambda t: rules.error_rate_spike(t, *W), 1), "noise": (lambda t: rules.severe_logs(t, "2024-01-01", "2025-01-01", 5), 1), "never": (lambda t: rules.severe_logs(t, "2024-01-01", "2025-01-01", 10**9), 1)}
-    return rules.detect(queries, _tables(spark, sf_dir))
+    tables = _tables(spark, sf_dir)
+    period = _times(tables["logs"])
+    queries = {"errors": (lambda t: rules.error_rate_spike(t, *W), 1), "noise": (lambda t: rules.severe_logs(t, *period, 5), 1), "never": (lambda t: rules.severe_logs(t, *period, 10**9), 1)}
+    return rules.detect(queries, tables)
 
 
 @query("detect_sql", f"WITH {SPANS_SQL} SELECT service_name, count(*) AS total FROM spans WHERE tenant_id = 't1' AND {IN} GROUP BY 1")
