@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import predicates as P
 from tidewatch.operators import explore, services
+from tidewatch.plans import traces
 from tidewatch.sources import bind, tables
 
 SPAN = "trace_id string, span_id string, parent_span_id string, ts_ns bigint, duration_ns bigint, service_name string, status string, http_status_code int, attributes map<string,string>"
@@ -32,6 +33,12 @@ def test_chains_of_any_depth_and_cycles(spark):
     assert services.span_tree(spans(spark, [(t, s, p, n, 1, "s", "OK", 200, {}) for t, s, p, n in stray])).count() == 0
 
 
+def test_replay_query_joins_all_chunks(spark, sf_dir, tmp_path):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").limit(1)
+    events.drop("event_id").crossJoin(spark.range(10_050).withColumnRenamed("id", "event_id")).write.parquet(f"{tmp_path}/events.parquet")
+    assert [r.events for r in traces.rum_replay(spark, str(tmp_path)).collect()] == [2 * 10_050]
+
+
 def test_filters_search_and_cursor(spark):
     df = spans(spark, [("t", "a", "", 2, 5, "api", "ERROR", 500, {"k": "7", "x.y": "Gateway timeout"}), ("t", "b", "", 2, 6, "db", "OK", 200, {"k": "x"}), ("t", "c", "", 1, 7, "api", "OK", 404, None)])
     ids = lambda cond: sorted(r.span_id for r in df.where(cond).collect())

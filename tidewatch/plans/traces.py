@@ -270,4 +270,4 @@ def rum_timeline(spark, sf_dir):
 @query("rum_replay", f"WITH {RUM_SQL} SELECT session_id, count(*) * 2 AS events, string_agg(CAST(event_id AS VARCHAR) || ',' || event_type, ',' ORDER BY event_id) AS joined FROM rum GROUP BY 1")
 def rum_replay(spark, sf_dir):
     chunks = bind.rum(spark, sf_dir).select("session_id", F.row_number().over(explore.Window.partitionBy("session_id").orderBy("event_id")).alias("chunk_idx"), F.to_json(F.array(F.col("event_id").cast("string"), "event_type")).alias("events_json"))
-    return rum.replay(chunks, 10_000).select("session_id", F.size("events").cast("bigint").alias("events"), F.array_join("events", ",").alias("joined"))
+    return rum.replay(chunks, None).select("session_id", F.size("events").cast("bigint").alias("events"), F.array_join("events", ",").alias("joined"))
