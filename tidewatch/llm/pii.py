@@ -170,7 +170,7 @@ def documents_with(docs: DataFrame, text: str, terms: DataFrame, repeated: DataF
         return found.intersection(t for t, _, _ in places(_lower(body), spans)) if spans else found
 
     def rows(copies: list, terms: list, sums: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(copies, pa.int64()), pa.array(terms, pa.string()), pa.array(sums, pa.int64())], ["copy", "term", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(copies, pa.int64()), pa.array(terms, pa.list_(pa.string())), pa.array(sums, pa.int64())], ["copy", "terms", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, sent = Counter(), set()
@@ -183,17 +183,15 @@ def documents_with(docs: DataFrame, text: str, terms: DataFrame, repeated: DataF
                     seen.update(terms_in(body))
                     continue
                 sent.add(copy)
-                found = terms_in(body)
-                copies += [copy] * len(found)
-                terms += found
+                copies.append(copy)
+                terms.append(list(terms_in(body)))
             yield rows(copies, terms, [1] * len(terms))
-        yield rows([None] * len(seen), list(seen), list(seen.values()))
+        yield rows([None] * len(seen), [[t] for t in seen], list(seen.values()))
 
-    sent = docs.select(_copy(text), text).mapInArrow(run, "copy long, term string, n long")
-    if wanted is None:
-        sent = sent.join(terms, "term")
-    once = sent.groupBy("copy", "term").agg(F.sum("n").alias("n"))
-    return once.groupBy("term").agg(F.sum(F.when(F.col("copy").isNull(), F.col("n")).otherwise(1)).alias("n_t"))
+    found = materialize(docs.select(_copy(text), text).mapInArrow(run, "copy long, terms array<string>, n long"), "term-counts")
+    texts = found.where("copy IS NOT NULL").dropDuplicates(["copy"]).unionByName(found.where("copy IS NULL"))
+    counted = texts.select(F.explode("terms").alias("term"), "n").groupBy("term").agg(F.sum("n").alias("n_t"))
+    return counted.join(terms, "term", "left_semi") if wanted is None else counted
 
 
 def entity_terms(found: DataFrame) -> DataFrame:
