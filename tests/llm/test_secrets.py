@@ -1,5 +1,8 @@
 import hashlib
+import math
+import random
 import re
+from collections import Counter, defaultdict
 
 from tidewatch.llm import secrets as sc
 from tidewatch.llm.queries import op10_secret_scans
@@ -29,19 +32,77 @@ def test_base_spans(spark, edge, empty):
     assert sc.find_secrets(empty).count() == 0
 
 
-def test_models_tell_random_strings_from_identifiers(spark):
-    plain = ["".join(w) + "handler" for w in (["request"], ["configuration", "loader"], ["temporary", "storage"], ["international", "station"], ["administration"])] * 20
-    rows = [(i, f"{w}x{i % 7 * 'manager'} and authentication_provider_{'abcdefg'[i % 7]}") for i, w in enumerate(plain)]
-    keys = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(40)]
-    rows += [(200 + i, f"token = {k}") for i, k in enumerate(keys)]
-    hidden = "x9" + hashlib.md5(b"hidden").hexdigest()[:20] + "q7z3"
-    rows += [(500, f"see {hidden} here"), (501, "the configuration_loader_of_the_station2 is fine")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    found = {r.doc: [s.value for s in r.spans if s.kind == 3] for r in sc.find_secrets(docs).collect()}
-    assert found[500] == [hidden]
-    assert not any(v for k, v in found.items() if k != 500)
-    masked = {r.doc: r.text for r in sc.masked(docs).collect()}
-    assert masked[500] == "see [SECRET] here" and masked[200] == "[SECRET]" and masked[0] == rows[0][1]
+def _corpus(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+
+
+def _tokens(rng, words):
+    """(kind, token): random strings of every alphabet and ordinary identifiers, none of them training rows."""
+    out = [(name, "".join(rng.choice(letters) for _ in range(size))) for name, letters in sc.RANDOM.items() for size in (16, 20, 24, 32, 40) for _ in range(20)]
+    shapes = (lambda a, b, c: f"{a}_{b}_{c}".lower(), lambda a, b, c: f"{a}-{b}-{c}-v2", lambda a, b, c: a.lower() + b.title() + c.title(), lambda a, b, c: f"{a}{b}{c}{rng.randint(1, 2030)}", lambda a, b, c: f"/{a}/{b}/{c}/2024/01", lambda a, b, c: f"{a}_{b}_{c}".upper())
+    return out + [("ordinary", shape(*rng.choices(words, k=3)).ljust(16, "-")) for shape in shapes for _ in range(100)]
+
+
+def test_random_strings_of_every_alphabet_are_found(spark, sf_dir):
+    """Recall of 0.95 and more for each alphabet, at most one in a hundred ordinary identifiers; the spans are what a plain loop finds."""
+    docs, rng = _corpus(spark, sf_dir), random.Random(9)
+    words = sorted({w for r in docs.collect() for w in r.text.split() if re.fullmatch("[A-Za-z]{3,12}", w)})
+    planted = [(10**6 + i, kind, token) for i, (kind, token) in enumerate(_tokens(rng, words))]
+    both = docs.unionByName(spark.createDataFrame([(i, f"see {t} here") for i, _, t in planted], "doc_id long, text string")).cache()
+    found = {r.doc: [(s.start, s.end) for s in r.spans if s.kind] for r in sc.find_secrets(both).collect()}
+    hits = defaultdict(list)
+    for i, kind, token in planted:
+        hits[kind].append((4, 4 + len(token)) in found[i])
+    assert {k for k, v in hits.items() if k != "ordinary" and sum(v) < 0.95 * len(v)} == set()
+    assert sum(hits["ordinary"]) <= 6
+
+    samples = [(r.secret, r.source, r.value) for r in sc.labelled_samples(both).collect()]
+    table = _brute_table(samples)
+    for row in both.collect():
+        base = [(a, b) for a, _, b in brute(row.text)]
+        judged = [(m.start(), m.end()) for m in re.finditer("[A-Za-z0-9+/_=-]{16,}", row.text) if not any(a < m.end() and m.start() < b for a, b in base) and sum(table[p] for p in _pairs(m[0])) >= 10.0]
+        assert [x for x in found[row.doc_id] if x not in base] == judged
+
+
+def _pairs(value):
+    codes = [sc.ALPHABET.find(c) % sc.SIZE if c in sc.ALPHABET else sc.OTHER for c in value]
+    return [a * sc.SIZE + b for a, b in zip(codes, codes[1:])]
+
+
+def _brute_table(samples):
+    by_source, plain = defaultdict(Counter), Counter()
+    for secret, source, value in samples:
+        (by_source[source] if secret else plain).update(_pairs(value))
+    weighted = Counter()
+    for pairs in by_source.values():
+        for p, n in pairs.items():
+            weighted[p] += n * 1e5 / pairs.total()
+    logs = []
+    for counts in (weighted, plain):
+        first = Counter()
+        for p, n in counts.items():
+            first[p // sc.SIZE] += n
+        logs.append([math.log((counts[p] + 0.5) / (first[p // sc.SIZE] + 0.5 * sc.SIZE)) for p in range(sc.SIZE**2)])
+    return [a - b for a, b in zip(*logs)]
+
+
+def test_training_samples_are_fixed_and_copies_count_once(spark, sf_dir):
+    docs = _corpus(spark, sf_dir)
+    hot = docs.orderBy("doc_id").limit(1)
+    many = docs
+    for _ in range(6):
+        many = many.unionByName(hot)
+    one, two = (sorted((r.secret, r.source, r.value) for r in sc.labelled_samples(d.repartition(3)).collect()) for d in (docs.dropDuplicates(["text"]), docs.unionByName(docs.withColumn("doc_id", docs.doc_id + 10**6))))
+    assert sorted(set(one)) == sorted(set(two)) and len(one) == len(two)
+    assert sc.train(sc.labelled_samples(many)) == sc.train(sc.labelled_samples(docs))
+
+
+def test_masks_cover_overlapping_and_long_texts(spark, sf_dir):
+    key = "".join(random.Random(1).choice(sc.RANDOM["letters and digits"]) for _ in range(30))
+    rows = [(10**6, f"see {key} here"), (10**6, "nothing to see"), (10**6 + 1, "token = " + "0123456789abcdef" * 2), (10**6 + 2, None), (10**6 + 3, "wort " * 10_000 + key)]
+    docs = _corpus(spark, sf_dir).unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    masked = sorted(((r.doc, r.text) for r in sc.masked(docs).where("doc >= 1000000").collect()), key=repr)
+    assert masked == sorted([(10**6, "see [SECRET] here"), (10**6, "nothing to see"), (10**6 + 1, "[SECRET]"), (10**6 + 2, None), (10**6 + 3, "wort " * 10_000 + "[SECRET]")], key=repr)
 
 
 def test_query(spark, sf_dir):

@@ -1,18 +1,22 @@
 """Secret scan: fixed patterns, then character Markov models; DataFrame operations only.
 
-Two first-order character models - random strings and ordinary identifiers - are
-counted over labelled samples of the whole corpus. A long token that no pattern has
-caught is a secret if the mean log-likelihood ratio of its character pairs is high.
-The models have one number for each pair of a fixed alphabet, so the ratio table has
-a constant size and travels as a literal; the texts are never shuffled.
+Two first-order character models are counted over labelled samples. Random strings are
+what the fixed patterns caught in the whole corpus, and uniform strings over the
+alphabets in which secrets are written; each of these sources weighs alike, so a corpus
+full of one kind does not hide the others. Ordinary identifiers are neighbouring words
+of a bounded sample of texts, joined in the usual ways.
+
+A long token that no pattern has caught is a secret if the log-likelihood ratio, summed
+over its character pairs, exceeds the prior odds against it. So the mean ratio that is
+asked for falls with the length. The ratio table has one number for each pair of a fixed
+alphabet and travels as a literal; texts are neither shuffled nor written.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import fresh, materialize
 
 # Fixed patterns of the base rules.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -25,6 +29,23 @@ TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
 OTHER = len(ALPHABET)
 SIZE = OTHER + 1
+_UPPER, _LOWER, _DIGITS = ALPHABET[:26], ALPHABET[26:52], ALPHABET[52:62]
+#: Alphabets of random samples.
+RANDOM = {
+    "hex": _DIGITS + "abcdef",
+    "upper hex": _DIGITS + "ABCDEF",
+    "base32": _UPPER + "234567",
+    "capitals and digits": _UPPER + _DIGITS,
+    "small letters and digits": _LOWER + _DIGITS,
+    "letters and digits": _UPPER + _LOWER + _DIGITS,
+    "base64": _UPPER + _LOWER + _DIGITS + "+/",
+    "base64 for urls": _UPPER + _LOWER + _DIGITS + "-_",
+    "letters": _UPPER + _LOWER,
+    "small letters": _LOWER,
+    "capitals": _UPPER,
+}
+#: Words of ordinary identifiers: letters alone between characters that end a token.
+WORD = r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{2,15}(?![A-Za-z0-9+/_=-])"
 
 
 def _spans(text: Column, pattern: str, *, maybe: Column, least: int = 0, group: int = 0) -> Column:
@@ -66,13 +87,68 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     )
 
 
-def labelled_samples(scanned: DataFrame) -> DataFrame:
-    """(value, secret): distinct values that a base rule caught, and long tokens without digits that none touched."""
-    caught = scanned.select(F.explode(F.flatten(F.array("assign", "access", "hex"))).alias("s")).select(F.col("s.value").alias("value"), F.lit(True).alias("secret"))
-    base = F.concat("assign", "access", "hex")
-    plain = F.filter("tokens", lambda t: ~F.rlike(t["value"], F.lit("[0-9]")) & ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    words = scanned.select(F.explode(plain).alias("s")).select(F.col("s.value").alias("value"), F.lit(False).alias("secret"))
-    return caught.unionByName(words).distinct()
+def random_strings(spark: SparkSession, strings: int = 2000, length: int = 32) -> DataFrame:
+    """(source, value): uniform strings over every alphabet of ``RANDOM``, the same at each call."""
+    alphabets = F.array(*(F.struct(F.lit(name).alias("source"), F.lit(letters).alias("letters")) for name, letters in RANDOM.items()))
+    rows = spark.range(strings).select("id", F.explode(alphabets).alias("a")).select("id", "a.source", "a.letters")
+
+    def letter(j: Column) -> Column:
+        return F.substr(F.col("letters"), F.pmod(F.xxhash64("id", "source", j), F.char_length("letters")).cast("int") + 1, F.lit(1))
+
+    return rows.select("source", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(length)), letter), "").alias("value"))
+
+
+def caught_values(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(source, value): distinct values that the fixed patterns catch in all of ``docs``."""
+    caught = scan(docs, doc_id, text).select(F.explode(F.concat("assign", "access", "hex")).alias("s"))
+    return caught.select(F.lit("caught").alias("source"), F.col("s.value").alias("value")).distinct()
+
+
+def ordinary_identifiers(docs: DataFrame, doc_id: str, text: str, max_texts: int = 500) -> DataFrame:
+    """(source, value): identifiers made of neighbouring words of ``max_texts`` different texts, the least by hash.
+
+    Words are joined by underscores, hyphens, slashes or capitals, with and without
+    numbers; plain numbers and rows of one character are ordinary too.
+    """
+    h = F.xxhash64(F.col(text))
+    few = docs.where(F.col(text).isNotNull()).groupBy(h.alias("h")).agg(F.min(doc_id).alias("one")).orderBy("h").limit(max_texts)
+    texts = docs.select(h.alias("h"), F.col(doc_id).alias("one"), F.col(text).alias("body")).join(F.broadcast(few), ["h", "one"]).dropDuplicates(["h"])
+    texts = texts.select("h", F.regexp_extract_all("body", F.lit(WORD), F.lit(0)).alias("w"))
+
+    def made(i: Column) -> Column:
+        a, b, c = (F.element_at("w", i + k) for k in range(3))
+        dice = F.xxhash64("h", i)
+        number = F.lpad(F.abs(dice).cast("string"), F.pmod(dice, F.lit(3)).cast("int") + 2, "0")
+        digits = F.lpad(F.abs(dice).cast("string"), 18, "0")
+        kinds = {
+            "snake": F.lower(F.concat_ws("_", a, b, c)),
+            "constant": F.upper(F.concat_ws("_", a, b, c)),
+            "kebab": F.lower(F.concat_ws("-", a, b, c)),
+            "path": F.concat(F.lit("/"), F.lower(F.concat_ws("/", a, b, c)), F.lit("/")),
+            "camel": F.concat(F.lower(a), F.initcap(b), F.initcap(c)),
+            "words": F.concat(a, F.lower(b), F.lower(c)),
+            "upper words": F.upper(F.concat(a, b)),
+            "numbered": F.concat(F.lower(F.concat_ws("_", a, b)), F.lit("_"), number),
+            "numbered camel": F.concat(F.initcap(a), F.initcap(b), number),
+            "dated": F.concat(F.lower(a), F.lit("-20"), F.substr(digits, F.lit(1), F.lit(2)), F.lit("-"), F.substr(digits, F.lit(3), F.lit(2)), F.lit("-"), F.lower(b)),
+            "number": digits,
+            "line": F.repeat(F.element_at(F.array(*map(F.lit, "-=_/+")), F.pmod(dice, F.lit(5)).cast("int") + 1), F.lit(18)),
+        }
+        pick, out = F.pmod(F.shiftright(dice, 8), F.lit(len(kinds))), None
+        for k, (name, value) in enumerate(kinds.items()):
+            one = F.struct(F.lit(name).alias("source"), value.alias("value"))
+            out = F.when(pick == k, one) if out is None else out.when(pick == k, one)
+        return out
+
+    places = F.when(F.size("w") > 2, F.sequence(F.lit(1), F.size("w") - 2, F.lit(3))).otherwise(F.array().cast("array<int>"))
+    return texts.select(F.explode(F.transform(places, made)).alias("s")).select("s.source", "s.value")
+
+
+def labelled_samples(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", strings: int = 2000, max_texts: int = 500) -> DataFrame:
+    """(secret, source, value): random strings and ordinary identifiers."""
+    secret = random_strings(docs.sparkSession, strings).unionByName(caught_values(docs, doc_id, text))
+    plain = ordinary_identifiers(docs, doc_id, text, max_texts)
+    return secret.withColumn("secret", F.lit(True)).unionByName(plain.withColumn("secret", F.lit(False)))
 
 
 def pair_codes(value: Column) -> Column:
@@ -82,17 +158,21 @@ def pair_codes(value: Column) -> Column:
     return F.zip_with(F.slice(codes, F.lit(1), pairs), F.slice(codes, F.lit(2), pairs), lambda a, b: a * SIZE + b)
 
 
-def train(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
+def train(samples: DataFrame, weight: float = 100_000.0, smoothing: float = 0.5) -> list[float]:
     """Log-likelihood ratio of every pair: random strings against ordinary identifiers.
 
-    Counts are taken over all of ``samples(value, secret)``. Exactly ``SIZE * SIZE``
-    numbers reach the driver, whatever the corpus.
+    Counts are taken over all of ``samples(secret, source, value)``; those of random
+    sources are scaled to ``weight`` pairs each. Exactly ``SIZE * SIZE`` numbers reach the
+    driver, whatever the corpus.
     """
-    pairs = samples.where(F.char_length("value") > 1).select("secret", F.explode(pair_codes(F.col("value"))).alias("pair"))
-    counted = pairs.groupBy("pair").agg(F.count_if("secret").alias("random"), F.count_if(~F.col("secret")).alias("plain"))
+    pairs = samples.where(F.char_length("value") > 1).select("secret", "source", F.explode(pair_codes(F.col("value"))).alias("pair"))
+    counted = pairs.groupBy("secret", "source", "pair").agg(F.count("*").alias("n"))
+    whole = counted.groupBy("secret", "source").agg(F.sum("n").alias("all"))
+    scaled = counted.join(F.broadcast(whole), ["secret", "source"]).withColumn("n", F.when(F.col("secret"), F.col("n") * weight / F.col("all")).otherwise(F.col("n")))
+    both = scaled.groupBy("pair").agg(F.sum(F.when(F.col("secret"), F.col("n"))).alias("random"), F.sum(F.when(~F.col("secret"), F.col("n"))).alias("plain"))
     spark = samples.sparkSession
     grid = spark.range(SIZE * SIZE).select(F.col("id").cast("int").alias("pair"), (F.col("id") / SIZE).cast("int").alias("first"))
-    full = grid.join(counted, "pair", "left").na.fill(0, ["random", "plain"])
+    full = grid.join(both, "pair", "left").na.fill(0.0, ["random", "plain"])
     totals = full.groupBy("first").agg(F.sum("random").alias("random_all"), F.sum("plain").alias("plain_all"))
     ratio = F.log((F.col("random") + smoothing) / (F.col("random_all") + smoothing * SIZE)) - F.log((F.col("plain") + smoothing) / (F.col("plain_all") + smoothing * SIZE))
     rows = full.join(totals, "first").select("pair", ratio.alias("ratio")).collect()
@@ -103,41 +183,43 @@ def train(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
 
 
 def ratio_of(value: Column, table: list[float]) -> Column:
-    """Mean log-likelihood ratio of the character pairs of ``value``."""
+    """Log-likelihood ratio of ``value``, summed over its character pairs."""
     ratios = F.split(F.lit(",".join(f"{x:.6f}" for x in table)), ",").cast("array<double>")  # folded to a constant
-    total = F.aggregate(pair_codes(value), F.lit(0.0), lambda a, p: a + F.element_at(ratios, p + 1))
-    return total / (F.char_length(value) - 1)
+    return F.aggregate(pair_codes(value), F.lit(0.0), lambda a, p: a + F.element_at(ratios, p + 1))
 
 
-def find_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 20, threshold: float = 0.3) -> DataFrame:
+def find_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", prior: float = 10.0, strings: int = 2000, max_texts: int = 500) -> DataFrame:
     """(doc, spans): one row for each row of ``docs``; spans of (start, kind, end, value), sorted.
 
     ``kind`` counts from 0 along ``KINDS``. The first three are the fixed patterns. A
-    ``random`` span is a token of ``min_chars`` or more with a letter and a digit, apart
-    from all of those, whose mean ratio is at least ``threshold``.
-
-    Defined cases: a null text is empty; repeated rows are scanned alike; without
-    samples of a kind the ratios are near zero and nothing is added; an empty table
-    stays empty.
+    ``random`` span is a token of 16 characters or more, apart from all of those, whose
+    log-likelihood ratio is at least ``prior``, the logarithm of the odds against a secret.
+    The model is fitted on ``strings`` random strings an alphabet, all values that the
+    patterns catch, and the words of ``max_texts`` texts.
+
+    Defined cases: a null text is empty; a text of any length is searched whole;
+    repeated rows are scanned alike, and texts and values count once in the models;
+    without words to learn from every pair is as likely in identifiers, so the random
+    model alone decides; an empty table stays empty; extra columns are ignored.
     """
-    scanned = materialize(scan(docs, doc_id, text), "secret-scan")
-    table = train(labelled_samples(scanned))
+    table = train(labelled_samples(docs, doc_id, text, strings, max_texts))
+    scanned = scan(docs, doc_id, text)
     base = F.concat("assign", "access", "hex")
-    apart = F.filter("tokens", lambda t: (F.char_length(t["value"]) >= min_chars) & F.rlike(t["value"], F.lit("[0-9]")) & F.rlike(t["value"], F.lit("[A-Za-z]")) & ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    random = F.filter(apart, lambda t: ratio_of(t["value"], table) >= threshold)
+    apart = F.filter("tokens", lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    random = F.filter(apart, lambda t: ratio_of(t["value"], table) >= prior)
 
     def named(spans: Column | str, kind: int) -> Column:
         return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end"), s["value"].alias("value")))
 
     kinds = [named(c, k) for k, c in enumerate(("assign", "access", "hex", random))]
-    return scanned.select("doc", F.array_sort(F.concat(*kinds)).alias(fresh("spans")))
+    return scanned.select("doc", F.array_sort(F.concat(*kinds)).alias("spans"))
 
 
 def masked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mask: str = "[SECRET]", **options) -> DataFrame:
     """(doc, text): each text with its secrets masked; overlapping spans are masked as one.
 
     The texts ride along with the ids through the scan, so rows that repeat an id keep
-    their own.
+    their own. Defined cases are those of ``find_secrets``; a null text stays null.
     """
     row = F.struct(F.col(doc_id).alias("id"), F.col(text).alias("body"))
     found = find_secrets(docs.select(row.alias("row"), F.col(text).alias("body")), "row", "body", **options)
