@@ -1,5 +1,9 @@
+import math
 import random
 import re
+from collections import Counter
+
+import pytest
 
 from tidewatch.llm import pii
 from tidewatch.llm.queries import op5_pii
@@ -93,3 +97,63 @@ def test_all_ways_to_count_terms_agree(spark):
     repeated = docs.groupBy(pii._copy("text")).count().where("count > 1").select("copy")
     for limits in ((9, 10**6), (9, 0), (1, 10**6), (1, 0)):
         assert {r.term: r.n_t for r in pii.documents_with(docs, "text", terms, repeated, *limits).collect()} == want
+
+
+def _expected(rows, threshold=0.6, support=3):
+    """Added spans of every text by plain counting over different texts."""
+    texts = {t: (pii.names_of(t, brute(t)), {x for x, _, _ in pii.places(t.translate(LOWER), brute(t)) if len(x) > 2 and any(c.isalpha() for c in x)}) for t in {t for _, t in rows if t}}
+    n = len({t or "" for _, t in rows})
+    n_e, n_t, n_et = Counter(), Counter(), Counter()
+    for names, terms in texts.values():
+        n_e.update(names)
+        n_t.update(terms)
+        n_et.update((e, t) for e in names for t in terms)
+    lower = lambda k: k * (1 - 1 / (9 * k) - 1.645 / (3 * math.sqrt(k))) ** 3
+    bad = {(e, t) for (e, t), k in n_et.items() if k >= support and math.log(n * lower(k) / (n_e[e] * n_t[t])) / max(math.log(n / n_e[e]), 1e-9) >= threshold}
+    return {text: [(a, b) for t, a, b in pii.places(text.translate(LOWER), brute(text)) if any((e, t) in bad for e in names)] for text, (names, _) in texts.items()}
+
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+NAMES = ("Zanzibar", "Plimsoll", "Quarterback", "Wisteria", "Oxbow", "Kestrel", "Juniper", "Larkspur")
+
+
+def _planted(rng):
+    """Texts with single values whose class a planted name gives away, among many others."""
+    words = [a + b for a in ("ta", "mi", "so", "re", "ku", "lo") for b in ("nd", "rk", "st", "lm", "vo", "pe", "xi")]
+    prose = lambda k: " ".join(rng.choices(words, k=k))
+    rows = []
+    for i, name in enumerate(NAMES):
+        for j in range(8):
+            value = (f"p{j}@clinic{i}.example", f"10.{i}.7.{j + 1}", f"+{200 + i} 555 01{j}{j} 77", f"user{j}.{i}@ward.example{i}.org")[i % 4]
+            rows.append(f"{prose(30)} {name} {prose(40)} {value} {prose(30)}")
+    rows += [f"{prose(60)} q{j}@mail{j % 5}.example.com {prose(20)}" for j in range(60)]
+    return rows + [f"{prose(80)} {j}" for j in range(400)]
+
+
+@pytest.mark.parametrize("copies", [1, 10, 100])
+def test_planted_terms_are_found_whatever_the_copies(spark, copies):
+    """All planted names are found, no word of the prose, and the spans are those of plain counting."""
+    rows = _planted(random.Random(2))
+    many = [*rows, *rows[:: len(rows) // 20] * (copies - 1), *[rows[0]] * (copies - 1)]
+    rows = list(enumerate(many))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == 4] for r in pii.find_personal_data(docs).collect()}
+    want = _expected(rows)
+    assert got == {i: want[t] for i, t in rows}
+    found = [{t[a:b] for a, b in got[i]} for i, t in rows[: 8 * len(NAMES)]]
+    planted = [NAMES[i // 8] for i in range(8 * len(NAMES))]
+    assert sum(n in f for n, f in zip(planted, found)) >= 0.9 * len(planted)
+    assert sum(t[a:b] not in NAMES for i, t in rows for a, b in got[i]) <= 0.1 * len(planted)
+
+
+def test_kept_columns_may_have_any_name(spark):
+    docs = spark.createDataFrame([(1, "a@b.example", "x", "y")], "row long, text string, spans string, hits string")
+    (row,) = pii.find_personal_data(docs, keep=("row", "spans", "hits")).collect()
+    assert (row.row, row.hits, [tuple(s) for s in row.spans]) == (1, "y", [(0, 0, 11)])
+
+
+def test_sanitise_with_overlapping_spans_nulls_and_repeated_rows(spark):
+    rows = [(1, "card 4111 1111 1111 1111@x.example end"), (1, None), (2, ""), (2, ""), (None, "ip 10.0.0.1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc, r.text) for r in pii.sanitise(docs).collect()), key=repr)
+    assert got == sorted([(1, "card [CARD] end"), (1, None), (2, ""), (2, ""), (None, "ip [IP]")], key=repr)

@@ -20,7 +20,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import narrow_batches
 
 DEFAULT_TOKENIZER = os.path.join(os.environ.get("TOKENIZER_FILES", "/opt/tokenizers"), "byte_bpe_50k.json")
 OPEN, TEXT, END_TEXT, CLOSE = "<s>", "[INST]", "[/INST]", "</s>"
@@ -106,7 +105,6 @@ def format_conversations(spark: SparkSession, rows: DataFrame, conv_id: str = "c
     without assistant rows has no loss; an empty table stays empty; extra columns are
     ignored.
     """
-    narrow_batches(spark)
     with open(tokenizer, encoding="utf-8") as f:
         data = spark.sparkContext.broadcast(f.read())  # bounded by the vocabulary file
 

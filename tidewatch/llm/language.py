@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import checked_broadcast, fresh, narrow_batches
+from tidewatch.llm.common import checked_broadcast, fresh
 
 # Families of two-letter language codes. Others are families of their own.
 FAMILIES = {
@@ -160,8 +160,6 @@ def identify(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     answer; a tie goes to the language that comes first; repeated rows are judged
     alike; an empty table stays empty.
     """
-    narrow_batches(docs.sparkSession)
-
     @F.pandas_udf("lang_pred string, lang_score double")
     def run(texts: pd.Series) -> pd.DataFrame:
         pred, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))

@@ -1,13 +1,16 @@
 """Personal data: fixed patterns, then terms that reveal what the patterns protect.
 
 The patterns give protected entities (an e-mail address, an IP address, a card or a
-phone number). From the corpus the operator estimates how strongly a term in a text
-reveals an entity of that text: pointwise mutual information over the entity's own
-information content, log(N n_et / (n_e n_t)) / log(N / n_e), which is 1 for a term that
-is only ever found with the entity. All four are numbers of different texts, so copies
-of a text count once. Terms over the disclosure threshold, found with the entity in
-enough different texts, are generalised or removed wherever they stand in a text that
-holds the entity.
+phone number), and each of them the class it belongs to (the domain, the subnet, the
+issuer, the country code), which is protected as well: a value found once can still be
+narrowed down by a term that always goes with its class. From the corpus the operator
+estimates how strongly a term in a text reveals an entity of that text: pointwise mutual
+information over the entity's own information content, log(N n_et / (n_e n_t)) /
+log(N / n_e), which is 1 for a term that is only ever found with the entity. All four are
+numbers of different texts, so copies of a text count once; for n_et the lower bound of
+its 95 % interval is taken, so that a few chance meetings do not pass for knowledge.
+Terms over the disclosure threshold, found with the entity in enough different texts,
+are generalised or removed wherever they stand in a text that holds the entity.
 
 Texts go through Python twice: once for the patterns, once to count terms. The terms of
 texts that hold an entity, and of those that have copies, are shuffled.
@@ -25,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import checked_broadcast, materialize, narrow_batches
+from tidewatch.llm.common import checked_broadcast, materialize
 
 KINDS = ("email", "ip", "card", "phone", "term")
 _LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]")
@@ -34,6 +37,7 @@ _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+_COUNTRY = re.compile(r"\+([0-9]{1,3})[^0-9]")
 _TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
@@ -83,6 +87,29 @@ def entity(kind: int, value: str) -> int:
     return h - (h >> 63 << 64)
 
 
+def entity_class(kind: int, value: str) -> str | None:
+    """The class of an entity: domain, first three parts of an IP, six digits of a card, country code (None: not told apart)."""
+    if kind == 0:
+        return value.rpartition("@")[2].lower()
+    if kind == 1:
+        return ".".join(p.lstrip("0") for p in value.split(".")[:3])
+    if kind == 2:
+        return _digits(value)[:6]
+    code = _COUNTRY.match(value)
+    return code[1] if code else None
+
+
+def names_of(text: str, spans: list[tuple[int, int, int]]) -> list[int]:
+    """Sorted names of the different entities of a text and of their classes."""
+    out = set()
+    for kind, a, b in spans:
+        out.add(entity(kind, text[a:b]))
+        if group := entity_class(kind, text[a:b]):
+            h = xxhash.xxh64_intdigest(f"{kind} class:{group}")
+            out.add(h - (h >> 63 << 64))
+    return sorted(out)
+
+
 def union(spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
     """Starts and ends of the union of spans, sorted."""
     starts, ends = [], []
@@ -113,6 +140,8 @@ def terms_of(text: str, spans: list[tuple[int, int, int]]) -> set[str]:
     return {t for t, _, _ in places(_lower(text), spans) if len(t) > 2 and any(c.isalpha() for c in t)}
 
 
+#: One-sided 95 % of the normal law.
+SIGMAS = 1.645
 _SPAN = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
 SPANS = "array<struct<kind:int,start:int,end:int>>"
 
@@ -129,7 +158,7 @@ def _tuples(spans: list[dict]) -> list[tuple[int, int, int]]:
 def scan(docs: DataFrame, text: str, *keep: Column) -> DataFrame:
     """(row, copy, body, base, names, *keep): one row for each row of ``docs``; ``row`` numbers them.
 
-    ``names`` are the different entities of a text; texts without one are left out of ``body``.
+    ``names`` are the different entities of a text and their classes; texts without one are left out of ``body``.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row"), _copy(text), F.col(text).alias("body"), *keep)
     kept = rows.columns[3:]
@@ -141,7 +170,7 @@ def scan(docs: DataFrame, text: str, *keep: Column) -> DataFrame:
                 spans = base_spans(text) if text else []
                 bodies.append(text if spans else None)
                 bases.append([{"kind": k, "start": a, "end": b} for k, a, b in spans])
-                names.append(sorted({entity(k, text[a:b]) for k, a, b in spans}))
+                names.append(names_of(text or "", spans))
             columns = [batch.column(0), batch.column(1), pa.array(bodies, pa.string()), pa.array(bases, pa.list_(_SPAN)), pa.array(names, pa.list_(pa.int64())), *(batch.column(i) for i in range(3, batch.num_columns))]
             yield pa.RecordBatch.from_arrays(columns, ["row", "copy", "body", "base", "names", *kept])
 
@@ -205,6 +234,11 @@ def entity_terms(found: DataFrame) -> DataFrame:
     return texts.select("names", "body", "base").mapInArrow(run, "names array<long>, terms array<string>")
 
 
+def at_least(n: Column) -> Column:
+    """Lower end of the 95 % interval of a Poisson count (Wilson and Hilferty's cube)."""
+    return n * F.pow(1 - 1 / (9 * n) - SIGMAS / (3 * F.sqrt(n)), F.lit(3.0))
+
+
 def disclosing_terms(docs: DataFrame, text: str, found: DataFrame, threshold: float, support: int) -> DataFrame:
     """(entity, term, disclosure) of the pairs at or over the threshold, from counts of different texts over all of ``docs``."""
     texts = materialize(found.groupBy("copy").agg(F.count("*").alias("copies")), "texts")
@@ -215,7 +249,7 @@ def disclosing_terms(docs: DataFrame, text: str, found: DataFrame, threshold: fl
     held = entity_terms(found).select(F.explode("names").alias("entity"), "terms").join(checked_broadcast(entities, 1 << 18), "entity")
     pairs = materialize(held.select("entity", "n_e", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_et"), F.first("n_e").alias("n_e")).where(F.col("n_et") >= support), "entity-terms")
     counted = documents_with(docs, text, pairs.select("term").distinct(), texts.where("copies > 1").select("copy"))
-    ratio = F.log(n * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) / F.greatest(F.log(n / F.col("n_e")), F.lit(1e-9))
+    ratio = F.log(n * at_least(F.col("n_et")) / (F.col("n_e") * F.col("n_t"))) / F.greatest(F.log(n / F.col("n_e")), F.lit(1e-9))
     return pairs.join(counted, "term").select("entity", "term", ratio.alias("disclosure")).where(F.col("disclosure") >= threshold)
 
 
@@ -240,26 +274,29 @@ def find_personal_data(docs: DataFrame, text: str = "text", keep: tuple[str, ...
     the disclosing terms; kinds count along ``KINDS``, places are code points, and both
     are sorted by kind and start.
 
-    Defined cases: a null or empty text has no spans; repeated rows are searched alike,
-    but copies of a text count once; a term that discloses two entities of a text is one
-    span; an empty table stays empty; extra columns are ignored, but those of ``keep``
-    must not be called row, copy, body, base, names, hits or spans.
+    Defined cases: a null or empty text has no spans; texts of any length are searched
+    whole; repeated rows are searched alike, but copies of a text count once; a term that
+    discloses two entities of a text is one span; an empty table stays empty; extra
+    columns are ignored; columns of ``keep`` may have any name, but ``base`` and ``spans``
+    are replaced.
     """
-    narrow_batches(docs.sparkSession)
-    found = materialize(scan(docs, text, *(F.col(c) for c in keep)), "personal-data")
+    kept = [c for c in keep if c.lower() not in ("base", "spans")]
+    found = materialize(scan(docs, text, *(F.col(c).alias(f"kept{i}") for i, c in enumerate(kept))), "personal-data")
     bad = materialize(disclosing_terms(docs, text, found, threshold, support), "disclosing-terms")
     hits = found.select("row", F.explode("names").alias("entity")).join(checked_broadcast(bad.select("entity", "term"), 1 << 18), "entity")
     per_row = hits.groupBy("row").agg(F.collect_set("term").alias("terms"))
     base = F.array_sort("base")
     spans = F.concat("base", F.coalesce("hits", F.array().cast(SPANS)))
-    return found.join(term_spans(found, per_row), "row", "left").select(*keep, base.alias("base"), F.array_sort(spans).alias("spans"))
+    names = [F.col(f"kept{i}").alias(c) for i, c in enumerate(kept)]
+    return found.join(term_spans(found, per_row), "row", "left").select(*names, base.alias("base"), F.array_sort(spans).alias("spans"))
 
 
 def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """(doc, text): entities become ``[EMAIL]``, ``[IP]``, ``[CARD]`` or ``[PHONE]``; disclosing terms ``[NAME]``, ``[CODE]``, or nothing.
 
     A term with a digit is generalised to a code, a capitalised one to a name, others
-    are removed. Of overlapping spans the first one names the mask.
+    are removed. Of overlapping spans the first one names the mask. Defined cases are
+    those of ``find_personal_data``; a null text stays null.
     """
     picked = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("kept_body"))
     found = find_personal_data(picked, "kept_body", ("doc", "kept_body"), **options)
