@@ -70,10 +70,11 @@ def _filler(i):
 
 
 def test_terms_are_measured_and_masked_in_the_whole_text(spark):
-    between = " ".join(f"filler{j}" for j in range(60))
-    rows = [(i, f"Zanzibar {between} day {'abcdefgh'[i]}{'pqrstuvw'[i]}z Zanzibar writes to ann@example.org {between} so zanzibar says") for i in range(5)]
-    rows += [(10 + i, f"{between} nothing {i}") for i in range(100)] + [_filler(i) for i in range(400)]
-    far = [(20 + 100 * i, f"Plimsoll {between} {'abcdefgh'[i]}yx bob@example.org {between}") for i in range(1, 5)]
+    rng = random.Random(6)
+    between = lambda: " ".join(rng.sample([f"filler{j}" for j in range(60)], 60))  # noqa: E731  another order each time, so no near copies
+    rows = [(i, f"Zanzibar {between()} day {'abcdefgh'[i]}{'pqrstuvw'[i]}z Zanzibar writes to ann@example.org {between()} so zanzibar says") for i in range(5)]
+    rows += [(10 + i, f"{between()} nothing {i}") for i in range(100)] + [_filler(i) for i in range(400)]
+    far = [(20 + 100 * i, f"Plimsoll {between()} {'abcdefgh'[i]}yx bob@example.org {between()}") for i in range(1, 5)]
     docs = spark.createDataFrame(rows + far, "doc_id long, text string")
     got = {r.doc_id: [r.text[s.start : s.end] for s in r.spans if s.kind == 4] for r in pii.find_personal_data(docs, keep=("doc_id", "text")).collect()}
     assert got[0] == ["Zanzibar", "Zanzibar", "writes", "zanzibar", "says"]
@@ -89,10 +90,10 @@ def test_copies_do_not_lower_the_disclosure(spark):
 
 
 def test_all_ways_to_count_terms_agree(spark):
-    rows = [(i, f"alpha {'beta ' * (i % 3 == 0)}gamma{i % 7} x{i % 5}@example.org") for i in range(60)] + [(99, None), (100, "")]
+    rows = [(i, f"alpha {'beta ' * (i % 3 == 0)}gamma{i % 7} x{i % 5}{'@' * (i % 4 == 1)}example.org") for i in range(60)] + [(99, None), (100, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     texts = {t for _, t in rows if t}
-    want = {t: sum(t in pii.terms_of(x, pii.base_spans(x)) for x in texts) for t in ("alpha", "beta", "gamma1")}
+    want = {t: sum(t in pii.terms_of(x, []) for x in texts if not pii.base_spans(x)) for t in ("alpha", "beta", "gamma1")}
     terms = spark.createDataFrame([(t,) for t in [*want, "example"]], "term string")
     repeated = docs.groupBy(pii._copy("text")).count().where("count > 1").select("copy")
     for limits in ((9, 10**6), (9, 0), (1, 10**6), (1, 0)):
@@ -102,12 +103,18 @@ def test_all_ways_to_count_terms_agree(spark):
 def _expected(rows, threshold=0.6, support=3):
     """Added spans of every text by plain counting over different texts."""
     texts = {t: (pii.names_of(t, brute(t)), {x for x, _, _ in pii.places(t.translate(LOWER), brute(t)) if len(x) > 2 and any(c.isalpha() for c in x)}) for t in {t for _, t in rows if t}}
-    n = len({t or "" for _, t in rows})
-    n_e, n_t, n_et = Counter(), Counter(), Counter()
-    for names, terms in texts.values():
+    context = {}  # near copies among texts with an entity: whatever shares a mark, directly or not
+    for text in (t for t, (names, _) in texts.items() if names):
+        same = {text}.union(*(context[m] for m in pii.near_marks(text) if m in context))
+        context.update((m, same) for t in same for m in pii.near_marks(t))
+    groups = {id(s): s for s in context.values()}.values()
+    units = [(set().union(*(texts[t][0] for t in g)), set().union(*(texts[t][1] for t in g)), {(e, x) for t in g for e in texts[t][0] for x in texts[t][1]}) for g in groups]
+    units += [((), terms, ()) for names, terms in texts.values() if not names]
+    n, n_e, n_t, n_et = len(units) + any(not t for _, t in rows), Counter(), Counter(), Counter()
+    for names, terms, both in units:
         n_e.update(names)
         n_t.update(terms)
-        n_et.update((e, t) for e in names for t in terms)
+        n_et.update(both)
     lower = lambda k: k * (1 - 1 / (9 * k) - 1.645 / (3 * math.sqrt(k))) ** 3
     bad = {(e, t) for (e, t), k in n_et.items() if k >= support and math.log(n * lower(k) / (n_e[e] * n_t[t])) / max(math.log(n / n_e[e]), 1e-9) >= threshold}
     return {text: [(a, b) for t, a, b in pii.places(text.translate(LOWER), brute(text)) if any((e, t) in bad for e in names)] for text, (names, _) in texts.items()}
@@ -146,6 +153,21 @@ def test_planted_terms_are_found_whatever_the_copies(spark, copies):
     assert sum(t[a:b] not in NAMES for i, t in rows for a, b in got[i]) <= 0.1 * len(planted)
 
 
+def test_near_copies_are_one_text(spark):
+    """A group of near copies alone discloses nothing, and does not hide what other texts disclose."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    origin = [word() for _ in range(120)]
+    near = [" ".join(w if rng.random() > 0.01 else word() for w in origin) + " Zanzibar writes ann@clinic.example" for _ in range(80)]
+    rows = near + [f"{' '.join(word() for _ in range(60))} Zanzibar, {word()} p{j}@clinic.example" for j in range(5)] + [" ".join(word() for _ in range(60)) for _ in range(300)]
+    rows = list(enumerate(rows))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == 4] for r in pii.find_personal_data(docs).collect()}
+    want = _expected(rows)
+    assert got == {i: want[t] for i, t in rows}
+    assert all({t[a:b] for a, b in got[i]} == ({"Zanzibar"} if "@" in t else set()) for i, t in rows)
+
+
 def test_kept_columns_may_have_any_name(spark):
     docs = spark.createDataFrame([(1, "a@b.example", "x", "y")], "row long, text string, spans string, hits string")
     (row,) = pii.find_personal_data(docs, keep=("row", "spans", "hits")).collect()

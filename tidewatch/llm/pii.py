@@ -7,7 +7,8 @@ narrowed down by a term that always goes with its class. From the corpus the ope
 estimates how strongly a term in a text reveals an entity of that text: pointwise mutual
 information over the entity's own information content, log(N n_et / (n_e n_t)) /
 log(N / n_e), which is 1 for a term that is only ever found with the entity. All four are
-numbers of different texts, so copies of a text count once; for n_et the lower bound of
+numbers of different texts: exact copies count once, and so do near copies among the
+texts that hold an entity (five-word shingles, banded min-hashes). For n_et the lower bound of
 its 95 % interval is taken, so that a few chance meetings do not pass for knowledge.
 Terms over the disclosure threshold, found with the entity in enough different texts,
 are generalised or removed wherever they stand in a text that holds the entity.
@@ -23,12 +24,14 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import checked_broadcast, materialize
+from tidewatch.llm.simhash import components
 
 KINDS = ("email", "ip", "card", "phone", "term")
 _LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]")
@@ -179,7 +182,7 @@ def scan(docs: DataFrame, text: str, *keep: Column) -> DataFrame:
 
 
 def documents_with(docs: DataFrame, text: str, terms: DataFrame, repeated: DataFrame, most_terms: int = 1 << 18, most_copies: int = 1 << 20) -> DataFrame:
-    """(term, n_t): different texts that hold each term outside of the fixed patterns.
+    """(term, n_t): different texts without an entity that hold each term.
 
     ``repeated(copy)`` names the texts that have copies. Up to ``most_terms`` terms and
     ``most_copies`` names go to every task. It sends one sum for each term, and the terms
@@ -192,11 +195,8 @@ def documents_with(docs: DataFrame, text: str, terms: DataFrame, repeated: DataF
     named = context.broadcast(frozenset(r.copy for r in repeated.collect())) if repeated.limit(most_copies + 1).count() <= most_copies else None
 
     def terms_in(body: str) -> set[str]:
-        if wanted is None:
-            return terms_of(body, base_spans(body))
-        found = wanted.value.intersection(_TERM.findall(_lower(body)))
-        spans = base_spans(body) if found else []
-        return found.intersection(t for t, _, _ in places(_lower(body), spans)) if spans else found
+        found = terms_of(body, []) if wanted is None else wanted.value.intersection(_TERM.findall(_lower(body)))
+        return set() if found and base_spans(body) else found
 
     def rows(copies: list, terms: list, sums: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(copies, pa.int64()), pa.array(terms, pa.list_(pa.string())), pa.array(sums, pa.int64())], ["copy", "terms", "n"])
@@ -223,15 +223,33 @@ def documents_with(docs: DataFrame, text: str, terms: DataFrame, repeated: DataF
     return counted.join(terms, "term", "left_semi") if wanted is None else counted
 
 
-def entity_terms(found: DataFrame) -> DataFrame:
-    """(names, terms): entities and terms of each different text that holds an entity."""
+#: Bands of min-hashes, and min-hashes in each: texts of similarity 0.8 meet with probability 0.99, those of 0.3 with 0.03.
+BANDS, ROWS = 12, 5
+_MULTIPLIERS = np.random.default_rng(7).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
+
+
+def near_marks(text: str) -> list[int]:
+    """One signed 64-bit mark for each band; near copies share some, other texts hardly any."""
+    words = _lower(text).encode("utf-8", "surrogatepass").split()
+    shingles = {b" ".join(words[i : i + 5]) for i in range(max(len(words) - 4, 1))}
+    h = np.fromiter(map(xxhash.xxh64_intdigest, shingles), np.uint64, len(shingles))
+    with np.errstate(over="ignore"):
+        least = np.array([int(((h ^ (h >> np.uint64(29))) * m).min()) for m in _MULTIPLIERS], np.uint64).reshape(BANDS, ROWS)
+    return np.array([xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(least)], np.uint64).view(np.int64).tolist()
+
+
+def entity_contexts(found: DataFrame) -> DataFrame:
+    """(context, names, terms) of each different text that holds an entity; near copies have the same context."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            terms = [list(terms_of(body, _tuples(base))) for body, base in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(terms, pa.list_(pa.string()))], ["names", "terms"])
+            bodies = batch.column(2).to_pylist()
+            terms = [list(terms_of(body, _tuples(base))) for body, base in zip(bodies, batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(terms, pa.list_(pa.string())), pa.array(map(near_marks, bodies), pa.list_(pa.int64()))], ["copy", "names", "terms", "marks"])
 
     texts = found.where(F.size("names") > 0).select("copy", "names", "body", "base").dropDuplicates(["copy"])
-    return texts.select("names", "body", "base").mapInArrow(run, "names array<long>, terms array<string>")
+    texts = materialize(texts.mapInArrow(run, "copy long, names array<long>, terms array<string>, marks array<long>"), "entity-texts")
+    near = components(texts.select(F.col("copy").alias("a"), F.explode("marks").alias("b")))
+    return texts.join(near.select(F.col("node").alias("copy"), F.col("root").alias("context")), "copy").select("context", "names", "terms")
 
 
 def at_least(n: Column) -> Column:
@@ -241,14 +259,19 @@ def at_least(n: Column) -> Column:
 
 def disclosing_terms(docs: DataFrame, text: str, found: DataFrame, threshold: float, support: int) -> DataFrame:
     """(entity, term, disclosure) of the pairs at or over the threshold, from counts of different texts over all of ``docs``."""
-    texts = materialize(found.groupBy("copy").agg(F.count("*").alias("copies")), "texts")
-    n = F.lit(float(max(texts.count(), 1)))
-    # A pair is in no more texts than its entity, so rarer entities have no pair with enough support.
-    entities = found.select("copy", F.explode("names").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
+    texts = materialize(found.groupBy("copy").agg(F.count("*").alias("copies"), F.max(F.size("names") > 0).alias("held")), "texts")
+    held = materialize(entity_contexts(found), "contexts")
+    n = F.lit(float(max(texts.where("NOT held").count() + held.select("context").distinct().count(), 1)))
+    # A pair is in no more contexts than its entity, so rarer entities have no pair with enough support.
+    entities = held.select("context", F.explode("names").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
     entities = materialize(entities, "entities")
-    held = entity_terms(found).select(F.explode("names").alias("entity"), "terms").join(checked_broadcast(entities, 1 << 18), "entity")
-    pairs = materialize(held.select("entity", "n_e", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_et"), F.first("n_e").alias("n_e")).where(F.col("n_et") >= support), "entity-terms")
-    counted = documents_with(docs, text, pairs.select("term").distinct(), texts.where("copies > 1").select("copy"))
+    met = held.select("context", F.explode("names").alias("entity"), "terms").join(checked_broadcast(entities.select("entity"), 1 << 18), "entity")
+    met = met.select("context", "entity", F.explode("terms").alias("term")).distinct()
+    pairs = materialize(met.groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support).join(entities, "entity"), "entity-terms")
+    terms = pairs.select("term").distinct()
+    inside = held.select("context", F.explode("terms").alias("term")).join(checked_broadcast(terms, 1 << 18), "term").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
+    outside = documents_with(docs, text, terms, texts.where("copies > 1").select("copy"))
+    counted = inside.unionByName(outside).groupBy("term").agg(F.sum("n_t").alias("n_t"))
     ratio = F.log(n * at_least(F.col("n_et")) / (F.col("n_e") * F.col("n_t"))) / F.greatest(F.log(n / F.col("n_e")), F.lit(1e-9))
     return pairs.join(counted, "term").select("entity", "term", ratio.alias("disclosure")).where(F.col("disclosure") >= threshold)
 
