@@ -1,14 +1,15 @@
 """Drop lines that many documents share, through sharded minimal perfect hashes.
 
-1. Every document yields the 128-bit hashes of its distinct line keys; one
-   partially aggregated ``groupBy`` counts the documents of each.
-2. Keys that reach the threshold go to shards by hash. Each shard is one row: a
-   minimal perfect hash (bit levels with ranks), and arrays it indexes - 64-bit
-   fingerprints, document counts, last document.
+1. Every document yields the 128-bit hashes of its distinct line keys; the different
+   documents of each are counted, partially before the shuffle.
+2. All distinct hashes go to shards. Each shard is one row: a minimal perfect hash
+   (bit levels with ranks), and the arrays it indexes - 64-bit fingerprints, document
+   counts, last document.
 3. Documents send bare hashes, not lines, to the shards and probe the arrays in a
-   stream: rows are dealt by (shard, salt) and sorted so that a shard's arrays
-   come first. Memory is one shard and one batch; salts taken from the document
-   split a line that a third of all rows holds.
+   stream: a line goes where its fingerprint agrees, its count reaches the threshold
+   and a later document holds it. Rows are dealt by (shard, salt) and sorted so that a
+   shard's arrays come first. Memory is one shard and one batch; a shard has as many
+   salts as its counts ask for, so a line that a third of all rows holds is split.
 """
 
 from __future__ import annotations
@@ -22,14 +23,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import fresh, materialize
+from tidewatch.llm.common import checked_broadcast, fresh, materialize
 
 STRIPPED = b" \t\n\x0b\x0c\r"
 #: Bits of a level for each key that is left, and levels before the rest is listed.
 GAMMA, LEVELS = 2.0, 24
-#: Copies of a shard among which documents are dealt.
-SALTS = 8
-KEYS_PER_SHARD = 1 << 18
+#: Keys of a shard, and rows that probe one copy of it; a shard has SALTS copies at least.
+KEYS_PER_SHARD, PROBES_PER_COPY, SALTS = 1 << 18, 1 << 22, 8
 
 
 def line_key(line: str) -> bytes:
@@ -124,21 +124,49 @@ def unpack(data: bytes) -> list[np.ndarray]:
     return [np.frombuffer(p, np.uint8) for p in parts[:-1]] + [np.frombuffer(parts[-1], np.uint64)]
 
 
+_ROW = np.dtype([("h1", "<u8"), ("h2", "<i8"), ("n", "<i8"), ("last", "<i8")])
+
+
 def build_shard(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One index row from the (h1, h2, n, last) rows of a shard."""
-    h = pdf["h1"].to_numpy(np.int64).view(np.uint64)
-    h, first = np.unique(h, return_index=True)
+    """One index row from the (h1, h2, n, last) rows of a shard; of keys with the same h1 all but one are listed in ``rest``."""
+    rows = np.zeros(len(pdf), _ROW)
+    for name in _ROW.names:
+        rows[name] = pdf[name].to_numpy(np.int64).view(np.uint64) if name == "h1" else pdf[name].to_numpy(np.int64)
+    h, first = np.unique(rows["h1"], return_index=True)
     levels = build_mph(h)
-    slot = Mph(levels).slots(h)
+    slot, one = Mph(levels).slots(h), rows[first]
     arrays = []
-    for name, kind in (("h2", np.int64), ("n", np.uint32), ("last", np.int64)):
+    for name, kind in (("h2", np.int64), ("n", np.int64), ("last", np.int64)):
         out = np.zeros(len(h), kind)
-        out[slot] = pdf[name].to_numpy()[first].astype(kind)
+        out[slot] = one[name]
         arrays.append(out.tobytes())
-    return pd.DataFrame([[int(pdf["shard"].iloc[0]), pack(levels), *arrays]], columns=["shard", "mph", "prints", "counts", "lasts"])
+    rest = np.delete(rows, first).tobytes()
+    return pd.DataFrame([[int(pdf["shard"].iloc[0]), pack(levels), *arrays, rest]], columns=["shard", *PARTS])
+
+
+PARTS = ("mph", "prints", "counts", "lasts", "rest")
+INDEX = "shard int, " + ", ".join(f"{p} binary" for p in PARTS)
+
+
+class Shard:
+    """The arrays of one shard, ready to be probed."""
 
+    def __init__(self, mph: bytes, prints: bytes, counts: bytes, lasts: bytes, rest: bytes):
+        self.mph = Mph(unpack(mph))
+        self.prints, self.counts, self.lasts = (np.frombuffer(x, np.int64) for x in (prints, counts, lasts))
+        self.rest = {(int(r["h1"]), int(r["h2"])): (int(r["n"]), int(r["last"])) for r in np.frombuffer(rest, _ROW)}
 
-INDEX = "shard int, mph binary, prints binary, counts binary, lasts binary"
+    def look_up(self, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Documents that hold each key, and the last of them; 0 for a key that is not in the shard."""
+        slot = self.mph.slots(h1)
+        count, last = np.zeros(len(h1), np.int64), np.zeros(len(h1), np.int64)
+        hit = slot >= 0
+        hit[hit] = self.prints[slot[hit]] == h2[hit]
+        count[hit], last[hit] = self.counts[slot[hit]], self.lasts[slot[hit]]
+        if self.rest:
+            for i in np.flatnonzero(~hit):
+                count[i], last[i] = self.rest.get((int(h1[i]), int(h2[i])), (0, 0))
+        return count, last
 
 
 # ------------------------------------------------------------------ the stages
@@ -161,56 +189,57 @@ def line_hashes(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> Data
     return rows.mapInArrow(run, "h1 long, h2 long, doc long")
 
 
-def shared_lines(hashes: DataFrame, min_docs: int) -> DataFrame:
-    """Line hashes that at least ``min_docs`` documents hold, counted map-side first."""
-    return hashes.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc").alias("last")).where(F.col("n") >= min_docs)
-
-
-def build_index(shared: DataFrame, keys_per_shard: int = KEYS_PER_SHARD) -> tuple[DataFrame, int]:
-    """The index table, one row a shard, and the number of shards."""
-    shards = max(32, -(-shared.count() // keys_per_shard))
-    dealt = shared.withColumn("shard", F.pmod("h2", F.lit(shards)).cast("int"))
-    return materialize(dealt.groupBy("shard").applyInPandas(build_shard, INDEX), "line-index"), shards
-
-
-def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (shard, salt, arrays first): the arrays, then hashes to look up."""
-    shard, index = None, None
-    for batch in batches:
-        at = batch.column("shard").to_numpy()
-        salt = batch.column("salt").to_numpy()
-        is_index = batch.column("mph").is_valid().to_numpy(zero_copy_only=False)
-        h1 = batch.column("h1").fill_null(0).to_numpy().view(np.uint64)
-        h2 = batch.column("h2").fill_null(0).to_numpy()
-        doc = batch.column("doc")
-        cuts = np.flatnonzero((np.diff(at) != 0) | (np.diff(salt) != 0) | is_index[1:] | is_index[:-1]) + 1
-        for lo, hi in zip([0, *cuts], [*cuts, len(at)], strict=True):
-            if lo == hi:
-                continue
-            if is_index[lo]:
-                one = {k: batch.column(k)[int(lo)].as_py() for k in ("mph", "prints", "counts", "lasts")}
-                shard = int(at[lo])
-                index = (Mph(unpack(one["mph"])), np.frombuffer(one["prints"], np.int64), np.frombuffer(one["counts"], np.uint32), np.frombuffer(one["lasts"], np.int64))
-                continue
-            if index is None or shard != at[lo]:
-                continue
-            mph, prints, _, lasts = index
-            ids = doc.slice(lo, hi - lo)
-            known = ids.is_valid().to_numpy(zero_copy_only=False)
-            slot = mph.slots(h1[lo:hi])
-            hit = (slot >= 0) & known
-            hit[hit] = (prints[slot[hit]] == h2[lo:hi][hit]) & (lasts[slot[hit]] > ids.fill_null(0).to_numpy()[hit])
-            if hit.any():
-                yield pa.RecordBatch.from_arrays([ids.filter(pa.array(hit)), pa.array(h1[lo:hi][hit].view(np.int64))], ["doc", "h1"])
-
-
-def dropped_lines(hashes: DataFrame, index: DataFrame, shards: int) -> DataFrame:
+def counted_lines(hashes: DataFrame) -> DataFrame:
+    """(h1, h2, n, last) of all distinct line hashes: different documents that hold each, and the largest id."""
+    return hashes.where("doc IS NOT NULL").distinct().groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc").alias("last"))
+
+
+def build_index(lines: DataFrame, keys_per_shard: int = KEYS_PER_SHARD) -> tuple[DataFrame, DataFrame, int]:
+    """The index table, one row a shard; the shards with more than the usual copies; the number of shards."""
+    shards = max(32, -(-lines.count() // keys_per_shard))
+    dealt = lines.withColumn("shard", F.pmod("h2", F.lit(shards)).cast("int"))
+    copies = F.ceil(F.sum("n") / PROBES_PER_COPY).cast("int")
+    many = dealt.groupBy("shard").agg(copies.alias("salts")).where(F.col("salts") > SALTS)
+    index = dealt.select("shard", "h1", "h2", "n", "last").groupBy("shard").applyInPandas(build_shard, INDEX)
+    return materialize(index, "line-index"), materialize(many, "wide-shards"), shards
+
+
+def prober(min_docs: int):
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by (shard, salt, arrays first): the arrays, then hashes to look up."""
+        shard, index = None, None
+        for batch in batches:
+            at = batch.column("shard").to_numpy()
+            salt = batch.column("salt").to_numpy()
+            is_index = batch.column("mph").is_valid().to_numpy(zero_copy_only=False)
+            h1 = batch.column("h1").fill_null(0).to_numpy().view(np.uint64)
+            h2 = batch.column("h2").fill_null(0).to_numpy()
+            doc = batch.column("doc").fill_null(0).to_numpy()
+            cuts = np.flatnonzero((np.diff(at) != 0) | (np.diff(salt) != 0) | is_index[1:] | is_index[:-1]) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(at)], strict=True):
+                if lo == hi:
+                    continue
+                if is_index[lo]:
+                    shard, index = int(at[lo]), Shard(*(batch.column(k)[int(lo)].as_py() for k in PARTS))
+                elif index is not None and shard == at[lo]:
+                    count, last = index.look_up(h1[lo:hi], h2[lo:hi])
+                    lost = (count >= min_docs) & (last > doc[lo:hi])
+                    if lost.any():
+                        yield pa.RecordBatch.from_arrays([pa.array(doc[lo:hi][lost]), pa.array(h1[lo:hi][lost].view(np.int64))], ["doc", "h1"])
+
+    return probe
+
+
+def dropped_lines(hashes: DataFrame, index: DataFrame, many: DataFrame, shards: int, min_docs: int) -> DataFrame:
     """(doc, h1) of the line keys that a document loses."""
-    empty = {k: F.lit(None).cast("binary").alias(k) for k in ("mph", "prints", "counts", "lasts")}
-    probes = hashes.select(F.pmod("h2", F.lit(shards)).cast("int").alias("shard"), F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int").alias("salt"), *empty.values(), "h1", "h2", "doc")
-    copies = index.select("shard", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), *empty, *(F.lit(None).cast("long").alias(k) for k in ("h1", "h2", "doc")))
+    empty = {k: F.lit(None).cast("binary").alias(k) for k in PARTS}
+    wide = checked_broadcast(many, 1 << 20)  # a wide shard stands for SALTS * PROBES_PER_COPY rows at least
+    salts = F.coalesce("salts", F.lit(SALTS))
+    asked = hashes.where("doc IS NOT NULL").withColumn("shard", F.pmod("h2", F.lit(shards)).cast("int")).join(wide, "shard", "left")
+    probes = asked.select("shard", F.pmod(F.xxhash64("doc"), salts).cast("int").alias("salt"), *empty.values(), "h1", "h2", "doc")
+    copies = index.join(wide, "shard", "left").select("shard", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), *empty, *(F.lit(None).cast("long").alias(k) for k in ("h1", "h2", "doc")))
     rows = probes.unionByName(copies).repartition("shard", "salt")
-    return rows.sortWithinPartitions("shard", "salt", F.col("mph").isNull()).mapInArrow(probe, "doc long, h1 long")
+    return rows.sortWithinPartitions("shard", "salt", F.col("mph").isNull()).mapInArrow(prober(min_docs), "doc long, h1 long")
 
 
 def _cut(text: str | None, lost, min_chars: int) -> tuple[int, int, str]:
@@ -229,19 +258,20 @@ def drop_shared_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     """``docs`` with columns ``n_lines``, ``n_dropped`` and ``kept_text`` added.
 
     A line's key is the line stripped of ASCII white space, with A-Z lower-cased.
-    Keys of at least ``min_chars`` code points in at least ``min_docs`` rows lose
+    Keys of at least ``min_chars`` code points in at least ``min_docs`` documents lose
     all their lines but those of the largest document id that holds them. Columns
     of ``docs`` with the names of the added ones are replaced; other columns stay.
 
-    Defined cases: a null or empty text is one empty line; a text that loses all
-    its lines becomes empty; a row without an id counts, but is left whole; rows
-    that repeat an id count each, and are cut alike; an empty table stays empty.
+    Defined cases: a null or empty text is one empty line; texts and lines of any length
+    are read whole; a text that loses all its lines becomes empty; a row without an id
+    does not count and is left whole; rows that repeat an id are one document, and each
+    of them is cut; an empty table stays empty.
     """
     hashes = line_hashes(docs, doc_id, text, min_chars)
-    index, shards = build_index(materialize(shared_lines(hashes, min_docs), "shared-lines"))
+    index, many, shards = build_index(materialize(counted_lines(hashes), "distinct-lines"))
     lost = fresh("lost_lines", docs)
     key = fresh("lost_doc", docs)
-    found = dropped_lines(hashes, index, shards).groupBy(F.col("doc").alias(key)).agg(F.collect_list("h1").alias(lost))
+    found = dropped_lines(hashes, index, many, shards, min_docs).groupBy(F.col("doc").alias(key)).agg(F.collect_set("h1").alias(lost))
     cut = fresh("cut_lines", docs)
 
     @F.pandas_udf("n_lines long, n_dropped long, kept_text string")
