@@ -60,8 +60,8 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = phrase_matches(docs, table(spark, sf_dir, "benchmark"))
     items = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item"].cast("string"))))
-    hit = found.select("doc_id", "n_words", words_hit(F.col("matches")).alias("n_hit"), items.alias("items"))
-    return hit.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    hit = found.select("doc_id", "n_words", words_hit(F.col("matches")).alias("n_hit"), items.alias("items"), F.size("near").cast("long").alias("n_near"))
+    return hit.select("n_near", "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 OP3_SQL = r"""
@@ -82,10 +82,25 @@ WITH d AS (
   SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id
 ), named AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id
+), tokens AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS at FROM d
+), frequencies AS (
+  SELECT word, count(*) AS n FROM tokens GROUP BY word
+), rare AS (
+  SELECT item_id, word, count(*) OVER (PARTITION BY item_id) AS needed FROM (
+    SELECT item_id, word, row_number() OVER (PARTITION BY item_id ORDER BY n, word) AS k FROM (SELECT DISTINCT item_id, unnest(w) AS word FROM b) JOIN frequencies USING (word)
+  ) WHERE k <= 3
+), places AS (
+  SELECT doc_id, item_id, word, needed, at FROM tokens JOIN rare USING (word)
+), nearby AS (
+  SELECT doc_id, count(DISTINCT item_id) AS n_near FROM (
+    SELECT e.doc_id, e.item_id FROM places e JOIN places o ON e.doc_id = o.doc_id AND e.item_id = o.item_id AND o.at <= e.at AND o.at > e.at - 20
+    GROUP BY e.doc_id, e.item_id, e.at, e.needed HAVING count(DISTINCT o.word) = e.needed
+  ) GROUP BY doc_id
 )
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN nearby USING (doc_id)
 """
 
 
