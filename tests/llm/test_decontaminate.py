@@ -1,5 +1,6 @@
 import hashlib
 import re
+from collections import Counter
 
 from tidewatch.llm import decontaminate as dc
 from tidewatch.llm.queries import op3_benchmark_decontamination
@@ -51,11 +52,20 @@ def test_proximity_in_any_order(spark):
     assert got == {(1, 1, 0, 4)}
 
 
+def near_by(held, asked, slop=20):
+    return any(asked <= set(held[max(0, i - slop + 1) : i + 1]) for i, w in enumerate(held) if w in asked)
+
+
 def test_query_on_whole_table(spark, sf_dir):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    counts = Counter(w for t in texts.values() for w in words(t))
+    rare = {i: sorted((counts[w], w) for w in set(words(t)) if counts[w])[:3] for i, t in items}
+    near = {d: sum(near_by(words(t), {w for _, w in rare[i]}) for i in rare if rare[i]) for d, t in texts.items()}
+    assert any(near.values())
     for row in op3_benchmark_decontamination(spark, sf_dir).collect():
         w, hits = brute(texts[row.doc_id], items)
         names = ",".join(sorted({str(i) for i, _, _ in hits}))
         assert (row.n_words, row.n_hit, row.contaminated) == (len(w), len({p for _, i, n in hits for p in range(i, i + n)}), bool(hits))
         assert row.items_sha256 == hashlib.sha256(names.encode()).hexdigest()
+        assert row.n_near == near[row.doc_id]

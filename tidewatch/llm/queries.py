@@ -83,7 +83,7 @@ WITH d AS (
 ), named AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id
 ), tokens AS (
-  SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS at FROM d
+  SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d
 ), frequencies AS (
   SELECT word, count(*) AS n FROM tokens GROUP BY word
 ), rare AS (
@@ -91,11 +91,11 @@ WITH d AS (
     SELECT item_id, word, row_number() OVER (PARTITION BY item_id ORDER BY n, word) AS k FROM (SELECT DISTINCT item_id, unnest(w) AS word FROM b) JOIN frequencies USING (word)
   ) WHERE k <= 3
 ), places AS (
-  SELECT doc_id, item_id, word, needed, at FROM tokens JOIN rare USING (word)
+  SELECT doc_id, item_id, word, needed, p FROM tokens JOIN rare USING (word)
 ), nearby AS (
   SELECT doc_id, count(DISTINCT item_id) AS n_near FROM (
-    SELECT e.doc_id, e.item_id FROM places e JOIN places o ON e.doc_id = o.doc_id AND e.item_id = o.item_id AND o.at <= e.at AND o.at > e.at - 20
-    GROUP BY e.doc_id, e.item_id, e.at, e.needed HAVING count(DISTINCT o.word) = e.needed
+    SELECT e.doc_id, e.item_id FROM places e JOIN places o ON e.doc_id = o.doc_id AND e.item_id = o.item_id AND o.p <= e.p AND o.p > e.p - 20
+    GROUP BY e.doc_id, e.item_id, e.p, e.needed HAVING count(DISTINCT o.word) = e.needed
   ) GROUP BY doc_id
 )
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
