@@ -1,4 +1,7 @@
+import math
+import unicodedata
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -34,6 +37,55 @@ def test_edges(spark, edge, empty):
     assert {r.lang_pred for r in lg.identify(edge, one).collect()} == {"de", "und"}
 
 
+def slow_features(text):
+    chars = [b if b >= 128 or chr(b).isalpha() else 32 for b in f" {text or ''} ".lower().encode("utf-8", "surrogatepass")]
+    b = [c for i, c in enumerate(chars) if not i or c != 32 or chars[i - 1] != 32]
+    counts = Counter()
+    for i in range(len(b)):
+        counts[((b[i] + (1 << 24)) * 2654435761 % 2**32) >> 20] += 1
+        if i + 1 < len(b):
+            counts[((b[i] * 257 + b[i + 1] + (1 << 20)) * 2654435761 % 2**32) >> 20] += 1
+        if i + 2 < len(b):
+            counts[((b[i] * 257 + b[i + 1]) * 8191 + b[i + 2]) % 2**32 * 2654435761 % 2**32 >> 20] += 1
+    norm = math.sqrt(sum(counts.values()))
+    return {k: math.sqrt(v) / norm for k, v in counts.items()}
+
+
+def slow_language(model, text):
+    if not any(unicodedata.category(c)[0] == "L" for c in text or ""):
+        return "und"
+    x = slow_features(text)
+    margin = {p: float(w[-1]) + sum(float(w[k]) * v for k, v in x.items()) for p, w in zip(model["plan"], model["weights"])}
+    families = sorted({lg.family_of(x) for x in model["langs"]})
+    if len(families) == 2:
+        best = families[margin["family", *families] < 0]
+    else:
+        best = max(families, key=lambda f: margin.get(("family", f, ""), 0))
+    members = sorted(x for x in model["langs"] if lg.family_of(x) == best)
+    votes = Counter({m: 0 for m in members})
+    for (kind, a, b), m in margin.items():
+        if kind == "pair" and a in members:
+            votes[a if m >= 0 else b] += 1
+    return max(members, key=lambda m: votes[m])
+
+
+def test_predictions_follow_from_the_weights(spark, sf_dir, edge):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    model = lg.train(docs, ~lg.held_out(lg.F.col("doc_id")))
+    rows = lg.identify(docs.select("doc_id", "text").unionByName(edge.select("doc_id", "text")), model).collect()
+    assert [r.lang_pred for r in rows] == [slow_language(model, r.text) for r in rows]
+
+
+def test_sample_is_bounded_in_rows_and_ties_go_to_the_first(spark):
+    rows = [(i % 3, f"{'der die das' if i % 2 else 'the of and'} {i}", "de" if i % 2 else "en") for i in range(60)] + [(1, "der die das 1", "de")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = lg.train(docs, lg.F.lit(True), max_rows=5)
+    again = lg.train(docs.dropDuplicates().repartition(2), lg.F.lit(True), max_rows=5)
+    assert model["langs"] == ["de", "en"] and (model["weights"] == again["weights"]).all()
+    model["weights"] = model["weights"] * 0
+    assert [r.lang_pred for r in lg.identify(docs.limit(1), model).collect()] == ["de"]
+
+
 def test_query_is_right_on_held_out_documents(spark, sf_dir):
     lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     rows = op1_language_id(spark, sf_dir).collect()

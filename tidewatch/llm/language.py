@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import checked_broadcast, fresh
+from tidewatch.llm.common import checked_broadcast, fresh, materialize
 
 # Families of two-letter language codes. Others are families of their own.
 FAMILIES = {
@@ -89,32 +89,43 @@ def machines(langs: list[str]) -> list[tuple[str, str, str, list[str], list[str]
 def train(docs: DataFrame, usable: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", max_rows: int = 1000) -> dict:
     """Fit all machines on at most ``max_rows`` rows a language of those ``usable``.
 
-    The driver gets the list of languages and one weight vector for each machine.
+    The sample are the rows with the least hashes of id and text; a machine of many
+    languages takes fewer rows of each. The driver gets the list of languages and one
+    weight vector for each machine.
+
+    Defined cases: rows with a null id, language or text are not used, nor are texts
+    without a letter; repeated rows count once; a language with fewer rows gives those it
+    has; no usable rows, or one language, give a model without machines.
     """
-    rows = docs.where(usable & F.col(lang).isNotNull() & F.col(doc_id).isNotNull() & F.col(text).isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    ids = rows.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang")).distinct().withColumn("k", F.row_number().over(order)).where(F.col("k") <= max_rows).select("id", "lang")
-    sample = rows.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("body")).join(checked_broadcast(ids, 1 << 18), ["id", "lang"])
+    key = F.xxhash64(F.col(doc_id), F.col(text))
+    rows = docs.where(usable & F.col(lang).isNotNull() & F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(key.alias("key"), F.col(lang).alias("lang"), F.col(text).alias("body"))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))  # a row a language
+    # Hashes are uniform, so the least of a language lie under a bound: a window sees about 4 * max_rows rows, not all.
+    bound = F.least(F.lit(1.0), F.lit(4.0 * max_rows) / F.col("n"))
+    low = rows.select("key", "lang").join(F.broadcast(counts), "lang").where((F.col("key") / 2.0**64 + 0.5) <= bound).select("key", "lang").distinct()
+    order = Window.partitionBy("lang").orderBy("key")
+    ids = materialize(low.withColumn("k", F.row_number().over(order)).where(F.col("k") <= max_rows), "language-sample")
+    sample = rows.join(checked_broadcast(ids, 1 << 18), ["key", "lang"]).dropDuplicates(["key", "lang"])
 
     def measured(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             keep = pdf[np.array([bool(_LETTER.search(t)) for t in pdf["body"]], bool)]
-            yield pd.DataFrame({"id": keep["id"].astype(str), "lang": keep["lang"], "x": pd.Series([features(t) for t in keep["body"]], index=keep.index, dtype=object)})
+            yield pd.DataFrame({"key": keep["key"], "k": keep["k"], "lang": keep["lang"], "x": pd.Series([features(t) for t in keep["body"]], index=keep.index, dtype=object)})
 
     langs = sorted(r.lang for r in ids.select("lang").distinct().collect())
     plan = machines(langs)
     if not plan:
         return {"langs": langs, "plan": [], "weights": np.zeros((0, SIZE + 1), np.float32)}
-    side = docs.sparkSession.createDataFrame([(i, x, sign) for i, (_, _, _, plus, minus) in enumerate(plan) for sign, group in ((1, plus), (-1, minus)) for x in group], "machine int, lang string, y int")
+    side = docs.sparkSession.createDataFrame([(i, x, sign, -(-max_rows // len(group))) for i, (_, _, _, plus, minus) in enumerate(plan) for sign, group in ((1, plus), (-1, minus)) for x in group], "machine int, lang string, y int, most int")
 
     def fit_one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["id", "lang"])
+        pdf = pdf.sort_values(["key", "lang"])
         w = fit_svm(np.stack(pdf["x"].tolist()).astype(np.float32), pdf["y"].to_numpy(np.float32))
         return pd.DataFrame({"machine": [int(pdf["machine"].iloc[0])], "w": [w.tolist()]})
 
-    table = sample.mapInPandas(measured, "id string, lang string, x array<float>").join(F.broadcast(side), "lang")
+    table = sample.mapInPandas(measured, "key long, k int, lang string, x array<float>").join(F.broadcast(side), "lang").where("k <= most")  # a side of a machine has about max_rows rows
     weights = np.zeros((len(plan), SIZE + 1), np.float32)
-    for row in table.select("machine", "id", "lang", "y", "x").groupBy("machine").applyInPandas(fit_one, "machine int, w array<float>").collect():
+    for row in table.select("machine", "key", "lang", "y", "x").groupBy("machine").applyInPandas(fit_one, "machine int, w array<float>").collect():
         weights[row.machine] = row.w
     return {"langs": langs, "plan": [p[:3] for p in plan], "weights": weights}
 
@@ -157,8 +168,8 @@ def identify(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
 
     Defined cases: a null text, or one without a letter, is ``und`` with score 0; so is
     every text if no language was learned; a single learned language is always the
-    answer; a tie goes to the language that comes first; repeated rows are judged
-    alike; an empty table stays empty.
+    answer; a tie goes to the language that comes first; texts of any length are judged
+    whole; repeated rows are judged alike; an empty table stays empty.
     """
     @F.pandas_udf("lang_pred string, lang_score double")
     def run(texts: pd.Series) -> pd.DataFrame:
