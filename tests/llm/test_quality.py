@@ -64,6 +64,19 @@ def test_edges(spark, edge, empty):
     assert q.keep_good(edge, labels).columns == edge.columns
 
 
+def test_held_out_half_and_repeated_ids(spark, sf_dir):
+    """Fitted on half of the labels, the trees judge the other half; rows that repeat an id do not add to the sample."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    half = q.F.crc32(labels.doc_id.cast("string").cast("binary")) % 2 == 0
+    model = q.train(docs, labels.where(half))
+    again = q.train(docs.unionByName(docs), labels.where(half))
+    assert all(np.array_equal(model[k], again[k]) for k in model)
+    rest = {r.doc_id: r.quality for r in labels.where(~half).collect()}
+    judged = [(r.kept, rest[r.doc_id]) for r in q.judge(docs, model).collect() if r.doc_id in rest and not r.base_failed]
+    assert np.mean([k == bool(y) for k, y in judged]) > 0.9
+
+
 def test_query_agrees_with_labels(spark, sf_dir):
     rows = op9_quality_rules(spark, sf_dir).collect()
     assert {r.base_failed for r in rows} == {True, False}

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import fresh
+from tidewatch.llm.common import checked_broadcast, fresh
 
 SYMBOLS = b"#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -157,22 +157,28 @@ MODEL = "start double, depth int, feature array<int>, threshold array<double>, l
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", max_rows: int = 20_000) -> dict:
-    """Fit on at most ``max_rows`` labelled documents, the least by hash of their id."""
+    """Fit on at most ``max_rows`` labelled documents, the least by hash of their id.
+
+    Defined cases: labels without an id or a value, or without a document, are not used;
+    of labels that repeat an id the least value counts, of documents that repeat an id the
+    one with the least hash of its text, so the fitting task has ``max_rows`` rows at most.
+    """
     wanted = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).cast("long").alias("labelled")).agg(F.min(label).cast("int").alias("y"))
     sample = wanted.orderBy(F.xxhash64("labelled"), "labelled").limit(max_rows)
-    texts = docs.select(F.col(doc_id).cast("long").alias("labelled"), F.col(text).alias("body"))
-    rows = texts.join(F.broadcast(sample), "labelled").select("labelled", "y", "body")
+    texts = docs.select(F.col(doc_id).cast("long").alias("labelled"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("copy"), F.col(text).alias("body"))
+    rows = texts.join(checked_broadcast(sample, 1 << 18), "labelled").select("labelled", "copy", "y", "body")
 
     def features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            yield pd.DataFrame({"sample": 0, "labelled": pdf["labelled"], "y": pdf["y"], "x": pd.Series([measure(t)[1] for t in pdf["body"]], index=pdf.index, dtype=object)})
+            yield pd.DataFrame({"labelled": pdf["labelled"], "copy": pdf["copy"], "y": pdf["y"], "x": pd.Series([measure(t)[1] for t in pdf["body"]], index=pdf.index, dtype=object)})
 
     def fit_one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("labelled")
         model = fit(np.array(pdf["x"].tolist(), float), (pdf["y"] > 0).to_numpy(float))
         return pd.DataFrame([model])[[c.split()[0] for c in MODEL.split(", ")]]
 
-    measured = rows.mapInPandas(features, "sample int, labelled long, y int, x array<double>")
+    measured = rows.mapInPandas(features, "labelled long, copy long, y int, x array<double>").groupBy("labelled").agg(F.min_by(F.struct("y", "x"), "copy").alias("one"))
+    measured = measured.select(F.lit(0).alias("sample"), "labelled", "one.y", "one.x")
     fitted = measured.groupBy("sample").applyInPandas(fit_one, MODEL).first()
     return {k: np.asarray(v) for k, v in fitted.asDict().items()} if fitted else {k: np.asarray(v) for k, v in fit(np.empty((0, len(FEATURES))), np.empty(0)).items()}
 
@@ -207,7 +213,7 @@ def judge(docs: DataFrame, model: dict, text: str = "text", threshold: float = 0
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **limits) -> DataFrame:
-    """The documents that the rules keep, with the columns of ``docs``."""
+    """The documents that the rules keep, with the columns of ``docs``; defined cases as for ``judge`` and ``train``."""
     judged = fresh("judged_kept", docs)
     verdict = judge(docs.select("*", F.col("text").alias(judged)), train(docs, labels), **limits)
     return verdict.where("kept").select(*docs.columns)
