@@ -78,6 +78,12 @@ def test_long_run_spans_without_all_pairs():
     assert len(sh._long_run(fp, 4, 4)) == len(fp) - 1
 
 
+def test_rows_that_repeat_an_id_are_kept_by_their_own_text(spark):
+    a, b = "one text about some thing or other", "quite another text that nothing else is like"
+    docs = spark.createDataFrame([(1, a, "x"), (2, a, "x"), (2, b, "x"), (None, a, "x")], "doc_id long, text string, copy string")
+    assert sorted(sh.keep_one_of_each(docs).collect(), key=repr) == sorted([(1, a, "x"), (2, b, "x"), (None, a, "x")], key=repr)
+
+
 def test_query_on_whole_table(spark, sf_dir):
     docs = [(r.doc_id, slow_fingerprint(r.text)) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     got = {r.doc_id: (int(r.fingerprint, 16), r.component_id) for r in op2_simhash_near_dedup(spark, sf_dir).collect()}

@@ -5,7 +5,10 @@ their 8 bytes, so they share at least 4 bytes at the same places. Single bytes
 are poor index keys (256 values), so postings are kept for triples of places: the
 20 triples below meet every set of 4 places, hence each such pair shares at least
 one posting list. In a list the shared positional bytes of a pair are tallied,
-pairs under the guaranteed 4 are left, and the rest is verified bit by bit.
+pairs under the guaranteed 4 are left, and the rest is verified bit by bit. The
+pairs that pass are those that a tally over eight lists of single bytes would pass:
+a pair with four shared bytes or more is in a list of some triple, and in every list
+the tally counts all eight places, not only those of the list.
 
 Copies collapse to one fingerprint first. A list gives a spanning forest of its
 links, never all its pairs; long lists are dealt out as pairs of blocks. Classes
@@ -21,10 +24,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import fresh, materialize
+from tidewatch.llm.common import checked_broadcast, discard, materialize
 
 BITS, PLACES = 64, 8
 _GROUPS = ((0, 1, 2), (3, 4, 5), (6, 7))
@@ -60,12 +63,17 @@ def fingerprint(text: str | None, words_per_shingle: int = 4, seed: int = 42) ->
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words_per_shingle: int = 4) -> DataFrame:
-    """(doc, fp) with the fingerprint as a signed long."""
+    """(doc, copy, fp) with the fingerprint as a signed long."""
     @F.pandas_udf("long")
     def simhash(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t, words_per_shingle) for t in texts], np.uint64).view(np.int64))
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc"), simhash(F.col(text)).alias("fp"))
+    return docs.select(F.col(doc_id).cast("long").alias("doc"), _copy(text).alias("copy"), simhash(F.col(text)).alias("fp"))
+
+
+def _copy(text: str) -> Column:
+    """Tells rows of one id apart by their text."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
 def postings(prints: DataFrame) -> DataFrame:
@@ -196,13 +204,26 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select("a", "b", "m")
         down = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = materialize(down.unionByName(small.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        before, edges = edges, materialize(down.unionByName(small.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        discard(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
         state = now
 
 
+def grouped(docs: DataFrame, doc_id: str, text: str, max_bits: int, words_per_shingle: int, block: int) -> DataFrame:
+    """(doc, copy, fp, component_id): one row for each row of ``docs``."""
+    if not 0 <= max_bits <= PLACES - 4:
+        raise ValueError("the index on triples of bytes guarantees hits up to 4 bits")
+    prints = materialize(fingerprints(docs, doc_id, text, words_per_shingle), "fingerprints")
+    firsts = materialize(prints.groupBy("fp").agg(F.min("doc").alias("first")), "distinct-fingerprints")
+    roots = components(links(firsts.select("fp"), max_bits, block))
+    named = firsts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    return prints.join(named.join(least, "root").select("fp", "component_id"), "fp")
+
+
 def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = 4, words_per_shingle: int = 4, block: int = BLOCK) -> DataFrame:
     """(doc_id, fp, component_id): one row for each row of ``docs``.
 
@@ -214,21 +235,17 @@ def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     part but is never a component's name (null if there is no other); repeated rows
     stay; an empty table gives an empty table; extra columns are ignored.
     """
-    if not 0 <= max_bits <= PLACES - 4:
-        raise ValueError("the index on triples of bytes guarantees hits up to 4 bits")
-    prints = materialize(fingerprints(docs, doc_id, text, words_per_shingle), "fingerprints")
-    firsts = materialize(prints.groupBy("fp").agg(F.min("doc").alias("first")), "distinct-fingerprints")
-    roots = components(links(firsts.select("fp"), max_bits, block))
-    named = firsts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = named.join(least, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select(F.col("doc").alias(fresh("doc_id")), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fp"), "component_id")
+    groups = grouped(docs, doc_id, text, max_bits, words_per_shingle, block)
+    return groups.select(F.col("doc").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fp"), "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = 4) -> DataFrame:
     """``docs`` without the documents that are not the first of their group.
 
-    Rows without an id are kept, whatever they repeat.
+    Defined cases: of texts that tie, the smallest id stays; rows are told apart by id and
+    text, so of rows that repeat an id only those go whose own text repeats an earlier
+    document; rows without an id stay, whatever they repeat; an empty table stays empty.
     """
-    later = near_duplicate_groups(docs, doc_id, text, max_bits).where("component_id < doc_id").select(F.col("doc_id").alias("later"))
-    return docs.join(later, docs[doc_id].cast("long") == F.col("later"), "left_anti")
+    groups = grouped(docs, doc_id, text, max_bits, 4, BLOCK).where("component_id < doc")
+    later = materialize(groups.select("doc", "copy").distinct(), "later-copies")
+    return docs.join(checked_broadcast(later, 1 << 20), (docs[doc_id].cast("long") == later["doc"]) & (_copy(text) == later["copy"]), "left_anti")
