@@ -10,12 +10,16 @@ from tidewatch.plans import registry
 
 SAMPLE = (
     "red_timeseries service_edges compare_windows trace_summary span_tree funnel rum_sessions text_search error_templates rate increase deriv agg_sum agg_topk bin_div "
-    "vec_unless histogram_quantile rollup_merge monitor_states slo_trace_availability ewma_anomaly detect_post_deploy_errors usage_tenants normalize_traces firewall_apply retention_tenants"
+    "vec_unless histogram_quantile rollup_merge monitor_states slo_trace_availability ewma_anomaly detect_post_deploy_errors usage_tenants scan_spans scan_metrics_gauge normalize_gauges any_values normalize_agent_metrics span_search autocomplete_endpoint bin_group_right bin_gt_mean maintenance_suppressed normalize_traces firewall_apply retention_tenants"
 ).split()
 
 
+#: Digits compared.
+DIGITS = 4
+
+
 def cells(row):
-    return tuple(None if v is None else "nan" if isinstance(v, float) and math.isnan(v) else round(float(v), 3) + 0.0 if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in row)
+    return tuple(None if v is None else "nan" if isinstance(v, float) and math.isnan(v) else round(float(v), DIGITS) + 0.0 if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in row)
 
 
 @pytest.fixture(scope="module")

@@ -17,18 +17,25 @@ def scan(spark: SparkSession, root: str, signal: str, tenant: str | None = None,
 
 
 def bounded(df: DataFrame, tenant: str | None = None, start=None, end=None) -> DataFrame:
+    """Rows of a tenant between two times, both included; dates of a partitioned table are bounded too."""
     if tenant is not None:
         df = df.where(F.col("tenant_id") == tenant)
-    if start is not None:
-        df = df.where(F.col("ts") >= F.lit(start))
-    if end is not None:
-        df = df.where(F.col("ts") <= F.lit(end))
+    at = next((c for c in ("ts", "chunk_ts", "bucket", "ts_ns") if c in df.columns), None)
+    for bound, late in ((start, False), (end, True)):
+        if bound is None:
+            continue
+        time = F.lit(bound).cast("timestamp")
+        edge = F.unix_micros(time) * 1000 if at == "ts_ns" else time
+        df = df.where(F.col(at) <= edge if late else F.col(at) >= edge)
+        if "date" in df.columns:
+            df = df.where(F.col("date") <= F.to_date(time) if late else F.col("date") >= F.to_date(time))
     return df
 
 
 def append(df: DataFrame, root: str, signal: str, sort: tuple[str, ...] = ("tenant_id", "service_name", "ts_ns")) -> None:
     """Append rows by date, sorted within files so that statistics prune."""
-    at = F.col("ts") if "ts" in df.columns else F.timestamp_micros((F.col("ts_ns") / 1000).cast("long"))
+    named = next((c for c in ("ts", "chunk_ts", "bucket") if c in df.columns), None)
+    at = F.col(named) if named else F.timestamp_micros((F.col("ts_ns") / 1000).cast("long"))
     keys = [c for c in sort if c in df.columns]
     df.withColumn("date", F.to_date(at)).sortWithinPartitions(*keys).write.mode("append").partitionBy("date").parquet(f"{root}/{signal}")
 
