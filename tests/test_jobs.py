@@ -48,7 +48,7 @@ def test_agent_and_shipper_rows(spark):
     at = spark.createDataFrame([(900_000_000,), (1_700_000_000_000,), (1_700_000_000_000_000_000,), (1_700_000_000,), (None,)], "t bigint").select(nz.epoch_ns(F.col("t"), 1)).collect()
     assert [r[0] for r in at] == [900_000_000 * 10**9, 1_700_000_000 * 10**9, 1_700_000_000 * 10**9, 1_700_000_000 * 10**6, 1]
     checks = spark.sql("SELECT 'up' AS check, 1 AS status, 'h1' AS host, array('a:b') AS tags, 10 AS timestamp")
-    assert nz.service_checks(checks, "t").first().metric_name == "check.up"
+    assert nz.service_checks(checks, "t").first().metric_name == "dd.check.up"
     series = spark.sql("SELECT 'm' AS metric, 'count' AS type, 'h' AS host, array('service:s', 'k:v') AS tags, array(named_struct('timestamp', 1L, 'value', 2.0D)) AS points")
     row = nz.agent_metrics(series, "t").first()
     assert (row.kind, row.service_name, row.attributes) == ("sum", "s", {"k": "v", "host.name": "h"})
@@ -75,6 +75,31 @@ def test_retention_rewrites_only_what_expires(spark, tmp_path):
     assert retention.effective_days(30, [7, 90]) == 90 and retention.capped_days(0, 14) == 14 and retention.capped_days(-3, 14) == 1
 
 
+def test_scans_prune_dates_and_push_filters(spark, sf_dir, tmp_path):
+    from tidewatch.sources import tables
+
+    root = str(tmp_path)
+    tables.append(plans.bind.spans(spark, sf_dir), root, "spans")
+    found = tables.scan(spark, root, "spans", "t1", "2024-01-10", "2024-01-12").select("span_id")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "date" in plan.split("PartitionFilters: [")[1].split("]")[0] and "2024-01-10" in plan
+    assert "EqualTo(tenant_id,t1)" in plan and "attributes" not in plan.split("ReadSchema")[1]
+    assert found.count() > 0
+
+
+def test_estimated_percentiles_are_close(spark, sf_dir):
+    from tidewatch.functions import core
+    from tidewatch.operators import rules, rum, services
+
+    many = spark.range(100_000).select((F.pow(F.col("id") % 9973, F.lit(2)) / 1000).alias("v"))
+    for point in (0.5, 0.75, 0.95, 0.99):
+        exact, near = many.select(core.percentile(F.col("v"), point), core.percentile(F.col("v"), point, True)).first()
+        assert abs(exact - near) <= 0.002 * exact
+    spans = plans.bind.spans(spark, sf_dir)
+    for make in (lambda a: rules.apm_series(spans, 3600, a), lambda a: rules.apm_values(spans, "p95", 60, approx=a), lambda a: rum.vitals(plans.bind.rum(spark, sf_dir), a), lambda a: services.endpoint_red(spans, "view", a), lambda a: services.operation_red(spans, "view", approx=a)):
+        assert make(True).columns == make(False).columns and make(True).count() == make(False).count() > 0
+
+
 def test_streams_equal_batches(spark, sf_dir):
     merged = {(r.series_key, r.bucket): r.cnt for r in plans.stream_rollup(spark, sf_dir).collect()}
     batch = {(r.series_key, r.bucket): r.n for r in plans.bind.samples(spark, sf_dir).groupBy("series_key", (F.floor(F.col("ts_ms") / 3_600_000) * 3600).alias("bucket")).agg(F.count("*").alias("n")).collect()}

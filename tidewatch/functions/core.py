@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import tempfile
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BUCKETS = {"1s": 1, "10s": 10, "1m": 60, "5m": 300, "15m": 900, "1h": 3600, "1d": 86400}
@@ -59,6 +61,26 @@ def percentiles(value: Column, *points: float, approx: bool = False) -> Column:
     return F.percentile_approx(value, marks, 10_000) if approx else F.percentile(value, marks)
 
 
+def percentile(value: Column, point: float, approx: bool = False) -> Column:
+    """One percentile, exact or as a mergeable estimate for very large groups."""
+    return F.percentile_approx(value, point, 10_000) if approx else F.percentile(value, point)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``, or what ``setCheckpointDir`` has named.
+
+    On a local master a temporary folder is made if neither is set; on any other that is
+    an error, since executors would write to disks of their own.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="tidewatch-")
+        spark.sparkContext.setCheckpointDir(path)
+    return path.rstrip("/")
+
+
 def label_set(metric: str, service: str, attributes: str) -> Column:
     """Labels of a sample: name, service and attributes, without empty values."""
     named = F.create_map(F.lit("__name__"), F.col(metric), F.lit("service_name"), F.col(service))

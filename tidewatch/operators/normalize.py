@@ -69,9 +69,12 @@ def any_value(v: Column) -> Column:
 def attributes(list_: Column) -> Column:
     """Key-value lists as a map; of a repeated key the last value stays."""
     entries = F.coalesce(F.transform(list_, lambda e: F.struct(e["key"].alias("key"), any_value(e["value"]).alias("value"))), F.array().cast("array<struct<key:string,value:string>>"))
-    # Aggregating maps keeps the last of a repeated key, where map_from_entries would fail.
-    empty = F.create_map().cast("map<string,string>")
-    return F.aggregate(entries, empty, lambda m, e: F.map_concat(F.map_filter(m, lambda k, v: k != e["key"]), F.create_map(e["key"], e["value"])))
+    # Arrays of keys and values: only a list with repeated keys, which map_from_arrays would refuse, is searched for their last places.
+    keys = F.transform(entries, lambda e: e["key"])
+    backwards = F.reverse(entries)
+    last = F.transform(F.array_distinct(keys), lambda k: F.element_at(backwards, F.array_position(F.reverse(keys), k).cast("int")))
+    once = F.when(F.size(F.array_distinct(keys)) == F.size(keys), entries).otherwise(last)
+    return F.map_from_entries(once)
 
 
 def _times(ns: Column) -> dict[str, Column]:
@@ -233,8 +236,8 @@ def agent_metrics(rows: DataFrame, tenant: str) -> DataFrame:
 
 
 def service_checks(rows: DataFrame, tenant: str) -> DataFrame:
-    """Service checks (check, status, host, tags, timestamp) as gauges ``check.<name>``."""
-    return rows.select(*_cols({"tenant_id": F.lit(tenant), "metric_name": F.concat(F.lit("check."), F.col("check")), "attributes": F.map_concat(F.map_filter(tags(F.array_join("tags", ",")), lambda k, v: k != "host.name"), _present({"host.name": F.col("host")})), "ts_ns": F.col("timestamp").cast("bigint") * 1_000_000_000, "value": F.col("status").cast("double")}))
+    """Service checks (check, status, host, tags, timestamp) as gauges; the prefix of their names is a fixed value."""
+    return rows.select(*_cols({"tenant_id": F.lit(tenant), "metric_name": F.concat(F.lit("dd.check."), F.col("check")), "attributes": F.map_concat(F.map_filter(tags(F.array_join("tags", ",")), lambda k, v: k != "host.name"), _present({"host.name": F.col("host")})), "ts_ns": F.col("timestamp").cast("bigint") * 1_000_000_000, "value": F.col("status").cast("double")}))
 
 
 def gauge_to_sum(gauges: DataFrame, monotonic: bool = True) -> DataFrame:

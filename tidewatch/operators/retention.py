@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -75,18 +76,19 @@ def dry_run(df: DataFrame, expired: Column, by: list[str]) -> DataFrame:
 def rewrite(spark, path: str, expired: Column, partition: str = "date") -> list:
     """Rewrite the date partitions that hold expired rows, and no others; gives their dates.
 
-    The kept rows are written beside the table first, since a partition cannot be read
-    and overwritten in one job.
+    The kept rows are written beside the table first, in a folder of this run, since a
+    partition cannot be read and overwritten in one job. A run that died leaves its folder
+    and expired rows, and is simply repeated; the folder goes when a run ends well.
     """
     table = spark.read.parquet(path)
     dates = [r[0] for r in table.where(expired).select(partition).distinct().collect()]  # days of one table
     if dates:
-        staged = f"{path.rstrip('/')}_staged"
+        staged = f"{path.rstrip('/')}_staged_{uuid.uuid4().hex}"
         affected = table.where(F.col(partition).isin(dates))
         keep(affected, expired).write.mode("overwrite").partitionBy(partition).parquet(staged)
         emptied = set(dates) - {r[0] for r in spark.read.schema(table.schema).parquet(staged).select(partition).distinct().collect()}
         spark.read.schema(table.schema).parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
-        for date in emptied:  # nothing is left to overwrite these with
-            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{partition}={date}")
+        for gone in (*(f"{path}/{partition}={date}" for date in emptied), staged):  # nothing is left to overwrite those dates with
+            folder = spark._jvm.org.apache.hadoop.fs.Path(gone)
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
     return sorted(dates)

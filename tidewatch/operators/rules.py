@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.functions.core import bucket, is_error, milliseconds
+from tidewatch.functions.core import bucket, is_error, milliseconds, percentile, percentiles
 
 # ---------------------------------------------------------------- state machine
 
@@ -109,15 +109,15 @@ def log_values(logs: DataFrame, group_by: list[Column] = ()) -> DataFrame:
     return logs.groupBy(key.alias("grp")).agg(F.count("*").cast("double").alias("value"))
 
 
-def apm_metric(name: str, window_s: float) -> Column:
+def apm_metric(name: str, window_s: float, approx: bool = False) -> Column:
     """error_rate (percent), error_count, request_rate (per second) or p50, p75, p90, p95, p99 (ms) of spans."""
     if name.startswith("p"):
-        return F.percentile(milliseconds(), int(name[1:]) / 100)
+        return percentile(milliseconds(), int(name[1:]) / 100, approx)
     return {"error_rate": F.count_if(is_error()) * 100.0 / F.count("*"), "error_count": F.count_if(is_error()).cast("double"), "request_rate": F.count("*") / float(window_s)}[name]
 
 
-def apm_values(spans: DataFrame, metric: str, window_s: float, group_by: str = "service_name") -> DataFrame:
-    return spans.groupBy(F.col(group_by).alias("grp")).agg(apm_metric(metric, window_s).alias("value"))
+def apm_values(spans: DataFrame, metric: str, window_s: float, group_by: str = "service_name", approx: bool = False) -> DataFrame:
+    return spans.groupBy(F.col(group_by).alias("grp")).agg(apm_metric(metric, window_s, approx).alias("value"))
 
 
 def preview(df: DataFrame, start_s: int, end_s: int, value: Column, buckets: int = 10) -> DataFrame:
@@ -230,9 +230,9 @@ def counter_like(metric: str) -> bool:
     return metric.endswith(("_total", "_count", "_sum", "_bucket", ".count", ".total"))
 
 
-def apm_series(spans: DataFrame, seconds: int = 60) -> DataFrame:
+def apm_series(spans: DataFrame, seconds: int = 60, approx: bool = False) -> DataFrame:
     return spans.groupBy("service_name", bucket(seconds).alias("bucket")).agg(
-        F.count("*").alias("total"), F.count_if(is_error()).alias("errors"), F.percentile(milliseconds(), F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99))).alias("p")
+        F.count("*").alias("total"), F.count_if(is_error()).alias("errors"), percentiles(milliseconds(), 0.5, 0.95, 0.99, approx=approx).alias("p")
     ).select("service_name", "bucket", "total", "errors", *(F.col("p")[i].alias(f"p{p}_ms") for i, p in enumerate((50, 95, 99))))
 
 
@@ -264,8 +264,8 @@ def _failed() -> Column:
     return F.count_if(is_error("status"))
 
 
-def _slow(spans: DataFrame, keys: list[str], p99_ms: float, least: int) -> DataFrame:
-    out = spans.groupBy(*keys).agg(F.percentile(milliseconds(), 0.99).alias("p99_ms"), F.count("*").alias("total"))
+def _slow(spans: DataFrame, keys: list[str], p99_ms: float, least: int, approx: bool = False) -> DataFrame:
+    out = spans.groupBy(*keys).agg(percentile(milliseconds(), 0.99, approx).alias("p99_ms"), F.count("*").alias("total"))
     return out.where((F.col("p99_ms") > p99_ms) & (F.col("total") > least))
 
 
@@ -278,8 +278,8 @@ def error_rate_spike(t: Tables, start, end, rate: float = 0.05, least: int = 100
     return out.where((F.col("total") > least) & (F.col("errors") > rate * F.col("total")))
 
 
-def latency_regression(t: Tables, start, end, p99_ms: float = 500, least: int = 50) -> DataFrame:
-    return _slow(_window(t["spans"], start, end).where("kind = 'SPAN_KIND_SERVER'"), ["service_name", "span_name"], p99_ms, least)
+def latency_regression(t: Tables, start, end, p99_ms: float = 500, least: int = 50, approx: bool = False) -> DataFrame:
+    return _slow(_window(t["spans"], start, end).where("kind = 'SPAN_KIND_SERVER'"), ["service_name", "span_name"], p99_ms, least, approx)
 
 
 def saturation(t: Tables, start, end, metric: str, host: Column, limit: float = 0.9) -> DataFrame:
@@ -360,8 +360,12 @@ def events_with_rule(events: DataFrame, rules: DataFrame) -> DataFrame:
 
 def suppressed(events: DataFrame, maintenance: DataFrame) -> DataFrame:
     """Events outside of all maintenance windows, of every rule or of their own."""
-    inside = events["ts"].between(maintenance["starts"], maintenance["ends"]) & ((maintenance["scope"] == "all") | (maintenance["scope"] == events["rule_id"]))
-    return events.join(maintenance, inside, "left_anti")
+    # Windows of every rule are a short list by hand and are merged into one row; those of a rule meet its events by key.
+    whole = maintenance.where("scope = 'all'").agg(F.collect_set(F.struct("starts", "ends")).alias("_all"))
+    own = maintenance.where("scope <> 'all'").select(F.col("scope").alias("_rule"), "starts", "ends")
+    within = (events["rule_id"] == own["_rule"]) & events["ts"].between(own["starts"], own["ends"])
+    left = events.join(own, within, "left_anti").join(F.broadcast(whole))
+    return left.where(~F.exists("_all", lambda w: F.col("ts").between(w["starts"], w["ends"]))).drop("_all")
 
 
 def last_deploy(buckets: DataFrame, deploys: DataFrame) -> DataFrame:

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.functions.core import percentile
 
-def vitals(rum: DataFrame) -> DataFrame:
+
+def vitals(rum: DataFrame, approx: bool = False) -> DataFrame:
     """(vital_name, samples, p75, good_pct, improve_pct, poor_pct)."""
     share = lambda rating: F.round(F.count_if(F.col("vital_rating") == rating) * 100.0 / F.count("*"), 2)
     rows = rum.where("event_type = 'web_vital'")
-    return rows.groupBy("vital_name").agg(F.count("*").alias("samples"), F.percentile("vital_value", 0.75).alias("p75"), share("good").alias("good_pct"), share("needs-improvement").alias("improve_pct"), share("poor").alias("poor_pct"))
+    return rows.groupBy("vital_name").agg(F.count("*").alias("samples"), percentile(F.col("vital_value"), 0.75, approx).alias("p75"), share("good").alias("good_pct"), share("needs-improvement").alias("improve_pct"), share("poor").alias("poor_pct"))
 
 
 def pages(rum: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.functions.core import is_error, milliseconds, percentiles
+from tidewatch.functions.core import is_error, milliseconds, percentiles, shared_folder
 from tidewatch.operators.explore import _spread, red
 
 SERVER = "SPAN_KIND_SERVER"
@@ -39,17 +39,17 @@ def latency_percentiles(spans: DataFrame, approx: bool = False) -> DataFrame:
     return _spread(marks)
 
 
-def endpoint_red(spans: DataFrame, service: str) -> DataFrame:
+def endpoint_red(spans: DataFrame, service: str, approx: bool = False) -> DataFrame:
     """Server spans of a service by method and path."""
-    return _spread(spans.where((F.col("service_name") == service) & (F.col("kind") == SERVER)).groupBy("http_method", "http_path").agg(*red("status_or_http")))
+    return _spread(spans.where((F.col("service_name") == service) & (F.col("kind") == SERVER)).groupBy("http_method", "http_path").agg(*red("status_or_http", approx)))
 
 
-def operation_red(spans: DataFrame, service: str, noise: tuple[str, ...] = ()) -> DataFrame:
+def operation_red(spans: DataFrame, service: str, noise: tuple[str, ...] = (), approx: bool = False) -> DataFrame:
     """Spans of a service that no client asked for directly, by name; ``noise`` are LIKE patterns to leave out."""
     rows = spans.where((F.col("service_name") == service) & (F.col("kind") != SERVER))
     for pattern in noise:
         rows = rows.where(~F.col("span_name").like(pattern))
-    return _spread(rows.groupBy("span_name").agg(*red("status_or_http")))
+    return _spread(rows.groupBy("span_name").agg(*red("status_or_http", approx)))
 
 
 def error_groups(spans: DataFrame, service: str, limit: int = 50) -> DataFrame:
@@ -99,7 +99,7 @@ def span_tree(spans: DataFrame) -> DataFrame:
     span sees up, so a depth of 256 takes eight joins; rounds are cut by checkpoints.
     They end when no span is left waiting or none of those left can reach a root.
     """
-    step = F.lpad(F.row_number().over(Window.partitionBy("trace_id", "parent_span_id").orderBy("ts_ns", "span_id")).cast("string"), 6, "0")
+    step = F.lpad(F.row_number().over(Window.partitionBy("trace_id", "parent_span_id").orderBy("ts_ns", "span_id")).cast("string"), 10, "0")
     up = F.when(F.col("parent_span_id").rlike("^0*$"), "").otherwise(F.col("parent_span_id"))
     seen = _cut(spans.select("trace_id", "span_id", up.alias("up"), F.when(up == "", 0).otherwise(1).alias("depth"), step.alias("path")))
     while not seen.where("up <> ''").isEmpty():
@@ -116,9 +116,7 @@ def span_tree(spans: DataFrame) -> DataFrame:
 def _cut(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        import tempfile
-
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tidewatch-"))  # only where no cluster names a folder
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

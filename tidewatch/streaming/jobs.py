@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
+from tidewatch.functions.core import shared_folder
 from tidewatch.operators import rollup
 
 
@@ -172,8 +172,7 @@ def detect_each_batch(stream: DataFrame, rule: Callable[[DataFrame], DataFrame],
 
 def scratch(spark: SparkSession, label: str) -> str:
     """A new folder beside the checkpoints that all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidewatch-")
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def drain(df: DataFrame, spark: SparkSession, label: str, mode: str = "append") -> DataFrame:
