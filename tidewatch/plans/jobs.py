@@ -179,6 +179,52 @@ def stream_usage(spark, sf_dir):
     return latest
 
 
+@query("stream_rollup_windows", f"WITH {SAMPLES_SQL} SELECT series_key, ts_ms // 86400000 * 86400 AS bucket, {_ROLL} FROM samples GROUP BY 1, 2")
+def stream_rollup_windows(spark, sf_dir):
+    """Windows with a watermark that no row is too late for; of the updates of a window the fullest counts."""
+    rows = bind.samples(spark, sf_dir).select("series_key", "ts", "value")
+    with _small_state(spark):
+        windows = jobs.drain(jobs.rollup_windows(_stream(spark, rows), 86400, "40 days"), spark, "windows", "update")
+    last = windows.groupBy("series_key", "bucket").agg(F.max_by(F.struct("sum", "cnt", "min", "max"), "cnt").alias("r"))
+    return last.select("series_key", "bucket", F.round("r.sum", 4).alias("sum"), "r.cnt", F.round("r.min", 6).alias("min"), F.round("r.max", 6).alias("max"))
+
+
+@query("stream_first_spans", f"WITH {SPANS_SQL} SELECT span_id, service_name FROM spans")
+def stream_first_spans(spark, sf_dir):
+    """Every span arrives twice and is kept once."""
+    rows = bind.spans(spark, sf_dir).select("trace_id", "span_id", "service_name", "ts")
+    with _small_state(spark):
+        return jobs.drain(jobs.first_spans(_stream(spark, rows.unionByName(rows)), "40 days"), spark, "first").select("span_id", "service_name")
+
+
+@query("stream_slo_hours", f"WITH {SPANS_SQL} SELECT service_name, epoch_us(ts) // 3600000000 * 3600 AS bucket, count(*) FILTER (is_error) AS bad, count(*) AS total FROM spans GROUP BY 1, 2")
+def stream_slo_hours(spark, sf_dir):
+    from tidewatch.functions.core import is_error
+
+    rows = bind.spans(spark, sf_dir).select("service_name", "ts", "http_status_code", "status")
+    with _small_state(spark):
+        hours = jobs.drain(jobs.slo_hours(_stream(spark, rows), is_error(), "40 days"), spark, "slo", "update")
+    return hours.groupBy("service_name", "bucket").agg(F.max("bad").alias("bad"), F.max("total").alias("total"))
+
+
+@query("stream_track_queries", "SELECT 't' || CAST(user_id % 3 AS VARCHAR) AS tenant_id, event_type AS signal_name, epoch_us(max(ts)) AS last_queried, count(*) AS query_count FROM events GROUP BY 1, 2")
+def stream_track_queries(spark, sf_dir):
+    rows = bind.events(spark, sf_dir).select(F.concat(F.lit("t"), (F.col("user_id") % 3).cast("string")).alias("tenant_id"), F.col("event_type").alias("signal_name"), F.lit("metric").alias("signal_type"), F.lit("ui").alias("source"), "ts")
+    path = jobs.scratch(spark, "queried")
+    jobs.track_queries(_stream(spark, rows), path, path + "-state").awaitTermination()
+    seen = spark.read.parquet(path)
+    return seen.groupBy("tenant_id", "signal_name").agg(F.unix_micros(F.max("last_queried_at")).alias("last_queried"), F.sum("query_count").alias("query_count"))
+
+
+@query("stream_detect", f"WITH {SPANS_SQL} SELECT service_name, CAST(count(*) AS BIGINT) AS failures FROM spans WHERE http_status_code >= 500 GROUP BY 1")
+def stream_detect(spark, sf_dir):
+    """A rule on every micro-batch; what the batches find adds up."""
+    rows = bind.spans(spark, sf_dir).select("service_name", "http_status_code", "ts")
+    path = jobs.scratch(spark, "found")
+    jobs.detect_each_batch(_stream(spark, rows), lambda batch: batch.where("http_status_code >= 500").groupBy("service_name").agg(F.count("*").alias("n")), path, path + "-state").awaitTermination()
+    return spark.read.parquet(path).groupBy("service_name").agg(F.sum("n").alias("failures"))
+
+
 @query("stream_flatten", f"WITH {SPANS_SQL} SELECT span_id, kind, status FROM spans")
 def stream_flatten(spark, sf_dir):
     raw = nz.spans_raw(_json_spans(spark, sf_dir), "t0")
