@@ -121,3 +121,44 @@ def test_set_operations_are_on_whole_series(spark):
 def test_series_keys_do_not_depend_on_order(spark):
     one, two = (spark.sql(f"SELECT map({m}) AS labels").select(series_key(F.col("labels"))).first()[0] for m in ("'b','1','a','2'", "'a','2','b','1'"))
     assert one == two == '{"a":"2","b":"1"}'
+
+
+def brute_window(points, lo, hi):
+    """The functions of one window, from its samples in order."""
+    inside = sorted((t, v) for t, v in points if lo <= t <= hi)
+    if not inside:
+        return None
+    values = [v for _, v in inside]
+    n, mean = len(values), sum(values) / len(values)
+    pairs = list(zip(inside, inside[1:]))
+    inc = [b[1] if b[1] < a[1] else b[1] - a[1] for a, b in pairs]
+    span = (inside[-1][0] - inside[0][0]) / 1000
+    xs = [t / 1000 for t, _ in inside]
+    mx = sum(xs) / n
+    sxx = sum((x - mx) ** 2 for x in xs)
+    gap = (inside[-1][0] - inside[-2][0]) / 1000 if n > 1 else 0
+    return {
+        "sum_over_time": sum(values), "avg_over_time": mean, "min_over_time": min(values), "max_over_time": max(values), "count_over_time": n, "stdvar_over_time": sum((v - mean) ** 2 for v in values) / n,
+        "last_over_time": values[-1], "first_over_time": values[0], "delta": values[-1] - values[0] if n > 1 else None, "idelta": values[-1] - values[-2] if n > 1 else None,
+        "increase": sum(inc) if span > 0 else None, "rate": sum(inc) / span if span > 0 else None, "irate": inc[-1] / gap if gap > 0 else None,
+        "resets": sum(b[1] < a[1] for a, b in pairs), "changes": sum(a[1] != b[1] for a, b in pairs), "deriv": sum((x - mx) * (v - mean) for x, v in zip(xs, values)) / sxx if sxx > 0 else None,
+    }
+
+
+@pytest.mark.parametrize("range_ms", [20_000, 25_000, 7_000, 60_000])
+def test_tiles_agree_with_whole_windows(spark, range_ms):
+    import random
+
+    pick = random.Random(range_ms)
+    points = [(pick.choice((0, 2500, 5000, 10_000, 13_000)) + 10_000 * pick.randrange(-3, 14), float(pick.randrange(1, 9))) for _ in range(60)]
+    points += [(20_000, 3.0), (20_000, 3.0), (35_000, 2.0), (200_000, 5.0)]  # equal samples, ends of windows, and one after them all
+    grid = ts.Grid(0, 120_000, 10_000)
+    rows = frame(spark, [(t / 1000, v) for t, v in points])
+    want = {k: w for k in range(grid.steps) if (w := brute_window(points, k * 10_000 - range_ms, k * 10_000))}
+    names = [*next(iter(want.values())), "quantile_over_time"]
+    got = {r.k: r for r in ts.range_functions(rows, grid, range_ms, {n: 0.0 for n in names}).collect()}
+    assert got.keys() == want.keys()
+    for k, window_ in want.items():
+        assert got[k].quantile_over_time == window_["min_over_time"]
+        for name, value in window_.items():
+            assert got[k][name] == (None if value is None else pytest.approx(value, abs=1e-9)), (k, name)

@@ -1,9 +1,9 @@
 """A time-series algebra on long frames.
 
 Samples are rows (series_key, labels, ts_ms, value); results are rows (series_key,
-labels, k, value), with k the step of a grid. Windows are made by exploding each
-sample into the steps it belongs to, so that no series has to fit one process, and
-all windows of a series aggregate partially.
+labels, k, value), with k the step of a grid. Samples aggregate into the pieces
+between the ends of windows, and each piece is handed to the windows it belongs to,
+so that no series has to fit one process.
 """
 
 from __future__ import annotations
@@ -68,68 +68,150 @@ def _not_nan(v: str = "value") -> Column:
     return F.when(~F.isnan(v), F.col(v))
 
 
-def _in_window(total: str) -> Column:
-    """What a running difference adds up to inside a window: the first sample's own step reaches before it."""
-    return F.sum(total) - F.min_by(total, F.struct("ts_ms", "tie"))
+def _in_window(name: str) -> Column:
+    """What the differences of a window add up to; the first tile's own edge reaches before it."""
+    return F.sum(F.col(name) + F.col(f"edge_{name}")) - F.min_by(f"edge_{name}", "tile")
 
 
+def _differences(v: Column, p: Column, gap: Column) -> dict[str, Column]:
+    """A value against the one before it, null if there is none."""
+    return {
+        "inc": F.when(p.isNull(), 0.0).when(v < p, v).otherwise(v - p), "up": v - p, "gap_ms": gap,
+        "changed": F.when(p.isNotNull() & (F.abs(v - p) > 2.220446049250313e-16), 1).otherwise(0), "fell": F.when(p.isNotNull() & (v < p), 1).otherwise(0),
+    }
+
+
+def _merge_moments(a: Column, b: Column) -> Column:
+    """Count, mean and squared deviations of two parts together."""
+    n, apart = a["n"] + b["n"], b["mean"] - a["mean"]
+    share = F.when(n > 0, b["n"] / F.nullif(n, F.lit(0.0))).otherwise(0.0)
+    return F.struct(n.alias("n"), F.when(b["n"] > 0, a["mean"] + apart * share).otherwise(a["mean"]).alias("mean"), F.when(b["n"] > 0, a["m2"] + b["m2"] + apart * apart * a["n"] * share).otherwise(a["m2"]).alias("m2"))
+
+
+def _merge_lines(a: Column, b: Column) -> Column:
+    """Count, means, squares and products of deviations of two parts together."""
+    n, dx, dy = a["n"] + b["n"], b["x"] - a["x"], b["y"] - a["y"]
+    share = F.when(n > 0, b["n"] / F.nullif(n, F.lit(0.0))).otherwise(0.0)
+    both = lambda own, name: F.when(b["n"] > 0, own).otherwise(a[name]).alias(name)
+    weight = a["n"] * share
+    return F.struct(n.alias("n"), both(a["x"] + dx * share, "x"), both(a["y"] + dy * share, "y"), both(a["xx"] + b["xx"] + dx * dx * weight, "xx"), both(a["xy"] + b["xy"] + dx * dy * weight, "xy"))
+
+
+def _merged(part: str, fields: str, merge, finish) -> Column:
+    """The parts of a window's tiles, of which there are few, folded into one."""
+    zero = F.struct(*(F.lit(0.0).alias(f) for f in fields.split()))
+    return F.aggregate(F.collect_list(part), zero, merge, finish)
 
 
-def _functions() -> dict:
-    at = lambda: F.struct("ts_ms", "tie")
-    n, seconds = lambda: F.count("*"), lambda: (F.max("ts_ms") - F.min("ts_ms")) / 1000.0
-    first, last = lambda c: F.min_by(c, at()), lambda c: F.max_by(c, at())
+def _slope(a: Column) -> Column:
+    return a["xy"] / F.nullif(a["xx"], F.lit(0.0))
+
+
+def _functions(origin_ms: int) -> dict:
+    """Window functions over tiles: each gets its parameter and gives an aggregate."""
+    first, last = lambda f: F.min_by(F.col("first")[f], "tile"), lambda f: F.max_by(F.col("last")[f], "tile")
+    n, seconds = lambda: F.sum("n"), lambda: (last("ts_ms") - first("ts_ms")) / 1000.0
     two = lambda c: F.when(n() >= 2, c)
-    centred = lambda: (F.col("ts_ms") - F.col("origin_ms")) / 1000.0
+    spread = lambda finish: _merged("moments", "n mean m2", _merge_moments, lambda a: finish(F.when(a["n"] > 0, a["m2"] / F.nullif(a["n"], F.lit(0.0)))))
+    line = lambda finish: _merged("line", "n x y xx xy", _merge_lines, finish)
     return {
         "rate": lambda p: F.when((n() >= 2) & (seconds() > 0), _in_window("inc") / F.nullif(seconds(), F.lit(0.0))),
         "irate": lambda p: F.when((n() >= 2) & (last("gap_ms") > 0), last("inc") / F.nullif(last("gap_ms") / 1000.0, F.lit(0.0))),
         "increase": lambda p: F.when((n() >= 2) & (seconds() > 0), _in_window("inc")),
-        "sum_over_time": lambda p: F.sum("value"),
-        "avg_over_time": lambda p: F.avg("value"),
-        "min_over_time": lambda p: F.min(_not_nan()),
-        "max_over_time": lambda p: F.max(_not_nan()),
+        "sum_over_time": lambda p: F.sum("sum"),
+        "avg_over_time": lambda p: F.sum("sum") / F.nullif(F.sum("valued"), F.lit(0)),
+        "min_over_time": lambda p: F.min("low"),
+        "max_over_time": lambda p: F.max("high"),
         "count_over_time": lambda p: n().cast("double"),
-        "stddev_over_time": lambda p: F.stddev_pop("value"),
-        "stdvar_over_time": lambda p: F.var_pop("value"),
-        "quantile_over_time": lambda p: F.percentile("value", min(max(p, 0.0), 1.0)),
+        "stddev_over_time": lambda p: spread(F.sqrt),
+        "stdvar_over_time": lambda p: spread(lambda v: v),
         "last_over_time": lambda p: last("value"),
         "first_over_time": lambda p: first("value"),
         "delta": lambda p: two(last("value") - first("value")),
-        "idelta": lambda p: two(last("step_up")),
-        "deriv": lambda p: F.regr_slope("value", centred()),
-        "predict_linear": lambda p: F.regr_slope("value", centred()) * ((F.max("ts_ms") - F.min("origin_ms")) / 1000.0 + p) + F.regr_intercept("value", centred()),
+        "idelta": lambda p: two(last("up")),
+        "deriv": lambda p: line(_slope),
+        "predict_linear": lambda p: line(_slope) * ((last("ts_ms") - origin_ms) / 1000.0 + p) + line(lambda a: a["y"] - _slope(a) * a["x"]),
         "changes": lambda p: _in_window("changed").cast("double"),
         "resets": lambda p: _in_window("fell").cast("double"),
         "present_over_time": lambda p: F.lit(1.0),
     }
 
 
-RANGE_FUNCTIONS = (*_functions(), "absent_over_time")
+RANGE_FUNCTIONS = (*_functions(0), "quantile_over_time", "absent_over_time")
 _NEEDS_PREVIOUS = {"rate", "irate", "increase", "idelta", "changes", "resets"}
 
 
+def _tile(grid: Grid, range_ms: int) -> tuple[Column, Column]:
+    """The tile of a sample, and the steps whose windows hold a tile.
+
+    Windows end at steps and start a range before them. Tiles are the pieces between all
+    those ends, and the ends themselves, since windows hold both of theirs: of each step,
+    number 0 is the step, 1 what follows it, 2 the start of a window, 3 the rest.
+    """
+    step = grid.step_ms if grid.steps > 1 else max(range_ms, 1)
+    whole, rest = divmod(range_ms, step)
+    since = F.col("ts_ms") - grid.start_ms
+    into = F.pmod(since, F.lit(step))
+    tile = F.floor(since / step) * 4 + F.when(into == 0, 0).when(into < step - rest, 1).when(into == step - rest, 2).otherwise(3)
+    low = F.greatest(F.ceil(F.col("tile") / 4), F.lit(0))
+    high = F.least(F.floor((F.col("tile") + (2 if rest else 0)) / 4) + whole, F.lit(grid.steps - 1))
+    steps = F.when(low <= high, F.sequence(low.cast("int"), high.cast("int"))).otherwise(F.array().cast("array<int>"))
+    return tile.cast("bigint"), steps
+
+
+def _tiles(rows: DataFrame, grid: Grid, range_ms: int, differences: bool) -> DataFrame:
+    """One row for each series and tile, with the parts that window functions merge.
+
+    Differences inside a tile are taken where its samples lie, those between tiles from
+    the tiles' ends; so no task has to sort all samples of a series.
+    """
+    rows = rows.withColumn("tile", _tile(grid, range_ms)[0])
+    ends = [F.col("ts_ms"), F.col("value")]
+    if differences:
+        before = F.lag(F.struct("ts_ms", "value")).over(Window.partitionBy("series_key", "tile").orderBy("ts_ms", "value"))
+        rows = rows.withColumn("prev", before)
+        rows = rows.withColumns(_differences(F.col("value"), F.col("prev.value"), F.col("ts_ms") - F.col("prev.ts_ms")))
+        again = F.coalesce((F.col("gap_ms") == 0) & F.col("value").eqNullSafe(F.col("prev.value")), F.lit(False))  # of equal samples the last one ends the tile
+        ends += [again.alias("again"), F.col("prev").isNull().alias("alone"), F.col("inc"), F.col("up"), F.col("gap_ms")]
+    x = (F.col("ts_ms") - grid.start_ms) / 1000.0
+    n = F.count("value").cast("double")
+    m = lambda f: F.coalesce(f, F.lit(0.0))
+    parts = [
+        F.first("labels").alias("labels"), F.count("*").alias("n"), F.count("value").alias("valued"), F.sum("value").alias("sum"), F.min(_not_nan()).alias("low"), F.max(_not_nan()).alias("high"),
+        F.min(F.struct("ts_ms", "value")).alias("first"), F.max(F.struct(*ends)).alias("last"), F.struct(n.alias("n"), m(F.avg("value")).alias("mean"), m(F.var_pop("value") * n).alias("m2")).alias("moments"),
+        F.struct(n.alias("n"), m(F.regr_avgx("value", x)).alias("x"), m(F.avg("value")).alias("y"), m(F.regr_sxx("value", x)).alias("xx"), m(F.regr_sxy("value", x)).alias("xy")).alias("line"),
+    ]
+    if not differences:
+        return rows.groupBy("series_key", "tile").agg(*parts)
+    sums = ("inc", "changed", "fell")
+    tiles = rows.groupBy("series_key", "tile").agg(*parts, *(F.sum(c).alias(c) for c in sums))
+    tiles = tiles.withColumn("prev", F.lag("last").over(Window.partitionBy("series_key").orderBy("tile")))
+    edge = _differences(F.col("first.value"), F.col("prev.value"), F.col("first.ts_ms") - F.col("prev.ts_ms"))
+    own = {c: F.when(F.col("last.alone"), edge[c]).otherwise(F.col("last")[c]).alias(c) for c in ("inc", "up", "gap_ms")}
+    return tiles.withColumns({**{f"edge_{c}": edge[c] for c in sums}, "last": F.struct("last.ts_ms", "last.value", *own.values())})
+
+
 def range_functions(samples: DataFrame, grid: Grid, range_ms: int, wanted: dict[str, float | None]) -> DataFrame:
     """(series_key, labels, k, <one column a function>) over sliding windows [t - range, t].
 
-    All functions share one shuffle: differences to the previous sample are taken per
-    series, and the windows then aggregate where the series already lies. Null where a
-    function has too few samples.
+    Samples are added up in tiles first, at most four a step, and windows are merged from
+    tiles; only quantiles copy samples into all their windows. Null where a function has
+    too few samples.
     """
     rows = range_select(samples, grid, range_ms).select("series_key", "labels", "ts_ms", "value")
-    rows = rows.withColumns({"tie": F.col("value"), "origin_ms": F.lit(grid.start_ms)})
-    if _NEEDS_PREVIOUS & set(wanted):
-        before = Window.partitionBy("series_key").orderBy("ts_ms", "tie")
-        prev = F.lag("value").over(before)
-        rows = rows.withColumns({"prev": prev, "gap_ms": F.col("ts_ms") - F.lag("ts_ms").over(before)})
-        v, p = F.col("value"), F.col("prev")
-        rows = rows.withColumns({
-            "inc": F.when(p.isNull(), 0.0).when(v < p, v).otherwise(v - p), "step_up": v - p,
-            "changed": F.when(p.isNotNull() & (F.abs(v - p) > 2.220446049250313e-16), 1).otherwise(0), "fell": F.when(p.isNotNull() & (v < p), 1).otherwise(0),
-        })
-    exploded = rows.withColumn("k", F.explode(_steps(grid, range_ms, 0)))
-    known = _functions()
-    return exploded.groupBy("series_key", "k").agg(F.first("labels").alias("labels"), *(known[f](p).alias(f) for f, p in wanted.items()))
+    known = _functions(grid.start_ms)
+    merged = {f: p for f, p in wanted.items() if f in known}
+    outs = []
+    if merged:
+        tiles = _tiles(rows, grid, range_ms, bool(_NEEDS_PREVIOUS & set(merged))).withColumn("k", F.explode(_tile(grid, range_ms)[1]))
+        outs.append(tiles.groupBy("series_key", "k").agg(F.first("labels").alias("labels"), *(known[f](p).alias(f) for f, p in merged.items())))
+    if "quantile_over_time" in wanted:
+        point = min(max(wanted["quantile_over_time"], 0.0), 1.0)
+        copies = rows.withColumn("k", F.explode(_steps(grid, range_ms, 0)))
+        quantiles = copies.groupBy("series_key", "k").agg(F.first("labels").alias("labels"), F.percentile("value", point).alias("quantile_over_time"))
+        outs.append(quantiles.drop("labels") if merged else quantiles)
+    joined = reduce(lambda a, b: a.join(b, ["series_key", "k"]), outs)
+    return joined.select("series_key", "k", "labels", *wanted)
 
 
 def range_function(samples: DataFrame, grid: Grid, range_ms: int, name: str, param: float | None = None) -> DataFrame:
