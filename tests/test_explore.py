@@ -90,3 +90,11 @@ def test_exports(spark, tmp_path):
     assert spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "c")).first() == ("2024-01-01T00:00:00.000000Z", 'a"b')
     tables.export_json(df, str(tmp_path / "j"))
     assert spark.read.json(str(tmp_path / "j")).first().n == 1
+
+
+def test_dotted_attributes_are_looked_up_whole_then_by_path(spark):
+    from tidewatch.functions.predicates import span_field
+
+    rows = spark.sql("""SELECT 'ok' AS status, map('a.b', 'flat', 'x', '{"y":{"z":7},"w":"v"}', 'plain', '1') AS attributes""")
+    names = ("attributes.a.b", "attributes.x.y.z", "attributes.x.w", "attributes.x.none", "attributes.plain", "attributes.plain.q", "attributes.gone.q", "level", "nonsense")
+    assert list(rows.select(*(span_field(n).alias(str(i)) for i, n in enumerate(names))).first()) == ["flat", "7", "v", "", "1", "", "", "ok", None]

@@ -19,6 +19,31 @@ def test_states_have_hysteresis(spark):
     assert [r.got for r in got] == [r.want for r in got]
 
 
+def test_folds_and_streams_know_the_same_states(spark):
+    from itertools import product
+
+    from tidewatch.streaming.jobs import ThresholdMonitor
+
+    for state, value, *limits, comparator, want in CASES:
+        assert rules.state_after(state, value, *limits, comparator) == want == ThresholdMonitor(*limits, comparator).after(state, value)
+    every = list(product(("ok", "warn", "alert", "no_data"), (0.0, 5.0, 10.0, 15.0, 20.0), (None, 10.0), (None, 5.0, 15.0), (None, 5.0, 15.0), (None, 10.0), ("above", "below")))
+    df = spark.createDataFrame([(i, s, v, *lim) for i, (s, v, *lim) in enumerate(every)], "i int, s string, v double, a double, b double, c double, d double, cmp string")
+    got = dict(df.select("i", rules.next_state(*(F.col(c) for c in ("s", "v", "a", "b", "c", "d", "cmp")))).collect())
+    assert all(got[i] == rules.state_after(s, v, *lim) for i, (s, v, *lim) in enumerate(every))
+    quiet = ThresholdMonitor(10.0, no_data_action="resolve"), ThresholdMonitor(10.0)
+    assert [m.after("alert", v) for m in quiet for v in (None, float("nan"))] == ["ok", "ok", "no_data", "no_data"]
+
+
+def test_replay_of_below_missing_values_and_null_keys(spark):
+    rows = [("a", None, 1, 5.0), ("a", None, 2, 12.0), ("a", None, 3, None), ("a", None, 4, 16.0), ("a", 1, 1, 20.0), (None, 1, 1, 1.0)]
+    df = spark.createDataFrame(rows, "g string, h int, at bigint, value double")
+    limits = {"critical": 10.0, "critical_recovery": 15.0, "comparator": "below"}
+    got = {(r.g, r.h, r["at"]): r.state for r in rules.replay(df, limits, ["g", "h"], "at").collect()}
+    assert got == {("a", None, 1): "alert", ("a", None, 2): "alert", ("a", None, 3): "no_data", ("a", None, 4): "ok", ("a", 1, 1): "ok", (None, 1, 1): "alert"}
+    assert rules.replay(df.limit(0), limits, ["g", "h"], "at").count() == 0
+    assert rules.ewma_anomaly(df, ["g", "h"], "at").count() == 3 and rules.ewma_anomaly(df.limit(0), ["g"], "at").count() == 0
+
+
 def ewma(data, sensitivity=3.0, alpha=0.25):
     warm = data[:12]
     mean = sum(warm) / len(warm)
@@ -90,3 +115,18 @@ def test_detection_queries_take_logs_of_any_time(spark, sf_dir, tmp_path):
     errors = [r.span_errors for r in plans.detect_logs_and_traces(spark, sf_dir).where("service_name = 'src1'").collect()]
     assert run(plans.detect_logs_and_traces) == [("src1", 60, *errors)] and errors
     assert ("noise", 2) in run(plans.detect_all)
+
+
+def test_backfill_leaves_a_target_with_rows_alone(spark):
+    samples = spark.createDataFrame([("s", 1_000, 1.0), ("s", 61_000, 2.0), ("s", 125_000, 9.0)], "series_key string, ts_ms bigint, value double")
+    done = rollup.backfill_if_empty(samples, None, 60, 130)
+    assert sorted(r.bucket for r in done.collect()) == [0, 60]
+    assert rollup.backfill_if_empty(samples, done, 60, 130) is None
+    assert rollup.backfill_if_empty(samples, done.limit(0), 60, 130).count() == 2
+
+
+def test_lookback_and_counters():
+    from tidewatch.operators import series
+
+    assert series.lookback() == 300_000 and series.lookback(60_000, 3_600_000) == 3_600_000
+    assert rules.counter_like("requests_total") and rules.counter_like("a_created") and not rules.counter_like("cpu")

@@ -21,11 +21,19 @@ METRIC_COLUMNS = "metric_name service_name metric_unit value".split()
 
 
 def span_field(name: str) -> Column:
-    """A span column, ``level`` for the status in lower case, or ``attributes.key``; others are null."""
+    """A span column, ``level`` for the status in lower case, or ``attributes.key``; others are null.
+
+    A key with dots is looked up whole first; where it is missing, its parts lead into the
+    JSON that the attribute of the first part holds.
+    """
     if name == "level":
         return F.lower("status")
     if name.startswith("attributes."):
-        return attr("attributes", name.removeprefix("attributes."))
+        key = name.removeprefix("attributes.")
+        top, *path = key.split(".")
+        if not path or "'" in key:
+            return attr("attributes", key)
+        return non_empty(attr("attributes", key), F.get_json_object(attr("attributes", top), "$" + "".join(f"['{p}']" for p in path)))
     return F.col(name) if name in SPAN_COLUMNS else F.lit(None).cast("string")
 
 

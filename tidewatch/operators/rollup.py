@@ -7,14 +7,19 @@ from pyspark.sql import functions as F
 
 #: Longest spans, in seconds, that read raw samples and minutes.
 RAW_SPAN, MINUTE_SPAN = 6 * 3600, 2 * 86400
+ABOUT = ("metric_description", "metric_unit")
 
 
 def rollup(samples: DataFrame, seconds: int) -> DataFrame:
-    """(series_key, bucket, sum, cnt, min, max, last_value, last_ms): partial rows that merge without loss."""
+    """(series_key, bucket, sum, cnt, min, max, last_value, last_ms): partial rows that merge without loss.
+
+    Samples with ``metric_description`` or ``metric_unit`` keep the last one of each.
+    """
     width = seconds * 1000
     start = (F.floor(F.col("ts_ms") / width) * seconds).cast("bigint")
     return samples.groupBy("series_key", start.alias("bucket")).agg(
-        F.sum("value").alias("sum"), F.count("*").alias("cnt"), F.min("value").alias("min"), F.max("value").alias("max"), F.max_by("value", F.struct("ts_ms", "value")).alias("last_value"), F.max("ts_ms").alias("last_ms")
+        F.sum("value").alias("sum"), F.count("*").alias("cnt"), F.min("value").alias("min"), F.max("value").alias("max"), F.max_by("value", F.struct("ts_ms", "value")).alias("last_value"), F.max("ts_ms").alias("last_ms"),
+        *(F.max_by(c, F.struct("ts_ms", "value", c)).alias(c) for c in ABOUT if c in samples.columns),
     )
 
 
@@ -22,13 +27,15 @@ def merge(partials: DataFrame, seconds: int | None = None) -> DataFrame:
     """Merge partial rows of the same bucket, or into coarser buckets. Late rows only add partials."""
     start = F.col("bucket") if seconds is None else (F.floor(F.col("bucket") / seconds) * seconds).cast("bigint")
     return partials.groupBy("series_key", start.alias("bucket")).agg(
-        F.sum("sum").alias("sum"), F.sum("cnt").alias("cnt"), F.min("min").alias("min"), F.max("max").alias("max"), F.max_by("last_value", F.struct("last_ms", "last_value")).alias("last_value"), F.max("last_ms").alias("last_ms")
+        F.sum("sum").alias("sum"), F.sum("cnt").alias("cnt"), F.min("min").alias("min"), F.max("max").alias("max"), F.max_by("last_value", F.struct("last_ms", "last_value")).alias("last_value"), F.max("last_ms").alias("last_ms"),
+        *(F.max_by(c, F.struct("last_ms", "last_value", c)).alias(c) for c in ABOUT if c in partials.columns),
     )
 
 
-def finished(rolled: DataFrame) -> DataFrame:
-    """(series_key, bucket, avg, min, max, last, cnt) as a reader sees them."""
-    return rolled.select("series_key", "bucket", (F.col("sum") / F.col("cnt")).alias("avg"), "min", "max", F.col("last_value").alias("last"), "cnt")
+def finished(rolled: DataFrame, counter: bool = False) -> DataFrame:
+    """(series_key, bucket, avg, min, max, last, cnt) as a reader sees them; counters have no average."""
+    avg = [] if counter else [(F.col("sum") / F.col("cnt")).alias("avg")]
+    return rolled.select("series_key", "bucket", *avg, "min", "max", F.col("last_value").alias("last"), "cnt", *(c for c in ABOUT if c in rolled.columns))
 
 
 def choose_source(start_s: int, end_s: int, bucket_s: int, needs_samples: bool = False) -> str:
@@ -50,3 +57,8 @@ def backfill(samples: DataFrame, seconds: int, now_s: int) -> DataFrame:
     """Rollup of the buckets that are closed at ``now_s``; the open one is left to the stream."""
     cutover = now_s // seconds * seconds
     return rollup(samples.where(F.col("ts_ms") < cutover * 1000), seconds)
+
+
+def backfill_if_empty(samples: DataFrame, target: DataFrame | None, seconds: int, now_s: int) -> DataFrame | None:
+    """The backfill of a rollup that has no row yet, or None: a stream that has begun to fill one owns all of it."""
+    return backfill(samples, seconds, now_s) if target is None or target.isEmpty() else None

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from tidewatch.functions.core import bucket, is_error, milliseconds, percentile, percentiles
+from tidewatch.operators import series
 
 # ---------------------------------------------------------------- state machine
 
@@ -54,25 +57,57 @@ def transitions(evaluated: DataFrame) -> DataFrame:
     return changed.withColumn("message", message)
 
 
-def replay(values: DataFrame, thresholds: dict, keys: list[str], order: str) -> DataFrame:
+def state_after(state: str, value: float, critical: float | None, critical_recovery: float | None, warning: float | None, warning_recovery: float | None, comparator: str = "above") -> str:
+    """``next_state`` of one value, for folds over sorted rows and for streams."""
+    sign = -1.0 if comparator == "below" else 1.0
+    over = lambda limit: limit is not None and (value < limit if sign < 0 else value >= limit)
+    back = lambda limit: limit is not None and not over(limit)
+    if state == "alert":
+        if not back(critical if critical_recovery is None else critical_recovery):
+            return "alert"
+        return "warn" if over(warning) else "ok"
+    if state == "warn":
+        if over(critical):
+            return "alert"
+        return "ok" if back(warning if warning_recovery is None else warning_recovery) else "warn"
+    if state not in ("ok", "no_data"):
+        return "ok"
+    return "alert" if over(critical) else "warn" if over(warning) else "ok"
+
+
+def _in_order(values: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Each group in one partition, in order: folds over it hold one batch and one state."""
+    return values.repartition(*keys).sortWithinPartitions(*keys, order)
+
+
+def _groups(batch: pd.DataFrame, keys: list[str]) -> Iterator[tuple]:
+    """The keys of each row; null keys are None, which equals itself."""
+    return zip(*(batch[k].astype(object).where(batch[k].notna(), None) for k in keys), strict=True)
+
+
+def replay(values: DataFrame, thresholds: dict, keys: list[str], order: str, no_data_action: str = "notify") -> DataFrame:
     """(keys, order, value, state): the states of each group over its ordered values.
 
-    The values of a group are folded in one row on the JVM; the evaluated window bounds
-    them.
+    Rows are folded as they come, in order, so a group may be of any length. A null or
+    NaN value is without data.
     """
-    limits = [F.lit(thresholds.get(k)).cast("double") for k in ("critical", "critical_recovery", "warning", "warning_recovery")]
-    comparator = F.lit(thresholds.get("comparator", "above"))
-    row = F.struct(F.col(order).alias("at"), F.col("value").cast("double").alias("value"))
-    grouped = values.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    none = F.array().cast("array<struct<at:bigint,value:double,state:string>>")
-    start = F.struct(F.lit("ok").alias("state"), none.alias("out"))
+    limits = [thresholds.get(k) for k in ("critical", "critical_recovery", "warning", "warning_recovery")]
+    limits.append(thresholds.get("comparator", "above"))
+    missing = "ok" if no_data_action == "resolve" else "no_data"
+    rows = values.select(*keys, order, F.col("value").cast("double").alias("value"))
 
-    def step(acc: Column, r: Column) -> Column:
-        state = next_state(acc["state"], r["value"], *limits, comparator)
-        return F.struct(state.alias("state"), F.concat(acc["out"], F.array(F.struct(r["at"].cast("bigint").alias("at"), r["value"].alias("value"), state.alias("state")))).alias("out"))
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, state = None, "ok"
+        for batch in batches:
+            states = []
+            for key, value in zip(_groups(batch, keys), batch["value"], strict=True):
+                if key != group:
+                    group, state = key, "ok"
+                state = missing if value is None or value != value else state_after(state, value, *limits)
+                states.append(state)
+            yield batch.assign(state=states)
 
-    out = F.aggregate("rows", start, step, lambda a: a["out"])
-    return grouped.select(*keys, F.inline(out)).withColumnRenamed("at", order)
+    return _in_order(rows, keys, order).mapInPandas(fold, StructType(rows.schema.fields + [StructField("state", StringType())]))
 
 
 RANK = {"ok": 0, "no_data": 1, "warn": 2, "alert": 3}
@@ -183,6 +218,48 @@ def slo_gauges(budgets: DataFrame, keys: list[str], at_ns: int) -> DataFrame:
 # -------------------------------------------------------------------- anomalies
 
 
+class _Band:
+    """Mean and variance of one series; twelve values warm it up."""
+
+    WARMUP = 12
+
+    def __init__(self, sensitivity: float, alpha: float):
+        self.sensitivity, self.alpha, self.warm = sensitivity, alpha, []
+        self.mean = self.var = self.floor = self.deviation = 0.0
+        self.hit = False
+
+    def see(self, x: float) -> None:
+        if self.warm is None:
+            self._move(x, True)
+            return
+        self.warm.append(x)
+        if len(self.warm) == self.WARMUP:
+            self._start()
+
+    def _start(self) -> None:
+        warm, self.warm = self.warm, None
+        self.mean = sum(warm) / len(warm)
+        self.var = sum((x - self.mean) ** 2 for x in warm) / len(warm)
+        self.floor = 0.3 * self.var
+        self.deviation = abs(warm[0] - self.mean) / self.var**0.5 if self.var > 0 else 0.0
+        for x in warm[1:]:
+            self._move(x, False)
+
+    def _move(self, x: float, judged: bool) -> None:
+        std, slow = self.var**0.5, self.alpha * 0.25
+        self.hit = judged and (x > self.mean + self.sensitivity * std or x < max(self.mean - self.sensitivity * std, 0.0))
+        if not self.hit:
+            diff = x - self.mean
+            self.mean = self.alpha * x + (1 - self.alpha) * self.mean
+            self.var = max(slow * diff * diff + (1 - slow) * self.var, self.floor)
+        self.deviation = abs(x - self.mean) / std if std > 0 else 0.0
+
+    def verdict(self) -> tuple[float, bool, float]:
+        if self.warm:
+            self._start()
+        return self.mean, self.hit, self.deviation
+
+
 def ewma_anomaly(values: DataFrame, keys: list[str], order: str, sensitivity: float = 3.0, alpha: float = 0.25) -> DataFrame:
     """(keys, mean, anomalous, deviation) of the last value of each series.
 
@@ -190,29 +267,29 @@ def ewma_anomaly(values: DataFrame, keys: list[str], order: str, sensitivity: fl
     of mean +- sensitivity * deviation (the lower edge not under zero) are anomalous and
     do not move the band. The variance moves a quarter as fast, and not under 0.3 of its
     start. The deviation of the last value is from the mean it has moved, in units of
-    the deviation before. A series is folded on the JVM; its window bounds it.
+    the deviation before. Null values are left out. Rows are folded as they come, in
+    order, so a series may be of any length.
     """
-    grouped = values.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col("value").cast("double").alias("v")))), lambda x: x["v"]).alias("_v"))
-    warm = F.slice("_v", 1, 12)
-    n = F.size(warm)
-    mean = F.aggregate(warm, F.lit(0.0), lambda a, x: a + x) / n
-    with_mean = grouped.withColumns({"_warm": n, "_mean0": mean})
-    spread = F.aggregate(warm, F.lit(0.0), lambda a, x: a + (x - F.col("_mean0")) * (x - F.col("_mean0"))) / F.col("_warm")
-    ready = with_mean.withColumn("_var0", spread)
-    start = F.struct(F.lit(0).alias("i"), F.col("_mean0").alias("mean"), F.col("_var0").alias("var"), F.lit(False).alias("hit"), F.lit(0.0).alias("dev"))
-
-    def step(a: Column, x: Column) -> Column:
-        std = F.sqrt(a["var"])
-        hit = (a["i"] >= F.col("_warm")) & ((x > a["mean"] + sensitivity * std) | (x < F.greatest(a["mean"] - sensitivity * std, F.lit(0.0))))
-        moves = (a["i"] > 0) & ~hit
-        diff, slow = x - a["mean"], alpha * 0.25
-        mean = F.when(moves, alpha * x + (1 - alpha) * a["mean"]).otherwise(a["mean"])
-        var = F.when(moves, F.greatest(slow * diff * diff + (1 - slow) * a["var"], 0.3 * F.col("_var0"))).otherwise(a["var"])
-        dev = F.when(std > 0, F.abs(x - mean) / F.nullif(std, F.lit(0.0))).otherwise(0.0)
-        return F.struct((a["i"] + 1).alias("i"), mean.alias("mean"), var.alias("var"), hit.alias("hit"), dev.alias("dev"))
-
-    folded = ready.withColumn("_fold", F.aggregate("_v", start, step))
-    return folded.select(*keys, F.col("_fold.mean").alias("mean"), F.col("_fold.hit").alias("anomalous"), F.col("_fold.dev").alias("deviation"))
+    rows = values.select(*keys, F.col(order).alias("_at"), F.col("value").cast("double").alias("_v")).where("_v IS NOT NULL")
+    fields = [f for f in rows.schema.fields if f.name in keys]
+    names = [*keys, "mean", "anomalous", "deviation"]
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, band = None, None
+        for batch in batches:
+            done = []
+            for key, x in zip(_groups(batch, keys), batch["_v"], strict=True):
+                if key != group:
+                    if band:
+                        done.append((*group, *band.verdict()))
+                    group, band = key, _Band(sensitivity, alpha)
+                band.see(x)
+            yield pd.DataFrame(done, columns=names)
+        if band:
+            yield pd.DataFrame([(*group, *band.verdict())], columns=names)
+
+    sorted_rows = _in_order(rows, keys, "_at").drop("_at")
+    return sorted_rows.mapInPandas(fold, StructType(fields + [StructField("mean", DoubleType()), StructField("anomalous", BooleanType()), StructField("deviation", DoubleType())]))
 
 
 def anomaly_verdict(scored: DataFrame, rule_keys: list[str], series: str) -> DataFrame:
@@ -225,9 +302,20 @@ def anomaly_step(window_s: int) -> int:
     return 15 if window_s <= 3600 else 60 if window_s <= 21600 else 300
 
 
+# Suffixes of metrics that count up.
+COUNTER_SUFFIXES = ("_total", "_count", "_sum", "_bucket", "_created")
+
+
 def counter_like(metric: str) -> bool:
     """Whether a metric is read as a rate: by the suffix of its name."""
-    return metric.endswith(("_total", "_count", "_sum", "_bucket", ".count", ".total"))
+    return metric.endswith(COUNTER_SUFFIXES)
+
+
+def auto_series(samples: DataFrame, metric: str, grid: series.Grid, by: list[str] = (), window_ms: int = 300_000) -> DataFrame:
+    """The sum of a metric by labels, of its rate over five minutes if it counts up."""
+    rows = samples.where(F.col("labels")["__name__"] == metric)
+    read = series.range_function(rows, grid, window_ms, "rate") if counter_like(metric) else series.instant_select(rows, grid)
+    return series.aggregate(read, "sum", by=list(by))
 
 
 def apm_series(spans: DataFrame, seconds: int = 60, approx: bool = False) -> DataFrame:
@@ -244,6 +332,22 @@ def correlate_event(spans: DataFrame, logs: DataFrame, at_s: int, pad_s: int = 3
     return top.join(noisy, "service_name", "left").select("service_name", "spans", "errors", F.coalesce("log_errors", F.lit(0)).cast("bigint").alias("log_errors"))
 
 
+def correlated_services(spans: DataFrame, at_s: int, status_code: int, pad_s: int = 300, services: int = 10) -> DataFrame:
+    """(service_name, bucket, total, spans): minutes of the services with most spans of a status code near an anomaly."""
+    near = spans.where(F.unix_seconds("ts").between(at_s - pad_s, at_s + pad_s) & (F.col("http_status_code") == status_code))
+    top = near.groupBy("service_name").agg(F.count("*").alias("total")).orderBy(F.desc("total"), "service_name").limit(services)
+    minutes = near.groupBy("service_name", bucket(60).alias("bucket")).agg(F.count("*").alias("spans"))
+    return minutes.join(F.broadcast(top), "service_name")  # as many rows as services
+
+
+def correlated_logs(spans: DataFrame, logs: DataFrame, at_s: int, status_code: int, pad_s: int = 300, services: int = 10, limit: int | None = 200) -> DataFrame:
+    """The logs near an anomaly of the services with most spans of its status code, newest first; all of them if ``limit`` is None."""
+    top = correlated_services(spans, at_s, status_code, pad_s, services).select("service_name").distinct()
+    found = logs.where(F.unix_seconds("ts").between(at_s - pad_s, at_s + pad_s)).join(F.broadcast(top), "service_name", "left_semi")
+    report = found.select("ts", "service_name", "severity_text", "body", "trace_id")
+    return report if limit is None else report.orderBy(F.desc("ts"), "service_name").limit(limit)
+
+
 def correlation_buckets(spans: DataFrame, seconds: int = 60) -> DataFrame:
     """(service_name, bucket, codes): counts by status code, as text ``code=n``."""
     counted = spans.groupBy("service_name", bucket(seconds).alias("bucket"), "http_status_code").agg(F.count("*").alias("n"))

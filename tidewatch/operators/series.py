@@ -58,6 +58,11 @@ def instant_at(samples: DataFrame, at_ms: int, lookback_ms: int = 300_000) -> Da
     return rows.groupBy("series_key").agg(F.first("labels").alias("labels"), F.max_by("value", F.struct("ts_ms", "value")).alias("value")).withColumn("k", F.lit(0))
 
 
+def lookback(*ranges_ms: int) -> int:
+    """How far before its grid an expression reads: its longest range, or five minutes if it has none."""
+    return max(ranges_ms, default=300_000)
+
+
 def range_select(samples: DataFrame, grid: Grid, range_ms: int, offset_ms: int = 0) -> DataFrame:
     """Raw samples that any window of the grid can see; ``offset_ms`` looks further back."""
     moved = samples.withColumn("ts_ms", F.col("ts_ms") + offset_ms) if offset_ms else samples

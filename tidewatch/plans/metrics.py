@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from tidewatch.functions.predicates import label_matchers
-from tidewatch.operators import explore, rollup
+from tidewatch.operators import explore, rollup, rules
 from tidewatch.operators import series as ts
 from tidewatch.sources import bind
 from tidewatch.sources.bind import COUNTERS_SQL, SAMPLES_SQL
@@ -262,3 +262,28 @@ def rollup_merge(spark, sf_dir):
 @query("rollup_backfill", f"WITH {SAMPLES_SQL} SELECT series_key, ts_ms // 3600000 * 3600 AS bucket, {ROLL} FROM samples WHERE ts_ms < 1705276800000 GROUP BY 1, 2")
 def rollup_backfill(spark, sf_dir):
     return _rolled(rollup.backfill(bind.samples(spark, sf_dir), 3600, 1705278000))
+
+
+@query("rollup_described", f"WITH {COUNTERS_SQL} SELECT series_key, ts_ms // 3600000 * 3600 AS bucket, round(min(value), 6) AS min, round(max(value), 6) AS max, round(max_by(value, ts_ms), 6) AS last, count(*) AS cnt, 'seen at ' || max(event_id) AS metric_description, max_by(CASE WHEN ts_ms % 2 = 0 THEN 'ms' ELSE 's' END, ts_ms) AS metric_unit FROM samples GROUP BY 1, 2")
+def rollup_described(spark, sf_dir):
+    """Counters, with the last description and unit of an hour, merged from minutes."""
+    rows = bind.counters(spark, sf_dir).withColumns({"metric_description": F.concat(F.lit("seen at "), F.col("event_id").cast("string")), "metric_unit": F.when(F.col("ts_ms") % 2 == 0, "ms").otherwise("s")})
+    out = rollup.finished(rollup.merge(rollup.rollup(rows, 60), 3600), counter=True)
+    return out.withColumns({c: F.round(c, 6) for c in ("min", "max", "last")})
+
+
+_AUTO = [("auto_query_gauge", "app.value", bind.samples, SAMPLES_SQL, f"{INSTANT_SQL}, r AS (SELECT service_name, k, value FROM inst)"), ("auto_query_counter", "app_total", bind.counters, COUNTERS_SQL, f"{WINDOWS_SQL.replace(str(RANGE), '3600000')}, r AS (SELECT split_part(split_part(series_key, 'service_name\":\"', 2), '\"', 1) AS service_name, k, sum({INC}) / ((max(ts_ms) - min(ts_ms)) / 1000.0) AS value FROM w GROUP BY series_key, k HAVING count(*) >= 2 AND max(ts_ms) > min(ts_ms))")]
+
+
+def _auto(metric, source):
+    def run(spark, sf_dir):
+        rows = source(spark, sf_dir)
+        named = rows.withColumn("labels", F.map_concat(F.map_filter("labels", lambda k, v: k != "__name__"), F.create_map(F.lit("__name__"), F.lit(metric))))
+        return _shown(rules.auto_series(named, metric, GRID, ["service_name"], 3_600_000))
+
+    return run
+
+
+for _name, _metric, _source, _rows, _with in _AUTO:
+    QUERIES[_name] = _auto(_metric, _source)
+    ORACLES[_name] = f"""WITH {_rows}, {_with} SELECT '{{"service_name":"' || service_name || '"}}' AS series_key, k, round(sum(value), 6) + 0.0 AS value FROM r GROUP BY service_name, k"""

@@ -216,6 +216,23 @@ def correlate_event(spark, sf_dir):
     return rules.correlate_event(bind.spans(spark, sf_dir), bind.logs(spark, sf_dir), 1704088800, 21600, 3)
 
 
+_NEAR = "BETWEEN 1704067200 AND 1704110400"
+_TOP = f"n AS (SELECT service_name, count(*) AS total FROM spans WHERE epoch_us(ts) // 1000000 {_NEAR} AND http_status_code = 500 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3)"
+
+
+@query("correlated_services", f"WITH {SPANS_SQL}, {_TOP} SELECT service_name, epoch_us(ts) // 60000000 * 60 AS bucket, total, count(*) AS spans FROM spans JOIN n USING (service_name) WHERE epoch_us(ts) // 1000000 {_NEAR} AND http_status_code = 500 GROUP BY ALL")
+def correlated_services(spark, sf_dir):
+    return rules.correlated_services(bind.spans(spark, sf_dir), 1704088800, 500, 21600, 3)
+
+
+@query("correlated_logs", f"WITH {SPANS_SQL}, {LOGS_SQL}, {_TOP} SELECT ts_s, split_part('click,error,purchase,signup,view', ',', CAST(ts_s // 60 % 5 AS INT) + 1) AS service_name, severity_text, body FROM logs WHERE ts_s {_NEAR} AND split_part('click,error,purchase,signup,view', ',', CAST(ts_s // 60 % 5 AS INT) + 1) IN (SELECT service_name FROM n)")
+def correlated_logs(spark, sf_dir):
+    """The logs dealt among the services of the spans."""
+    names = F.array(*map(F.lit, ("click", "error", "purchase", "signup", "view")))
+    rows = bind.logs(spark, sf_dir).withColumn("service_name", F.get(names, (F.floor(F.unix_seconds("ts") / 60) % 5).cast("int")))
+    return rules.correlated_logs(bind.spans(spark, sf_dir), rows, 1704088800, 500, 21600, 3, None).select(F.unix_seconds("ts").alias("ts_s"), "service_name", "severity_text", "body")
+
+
 @query("correlation_buckets", f"WITH {SPANS_SQL}, c AS (SELECT service_name, {DAY} AS bucket, http_status_code AS code, count(*) AS n FROM spans GROUP BY 1, 2, 3) SELECT service_name, bucket, string_agg(code || '=' || n, ',' ORDER BY code) AS codes FROM c GROUP BY 1, 2")
 def correlation_buckets(spark, sf_dir):
     return rules.correlation_buckets(bind.spans(spark, sf_dir), 86400)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from tidewatch.functions.core import shared_folder
-from tidewatch.operators import rollup
+from tidewatch.operators import rollup, rules
 
 
 def read(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
@@ -79,33 +79,27 @@ def rolling(hours: DataFrame, hours_back: int) -> DataFrame:
 
 
 class ThresholdMonitor(StatefulProcessor):
-    """Keeps the state of each (rule, group) and emits its changes; values come as (at, value)."""
+    """Keeps the state of each (rule, group) and emits its changes; values come as (at, value).
 
-    def __init__(self, critical: float, critical_recovery: float | None = None, warning: float | None = None, warning_recovery: float | None = None):
-        self.critical, self.warning = critical, warning
-        self.critical_back = critical if critical_recovery is None else critical_recovery
-        self.warning_back = warning if warning_recovery is None else warning_recovery
+    The states are those of ``rules.next_state``. A null or NaN value is a tick without
+    data, which resolves the rule or leaves it in no_data.
+    """
+
+    def __init__(self, critical: float | None, critical_recovery: float | None = None, warning: float | None = None, warning_recovery: float | None = None, comparator: str = "above", no_data_action: str = "notify"):
+        self.limits = (critical, critical_recovery, warning, warning_recovery, comparator)
+        self.missing = "ok" if no_data_action == "resolve" else "no_data"
 
     def init(self, handle) -> None:
         self.state = handle.getValueState("state", "name string")
 
-    def _after(self, now: str, v: float) -> str:
-        warns = self.warning is not None and v >= self.warning
-        if now == "alert" and v >= self.critical_back:
-            return "alert"
-        if now == "alert":
-            return "warn" if warns else "ok"
-        if v >= self.critical:
-            return "alert"
-        if now == "warn":
-            return "ok" if v < self.warning_back else "warn"
-        return "warn" if warns else "ok"
+    def after(self, now: str, value: float | None) -> str:
+        return self.missing if value is None or value != value else rules.state_after(now, value, *self.limits)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
         now = self.state.get()[0] if self.state.exists() else "ok"
         changes = []
         for at, value in pd.concat(list(rows))[["at", "value"]].sort_values("at").itertuples(index=False):
-            new = self._after(now, value)
+            new = self.after(now, value)
             if new != now:
                 changes.append((*key, at, value, now, new))
             now = new
