@@ -434,11 +434,12 @@ def post_deploy_errors(t: Tables, start, end, deploy: Column, minutes: int = 30,
 
 
 def new_error_patterns(t: Tables, start, end, days: int = 7, least: int = 3) -> DataFrame:
-    severe = t["logs"].where(F.col("severity_text").isin("ERROR", "FATAL"))
-    recent = _window(severe, start, end).groupBy("service_name", "body").agg(F.count("*").alias("total")).where(F.col("total") >= least)
+    """(service_name, body, total): bodies are told apart by their digests, so that the days before send no texts."""
+    severe = t["logs"].where(F.col("severity_text").isin("ERROR", "FATAL")).withColumn("_digest", F.sha2("body", 256))
+    recent = _window(severe, start, end).groupBy("service_name", "_digest").agg(F.first("body").alias("body"), F.count("*").alias("total")).where(F.col("total") >= least)
     at = F.lit(start).cast("timestamp")
-    earlier = severe.where((F.col("ts") >= at - F.expr(f"INTERVAL {days} DAYS")) & (F.col("ts") < at))
-    return recent.join(earlier, ["service_name", "body"], "left_anti")
+    earlier = severe.where((F.col("ts") >= at - F.expr(f"INTERVAL {days} DAYS")) & (F.col("ts") < at)).select("service_name", "_digest").distinct()
+    return recent.join(earlier, ["service_name", "_digest"], "left_anti").drop("_digest")
 
 
 def cascading_failures(t: Tables, start, end, services: int = 3, rate: float = 0.1, least: int = 10) -> DataFrame:
