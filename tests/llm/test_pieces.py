@@ -55,7 +55,7 @@ def test_best_paths_match_a_dictionary(pieces, vocabulary):
         assert score_of(pieces, np.frombuffer(ids, np.int32).tolist()) == pytest.approx(slow_best(pieces, vocabulary, word))
 
 
-def test_scores_match_the_library_with_a_unigram_model(pieces, vocabulary):
+def test_scores_match_the_library_with_a_unigram_model(spark, sf_dir, pieces, vocabulary):
     """The same vocabulary with our scores, run by the public library as a unigram model."""
 
     def varint(n):
@@ -81,6 +81,12 @@ def test_scores_match_the_library_with_a_unigram_model(pieces, vocabulary):
         assert library.decode(ours) == text
 
 
+    for row in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():  # whole texts
+        theirs, ours = library.encode(row.text or ""), pieces.encode([row.text or ""], {})[0].tolist()
+        assert score_of(pieces, ours) == pytest.approx(score_of(pieces, theirs), rel=1e-5), row.doc_id
+        assert library.decode(ours) == (row.text or "")
+
+
 def test_round_trip_of_odd_texts(pieces, edge):
     texts = ["", "x", " lead", "trail ", "two  spaces", "▁ mark ▁▁", "a\n\n b\tc\r\n", "\x00", "漢字😀", " ", "\n", "a" * 3000, *(r.text for r in edge.collect())]
     for text, ids in zip(texts, pieces.encode(texts, {})):
