@@ -27,6 +27,16 @@ def test_matches_brute_force_with_nested_rules(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string").selectExpr("*", "url AS host", "url AS rule", "1 AS copies")
     got = sorted(((r.page, r.host, r.path, r.rule, r.verdict) for r in uf.judge_urls(pages, uf.rule_table(spark, rules), salts=3).collect()), key=repr)
     assert got == sorted(((i, *brute(u, rules)) for i, u in rows), key=repr)
+    more = sorted(((r.page, r.host, r.path, r.rule, r.verdict) for r in uf.judge_urls(pages, uf.rule_table(spark, rules), salts=1, per_sweep=5).collect()), key=repr)
+    assert more == got  # many sweeps of a host, as many as its pages ask for
+
+
+def test_of_two_rules_as_long_the_one_for_the_longer_host_wins(spark):
+    rules = uf.rule_table(spark, [("a.com", "/xx", "block"), ("b.a.com", "/", "allow"), ("a.com", "/y", "allow"), ("a.com", "/y", "block")])
+    urls = ["http://b.a.com/xx", "http://b.a.com/q", "http://c.a.com/xx", "http://a.com/y" + "z" * 30_000]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page: (r.rule, r.verdict) for r in uf.judge_urls(pages, rules).collect()}
+    assert got == {0: ("b.a.com/", "allow"), 1: ("b.a.com/", "allow"), 2: ("a.com/xx", "block"), 3: ("a.com/y", "block")}
 
 
 def test_empty_tables(spark):

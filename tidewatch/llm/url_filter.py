@@ -8,8 +8,9 @@ and a page takes the innermost rule of the last stack whose interval holds its k
 (Intervals of prefixes nest or are disjoint, so whatever has closed since is on top
 of what is still open.)
 
-The sweep is dealt out by the reversed host and a salt of the page, so a host that
-holds a third of all pages is swept in ``salts`` tasks; only its few rules are copied.
+The sweep is dealt out by the reversed host and a salt of the page. Pages of a host
+are counted first, and a host gets as many salts as keep a sweep under ``per_sweep``
+pages, however many it has; only its few rules are copied.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import ascii_lower, checked_broadcast
+from tidewatch.llm.common import ascii_lower, checked_broadcast, materialize
 
 ALLOW, BLOCK = "allow", "block"
 RULES = "host string, path string, action string"
@@ -50,13 +51,13 @@ def rule_stacks(rules: DataFrame) -> DataFrame:
     return around.agg(stack.alias("stack")).select("site", F.concat("site", "of").alias("key"), "stack")
 
 
-def judge_urls(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", url: str = "url", default: str = ALLOW, salts: int = 64) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", url: str = "url", default: str = ALLOW, salts: int = 64, per_sweep: int = 1 << 17) -> DataFrame:
     """(page, host, path, rule, verdict): one row for each row of ``pages``.
 
     ``rules`` has host, path, action (``allow`` or ``block``). A rule fits its host and
     all subdomains where the page's path starts with its path; the longest wins (of two
     as long, the one for the longer host). Without a rule, ``rule`` is null and
-    ``default`` the verdict.
+    ``default`` the verdict. ``salts`` is the least number of sweeps of a host.
 
     Defined cases: a null url, or one without ``://``, has an empty host and path;
     repeated rows give as many rows; an empty table or rule list is no error; extra
@@ -69,8 +70,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", url
     each = labels.select("page", "url", "path", "labels", F.explode(F.sequence(F.lit(1), F.size("labels"))).alias("depth"))
     keys = each.select("page", "url", "depth", F.array_join(F.slice("labels", 1, F.col("depth")), ".").alias("site"), "path").withColumn("key", F.concat("site", "path"))
     asked = keys.join(checked_broadcast(stacks.select("site").distinct(), 1 << 16), "site", "left_semi")
-    salted = asked.select("site", F.pmod(F.xxhash64("page", "url"), F.lit(salts)).cast("int").alias("salt"), "key", F.lit(1).alias("kind"), "page", "url", "depth", F.lit(None).cast(dict(stacks.dtypes)["stack"]).alias("stack"))
-    copies = stacks.select("site", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "key", F.lit(0).alias("kind"), *(F.lit(None).cast(dict(salted.dtypes)[c]).alias(c) for c in ("page", "url", "depth")), "stack")
+    parts = F.greatest(F.lit(salts), F.ceil(F.count("*") / per_sweep)).cast("int")
+    sizes = materialize(asked.groupBy("site").agg(parts.alias("parts")), "site-sizes")
+    salted = asked.join(checked_broadcast(sizes, 1 << 16), "site").select("site", F.pmod(F.xxhash64("page", "url"), F.col("parts")).cast("int").alias("salt"), "key", F.lit(1).alias("kind"), "page", "url", "depth", F.lit(None).cast(dict(stacks.dtypes)["stack"]).alias("stack"))
+    copies = stacks.join(sizes, "site").select("site", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), "key", F.lit(0).alias("kind"), *(F.lit(None).cast(dict(salted.dtypes)[c]).alias(c) for c in ("page", "url", "depth")), "stack")
     sweep = Window.partitionBy("site", "salt").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     swept = salted.unionByName(copies).withColumn("open", F.last("stack", ignorenulls=True).over(sweep)).where("kind = 1 and open is not null")
     inside = F.filter("open", lambda r: F.startswith(F.col("key"), F.concat(F.col("site"), r["path"])))
