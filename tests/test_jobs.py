@@ -116,3 +116,27 @@ def test_stateful_anomalies_on_a_stream(spark, tmp_path):
     with plans._small_state(spark, rocksdb=True):
         got = jobs.drain(jobs.anomalies(jobs.read(spark, str(tmp_path / "in"), rows.schema), jobs.EwmaMonitor()), spark, "anomalies").collect()
     assert {r["at"]: r.anomalous for r in got} == {i: ewma(values[: i + 1])[1] for i in range(12, len(values))}
+
+
+def test_late_rows_follow_the_policy_of_each_stream(spark, tmp_path):
+    """Windows drop rows behind the watermark, partial rows keep them; sessions end after a gap."""
+    import time
+
+    from tidewatch.operators import rollup
+    from tidewatch.streaming import jobs
+
+    schema = "series_key string, ts timestamp, ts_ms bigint, value double"
+    for at in ([10, 3600], [3700], [20], [18_000]):  # the third file is late; a watermark filters from the second batch after it on
+        rows = [("s", t * 1000, float(t)) for t in at]
+        df = spark.createDataFrame(rows, "series_key string, ts_ms bigint, value double").withColumn("ts", F.timestamp_millis("ts_ms")).select("series_key", "ts", "ts_ms", "value")
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)  # files are read in order of their times
+    stream = lambda: jobs.read(spark, str(tmp_path / "in"), schema, 1)
+    with plans._small_state(spark):
+        closed = {r.bucket: (r.cnt, r["sum"]) for r in jobs.drain(jobs.rollup_windows(stream(), 60, "10 minutes"), spark, "closed").collect()}
+        sessions = {(r.started, r.ended, r.events) for r in jobs.drain(jobs.session_windows(stream(), "series_key", "30 minutes", "10 minutes"), spark, "sessions").collect()}
+    assert closed == {0: (1, 10.0), 3600: (1, 3600.0), 3660: (1, 3700.0)}
+    assert sessions == {(10, 1810, 1), (3600, 5500, 2)}
+    path = str(tmp_path / "partials")
+    jobs.rollup_partials(stream(), path, path + "-state", 60).awaitTermination()
+    assert {r.bucket: (r.cnt, r["sum"]) for r in rollup.merge(spark.read.parquet(path)).collect()} == {0: (2, 30.0), 3600: (1, 3600.0), 3660: (1, 3700.0), 18_000: (1, 18_000.0)}
