@@ -43,7 +43,7 @@ def test_entry_works_without_the_subpackage(monkeypatch):
     assert "pipeline" not in entry.queries() and not any(q.startswith("op1_") for q in entry.queries())
 
 
-@pytest.mark.parametrize("n", range(1, 11))
+@pytest.mark.parametrize("n", range(1, 14))
 def test_one_query_for_each_operator(n):
     entry = importlib.import_module("__spark_entry__")
     assert len([q for q in entry.queries() if q.startswith(f"op{n}_")]) == 1

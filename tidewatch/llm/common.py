@@ -33,8 +33,8 @@ def shared_folder(spark: SparkSession) -> str:
 _WRITTEN: dict[str, list[str]] = {}
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once into the shared folder and read it back.
+def materialize(df: DataFrame, label: str, **options) -> DataFrame:
+    """Write ``df`` once into the shared folder, with options of the Parquet writer, and read it back.
 
     Cuts the lineage: a lost executor costs a reread, not a recomputation, and
     several consumers share one computation. The folder stays until ``release``.
@@ -42,7 +42,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -6,7 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import chat, language, pii
+from tidewatch.llm import chat, language, mixing, pii, whitening
+from tidewatch.llm.collocations import ranked_collocations
 from tidewatch.llm.common import table
 from tidewatch.llm.decontaminate import phrase_matches, words_hit
 from tidewatch.llm.line_dedup import drop_shared_lines
@@ -191,3 +192,91 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(sum(role_chars + text_chars + length('<s>[INST][/INST]</s>')) AS BIGINT) AS formatted_chars
 FROM sized GROUP BY conv_id
 """
+
+
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(rows)
+    n, explained, error = (None, [], None) if model is None else (model.n, [float(v) / model.trace if model.trace else None for v in model.values], model.identity_error)
+    share = F.get(F.array(*(F.lit(e).cast("double") for e in explained)).cast("array<double>"), F.col("component_") - 1)
+    return whitening.whiten(rows, model).select(
+        "vec_id", F.col("component_").alias("component"), F.lit(n).cast("long").alias("n"), F.expr("try_cast(deviation_ AS bigint)").alias("deviation"),
+        F.col("whitened_").alias("whitened"), share.alias("explained"), F.lit(error).cast("double").alias("identity_error"),
+    )
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ranked_collocations(table(spark, sf_dir, "documents"))
+    return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+OP12_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), f1 AS (
+  SELECT lang, x, count(*)::HUGEINT AS f FROM (SELECT lang, unnest(w) AS x FROM w) GROUP BY ALL
+), f2 AS (
+  SELECT lang, w[i] AS x, w[i + 1] AS y, count(*)::HUGEINT AS f FROM (SELECT lang, w, unnest(range(1, len(w))) AS i FROM w WHERE len(w) > 1) GROUP BY ALL HAVING count(*) >= 10
+), f3 AS (
+  SELECT lang, w[i] AS x, w[i + 1] AS y, w[i + 2] AS z, count(*)::HUGEINT AS f FROM (SELECT lang, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) > 2) GROUP BY ALL HAVING count(*) >= 10
+), cuts AS (
+  SELECT lang, x || ' ' || y AS phrase, c.f AS a, 1 AS k, p.f AS l, q.f AS r FROM f2 c JOIN f1 p USING (lang, x) JOIN (SELECT lang, x AS y, f FROM f1) q USING (lang, y)
+  WHERE NOT EXISTS (SELECT 1 FROM f3 t WHERE t.lang = c.lang AND t.x = c.x AND t.y = c.y AND 100 * t.f >= 50 * c.f)
+    AND NOT EXISTS (SELECT 1 FROM f3 t WHERE t.lang = c.lang AND t.y = c.x AND t.z = c.y AND 100 * t.f >= 50 * c.f)
+  UNION ALL SELECT lang, x || ' ' || y || ' ' || z, c.f, 1, p.f, q.f FROM f3 c JOIN f1 p USING (lang, x) JOIN (SELECT lang, x AS y, y AS z, f FROM f2) q USING (lang, y, z)
+  UNION ALL SELECT lang, x || ' ' || y || ' ' || z, c.f, 2, p.f, q.f FROM f3 c JOIN f2 p USING (lang, x, y) JOIN (SELECT lang, x AS z, f FROM f1) q USING (lang, z)
+), scored AS (
+  SELECT *, 1000000 * a * a // (l * r) AS score FROM cuts
+), least_cut AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM least_cut JOIN (SELECT lang, sum(f) AS n FROM f1 GROUP BY lang) USING (lang)
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+"""
+
+
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP13_SQL = r"""
+WITH sizes AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+), totals AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w, row_number() OVER (ORDER BY source NULLS LAST) AS i FROM sizes GROUP BY source
+), levels AS (
+  SELECT *, 2.0 * source_size AS cap, (1.5 * sum(source_size) OVER () - coalesce(sum(2.0 * source_size) OVER full_first, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER full_first, 0)) AS level
+  FROM totals WINDOW full_first AS (ORDER BY 2.0 * source_size / w, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), targets AS (
+  SELECT source, source_size, i, CASE WHEN min(CASE WHEN cap > level * w THEN cap / w END) OVER () <= cap / w THEN first_value(level) OVER (ORDER BY NOT cap > level * w, cap / w, i) * w ELSE cap END AS target FROM levels
+), laid AS (
+  SELECT *, row_number() OVER () AS row_id, CAST(sum(size) OVER (PARTITION BY i, shard ORDER BY draw, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS start FROM (
+    SELECT *, CAST('0x' || substr(draw, 1, 8) AS BIGINT) % greatest(CAST(ceil(source_size / 524288) AS BIGINT), 1) AS shard FROM (
+      SELECT doc_id, size, copy, i, source_size, target, md5('13|' || coalesce(CAST(doc_id AS VARCHAR), '-') || '|' || copy) AS draw
+      FROM (SELECT *, row_number() OVER (PARTITION BY source, doc_id, size) AS copy FROM sizes) s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source WHERE size > 0))
+), parts AS (
+  SELECT i, shard, target, source_size, CAST(sum(size) AS BIGINT) AS shard_size, CAST(ceil(sum(size) / 32) AS BIGINT) AS blocks FROM laid GROUP BY ALL
+), by_source AS (
+  SELECT i, target, CAST(2 * sum(blocks) AS BIGINT) AS room, CAST(floor(sum(source_size) OVER () * 1.5 / 32 + 0.5) AS BIGINT) AS seats FROM parts GROUP BY i, target, source_size
+), source_quotas AS (
+  SELECT i, count(*) AS quota FROM (SELECT i, seats, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, i, k) AS rank FROM (SELECT *, unnest(range(0, room)) AS k FROM by_source)) WHERE rank <= seats GROUP BY i
+), quotas AS (
+  SELECT i, shard, blocks, count(*) AS quota FROM (
+    SELECT i, shard, blocks, quota, row_number() OVER (PARTITION BY i ORDER BY shard_size / (2 * k + 1) DESC, shard, k) AS rank FROM (SELECT *, unnest(range(0, 2 * blocks)) AS k FROM parts JOIN source_quotas USING (i))
+  ) WHERE rank <= quota GROUP BY ALL
+), chosen AS (
+  SELECT i, shard, block FROM (
+    SELECT *, row_number() OVER (PARTITION BY i, shard ORDER BY md5('13|' || shard || '|' || block), block) AS rank FROM (SELECT i, shard, quota % blocks AS rest, unnest(range(0, blocks)) AS block FROM quotas)
+  ) WHERE rank <= rest
+), extra AS (
+  SELECT row_id, sum(least(start + size, (block + 1) * 32) - greatest(start, block * 32)) AS extra
+  FROM (SELECT *, unnest(range(start // 32, (start + size - 1) // 32 + 1)) AS block FROM laid) JOIN chosen USING (i, shard, block) GROUP BY row_id
+)
+SELECT doc_id, size, source_size, target, CAST(coalesce(quota // blocks, 0) * size + coalesce(extra, 0) AS BIGINT) AS taken
+FROM laid LEFT JOIN quotas USING (i, shard) LEFT JOIN extra USING (row_id)
+UNION ALL SELECT doc_id, size, source_size, target, 0 FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source WHERE size = 0
+"""
