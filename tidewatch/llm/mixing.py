@@ -110,11 +110,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     quotas = materialize(apportion(room, ["source"], "shard_size", "source_quota", "room", "shard").select("source", "shard", "blocks", "quota"), "quotas")
 
     rounds = F.floor(F.col("quota") / F.col("blocks"))
-    every = quotas.select("source", "shard", (F.col("quota") - rounds * F.col("blocks")).alias("rest"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    # few rows become many blocks: they are spread first, and the join must not take them for a small side
+    every = quotas.repartition("source", "shard").select("source", "shard", (F.col("quota") - rounds * F.col("blocks")).alias("rest"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
     drawn_blocks = Window.partitionBy("source", "shard").orderBy(_draw("shard", "block"), "block")
     chosen = every.where("rest > 0").withColumn("rank", F.row_number().over(drawn_blocks)).where("rank <= rest").select(F.col("source").alias("of_"), F.col("shard").alias("in_"), "block")
     cut = laid.select("source", "shard", "doc_id", "copy", "size", "start", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("at_"))
-    hit = cut.join(chosen, F.col("source").eqNullSafe(F.col("of_")) & (F.col("shard") == F.col("in_")) & (F.col("at_") == F.col("block")), "left_semi")
+    hit = cut.join(chosen.hint("merge"), F.col("source").eqNullSafe(F.col("of_")) & (F.col("shard") == F.col("in_")) & (F.col("at_") == F.col("block")), "left_semi")
     inside = F.least(F.col("start") + F.col("size"), (F.col("at_") + 1) * block) - F.greatest(F.col("start"), F.col("at_") * block)
     keys = ["source", "shard", "doc_id", "copy", "size"]
     extra = hit.groupBy(*keys).agg(F.sum(inside).alias("extra"))
