@@ -103,3 +103,21 @@ def test_a_common_key_is_refused(spark, monkeypatch):
     df = spark.createDataFrame([("en", "a b a b a b")], "lang string, text string")
     assert [r.phrase for r in c.ranked_collocations(df, least=2).collect()] == [p[2] for p in brute([("en", "a b a b a b")], 2)]
     assert set(seeds) == {0, 1}
+
+
+@pytest.mark.parametrize("many", [1, c.Bucket.MANY])
+def test_packed_counts_are_unpacked(monkeypatch, many):
+    monkeypatch.setattr(c.Bucket, "MANY", many)
+    rng = np.random.default_rng(2)
+    cells = (rng.integers(0, 3, 5000) << c.CELL_BITS | rng.integers(0, 3000, 5000)).astype(np.uint32)
+    counts = rng.choice([1, 2, 255, 256, 10_000], 5000)
+    want, buckets = Counter(), {}
+    for cell, n in zip(cells.tolist(), counts.tolist()):
+        want[cell] += n
+    for part in (slice(0, 2000), slice(2000, None)):
+        for bucket, data in c.packed(cells[part], counts[part]):
+            buckets.setdefault(bucket, c.Bucket()).add(data)
+    for least in (1, 300, 20_000):
+        got = {(b << c.CELL_BITS) + at for b, held in buckets.items() for at in held.reaching(least).tolist()}
+        assert got == {cell for cell, n in want.items() if n >= least}
+    assert not list(c.packed(cells[:0], counts[:0]))

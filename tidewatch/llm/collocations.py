@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 from tidewatch.llm.common import materialize
 
 #: Words of a shard, at most (a piece of text stays whole), and bits of a filter: 8 MB.
-SHARD_WORDS, FILTER_BITS = 2_000_000, 1 << 26
+SHARD_WORDS, FILTER_BITS = 3_000_000, 1 << 26
+#: Bits of a cell's place in its bucket; a cell has 32.
+CELL_BITS = 22
 
 
 # ------------------------------------------------------------------ one shard
@@ -136,11 +138,15 @@ def _index_rows(batches: Iterator[pa.RecordBatch], shard_words: int) -> Iterator
 
 def _bits(keys: DataFrame, key: str, bits: int) -> np.ndarray:
     """A filter of keys modulo ``bits``, a power of two: ``bits / 8`` bytes, however many keys there are."""
-    at = F.pmod(F.col(key).cast("long"), F.lit(bits))
-    word = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int")))
-    cells = keys.groupBy(F.shiftright(at, 6).cast("int").alias("w")).agg(word.alias("b")).toArrow()
+    at = F.pmod(F.col(key), F.lit(bits))
+    return _collected(keys.select(F.shiftright(at, 6).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int")).alias("b")), bits)
+
+
+def _collected(words: DataFrame, bits: int) -> np.ndarray:
+    """The filter of (w, b), 64 bits each, that tasks have found."""
+    found = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     out = np.zeros(bits // 64, dtype=np.int64)
-    out[cells["w"].to_numpy()] = cells["b"].to_numpy()
+    out[found["w"].to_numpy()] = found["b"].to_numpy()
     return out.view(np.uint64)
 
 
@@ -149,11 +155,97 @@ def _has(filter_: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (filter_[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
-def _cells(keys: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """32 bits for each pair of words; pairs that share a cell are counted together, so that none is undercounted."""
-    mixed = (keys[first - 1].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ keys[second - 1].view(np.uint64)
-    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (mixed >> np.uint64(32)).astype(np.uint32).view(np.int32)
+def _cells(*keys: np.ndarray) -> np.ndarray:
+    """32 bits for each phrase of word keys; phrases that share a cell are counted together, so that none is undercounted."""
+    mixed = np.zeros(len(keys[0]), np.uint64)
+    for key in keys:
+        mixed = (mixed ^ key.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    return ((mixed * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32)).astype(np.uint32)
+
+
+def packed(cells: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(bucket, bytes) of cells and their counts: sorted, as differences of three bytes, with a count of one byte.
+
+    Bytes of a kind stand together, so that Spark's compression of shuffles leaves about two
+    a cell. Larger counts take several entries.
+    """
+    many = -(-counts // 255)
+    cells, counts = np.repeat(cells, many), np.minimum(np.repeat(counts, many) - 255 * (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)), 255)
+    order = np.argsort(cells)
+    cells, counts = cells[order], counts[order].astype(np.uint8)
+    cuts = np.r_[0, np.flatnonzero(np.diff(cells >> CELL_BITS)) + 1, len(cells)]
+    for low, high in zip(cuts[:-1], cuts[1:]):
+        if high > low:
+            steps = np.diff(cells[low:high] & np.uint32((1 << CELL_BITS) - 1), prepend=np.uint32(0)).astype("<u4")
+            yield int(cells[low] >> CELL_BITS), steps.view(np.uint8).reshape(-1, 4)[:, :3].T.tobytes() + counts[low:high].tobytes()
+
+
+class Bucket:
+    """The counts of one bucket's cells: a list while they are few, then an array of 32 MB."""
+
+    MANY = 1 << 20
+
+    def __init__(self):
+        self.total, self.parts, self.size = None, [], 0
+
+    def add(self, data: bytes) -> None:
+        """Add what ``packed`` has made of a shard's cells."""
+        planes = np.frombuffer(data, np.uint8).reshape(4, -1).astype(np.int64)
+        self.parts.append((np.cumsum(planes[0] + (planes[1] << 8) + (planes[2] << 16)), planes[3]))
+        self.size += planes.shape[1]
+        if self.size >= self.MANY:
+            self._fold()
+
+    def _fold(self) -> None:
+        self.total = np.zeros(1 << CELL_BITS, np.int64) if self.total is None else self.total
+        for at, n in self.parts:
+            np.add.at(self.total, at, n)
+        self.parts, self.size = [], 0
+
+    def reaching(self, least: int) -> np.ndarray:
+        """The cells that add up to ``least``."""
+        if self.total is not None:
+            self._fold()
+            return np.flatnonzero(self.total >= least)
+        at, place = np.unique(np.concatenate([p for p, _ in self.parts]), return_inverse=True)
+        return at[np.bincount(place, np.concatenate([n for _, n in self.parts])) >= least]
+
+
+def _common(shards: DataFrame, columns: list[str], phrases: callable, least: int, bits: int) -> np.ndarray:
+    """A filter of the cells whose phrases, ``phrases`` of a shard, add up to the count.
+
+    Each of 1024 buckets of cells is added up as its rows stream by.
+    """
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                found = list(packed(*phrases(batch, i)))
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array([b for b, _ in found], pa.int32()), "data": pa.array([d for _, d in found], pa.binary())})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, cells = None, Bucket()
+
+        def words() -> pa.RecordBatch:
+            at = ((now << CELL_BITS) + cells.reaching(least)) & (bits - 1)
+            held, place = np.unique(at >> 6, return_inverse=True)
+            out = np.zeros(len(held), np.uint64)
+            np.bitwise_or.at(out, place, np.uint64(1) << (at & 63).astype(np.uint64))
+            return pa.RecordBatch.from_pydict({"w": pa.array(held, pa.int32()), "b": pa.array(out.view(np.int64))})
+
+        for batch in batches:
+            for bucket, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if bucket != now:
+                    if now is not None:
+                        yield words()
+                    now, cells = bucket, Bucket()
+                cells.add(data)
+        if now is not None:
+            yield words()
+
+    parts = shards.select(*columns).mapInArrow(send, "bucket int, data binary").repartition("bucket").sortWithinPartitions("bucket")
+    return _collected(parts.mapInArrow(add, "w int, b bigint"), bits)
 
 
 def _frequent_pairs(batch: pa.RecordBatch, i: int, frequent: np.ndarray) -> tuple:
@@ -183,9 +275,9 @@ def counted_phrases(docs: DataFrame, least: int = 10, shard_words: int = SHARD_W
     """(words, pairs, triples) of (lang, text): all words (lang, word, f, key), and the phrases of at
     least that count (k1, k2, f) and (k1, k2, k3, f), by the keys of their words.
 
-    Two filters of ``filter_bits / 8`` bytes go to the tasks, whatever the corpus: one of the
-    words that reach the count, one of the pairs whose cell does. Neither loses a candidate,
-    and what they let through is counted exactly.
+    Three filters of ``filter_bits / 8`` bytes go to the tasks, whatever the corpus: one of the
+    words that reach the count, one each of the pairs and triples whose cells do. None loses a
+    candidate, and what they let through is counted exactly.
     """
     spark = docs.sparkSession
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
@@ -195,26 +287,38 @@ def counted_phrases(docs: DataFrame, least: int = 10, shard_words: int = SHARD_W
     words = words.withColumn("key", _key(seed, "lang", "word"))
     frequent = spark.sparkContext.broadcast(_bits(words.where(F.col("f") >= least), "key", filter_bits))
 
-    def count_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                keys, first, second, count, _ = _frequent_pairs(batch, i, frequent.value)
-                yield from _batches({"cell": _cells(keys, first, second), "n": count.astype(np.int32)})
+    def two(batch: pa.RecordBatch, i: int) -> tuple:
+        keys, first, second, count, _ = _frequent_pairs(batch, i, frequent.value)
+        return _cells(keys[first - 1], keys[second - 1]), count
+
+    common = spark.sparkContext.broadcast(_common(keyed, ["keys", "counts", "before"], two, least, filter_bits))
+
+    def kept_pairs(batch: pa.RecordBatch, i: int) -> tuple:
+        keys, *found = _frequent_pairs(batch, i, frequent.value)
+        kept = _has(common.value, _cells(keys[found[0] - 1], keys[found[1] - 1]))
+        return keys, *(v[kept] for v in found)
+
+    def triples(batch: pa.RecordBatch, i: int) -> tuple:
+        keys, first, second, count, row = kept_pairs(batch, i)
+        which, third, times = extended(batch.column("after")[i].values.to_numpy(zero_copy_only=False), row, count)
+        kept = _has(common.value, _cells(keys[second[which] - 1], keys[third - 1]))
+        which, third = which[kept], third[kept]
+        return keys[first[which] - 1], keys[second[which] - 1], keys[third - 1], times[kept]
+
+    def three(batch: pa.RecordBatch, i: int) -> tuple:
+        *k, times = triples(batch, i)
+        return _cells(*k), times
 
-    cells = keyed.select("keys", "counts", "before").mapInArrow(count_cells, "cell int, n int").groupBy("cell").agg(F.sum("n").alias("n"))
-    common = spark.sparkContext.broadcast(_bits(cells.where(F.col("n") >= least), "cell", filter_bits))
+    long = spark.sparkContext.broadcast(_common(keyed, ["keys", "counts", "before", "after"], three, least, filter_bits))
 
     def count_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                keys, *found = _frequent_pairs(batch, i, frequent.value)
-                kept = _has(common.value, _cells(keys, *found[:2]))
-                first, second, count, row = (v[kept] for v in found)
+                keys, first, second, count, _ = kept_pairs(batch, i)
                 yield from _batches({"k1": keys[first - 1], "k2": keys[second - 1], "k3": None, "f": count})
-                which, third, times = extended(batch.column("after")[i].values.to_numpy(zero_copy_only=False), row, count)
-                kept = _has(common.value, _cells(keys, second[which], third))
-                which, third = which[kept], third[kept]
-                yield from _batches({"k1": keys[first[which] - 1], "k2": keys[second[which] - 1], "k3": keys[third - 1], "f": times[kept]})
+                *k, times = triples(batch, i)
+                kept = _has(long.value, _cells(*k))
+                yield from _batches({"k1": k[0][kept], "k2": k[1][kept], "k3": k[2][kept], "f": times[kept]})
 
     found = keyed.select("keys", "counts", "before", "after").mapInArrow(count_phrases, "k1 bigint, k2 bigint, k3 bigint, f bigint")
     phrases = materialize(found.groupBy("k1", "k2", "k3").agg(F.sum("f").alias("f")).where(F.col("f") >= least), "phrases")
