@@ -121,3 +121,22 @@ def test_packed_counts_are_unpacked(monkeypatch, many):
         got = {(b << c.CELL_BITS) + at for b, held in buckets.items() for at in held.reaching(least).tolist()}
         assert got == {cell for cell, n in want.items() if n >= least}
     assert not list(c.packed(cells[:0], counts[:0]))
+
+
+@pytest.mark.parametrize("many", [1, c.Phrases.MANY])
+def test_blocks_add_up_to_the_counts_of_their_phrases(monkeypatch, many):
+    monkeypatch.setattr(c.Phrases, "MANY", many)
+    rng = np.random.default_rng(8)
+    want, rows = Counter(), []
+    for _ in range(4):
+        pairs = np.unique(rng.integers(-9, 9, (60, 2)), axis=0)
+        f2, n = rng.integers(1, 9, len(pairs)), rng.integers(0, 4, len(pairs))
+        third = np.concatenate([rng.choice(20, k, replace=False) for k in n]).astype(np.int64)
+        f3 = rng.integers(1, 9, len(third))
+        which = np.repeat(np.arange(len(pairs)), n)
+        want.update({(*p, None): int(f) for p, f in zip(pairs.tolist(), f2)})
+        want.update({(*pairs[w].tolist(), int(z)): int(f) for w, z, f in zip(which, third, f3)})
+        rows += [r for b in c.blocks(pairs[:, 0].copy(), pairs[:, 1].copy(), f2, which, third, f3) for r in (b.slice(i, 1) for i in range(b.num_rows))]
+    rows.sort(key=lambda r: r.column("bucket")[0].as_py())
+    got = {(r["k1"], r["k2"], r["k3"]): r["f"] for b in c._summed(iter(rows), 5) for r in b.to_pylist()}
+    assert got == {k: f for k, f in want.items() if f >= 5}

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tidewatch.llm.common import materialize
 
 #: Words of a shard, at most (a piece of text stays whole), and bits of a filter: 8 MB.
-SHARD_WORDS, FILTER_BITS = 3_000_000, 1 << 26
+SHARD_WORDS, FILTER_BITS = 2_000_000, 1 << 26
 #: Bits of a cell's place in its bucket; a cell has 32.
 CELL_BITS = 22
 
@@ -298,38 +298,106 @@ def counted_phrases(docs: DataFrame, least: int = 10, shard_words: int = SHARD_W
         kept = _has(common.value, _cells(keys[found[0] - 1], keys[found[1] - 1]))
         return keys, *(v[kept] for v in found)
 
-    def triples(batch: pa.RecordBatch, i: int) -> tuple:
-        keys, first, second, count, row = kept_pairs(batch, i)
+    def triples(batch: pa.RecordBatch, i: int, found: tuple) -> tuple:
+        keys, _, second, count, row = found
         which, third, times = extended(batch.column("after")[i].values.to_numpy(zero_copy_only=False), row, count)
         kept = _has(common.value, _cells(keys[second[which] - 1], keys[third - 1]))
-        which, third = which[kept], third[kept]
-        return keys[first[which] - 1], keys[second[which] - 1], keys[third - 1], times[kept]
+        return which[kept], third[kept], times[kept]
 
     def three(batch: pa.RecordBatch, i: int) -> tuple:
-        *k, times = triples(batch, i)
-        return _cells(*k), times
+        keys, first, second, *_ = found = kept_pairs(batch, i)
+        which, third, times = triples(batch, i, found)
+        return _cells(keys[first[which] - 1], keys[second[which] - 1], keys[third - 1]), times
 
     long = spark.sparkContext.broadcast(_common(keyed, ["keys", "counts", "before", "after"], three, least, filter_bits))
 
-    def count_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                keys, first, second, count, _ = kept_pairs(batch, i)
-                yield from _batches({"k1": keys[first - 1], "k2": keys[second - 1], "k3": None, "f": count})
-                *k, times = triples(batch, i)
-                kept = _has(long.value, _cells(*k))
-                yield from _batches({"k1": k[0][kept], "k2": k[1][kept], "k3": k[2][kept], "f": times[kept]})
-
-    found = keyed.select("keys", "counts", "before", "after").mapInArrow(count_phrases, "k1 bigint, k2 bigint, k3 bigint, f bigint")
-    phrases = materialize(found.groupBy("k1", "k2", "k3").agg(F.sum("f").alias("f")).where(F.col("f") >= least), "phrases")
+                keys, first, second, count, row = kept_pairs(batch, i)
+                which, third, times = triples(batch, i, (keys, first, second, count, row))
+                kept = _has(long.value, _cells(keys[first[which] - 1], keys[second[which] - 1], keys[third - 1]))
+                yield from blocks(keys[first - 1], keys[second - 1], count, which[kept], keys[third[kept] - 1], times[kept])
+
+    sent = keyed.select("keys", "counts", "before", "after").mapInArrow(send, BLOCK)
+    dealt = sent.repartition("bucket").sortWithinPartitions("bucket")
+    phrases = materialize(dealt.mapInArrow(lambda batches: _summed(batches, least), "k1 bigint, k2 bigint, k3 bigint, f bigint"), "phrases")
     return words, phrases.where("k3 IS NULL").drop("k3"), phrases.where("k3 IS NOT NULL")
 
 
-def _batches(columns: dict[str, np.ndarray | None], rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
-    n = len(next(iter(columns.values())))
-    whole = pa.RecordBatch.from_pydict({k: pa.nulls(n, pa.int64()) if v is None else pa.array(v) for k, v in columns.items()})
-    for start in range(0, n, rows):
-        yield whole.slice(start, rows)
+#: The pairs of a shard whose cells share a bucket, ``n`` triples of each, and the triples' third words.
+BLOCK = "bucket int, k1 array<bigint>, k2 array<bigint>, f2 array<int>, n array<int>, k3 array<bigint>, f3 array<int>"
+
+
+def blocks(k1: np.ndarray, k2: np.ndarray, f2: np.ndarray, which: np.ndarray, k3: np.ndarray, f3: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of ``BLOCK``: phrases by keys, triples after their pair, ``which`` in order."""
+    bucket = _cells(k1, k2) >> CELL_BITS
+    order = np.argsort(bucket, kind="stable")
+    n = np.bincount(which, minlength=len(k1))
+    starts = np.cumsum(n) - n
+    held, firsts = np.unique(bucket[order], return_index=True)
+    firsts = np.r_[firsts, len(order)]
+    at = np.repeat(starts[order], n[order]) + np.arange(n.sum()) - np.repeat(np.cumsum(n[order]) - n[order], n[order])
+    ends = np.r_[0, np.cumsum(n[order])][firsts]
+    lists = lambda values, cuts, kind: pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values, kind))
+    columns = [
+        pa.array(held, pa.int32()), lists(k1[order], firsts, pa.int64()), lists(k2[order], firsts, pa.int64()), lists(f2[order], firsts, pa.int32()), lists(n[order], firsts, pa.int32()),
+        lists(k3[at], ends, pa.int64()), lists(f3[at], ends, pa.int32()),
+    ]
+    yield pa.RecordBatch.from_arrays(columns, ["bucket", "k1", "k2", "f2", "n", "k3", "f3"])
+
+
+def _merged(keys: list[np.ndarray], f: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Equal rows of key columns as one, with the sum of their counts."""
+    order = np.lexsort(keys)
+    keys, f = [k[order] for k in keys], f[order]
+    new = np.flatnonzero(np.r_[True, np.any([k[1:] != k[:-1] for k in keys], axis=0)]) if len(f) else np.empty(0, np.int64)
+    return [k[new] for k in keys], np.add.reduceat(f, new) if len(new) else f
+
+
+class Phrases:
+    """The counts of one bucket's phrases, of pairs and of triples; what has come is merged whenever it has grown by a million."""
+
+    MANY = 1 << 20
+
+    def __init__(self):
+        self.held = {2: ([np.empty(0, np.int64)] * 2, np.empty(0, np.int64)), 3: ([np.empty(0, np.int64)] * 3, np.empty(0, np.int64))}
+        self.parts, self.size = {2: [], 3: []}, 0
+
+    def add(self, k1: np.ndarray, k2: np.ndarray, f2: np.ndarray, n: np.ndarray, k3: np.ndarray, f3: np.ndarray) -> None:
+        self.parts[2].append(([k1, k2], f2.astype(np.int64)))
+        self.parts[3].append(([np.repeat(k1, n), np.repeat(k2, n), k3], f3.astype(np.int64)))
+        self.size += len(k1) + len(k3)
+        if self.size >= self.MANY:
+            self._merge()
+
+    def _merge(self) -> None:
+        for size, parts in self.parts.items():
+            every = [self.held[size], *parts]
+            self.held[size] = _merged([np.concatenate([k[j] for k, _ in every]) for j in range(size)], np.concatenate([f for _, f in every]))
+        self.parts, self.size = {2: [], 3: []}, 0
+
+    def reaching(self, least: int) -> Iterator[pa.RecordBatch]:
+        self._merge()
+        for size, (keys, f) in self.held.items():
+            kept = f >= least
+            found = [pa.array(k[kept]) for k in keys]
+            third = found[2] if size == 3 else pa.nulls(int(kept.sum()), pa.int64())
+            yield pa.RecordBatch.from_arrays([*found[:2], third, pa.array(f[kept])], ["k1", "k2", "k3", "f"])
+
+
+def _summed(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """The phrases that reach the count, from rows of ``BLOCK`` in order of their buckets."""
+    now, phrases = None, Phrases()
+    for batch in batches:
+        for i, bucket in enumerate(batch.column("bucket").to_pylist()):
+            if bucket != now:
+                if now is not None:
+                    yield from phrases.reaching(least)
+                now, phrases = bucket, Phrases()
+            phrases.add(*(batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("k1", "k2", "f2", "n", "k3", "f3")))
+    if now is not None:
+        yield from phrases.reaching(least)
 
 
 def _cut(a: str, left: str, right: str, k: int) -> Column:
