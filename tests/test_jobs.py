@@ -106,16 +106,57 @@ def test_streams_equal_batches(spark, sf_dir):
     assert merged == batch
 
 
-def test_stateful_anomalies_on_a_stream(spark, tmp_path):
+def _series(n, length, seed):
+    """Random series with jumps, flat parts and a few values at most of some."""
+    import random
+
+    draw = random.Random(seed)
+    return {f"s{i}": [round(max(0.0, draw.gauss(50, draw.choice((0.0, 1.0, 20.0))) * draw.choice((1, 1, 1, 1, 3))), 3) for _ in range(draw.choice((5, 12, 13, length)))] for i in range(n)}
+
+
+def test_bands_of_streams_equal_those_of_batches(spark, tmp_path):
+    """From nothing, and from the bands that a batch has left at any point."""
     from tests.test_rules import ewma
+    from tidewatch.operators import rules
+    from tidewatch.streaming import jobs
+
+    series = _series(60, 40, 11)
+    rows = spark.createDataFrame([(k, i, v) for k, vs in series.items() for i, v in enumerate(vs)], "series_key string, at bigint, value double")
+    want = {(k, i): ewma(vs[: i + 1])[1] for k, vs in series.items() for i in range(12, len(vs))}
+    for cut in (0, 7, 20):
+        later = rows.where(F.col("at") >= cut)
+        later.coalesce(1).write.parquet(str(tmp_path / f"in{cut}"))
+        bands = rules.ewma_bands(rows.where(F.col("at") < cut), ["series_key"], "at") if cut else None
+        with plans._small_state(spark, rocksdb=True):
+            got = jobs.drain(jobs.anomalies(jobs.read(spark, str(tmp_path / f"in{cut}"), rows.schema), jobs.EwmaMonitor(), bands), spark, "anomalies").collect()
+        assert {(r.series_key, r["at"]): r.anomalous for r in got} == {k: v for k, v in want.items() if k[1] >= cut}
+
+
+def test_a_monitor_begins_with_what_a_batch_has_left(spark, tmp_path):
     from tidewatch.streaming import jobs
 
-    values = [float(i % 5) for i in range(30)] + [90.0, 2.0]
-    rows = spark.createDataFrame([("s", i, v) for i, v in enumerate(values)], "series_key string, at bigint, value double")
+    rows = spark.createDataFrame([("r", "a", 1, 57.0), ("r", "b", 1, 57.0)], "rule_id string, grp string, at bigint, value double")
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    before = spark.createDataFrame([("r", "a", "alert")], "rule_id string, grp string, state string")
     with plans._small_state(spark, rocksdb=True):
-        got = jobs.drain(jobs.anomalies(jobs.read(spark, str(tmp_path / "in"), rows.schema), jobs.EwmaMonitor()), spark, "anomalies").collect()
-    assert {r["at"]: r.anomalous for r in got} == {i: ewma(values[: i + 1])[1] for i in range(12, len(values))}
+        got = jobs.drain(jobs.monitor(jobs.read(spark, str(tmp_path / "in"), rows.schema), jobs.ThresholdMonitor(60.0, 58.0, 52.0), before), spark, "begun").collect()
+    assert {(r.grp, r.old_state, r.new_state) for r in got} == {("a", "alert", "warn"), ("b", "ok", "warn")}
+
+
+def test_a_batch_that_runs_again_is_found_once(spark, tmp_path):
+    """The second run of a batch overwrites what the first has left: its checkpoint is set back as after a crash."""
+    import shutil
+
+    from tidewatch.streaming import jobs
+
+    rows = spark.createDataFrame([(i, i % 3) for i in range(30)], "i int, g int")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    run = lambda: jobs.detect_each_batch(jobs.read(spark, str(tmp_path / "in"), rows.schema), lambda b: b.groupBy("g").count(), out, state).awaitTermination()
+    run()
+    shutil.rmtree(f"{state}/commits")
+    run()
+    assert sorted((r.g, r["count"], r.batch) for r in spark.read.parquet(out).collect()) == [(g, 10, 0) for g in range(3)]
 
 
 def test_late_rows_follow_the_policy_of_each_stream(spark, tmp_path):

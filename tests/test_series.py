@@ -162,3 +162,35 @@ def test_tiles_agree_with_whole_windows(spark, range_ms):
         assert got[k].quantile_over_time == window_["min_over_time"]
         for name, value in window_.items():
             assert got[k][name] == (None if value is None else pytest.approx(value, abs=1e-9)), (k, name)
+
+
+def test_long_ranges_merge_at_most_two_pieces(spark):
+    """A range of a thousand steps, sparse and dense series, values far from zero and some that are not finite."""
+    import random
+
+    pick = random.Random(4)
+    grid, range_ms = ts.Grid(0, 3_000_000, 1000), 1_000_000
+    series = {"dense": [(1000 * i + pick.randrange(1000), 1e9 + pick.random()) for i in range(-1000, 3000, 2)], "sparse": [(pick.randrange(-900_000, 3_000_000), float(pick.randrange(5))) for _ in range(40)], "one": [(1_500_000, 7.0)]}
+    rows = None
+    for name, points in series.items():
+        one = frame(spark, [(t / 1000, v) for t, v in points], s=name)
+        rows = one if rows is None else rows.unionByName(one)
+    pieces = ts._pieces(ts._tiles(ts.range_select(rows, grid, range_ms).select("series_key", "labels", "ts_ms", "value"), grid, range_ms, True), grid, range_ms, True)
+    assert pieces.groupBy("series_key", "k").count().agg(F.max("count")).first()[0] == 2
+    names = ["sum_over_time", "avg_over_time", "min_over_time", "count_over_time", "stdvar_over_time", "last_over_time", "first_over_time", "increase", "rate", "irate", "resets", "changes", "deriv"]
+    got = {(r.labels["s"], r.k): r for r in ts.range_functions(rows, grid, range_ms, {n: None for n in names}).collect()}
+    for name, points in series.items():
+        for k in [0, 1, 999, 1000, 1001, 1999, 2001, 3000, *(pick.randrange(3001) for _ in range(25))]:
+            want = brute_window(points, k * 1000 - range_ms, k * 1000)
+            assert (want is None) == ((name, k) not in got)
+            for f in names if want else ():
+                assert got[name, k][f] == (None if want[f] is None else pytest.approx(want[f], rel=1e-6, abs=1e-6)), (name, k, f)
+
+
+def test_a_value_that_is_no_number_spoils_only_its_windows(spark):
+    points = [(float(t), math.nan if t == 50 else float(t % 7)) for t in range(0, 200, 10)]
+    grid = ts.Grid(0, 190_000, 10_000)
+    for r in ts.range_functions(frame(spark, points), grid, 40_000, {n: None for n in ("stddev_over_time", "sum_over_time", "deriv", "min_over_time")}).collect():
+        spoiled = 50_000 <= r.k * 10_000 <= 90_000
+        assert (math.isnan(r.stddev_over_time), math.isnan(r.sum_over_time)) == (spoiled, spoiled) and not math.isnan(r.min_over_time)
+        assert r.deriv is None if r.k == 0 else math.isnan(r.deriv) == spoiled

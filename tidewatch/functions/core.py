@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,6 +82,54 @@ def shared_folder(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Folders made by ``scratch`` and not removed yet, by application.
+_WRITTEN: dict[str, list[str]] = {}
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder in the shared one; it stays until ``release``."""
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def materialize(df: DataFrame, label: str, **options) -> DataFrame:
+    """Write ``df`` once into the shared folder, with options of the Parquet writer, and read it back.
+
+    Cuts the lineage: a lost executor costs a reread, not a recomputation, and
+    several consumers share one computation. The folder stays until ``release``.
+    """
+    path = scratch(df.sparkSession, label)
+    df.write.options(**options).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def release(spark: SparkSession, keep_last: int = 0) -> None:
+    """Remove what this application has written to the shared folder, but the ``keep_last`` newest folders.
+
+    For use once all results that read those folders have been written.
+    """
+    paths = _WRITTEN.get(spark.sparkContext.applicationId, [])
+    while len(paths) > keep_last:
+        _remove(spark, paths.pop(0))
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the folder of one materialised frame that nothing reads any more."""
+    spark = df.sparkSession
+    for file in df.inputFiles()[:1]:
+        name = file.rpartition("/")[0].rpartition("/")[2]
+        paths = _WRITTEN.get(spark.sparkContext.applicationId, [])
+        for known in [p for p in paths if p.rpartition("/")[2] == name]:
+            paths.remove(known)
+            _remove(spark, known)
+
+
 def label_set(metric: str, service: str, attributes: str) -> Column:
     """Labels of a sample: name, service and attributes, without empty values."""
     named = F.create_map(F.lit("__name__"), F.col(metric), F.lit("service_name"), F.col(service))

@@ -67,16 +67,27 @@ def compare_windows(df: DataFrame, dimensions: dict[str, Column], selected: Colu
     return joined.select("dimension", "value", "selected", "baseline", F.round("selected_pct", 2).alias("selected_pct"), F.round("baseline_pct", 2).alias("baseline_pct"), lift.alias("lift"))
 
 
+#: Rows of a page, and the rows before it, at most; further pages are reached by ``keyset_page``.
+PAGE, DEEPEST = 1000, 50_000
+
+
+def _page_bounds(limit: int, offset: int = 0) -> None:
+    if limit > PAGE or offset > DEEPEST:
+        raise ValueError(f"a page has {PAGE} rows at most and begins after {DEEPEST} at most; go on with a cursor")
+
+
 def newest(df: DataFrame, limit: int = 100, offset: int = 0, columns: list[str] | None = None) -> DataFrame:
     """A page, newest first."""
-    page = df.orderBy(F.desc("ts_ns"), F.desc("span_id")).offset(min(offset, 50_000)).limit(min(limit, 1000))
+    _page_bounds(limit, offset)
+    page = df.orderBy(F.desc("ts_ns"), F.desc("span_id")).offset(offset).limit(limit)
     return page.select(*columns) if columns else page
 
 
 def keyset_page(df: DataFrame, limit: int = 100, cursor: tuple[int, str] | None = None) -> DataFrame:
     """The page after a cursor; the next cursor is the (ts_ns, span_id) of its last row."""
+    _page_bounds(limit)
     rows = df.where(before(cursor)) if cursor else df
-    return rows.orderBy(F.desc("ts_ns"), F.desc("span_id")).limit(min(limit, 1000))
+    return rows.orderBy(F.desc("ts_ns"), F.desc("span_id")).limit(limit)
 
 
 def next_cursor(page: DataFrame, limit: int) -> tuple[int, str] | None:
@@ -86,7 +97,8 @@ def next_cursor(page: DataFrame, limit: int) -> tuple[int, str] | None:
 
 
 def log_page(logs: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:
-    return logs.orderBy(F.desc("ts_ns"), F.desc("span_id")).offset(offset).limit(min(limit, 1000))
+    _page_bounds(limit, offset)
+    return logs.orderBy(F.desc("ts_ns"), F.desc("span_id")).offset(offset).limit(limit)
 
 
 def capped_count(df: DataFrame, cap: int = 10_000) -> DataFrame:

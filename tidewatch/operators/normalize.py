@@ -5,16 +5,22 @@ Every job is a function of DataFrames and runs alike on batches and streams.
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
+from functools import cache, reduce
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.core import attr, non_empty
 
-#: A typed value; arrays and lists of pairs hold scalars.
+#: Levels of lists and pairs inside a typed value; what is deeper is kept as its JSON text.
+DEPTH = 3
 SCALAR = "stringValue:string,intValue:bigint,doubleValue:double,boolValue:boolean,bytesValue:binary"
-ANY = f"struct<{SCALAR},arrayValue:struct<values:array<struct<{SCALAR}>>>,kvlistValue:struct<values:array<struct<key:string,value:struct<{SCALAR}>>>>>"
+#: A typed value. Lists and pairs are read as text, and parsed level by level where there are any.
+ANY = f"struct<{SCALAR},arrayValue:string,kvlistValue:string>"
+_INSIDE = f"values array<struct<key:string,value:{ANY},{SCALAR},arrayValue:string,kvlistValue:string>>"
+_FIELDS = [f.split(":")[0] for f in f"{SCALAR},arrayValue,kvlistValue".split(",")]
 ATTRS = f"array<struct<key:string,value:{ANY}>>"
 RESOURCE = f"struct<attributes:{ATTRS}>"
 SCOPE = f"struct<name:string,version:string,attributes:{ATTRS}>"
@@ -59,22 +65,38 @@ def _scalar(v: Column) -> Column:
     return F.coalesce(v["stringValue"], v["intValue"].cast("string"), v["doubleValue"].cast("string"), v["boolValue"].cast("string"), F.lower(F.hex(v["bytesValue"])), F.lit(""))
 
 
-def any_value(v: Column) -> Column:
-    """A typed value as text: arrays as ``[a,b]``, pairs as ``{k=v}``, bytes in hex."""
-    items = F.concat(F.lit("["), F.array_join(F.transform(v["arrayValue"]["values"], _scalar), ","), F.lit("]"))
-    pairs = F.concat(F.lit("{"), F.array_join(F.transform(v["kvlistValue"]["values"], lambda e: F.concat(e["key"], F.lit("="), _scalar(e["value"]))), ","), F.lit("}"))
-    return F.coalesce(items, pairs, _scalar(v))
+def any_value(v: Column, depth: int = DEPTH) -> Column:
+    """A typed value as text: arrays as ``[a,b]``, pairs as ``{k=v}``, bytes in hex, and so on inside them."""
+    text = F.coalesce(v["arrayValue"], v["kvlistValue"])
+    if not depth:
+        return F.coalesce(text, _scalar(v))
+
+    def item(e: Column) -> Column:
+        held = F.coalesce(e["value"], F.struct(*(e[f].alias(f) for f in _FIELDS)))  # a pair has a value, an item of a list is one
+        name = F.when(v["kvlistValue"].isNotNull(), F.concat(F.coalesce(e["key"], F.lit("")), F.lit("="))).otherwise("")
+        return F.concat(name, _let(held, lambda h: any_value(h, depth - 1)))
+
+    inside = F.coalesce(F.array_join(F.transform(F.from_json(text, _INSIDE)["values"], item), ","), F.lit(""))
+    left, right = (F.when(v["arrayValue"].isNotNull(), a).otherwise(b) for a, b in ("[{", "]}"))
+    return F.when(text.isNull(), _scalar(v)).otherwise(F.concat(left, inside, right))
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value computed, and its expression planned, once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def attributes(list_: Column) -> Column:
     """Key-value lists as a map; of a repeated key the last value stays."""
     entries = F.coalesce(F.transform(list_, lambda e: F.struct(e["key"].alias("key"), any_value(e["value"]).alias("value"))), F.array().cast("array<struct<key:string,value:string>>"))
-    # Arrays of keys and values: only a list with repeated keys, which map_from_arrays would refuse, is searched for their last places.
-    keys = F.transform(entries, lambda e: e["key"])
-    backwards = F.reverse(entries)
-    last = F.transform(F.array_distinct(keys), lambda k: F.element_at(backwards, F.array_position(F.reverse(keys), k).cast("int")))
-    once = F.when(F.size(F.array_distinct(keys)) == F.size(keys), entries).otherwise(last)
-    return F.map_from_entries(once)
+
+    def by_key(pairs: Column) -> Column:
+        # only a list with repeated keys, which map_from_entries would refuse, is searched for their last places
+        keys = F.transform(pairs, lambda e: e["key"])
+        last = F.transform(F.array_distinct(keys), lambda k: F.element_at(F.reverse(pairs), F.array_position(F.reverse(keys), k).cast("int")))
+        return F.map_from_entries(F.when(F.size(F.array_distinct(keys)) == F.size(keys), pairs).otherwise(last))
+
+    return _let(entries, by_key)
 
 
 def _times(ns: Column) -> dict[str, Column]:
@@ -85,30 +107,37 @@ def _cols(columns: dict[str, Column]) -> list[Column]:
     return [c.alias(n) for n, c in columns.items()]
 
 
+def _unpacked(records: DataFrame, outer: str, inner: str) -> DataFrame:
+    """(resource, scope, s): one row a scope. The maps of a resource and of a scope are built where there is one row of each."""
+    resources = records.select(F.explode(outer).alias("r")).select(attributes(F.col("r.resource.attributes")).alias("resource"), F.col(f"r.{inner}").alias("scopes"))
+    scopes = resources.select("resource", F.explode("scopes").alias("s"))
+    return scopes.select("resource", F.struct("s.scope.name", "s.scope.version", attributes(F.col("s.scope.attributes")).alias("held")).alias("scope"), "s")
+
+
 def spans_raw(records: DataFrame, tenant: str) -> DataFrame:
     """Trace records to raw spans, one row a span."""
-    r = records.select(F.explode("resourceSpans").alias("r")).select("r", F.explode("r.scopeSpans").alias("s")).select(F.col("r.resource.attributes").alias("ra"), "s.scope", F.explode("s.spans").alias("x"))
-    x, resource = F.col("x"), attributes(F.col("ra"))
+    r = _unpacked(records, "resourceSpans", "scopeSpans").select("resource", "scope", F.explode("s.spans").alias("x"))
+    x, resource = F.col("x"), F.col("resource")
     events = F.transform(x["events"], lambda e: F.struct(e["timeUnixNano"].alias("ts_ns"), e["name"].alias("name"), attributes(e["attributes"]).alias("attributes")))
     links = F.transform(x["links"], lambda e: F.struct(e["traceId"].alias("trace_id"), e["spanId"].alias("span_id"), e["traceState"].alias("trace_state"), attributes(e["attributes"]).alias("attributes")))
     return r.select(*_cols({
         "tenant_id": F.lit(tenant), **_times(x["startTimeUnixNano"]), "trace_id": F.lower(x["traceId"]), "span_id": F.lower(x["spanId"]), "parent_span_id": F.lower(F.coalesce(x["parentSpanId"], F.lit(""))),
         "trace_state": F.coalesce(x["traceState"], F.lit("")), "span_name": x["name"], "span_kind": span_kind(x["kind"]), "service_name": attr(resource, "service.name"), "resource_attributes": resource,
-        "scope_name": F.coalesce("scope.name", F.lit("")), "scope_version": F.coalesce("scope.version", F.lit("")), "scope_attributes": attributes(F.col("scope.attributes")), "span_attributes": attributes(x["attributes"]),
+        "scope_name": F.coalesce("scope.name", F.lit("")), "scope_version": F.coalesce("scope.version", F.lit("")), "scope_attributes": F.col("scope.held"), "span_attributes": attributes(x["attributes"]),
         "duration_ns": F.greatest(x["endTimeUnixNano"] - x["startTimeUnixNano"], F.lit(0)), "status_code": status_code(x["status"]["code"]), "status_message": F.coalesce(x["status"]["message"], F.lit("")), "events": events, "links": links,
     }))
 
 
 def logs(records: DataFrame, tenant: str, now_ns: Column | int) -> DataFrame:
     """Log records to logs; the time is that of the record, else when it was observed, else now."""
-    r = records.select(F.explode("resourceLogs").alias("r")).select("r", F.explode("r.scopeLogs").alias("s")).select(F.col("r.resource.attributes").alias("ra"), "s.scope", F.explode("s.logRecords").alias("x"))
-    x, resource = F.col("x"), attributes(F.col("ra"))
+    r = _unpacked(records, "resourceLogs", "scopeLogs").select("resource", "scope", F.explode("s.logRecords").alias("x"))
+    x, resource = F.col("x"), F.col("resource")
     now = F.lit(now_ns) if isinstance(now_ns, int) else now_ns
     at = F.coalesce(F.nullif(x["timeUnixNano"], F.lit(0)), F.nullif(x["observedTimeUnixNano"], F.lit(0)), now)
     return r.select(*_cols({
         "tenant_id": F.lit(tenant), **_times(at), "trace_id": F.coalesce(F.lower(x["traceId"]), F.lit("")), "span_id": F.coalesce(F.lower(x["spanId"]), F.lit("")), "trace_flags": F.coalesce(x["flags"], F.lit(0)),
         "severity_text": F.coalesce(x["severityText"], F.lit("")), "severity_number": F.coalesce(x["severityNumber"], F.lit(0)), "body": any_value(x["body"]), "service_name": attr(resource, "service.name"), "resource_attributes": resource,
-        "scope_name": F.coalesce("scope.name", F.lit("")), "scope_version": F.coalesce("scope.version", F.lit("")), "scope_attributes": attributes(F.col("scope.attributes")), "log_attributes": attributes(x["attributes"]), "event_name": F.coalesce(x["eventName"], F.lit("")),
+        "scope_name": F.coalesce("scope.name", F.lit("")), "scope_version": F.coalesce("scope.version", F.lit("")), "scope_attributes": F.col("scope.held"), "log_attributes": attributes(x["attributes"]), "event_name": F.coalesce(x["eventName"], F.lit("")),
     }))
 
 
@@ -118,11 +147,11 @@ def exemplars(list_: Column) -> Column:
 
 def metrics(records: DataFrame, tenant: str) -> dict[str, DataFrame]:
     """Metric records to five tables, by the kind of their data."""
-    r = records.select(F.explode("resourceMetrics").alias("r")).select("r", F.explode("r.scopeMetrics").alias("s")).select(F.col("r.resource.attributes").alias("ra"), "s.scope", F.explode("s.metrics").alias("m"))
+    r = _unpacked(records, "resourceMetrics", "scopeMetrics").select("resource", "scope", F.explode("s.metrics").alias("m"))
 
     def points(kind: str, columns: dict[str, Column]) -> DataFrame:
-        p, resource = F.col("p"), attributes(F.col("ra"))
-        rows = r.where(F.col(f"m.{kind}").isNotNull()).select("ra", "scope", "m", F.explode(f"m.{kind}.dataPoints").alias("p"))
+        p, resource = F.col("p"), F.col("resource")
+        rows = r.where(F.col(f"m.{kind}").isNotNull()).select("resource", "scope", "m", F.explode(f"m.{kind}.dataPoints").alias("p"))
         return rows.select(*_cols({
             "tenant_id": F.lit(tenant), "resource_attributes": resource, "scope_name": F.coalesce("scope.name", F.lit("")), "scope_version": F.coalesce("scope.version", F.lit("")), "service_name": attr(resource, "service.name"), "metric_name": F.col("m.name"),
             "metric_description": F.coalesce("m.description", F.lit("")), "metric_unit": F.coalesce("m.unit", F.lit("")), "attributes": attributes(p["attributes"]), "start_ns": F.coalesce(p["startTimeUnixNano"], F.lit(0)), "ts_ns": p["timeUnixNano"], **columns, "flags": F.coalesce(p["flags"], F.lit(0)),
@@ -161,13 +190,15 @@ def shipper_logs(lines: DataFrame, tenant: str, now_ns: int) -> DataFrame:
     }))
 
 
+# Severities and their numbers, by status words; other words are INFO, 9.
+SEVERITIES = {"DEBUG": (5, ("debug", "trace")), "WARN": (13, ("warn", "warning")), "ERROR": (17, ("error", "err")), "FATAL": (21, ("critical", "fatal", "emergency", "alert"))}
+
+
 def severity(word: Column) -> tuple[Column, Column]:
     """(text, number) of a status word."""
     w = F.lower(word)
-    levels = {"FATAL": (21, ("fatal", "emergency", "emerg", "critical", "crit", "alert")), "ERROR": (17, ("error", "err")), "WARN": (13, ("warn", "warning")), "DEBUG": (5, ("debug",)), "TRACE": (1, ("trace",))}
-    text = reduce(lambda a, kv: a.when(w.isin(*kv[1][1]), kv[0]), levels.items(), F.when(F.lit(False), "")).otherwise("INFO")
-    number = reduce(lambda a, kv: a.when(w.isin(*kv[1][1]), kv[1][0]), levels.items(), F.when(F.lit(False), 0)).otherwise(9)
-    return text, number
+    pick = lambda start, value: reduce(lambda a, kv: a.when(w.isin(*kv[1][1]), value(kv)), SEVERITIES.items(), start)
+    return pick(F.when(F.lit(False), ""), lambda kv: kv[0]).otherwise("INFO"), pick(F.when(F.lit(False), 0), lambda kv: kv[1][0]).otherwise(9)
 
 
 def body_severity(body: Column, status: Column) -> tuple[Column, Column]:
@@ -292,38 +323,63 @@ def trace_projection(raw: DataFrame) -> DataFrame:
 # ------------------------------------------------------------- metric firewall
 
 
-def _matches(column: Column, pattern: str, is_regex: bool) -> Column:
-    if not pattern:
-        return F.lit(True)
-    return column.rlike(pattern) if is_regex else column == pattern
+_RULE = "place:int,metric:string,metric_regex:boolean,label_key:string,label_value:string,label_regex:boolean,drop:string,drop_regex:boolean"
+ACTIONS = ("allow", "block", "drop_label")
+
 
+def _is_regex(spark, pattern: str) -> bool:
+    try:
+        spark._jvm.java.util.regex.Pattern.compile(pattern)
+    except IllegalArgumentException:
+        return False
+    return True
 
-def _applies(rule: dict) -> Column:
-    name = _matches(F.col("metric_name"), rule.get("metric", ""), rule.get("metric_regex", False))
-    if not rule.get("label_key"):
-        return name
-    value = F.col("attributes")[rule["label_key"]]
-    return name & value.isNotNull() & _matches(value, rule.get("label_value", ""), rule.get("label_regex", False))
+
+def rule_index(spark, rules: list[dict]) -> tuple[DataFrame, DataFrame]:
+    """(named, scanned): the rules that name a metric literally, one row a metric, and all others in one row.
+
+    Both have a list of rules for each action. Rules that are switched off, allow rules without
+    a criterion, drop rules without a label, and rules with a broken expression are left out; an
+    unknown action blocks.
+    """
+    rows, sound = [], cache(lambda pattern: _is_regex(spark, pattern))
+    for place, r in enumerate(rules):
+        action = r["action"] if r["action"] in ACTIONS else "block"
+        patterns = [r.get(p, "") for p in ("metric", "label_value", "drop") if r.get(f"{p.removesuffix('_value')}_regex")]
+        bad = (action == "allow" and not (r.get("metric") or r.get("label_key"))) or (action == "drop_label" and not r.get("drop"))
+        if not r.get("enabled", True) or bad or not all(map(sound, patterns)):
+            continue
+        literal = r["metric"] if r.get("metric") and not r.get("metric_regex") else None
+        rows.append((literal, action, (place, r.get("metric") or None, bool(r.get("metric_regex")), r.get("label_key") or None, r.get("label_value") or None, bool(r.get("label_regex")), r.get("drop"), bool(r.get("drop_regex")))))
+    table = spark.createDataFrame(rows, f"name string, action string, rule struct<{_RULE}>")
+    lists = [F.array_sort(F.collect_list(F.when(F.col("action") == a, F.col("rule")))).alias(f"{a}_") for a in ACTIONS]
+    return table.where("name IS NOT NULL").groupBy("name").agg(*lists), table.where("name IS NULL").agg(*lists)
+
+
+def _applies(rule: Column, labels: Column) -> Column:
+    """Whether a rule's metric and label conditions hold; null ones always do."""
+    fits = lambda pattern, regex, value: pattern.isNull() | F.when(regex, F.regexp_like(value, pattern)).otherwise(value == pattern)
+    held = F.try_element_at(labels, rule["label_key"])
+    label = rule["label_key"].isNull() | (held.isNotNull() & fits(rule["label_value"], rule["label_regex"], held))
+    return F.coalesce(fits(rule["metric"], rule["metric_regex"], F.col("metric_name")) & label, F.lit(False))
 
 
 def firewall(samples: DataFrame, rules: list[dict]) -> DataFrame:
     """Block samples, but those that an allow rule exempts, and drop labels.
 
     A rule has an ``action`` - ``allow``, ``block`` or ``drop_label`` - and may name a
-    metric, a label key and a label value, literally or as regular expressions. Allow
-    rules without a criterion and drop rules without a label are refused. The rules
-    become one condition and one map filter, so the data is read once.
+    metric, a label key and a label value, literally or as regular expressions. Rules that name
+    a metric are looked up by it, in one hash join; only the others are tried one by one. Drop rules
+    act in order, each on the labels that are left. The rules are a list of the caller's
+    and broadcast; the plan has the same size for any number of them.
     """
-    active = [r for r in rules if r.get("enabled", True)]
-    pick = lambda action: [r for r in active if r["action"] == action]
-    either = lambda rs: F.coalesce(reduce(lambda a, b: a | b, map(_applies, rs), F.lit(False)), F.lit(False))
-    allow = [r for r in pick("allow") if r.get("metric") or r.get("label_key")]
-    out = samples.where(either(allow) | ~either(pick("block")))
-    for r in (r for r in pick("drop_label") if r.get("drop")):
-        kept = F.map_filter("attributes", _keeps(r))
-        out = out.withColumn("attributes", F.when(F.coalesce(_applies(r), F.lit(False)), kept).otherwise(F.col("attributes")))
-    return out
-
-
-def _keeps(rule: dict):
-    return lambda key, value: ~_matches(key, rule["drop"], rule.get("drop_regex", False))
+    spark = samples.sparkSession
+    named, scanned = rule_index(spark, rules)
+    one = scanned.select(*(F.col(f"{a}_").alias(f"any_{a}") for a in ACTIONS))
+    found = samples.join(F.broadcast(named), F.col("metric_name") == F.col("name"), "left").join(F.broadcast(one))  # one row
+    of = lambda a: F.concat(F.coalesce(f"{a}_", F.array().cast(f"array<struct<{_RULE}>>")), f"any_{a}")
+    hit = lambda a: F.exists(of(a), lambda r: _applies(r, F.col("attributes")))
+    kept = found.where(hit("allow") | ~hit("block"))
+    gone = lambda r, key: F.when(r["drop_regex"], F.regexp_like(key, r["drop"])).otherwise(key == r["drop"])
+    left = F.aggregate(F.array_sort(of("drop_label")), F.col("attributes"), lambda labels, r: F.when(_applies(r, labels), F.map_filter(labels, lambda k, v: ~gone(r, k))).otherwise(labels))
+    return kept.withColumn("attributes", left).select(*samples.columns)

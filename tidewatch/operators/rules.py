@@ -8,26 +8,19 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StructField, StructType
 
 from tidewatch.functions.core import bucket, is_error, milliseconds, percentile, percentiles
 from tidewatch.operators import series
+from tidewatch.operators.intervals import outside
+from tidewatch.operators.states import applied, replay, state_after, step  # noqa: F401
 
 # ---------------------------------------------------------------- state machine
 
 
 def next_state(state: Column, value: Column, critical: Column, critical_recovery: Column, warning: Column, warning_recovery: Column, comparator: Column) -> Column:
-    """The state of a threshold monitor after one value.
-
-    An alert ends, and a warning ends, where the value is back over its recovery
-    threshold, or over the threshold itself if there is none. Null thresholds are unset.
-    """
-    beyond = lambda limit: F.coalesce(F.when(comparator == "below", value < limit).otherwise(value >= limit), F.lit(False))
-    back = lambda limit: F.coalesce(F.when(comparator == "below", value >= limit).otherwise(value < limit), F.lit(False))
-    fresh = F.when(beyond(critical), "alert").when(beyond(warning), "warn").otherwise("ok")
-    warned = F.when(beyond(critical), "alert").when(back(F.coalesce(warning_recovery, warning)), "ok").otherwise("warn")
-    alerted = F.when(back(F.coalesce(critical_recovery, critical)), F.when(beyond(warning), "warn").otherwise("ok")).otherwise("alert")
-    return F.when(state == "warn", warned).when(state == "alert", alerted).when(state.isin("ok", "no_data"), fresh).otherwise("ok")
+    """The state of a threshold monitor after one value: ``states.step`` applied to the state before."""
+    return applied(step(value, critical, critical_recovery, warning, warning_recovery, comparator), state)
 
 
 def no_data_state(state: Column, action: Column) -> Column:
@@ -57,24 +50,6 @@ def transitions(evaluated: DataFrame) -> DataFrame:
     return changed.withColumn("message", message)
 
 
-def state_after(state: str, value: float, critical: float | None, critical_recovery: float | None, warning: float | None, warning_recovery: float | None, comparator: str = "above") -> str:
-    """``next_state`` of one value, for folds over sorted rows and for streams."""
-    sign = -1.0 if comparator == "below" else 1.0
-    over = lambda limit: limit is not None and (value < limit if sign < 0 else value >= limit)
-    back = lambda limit: limit is not None and not over(limit)
-    if state == "alert":
-        if not back(critical if critical_recovery is None else critical_recovery):
-            return "alert"
-        return "warn" if over(warning) else "ok"
-    if state == "warn":
-        if over(critical):
-            return "alert"
-        return "ok" if back(warning if warning_recovery is None else warning_recovery) else "warn"
-    if state not in ("ok", "no_data"):
-        return "ok"
-    return "alert" if over(critical) else "warn" if over(warning) else "ok"
-
-
 def _in_order(values: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Each group in one partition, in order: folds over it hold one batch and one state."""
     return values.repartition(*keys).sortWithinPartitions(*keys, order)
@@ -85,31 +60,6 @@ def _groups(batch: pd.DataFrame, keys: list[str]) -> Iterator[tuple]:
     return zip(*(batch[k].astype(object).where(batch[k].notna(), None) for k in keys), strict=True)
 
 
-def replay(values: DataFrame, thresholds: dict, keys: list[str], order: str, no_data_action: str = "notify") -> DataFrame:
-    """(keys, order, value, state): the states of each group over its ordered values.
-
-    Rows are folded as they come, in order, so a group may be of any length. A null or
-    NaN value is without data.
-    """
-    limits = [thresholds.get(k) for k in ("critical", "critical_recovery", "warning", "warning_recovery")]
-    limits.append(thresholds.get("comparator", "above"))
-    missing = "ok" if no_data_action == "resolve" else "no_data"
-    rows = values.select(*keys, order, F.col("value").cast("double").alias("value"))
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, state = None, "ok"
-        for batch in batches:
-            states = []
-            for key, value in zip(_groups(batch, keys), batch["value"], strict=True):
-                if key != group:
-                    group, state = key, "ok"
-                state = missing if value is None or value != value else state_after(state, value, *limits)
-                states.append(state)
-            yield batch.assign(state=states)
-
-    return _in_order(rows, keys, order).mapInPandas(fold, StructType(rows.schema.fields + [StructField("state", StringType())]))
-
-
 RANK = {"ok": 0, "no_data": 1, "warn": 2, "alert": 3}
 
 
@@ -218,23 +168,29 @@ def slo_gauges(budgets: DataFrame, keys: list[str], at_ns: int) -> DataFrame:
 # -------------------------------------------------------------------- anomalies
 
 
-class _Band:
-    """Mean and variance of one series; twelve values warm it up."""
+class Band:
+    """Mean and variance of one series; twelve values warm it up. ``saved`` is all of it, for a store."""
 
     WARMUP = 12
 
-    def __init__(self, sensitivity: float, alpha: float):
-        self.sensitivity, self.alpha, self.warm = sensitivity, alpha, []
-        self.mean = self.var = self.floor = self.deviation = 0.0
-        self.hit = False
+    def __init__(self, sensitivity: float, alpha: float, saved: tuple[float, float, float, list[float] | None] = (0.0, 0.0, 0.0, [])):
+        self.sensitivity, self.alpha = sensitivity, alpha
+        self.mean, self.var, self.floor, warm = saved
+        self.warm = None if warm is None else list(warm)
+        self.deviation, self.hit = 0.0, False
 
-    def see(self, x: float) -> None:
+    def saved(self) -> tuple[float, float, float, list[float] | None]:
+        return self.mean, self.var, self.floor, self.warm
+
+    def see(self, x: float) -> bool:
+        """Fold one value; whether it was judged, which it is after the warm-up."""
         if self.warm is None:
             self._move(x, True)
-            return
+            return True
         self.warm.append(x)
         if len(self.warm) == self.WARMUP:
             self._start()
+        return False
 
     def _start(self) -> None:
         warm, self.warm = self.warm, None
@@ -260,19 +216,11 @@ class _Band:
         return self.mean, self.hit, self.deviation
 
 
-def ewma_anomaly(values: DataFrame, keys: list[str], order: str, sensitivity: float = 3.0, alpha: float = 0.25) -> DataFrame:
-    """(keys, mean, anomalous, deviation) of the last value of each series.
-
-    A warm-up of twelve values gives the first mean and variance; later values outside
-    of mean +- sensitivity * deviation (the lower edge not under zero) are anomalous and
-    do not move the band. The variance moves a quarter as fast, and not under 0.3 of its
-    start. The deviation of the last value is from the mean it has moved, in units of
-    the deviation before. Null values are left out. Rows are folded as they come, in
-    order, so a series may be of any length.
-    """
+def _folded(values: DataFrame, keys: list[str], order: str, sensitivity: float, alpha: float, result: Callable[[Band], tuple], columns: list[StructField]) -> DataFrame:
+    """A row for each series: what ``result`` takes from its band after its last value."""
     rows = values.select(*keys, F.col(order).alias("_at"), F.col("value").cast("double").alias("_v")).where("_v IS NOT NULL")
-    fields = [f for f in rows.schema.fields if f.name in keys]
-    names = [*keys, "mean", "anomalous", "deviation"]
+    fields = [f for f in rows.schema.fields if f.name in keys] + columns
+    names = [f.name for f in fields]
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         group, band = None, None
@@ -281,15 +229,37 @@ def ewma_anomaly(values: DataFrame, keys: list[str], order: str, sensitivity: fl
             for key, x in zip(_groups(batch, keys), batch["_v"], strict=True):
                 if key != group:
                     if band:
-                        done.append((*group, *band.verdict()))
-                    group, band = key, _Band(sensitivity, alpha)
+                        done.append((*group, *result(band)))
+                    group, band = key, Band(sensitivity, alpha)
                 band.see(x)
             yield pd.DataFrame(done, columns=names)
         if band:
-            yield pd.DataFrame([(*group, *band.verdict())], columns=names)
+            yield pd.DataFrame([(*group, *result(band))], columns=names)
+
+    return _in_order(rows, keys, "_at").drop("_at").mapInPandas(fold, StructType(fields))
 
-    sorted_rows = _in_order(rows, keys, "_at").drop("_at")
-    return sorted_rows.mapInPandas(fold, StructType(fields + [StructField("mean", DoubleType()), StructField("anomalous", BooleanType()), StructField("deviation", DoubleType())]))
+
+def ewma_anomaly(values: DataFrame, keys: list[str], order: str, sensitivity: float = 3.0, alpha: float = 0.25) -> DataFrame:
+    """(keys, mean, anomalous, deviation) of the last value of each series.
+
+    A warm-up of twelve values gives the first mean and variance; later values outside
+    of mean +- sensitivity * deviation (the lower edge not under zero) are anomalous and
+    do not move the band. The variance moves a quarter as fast, and not under 0.3 of its
+    start. The deviation of the last value is from the mean it has moved, in units of
+    the deviation before. Null values are left out. Rows are folded as they come, in
+    order, so a series may be of any length; the fold is not associative, so one task folds a series.
+    """
+    found = [StructField("mean", DoubleType()), StructField("anomalous", BooleanType()), StructField("deviation", DoubleType())]
+    return _folded(values, keys, order, sensitivity, alpha, Band.verdict, found)
+
+
+def ewma_bands(values: DataFrame, keys: list[str], order: str, sensitivity: float = 3.0, alpha: float = 0.25) -> DataFrame:
+    """(keys, mean, var, floor, warm): the band of each series after its history, from which a stream can go on.
+
+    ``warm`` holds the values of a series that is still warming up, and is null for the others.
+    """
+    found = [*(StructField(n, DoubleType()) for n in ("mean", "var", "floor")), StructField("warm", ArrayType(DoubleType()))]
+    return _folded(values, keys, order, sensitivity, alpha, Band.saved, found)
 
 
 def anomaly_verdict(scored: DataFrame, rule_keys: list[str], series: str) -> DataFrame:
@@ -464,13 +434,9 @@ def events_with_rule(events: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def suppressed(events: DataFrame, maintenance: DataFrame) -> DataFrame:
-    """Events outside of all maintenance windows, of every rule or of their own."""
-    # Windows of every rule are a short list by hand and are merged into one row; those of a rule meet its events by key.
-    whole = maintenance.where("scope = 'all'").agg(F.collect_set(F.struct("starts", "ends")).alias("_all"))
-    own = maintenance.where("scope <> 'all'").select(F.col("scope").alias("_rule"), "starts", "ends")
-    within = (events["rule_id"] == own["_rule"]) & events["ts"].between(own["starts"], own["ends"])
-    left = events.join(own, within, "left_anti").join(F.broadcast(whole))
-    return left.where(~F.exists("_all", lambda w: F.col("ts").between(w["starts"], w["ends"]))).drop("_all")
+    """Events outside of all maintenance windows (starts, ends, scope), of every rule (``all``) or of their own; both sides may be large."""
+    left = outside(events, maintenance.where("scope <> 'all'"), keys={"rule_id": "scope"})
+    return outside(left, maintenance.where("scope = 'all'"))
 
 
 def last_deploy(buckets: DataFrame, deploys: DataFrame) -> DataFrame:

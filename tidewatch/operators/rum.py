@@ -46,8 +46,8 @@ def timeline(rum: DataFrame, session: str, limit: int = 1000) -> DataFrame:
     return rum.where(F.col("session_id") == session).orderBy("ts", "event_id").limit(limit)
 
 
-def replay(chunks: DataFrame, max_chunks: int | None = 500) -> DataFrame:
-    """(session_id, events): recorded JSON arrays joined in order of their chunks, of all chunks if ``max_chunks`` is None."""
+def replay(chunks: DataFrame, max_chunks: int | None = None) -> DataFrame:
+    """(session_id, events): recorded JSON arrays joined in order of their chunks; of the first ``max_chunks``, if that is given."""
     wanted = chunks if max_chunks is None else chunks.where(F.col("chunk_idx") < max_chunks)
     parsed = wanted.withColumn("part", F.from_json("events_json", "array<string>"))
     ordered = F.sort_array(F.collect_list(F.struct("chunk_idx", "part")))

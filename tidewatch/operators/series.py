@@ -146,22 +146,24 @@ RANGE_FUNCTIONS = (*_functions(0), "quantile_over_time", "absent_over_time")
 _NEEDS_PREVIOUS = {"rate", "irate", "increase", "idelta", "changes", "resets"}
 
 
-def _tile(grid: Grid, range_ms: int) -> tuple[Column, Column]:
-    """The tile of a sample, and the steps whose windows hold a tile.
+def _step(grid: Grid, range_ms: int) -> tuple[int, int, int]:
+    """A step, and the whole steps and the rest of a range."""
+    step = grid.step_ms if grid.steps > 1 else max(range_ms, 1)
+    return step, *divmod(range_ms, step)
+
+
+def _tile(grid: Grid, range_ms: int) -> Column:
+    """The tile of a sample.
 
     Windows end at steps and start a range before them. Tiles are the pieces between all
     those ends, and the ends themselves, since windows hold both of theirs: of each step,
     number 0 is the step, 1 what follows it, 2 the start of a window, 3 the rest.
     """
-    step = grid.step_ms if grid.steps > 1 else max(range_ms, 1)
-    whole, rest = divmod(range_ms, step)
+    step, _, rest = _step(grid, range_ms)
     since = F.col("ts_ms") - grid.start_ms
     into = F.pmod(since, F.lit(step))
     tile = F.floor(since / step) * 4 + F.when(into == 0, 0).when(into < step - rest, 1).when(into == step - rest, 2).otherwise(3)
-    low = F.greatest(F.ceil(F.col("tile") / 4), F.lit(0))
-    high = F.least(F.floor((F.col("tile") + (2 if rest else 0)) / 4) + whole, F.lit(grid.steps - 1))
-    steps = F.when(low <= high, F.sequence(low.cast("int"), high.cast("int"))).otherwise(F.array().cast("array<int>"))
-    return tile.cast("bigint"), steps
+    return tile.cast("bigint")
 
 
 def _tiles(rows: DataFrame, grid: Grid, range_ms: int, differences: bool) -> DataFrame:
@@ -170,7 +172,7 @@ def _tiles(rows: DataFrame, grid: Grid, range_ms: int, differences: bool) -> Dat
     Differences inside a tile are taken where its samples lie, those between tiles from
     the tiles' ends; so no task has to sort all samples of a series.
     """
-    rows = rows.withColumn("tile", _tile(grid, range_ms)[0])
+    rows = rows.withColumn("tile", _tile(grid, range_ms))
     ends = [F.col("ts_ms"), F.col("value")]
     if differences:
         before = F.lag(F.struct("ts_ms", "value")).over(Window.partitionBy("series_key", "tile").orderBy("ts_ms", "value"))
@@ -196,20 +198,68 @@ def _tiles(rows: DataFrame, grid: Grid, range_ms: int, differences: bool) -> Dat
     return tiles.withColumns({**{f"edge_{c}": edge[c] for c in sums}, "last": F.struct("last.ts_ms", "last.value", *own.values())})
 
 
+def _pieces(tiles: DataFrame, grid: Grid, range_ms: int, differences: bool) -> DataFrame:
+    """At most two rows for each series and step k, with the parts of the tiles: what its window merges.
+
+    Blocks have as many tiles as a window, so that a window is the end of one block and the
+    beginning of the next. Every tile ends one beginning and begins one end of its block; both
+    are running totals, and each goes to the steps up to the next tile that is there.
+    Deviations are taken from the tile at which a running total begins.
+    """
+    _, whole, rest = _step(grid, range_ms)
+    width = 4 * whole + (2 if rest else 0) + 1
+    names = ("inc", "changed", "fell") if differences else ()
+    block = Window.partitionBy("series_key", "block")
+    orders = {"up": block.orderBy("tile"), "down": block.orderBy(F.desc("tile"))}
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    rows = tiles.withColumn("block", F.floor(F.col("tile") / width).cast("bigint"))
+    rows = rows.withColumns({f"{v}_{way}": F.first(c).over(order) for way, order in orders.items() for v, c in (("x", "line.x"), ("y", "moments.mean"))})
+    rows = rows.withColumns({f"edge_{c}": zero(F.col(f"edge_{c}")) for c in names})
+
+    def piece(way: str) -> Column:
+        begins, order = way == "up", orders[way]
+        run = order.rowsBetween(Window.unboundedPreceding, 0)
+        total = lambda c: F.sum(c).over(run)
+        end = lambda c, at_end: F.first(c).over(run) if at_end else F.col(c)
+        m, x, y = F.col("moments.n"), F.col("line.x") - F.col(f"x_{way}"), F.col("moments.mean") - F.col(f"y_{way}")
+        n = F.nullif(total(m), F.lit(0.0))
+        dx, dy = total(m * x), total(m * y)
+        mean_x, mean_y = zero(F.col(f"x_{way}") + dx / n), zero(F.col(f"y_{way}") + dy / n)
+        square = lambda own, a, b, da, db: zero(total(F.col(own) + m * a * b) - da * db / n)
+        parts = {
+            **{c: total(c) for c in ("n", "valued", "sum")}, "low": F.min("low").over(run), "high": F.max("high").over(run), "first": end("first", begins), "last": end("last", not begins),
+            "moments": F.struct(total(m).alias("n"), mean_y.alias("mean"), F.greatest(square("moments.m2", y, y, dy, dy), F.lit(0.0)).alias("m2")),
+            "line": F.struct(total(m).alias("n"), mean_x.alias("x"), mean_y.alias("y"), F.greatest(square("line.xx", x, x, dx, dx), F.lit(0.0)).alias("xx"), square("line.xy", x, y, dx, dy).alias("xy")),
+            **{c: total(zero(F.col(c)) + F.col(f"edge_{c}")) - end(f"edge_{c}", begins) for c in names}, **{f"edge_{c}": end(f"edge_{c}", begins) for c in names},
+        }
+        near, start = F.lead("tile").over(order), F.col("block") * width
+        if begins:
+            low, high = F.ceil(F.col("tile") / 4), F.floor((F.coalesce(near, start + width) - 1) / 4)
+        else:
+            low, high = F.ceil((F.coalesce(near, start) + width) / 4), F.floor((F.col("tile") + width - 1) / 4)
+        low, high = F.greatest(low, F.lit(0)).cast("int"), F.least(high, F.lit(grid.steps - 1)).cast("int")
+        steps = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+        return F.struct(steps.alias("steps"), (F.col("block") * 2 + (0 if begins else 1)).alias("tile"), *(v.alias(k) for k, v in parts.items()))
+
+    both = rows.select("series_key", "labels", piece("up").alias("up"), piece("down").alias("down")).select("series_key", "labels", F.explode(F.array("up", "down")).alias("p"))
+    return both.select("series_key", "labels", "p.*").withColumn("k", F.explode("steps")).drop("steps")
+
+
 def range_functions(samples: DataFrame, grid: Grid, range_ms: int, wanted: dict[str, float | None]) -> DataFrame:
     """(series_key, labels, k, <one column a function>) over sliding windows [t - range, t].
 
-    Samples are added up in tiles first, at most four a step, and windows are merged from
-    tiles; only quantiles copy samples into all their windows. Null where a function has
-    too few samples.
+    Samples are added up in tiles first, at most four a step, tiles in running totals of
+    blocks, and a window is merged from two of those, whatever its range; only quantiles copy
+    samples into all their windows. Null where a function has too few samples.
     """
     rows = range_select(samples, grid, range_ms).select("series_key", "labels", "ts_ms", "value")
     known = _functions(grid.start_ms)
     merged = {f: p for f, p in wanted.items() if f in known}
     outs = []
     if merged:
-        tiles = _tiles(rows, grid, range_ms, bool(_NEEDS_PREVIOUS & set(merged))).withColumn("k", F.explode(_tile(grid, range_ms)[1]))
-        outs.append(tiles.groupBy("series_key", "k").agg(F.first("labels").alias("labels"), *(known[f](p).alias(f) for f, p in merged.items())))
+        differences = bool(_NEEDS_PREVIOUS & set(merged))
+        pieces = _pieces(_tiles(rows, grid, range_ms, differences), grid, range_ms, differences)
+        outs.append(pieces.groupBy("series_key", "k").agg(F.first("labels").alias("labels"), *(known[f](p).alias(f) for f, p in merged.items())))
     if "quantile_over_time" in wanted:
         point = min(max(wanted["quantile_over_time"], 0.0), 1.0)
         copies = rows.withColumn("k", F.explode(_steps(grid, range_ms, 0)))

@@ -86,8 +86,16 @@ def trace_index(spans: DataFrame) -> DataFrame:
 
 
 def trace_spans(spans: DataFrame, wanted: DataFrame, index: DataFrame, pad_ns: int = 300_000_000_000) -> DataFrame:
-    """Spans of the ``wanted(trace_id)`` traces, looked for only around the time that the index gives."""
+    """Spans of the ``wanted(trace_id)`` traces, looked for only around the time that the index gives.
+
+    Of spans stored by ``date``, only the dates that any wanted trace touches are read: those
+    dates, one for each day at most, are found first and become a filter of partitions.
+    """
     bounds = index.join(wanted, "trace_id", "left_semi").select("trace_id", (F.col("start_ns") - pad_ns).alias("_low"), (F.col("end_ns") + pad_ns).alias("_high"))
+    if "date" in spans.columns:
+        day = lambda ns: F.to_date(F.timestamp_micros((F.col(ns) / 1000).cast("bigint")))
+        days = [r[0] for r in bounds.select(F.explode(F.sequence(day("_low"), day("_high")))).distinct().collect()]
+        spans = spans.where(F.col("date").isin(days))
     return spans.join(bounds, "trace_id").where(F.col("ts_ns").between(F.col("_low"), F.col("_high"))).drop("_low", "_high")
 
 

@@ -7,7 +7,8 @@ from contextlib import contextmanager
 from pyspark.sql import functions as F
 
 from tidewatch.operators import normalize as nz
-from tidewatch.operators import retention, rollup
+from tidewatch.operators import retention, rollup, rules
+from tidewatch.plans.rules import _EWMA_SQL
 from tidewatch.sources import bind
 from tidewatch.sources.bind import LOGS_SQL, SAMPLES_SQL, SPANS_SQL
 from tidewatch.streaming import jobs
@@ -100,11 +101,39 @@ def firewall_apply(spark, sf_dir):
     return out.groupBy("service_name", F.col("attributes")["shard"].alias("shard")).agg(F.count("*").alias("total"))
 
 
-@query("derived_log_columns", f"WITH {LOGS_SQL} SELECT service_name, count(*) AS total FROM logs WHERE lang = 'de' GROUP BY 1")
+@query(
+    "firewall_many",
+    """WITH e AS (SELECT event_id, event_type, event_id % 7000 AS m, user_id % 5 AS shard FROM events)
+    SELECT event_id, CASE WHEN m < 6000 AND m % 4 = 2 THEN NULL ELSE CAST(shard AS VARCHAR) END AS shard, CASE WHEN m % 10 = 7 AND shard = 3 OR m < 6000 AND m % 4 = 3 AND event_type = 'view' THEN NULL ELSE event_type END AS svc FROM e
+    WHERE (m < 6000 AND m % 4 = 1 AND shard = 2) OR event_type = 'error' OR NOT (m < 6000 AND m % 4 = 0 AND shard IN (1, 3) OR m % 100 = 99)""",
+)
+def firewall_many(spark, sf_dir):
+    """6,000 rules of all actions that name a metric, and some that do not."""
+    e = bind.events(spark, sf_dir)
+    rows = e.select("event_id", F.concat(F.lit("m"), (F.col("event_id") % 7000).cast("string")).alias("metric_name"), F.create_map(F.lit("shard"), (F.col("user_id") % 5).cast("string"), F.lit("svc"), F.col("event_type")).alias("attributes"))
+    kinds = (
+        {"action": "block", "label_key": "shard", "label_value": "[13]", "label_regex": True}, {"action": "allow", "label_key": "shard", "label_value": "2"},
+        {"action": "drop_label", "drop": "sh", "drop_regex": True}, {"action": "drop_label", "drop": "svc", "label_key": "svc", "label_value": "view"},
+    )
+    rules = [kinds[i % 4] | {"metric": f"m{i}"} for i in range(6000)]
+    rules += [
+        {"action": "block", "metric": "99$", "metric_regex": True}, {"action": "allow", "label_key": "svc", "label_value": "error"}, {"action": "drop_label", "metric": "7$", "metric_regex": True, "label_key": "shard", "label_value": "3", "drop": "svc"},
+        {"action": "block", "metric": "m[", "metric_regex": True}, {"action": "allow"}, {"action": "block", "enabled": False},
+    ]
+    out = nz.firewall(rows, rules)
+    return out.select("event_id", F.col("attributes")["shard"].alias("shard"), F.col("attributes")["svc"].alias("svc"))
+
+
+@query("derived_log_columns", f"""WITH {LOGS_SQL} SELECT span_id, 'ns-' || lang AS k8s_namespace, 'pod-' || span_id AS k8s_pod, '' AS k8s_container, 'dep' AS k8s_deployment, CASE WHEN lang = 'de' THEN 'old' ELSE 'new' END AS environment,
+    CASE WHEN lang = 'de' THEN '10.0.0.1' ELSE '10.0.0.2' END AS source_ip, CASE WHEN lang = 'fr' THEN 'u-fr' ELSE 'id-' || lang END AS user_name, 'go-' || lang AS action FROM logs""")
 def derived_log_columns(spark, sf_dir):
-    rows = bind.logs(spark, sf_dir)
-    mapped = rows.withColumn("log_attributes", F.create_map(F.lit("event.action"), F.col("log_attributes")["lang"]))
-    return nz.derived_log_columns(mapped).where("action = 'de'").groupBy("service_name").agg(F.count("*").alias("total"))
+    """All eight, from first and second names of their attributes."""
+    rows, lang = bind.logs(spark, sf_dir), F.col("log_attributes")["lang"]
+    pair = lambda test, a, b: F.when(test, a).otherwise(b)
+    resource = F.create_map(F.lit("k8s.namespace.name"), F.concat(F.lit("ns-"), lang), F.lit("k8s.pod.name"), F.concat(F.lit("pod-"), "span_id"), F.lit("k8s.deployment.name"), F.lit("dep"), F.lit("deployment.environment"), pair(lang == "de", "old", ""), F.lit("deployment.environment.name"), F.lit("new"))
+    own = F.create_map(F.lit("source.ip"), pair(lang == "de", "10.0.0.1", ""), F.lit("client.address"), F.lit("10.0.0.2"), F.lit("user.name"), pair(lang == "fr", "u-fr", ""), F.lit("user.id"), F.concat(F.lit("id-"), lang), F.lit("action"), F.concat(F.lit("go-"), lang))
+    names = ("k8s_namespace", "k8s_pod", "k8s_container", "k8s_deployment", "environment", "source_ip", "user_name", "action")
+    return nz.derived_log_columns(rows.withColumns({"resource_attributes": resource, "log_attributes": own})).select("span_id", *names)
 
 
 # --------------------------------------------------------------------- retention
@@ -257,3 +286,41 @@ def slo_rolling(spark, sf_dir):
 
     hours = bind.spans(spark, sf_dir).groupBy("service_name", bucket(3600).alias("bucket")).agg(F.count_if(is_error()).alias("bad"), F.count("*").alias("total"))
     return jobs.rolling(hours, 24)
+
+
+_RAW = """WITH RECURSIVE e AS (SELECT event_type AS grp, ts, value FROM events WHERE event_type <> 'signup' OR ts < TIMESTAMP '2024-01-15'),
+    v AS (SELECT grp, start + 86400 AS "at", avg(value) AS value, row_number() OVER (PARTITION BY grp ORDER BY start) AS i FROM (
+      SELECT grp, value, epoch_us(ts) // 43200000000 * 43200 - unnest([0, 43200]) AS start FROM e) GROUP BY grp, start HAVING (start + 86400) * 1000 <= (SELECT (max(epoch_us(ts)) // 1000 - 1000) FROM e)),
+    s AS (SELECT grp, "at", value, i, 'ok' AS old_state, CASE WHEN value >= 60 THEN 'alert' WHEN value >= 52 THEN 'warn' ELSE 'ok' END AS new_state FROM v WHERE i = 1
+      UNION ALL SELECT v.grp, v."at", v.value, v.i, s.new_state, CASE WHEN s.new_state = 'alert' AND v.value >= 50 THEN 'alert' WHEN s.new_state = 'alert' THEN 'ok' WHEN v.value >= 60 THEN 'alert' WHEN s.new_state = 'warn' THEN CASE WHEN v.value < 52 THEN 'ok' ELSE 'warn' END WHEN v.value >= 52 THEN 'warn' ELSE 'ok' END FROM s JOIN v ON v.grp = s.grp AND v.i = s.i + 1)"""
+
+
+@query(
+    "stream_monitor_samples",
+    f"""{_RAW} SELECT grp, "at", round(value, 6) AS value, old_state, new_state FROM s WHERE old_state <> new_state
+    UNION ALL SELECT grp, "at" + 172800, NULL, new_state, 'no_data' FROM s WHERE grp = 'signup' AND i = (SELECT max(i) FROM s WHERE grp = 'signup')""",
+)
+def stream_monitor_samples(spark, sf_dir):
+    """From raw samples to changes of state in one stream: sliding means, a monitor, and a group that falls silent."""
+    rows = bind.events(spark, sf_dir).where("event_type <> 'signup' OR ts < '2024-01-15'").select(F.lit("mean").alias("rule_id"), F.col("event_type").alias("grp"), "ts", "value")
+    path = jobs.scratch(spark, "samples")
+    for low, high in (("2000-01-01", "2024-01-11"), ("2024-01-11", "2024-01-21"), ("2024-01-21", "2100-01-01")):  # files in order of time, each a batch
+        rows.where((F.col("ts") >= low) & (F.col("ts") < high)).coalesce(1).write.mode("append").parquet(path)
+    with _small_state(spark, rocksdb=True):
+        means = jobs.sliding_means(jobs.read(spark, path, rows.schema, 1), "1 day", "12 hours", "1 second")
+        found = jobs.drain(jobs.monitor(means, jobs.ThresholdMonitor(60.0, 50.0, 52.0, silence_s=172800)), spark, "silence")
+    return found.select("grp", "at", F.round("value", 6).alias("value"), "old_state", "new_state")
+
+
+@query("stream_anomalies", f"""{_EWMA_SQL.replace("ORDER BY ts_ms, value", "ORDER BY ts").replace("SELECT series_key, value AS x,", "SELECT series_key, ts, value AS x,")}
+    SELECT series_key, epoch_us(ts) AS "at", x AS value, hit AS anomalous FROM s JOIN v USING (series_key, i) WHERE ts >= TIMESTAMP '2024-01-15'""")
+def stream_anomalies(spark, sf_dir):
+    """A stream that goes on from the bands that a batch over the days before has left."""
+    rows = bind.samples(spark, sf_dir).select("series_key", F.unix_micros("ts").alias("at"), "value", "ts")
+    before = F.col("ts") < "2024-01-15"
+    bands = rules.ewma_bands(rows.where(before), ["series_key"], "at")
+    with _small_state(spark, rocksdb=True):
+        path = jobs.scratch(spark, "later")
+        rows.where(~before).repartitionByRange(1, "ts").write.parquet(path)
+        later = jobs.read(spark, path, rows.schema).select("series_key", "at", "value")
+        return jobs.drain(jobs.anomalies(later, jobs.EwmaMonitor(), bands), spark, "anomalies")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidewatch.plans import jobs, metrics, rules, traces, wire
+from tidewatch.plans import jobs, metrics, monitors, rules, traces, wire
 
-_AREAS = (traces, metrics, rules, jobs, wire)
+_AREAS = (traces, metrics, rules, monitors, jobs, wire)
 QUERIES: dict = {k: v for area in _AREAS for k, v in area.QUERIES.items()}
 ORACLES: dict = {k: v for area in _AREAS for k, v in area.ORACLES.items()}

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewatch.functions import predicates as P
-from tidewatch.operators import explore, rum, usage
+from tidewatch.functions.core import scratch
+from tidewatch.operators import explore, rum, services, usage
 from tidewatch.operators import normalize as nz
 from tidewatch.operators import series as ts
 from tidewatch.plans.metrics import GRID, INSTANT_SQL, _shown
 from tidewatch.sources import bind, tables
 from tidewatch.sources.bind import LOGS_SQL, RUM_SQL, SAMPLES_SQL, SPANS_SQL, USAGE_SQL
-from tidewatch.streaming.jobs import scratch
 
 QUERIES, ORACLES = {}, {}
 
@@ -69,6 +69,29 @@ def scan_logs(spark, sf_dir):
     return rows.groupBy("severity_text").agg(F.count("*").alias("total"), F.sum(F.char_length("body")).alias("chars"))
 
 
+_BAD = "w AS (SELECT DISTINCT trace_id FROM spans WHERE http_status_code = 404 AND CAST(ts AS DATE) = DATE '2024-01-12')"
+
+
+@query("trace_fetch", f"WITH {SPANS_SQL}, {_BAD} SELECT trace_id, span_id FROM spans JOIN w USING (trace_id)")
+def trace_fetch(spark, sf_dir):
+    """All spans of some traces of a stored table, read from the dates of those traces alone."""
+    root = scratch(spark, "stored-traces")
+    tables.append(bind.spans(spark, sf_dir), root, "spans")
+    rows = spark.read.parquet(f"{root}/spans")
+    wanted = rows.where("http_status_code = 404 AND date = '2024-01-12'").select("trace_id").distinct()
+    return services.trace_spans(rows, wanted, services.trace_index(rows)).select("trace_id", "span_id")
+
+
+@query("trace_projection", f"WITH {SPANS_SQL}, {_BAD} SELECT tenant_id, trace_id, ts_ns, duration_ns, service_name FROM spans JOIN w USING (trace_id)")
+def trace_projection(spark, sf_dir):
+    """The projection written by ranges of traces, and looked up by trace."""
+    raw = bind.spans(spark, sf_dir)
+    path = scratch(spark, "by-trace")
+    tables.store_by_trace(nz.trace_projection(raw), path)
+    wanted = raw.where("http_status_code = 404 AND CAST(ts AS DATE) = '2024-01-12'").select("trace_id").distinct()
+    return spark.read.parquet(path).join(wanted, "trace_id", "left_semi").select("tenant_id", "trace_id", "ts_ns", "duration_ns", "service_name")
+
+
 @query("scan_rum", f"WITH {RUM_SQL} SELECT event_type, count(*) AS total, count(DISTINCT session_id) AS sessions FROM rum WHERE CAST(user_id AS INT) % 3 = 1 AND {_IN} GROUP BY 1")
 def scan_rum(spark, sf_dir):
     return _stored(spark, "rum", bind.rum(spark, sf_dir).drop("event_id")).groupBy("event_type").agg(F.count("*").alias("total"), F.countDistinct("session_id").alias("sessions"))
@@ -163,7 +186,8 @@ for _table, _sql in (
 # ---------------------------------------------------------------------- other shapes
 
 
-@query("any_values", f"""WITH {EVENTS_SQL} SELECT event_id, CAST(k AS VARCHAR) AS number, CASE WHEN k % 2 = 0 THEN 'true' ELSE 'false' END AS flag, '[' || CAST(k AS VARCHAR) || ',x]' AS list, '{{a=' || event_type || ',b=' || CAST(k AS VARCHAR) || '}}' AS pairs, 'last' AS twice FROM e""")
+@query("any_values", f"""WITH {EVENTS_SQL} SELECT event_id, CAST(k AS VARCHAR) AS number, CASE WHEN k % 2 = 0 THEN 'true' ELSE 'false' END AS flag, '[' || CAST(k AS VARCHAR) || ',x]' AS list, '{{a=' || event_type || ',b=' || CAST(k AS VARCHAR) || '}}' AS pairs, 'last' AS twice,
+    '[[' || CAST(k AS VARCHAR) || '],{{q=[' || event_type || ',deep]}}]' AS nested FROM e""")
 def any_values(spark, sf_dir):
     value = lambda **v: F.struct(*(c.alias(n) for n, c in v.items()))
     k = F.col("k").cast("bigint")
@@ -174,9 +198,12 @@ def any_values(spark, sf_dir):
         one("list", value(arrayValue=F.struct(F.array(value(intValue=k, stringValue=F.lit(None).cast("string")), value(intValue=F.lit(None).cast("bigint"), stringValue=F.lit("x"))).alias("values")))),
         one("pairs", value(kvlistValue=F.struct(F.array(entry("a", value(stringValue=F.col("event_type"), intValue=F.lit(None).cast("bigint"))), entry("b", value(stringValue=F.lit(None).cast("string"), intValue=k))).alias("values")))),
     ]
+    # text, since the levels of a list have as many types: a list of a list and of pairs, which hold a list
+    deep = """{"key":"nested","value":{"arrayValue":{"values":[{"arrayValue":{"values":[{"intValue":%d}]}},{"kvlistValue":{"values":[{"key":"q","value":{"arrayValue":{"values":[{"stringValue":"%s"},{"stringValue":"deep"}]}}}]}}]}}}"""
+    parts.append(F.format_string(deep, k, F.col("event_type")))
     texts = _events(spark, sf_dir).select("event_id", F.concat(F.lit("["), F.concat_ws(",", *parts), F.lit("]")).alias("value"))
     read = texts.select("event_id", nz.attributes(F.from_json("value", nz.ATTRS)).alias("a"))
-    return read.select("event_id", *(F.col("a")[c].alias(c) for c in ("number", "flag", "list", "pairs", "twice")))
+    return read.select("event_id", *(F.col("a")[c].alias(c) for c in ("number", "flag", "list", "pairs", "twice", "nested")))
 
 
 @query("normalize_logs", "SELECT doc_id, source AS service_name, text AS body, lang, CASE WHEN doc_id % 3 = 0 THEN 5 ELSE doc_id + 1 END AS ts_ns, CASE WHEN doc_id % 10 = 0 THEN 'ERROR' ELSE '' END AS severity_text, CASE WHEN doc_id % 10 = 0 THEN 17 ELSE 0 END AS severity_number FROM documents")

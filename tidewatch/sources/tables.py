@@ -40,23 +40,57 @@ def append(df: DataFrame, root: str, signal: str, sort: tuple[str, ...] = ("tena
     df.withColumn("date", F.to_date(at)).sortWithinPartitions(*keys).write.mode("append").partitionBy("date").parquet(f"{root}/{signal}")
 
 
+def store_by_trace(df: DataFrame, path: str, files: int | None = None, ndv: int = 1_000_000) -> None:
+    """Rows in files of ranges of trace ids, sorted, with Bloom filters of trace and span ids.
+
+    A lookup of a trace opens the files whose range holds it and reads the row groups whose
+    filter may; ``ndv`` is the number of different ids that a filter is made for.
+    """
+    ranged = df.repartitionByRange(files, "trace_id") if files else df.repartitionByRange("trace_id")
+    writer = ranged.sortWithinPartitions("trace_id", *(c for c in ("ts_ns",) if c in df.columns)).write
+    for column in (c for c in ("trace_id", "span_id") if c in df.columns):
+        writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true").option(f"parquet.bloom.filter.expected.ndv#{column}", str(ndv))
+    writer.parquet(path)
+
+
+#: Settings with which tables of ``save_bucketed`` meet by their buckets where a join has more keys.
+BY_BUCKET = {"spark.sql.requireAllClusterKeysForCoPartition": "false"}
+
+
+def save_bucketed(df: DataFrame, name: str, buckets: int, key: str = "trace_id") -> None:
+    """A catalog table in buckets of ``key``: joins and aggregations by it need no shuffle, given ``BY_BUCKET``."""
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).mode("overwrite").saveAsTable(name)
+
+
+#: Rows of an export, at most.
+MOST_ROWS = 1_000_000
+
+
+def _exported(df: DataFrame, max_rows: int, path: str, note: dict | None) -> DataFrame:
+    """The rows of an export; its side file says how many there are, and whether rows were left out."""
+    if max_rows > MOST_ROWS:
+        raise ValueError(f"an export has {MOST_ROWS} rows at most; write a table instead")
+    if note is not None:
+        found = df.limit(max_rows + 1).count()
+        _note(df.sparkSession, path, {**note, "rows": min(found, max_rows), "truncated": found > max_rows})
+    return df.limit(max_rows)
+
+
 def export_csv(df: DataFrame, path: str, columns: list[str] | None = None, max_rows: int = 1000, note: dict | None = None) -> None:
     """CSV of chosen columns with RFC 3339 times; the preamble goes to a file of its own.
 
-    ``max_rows`` is the limit of an export, never over a million.
+    ``max_rows`` is the limit of an export, a million at most; with a ``note``, the side file
+    has the number of rows and whether the limit has cut the rest.
     """
-    picked = df.select(*(columns or df.columns)).limit(min(max_rows, 1_000_000))
+    picked = _exported(df.select(*(columns or df.columns)), max_rows, path, note)
     stamps = {c for c, t in picked.dtypes if t.startswith("timestamp")}
     text = [F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias(c) if c in stamps else F.col(c).cast("string").alias(c) for c in picked.columns]
     picked.select(*text).write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
-    if note is not None:
-        _note(df.sparkSession, path, note)
 
 
 def export_json(df: DataFrame, path: str, max_rows: int = 1000, note: dict | None = None) -> None:
-    df.limit(min(max_rows, 1_000_000)).write.mode("overwrite").json(path)
-    if note is not None:
-        _note(df.sparkSession, path, note)
+    """JSON lines, with the limit and the side file of ``export_csv``."""
+    _exported(df, max_rows, path, note).write.mode("overwrite").json(path)
 
 
 def _note(spark: SparkSession, path: str, note: dict) -> None:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
-from tidewatch.functions.core import shared_folder
-from tidewatch.operators import rollup, rules
+from tidewatch.functions.core import scratch
+from tidewatch.operators import rollup, rules, states
 
 
 def read(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
@@ -78,65 +77,86 @@ def rolling(hours: DataFrame, hours_back: int) -> DataFrame:
     return hours.select("service_name", "bucket", F.expr(f"sum(bad) OVER ({span})").alias("bad"), F.expr(f"sum(total) OVER ({span})").alias("total"))
 
 
+def sliding_means(samples: DataFrame, window: str, slide: str, lateness: str = "10 minutes") -> DataFrame:
+    """(rule_id, grp, at, value): means of (rule_id, grp, ts, value) over windows that end at ``at``, in seconds, once no row can come for them."""
+    at = F.window("ts", window, slide)
+    means = samples.withWatermark("ts", lateness).groupBy("rule_id", "grp", at).agg(F.avg("value").alias("value"))
+    return means.select("rule_id", "grp", F.unix_seconds("window.end").alias("at"), "value")
+
+
 class ThresholdMonitor(StatefulProcessor):
-    """Keeps the state of each (rule, group) and emits its changes; values come as (at, value).
+    """Keeps the state of each (rule, group) and emits its changes; values come as (at, value), ``at`` in seconds.
 
-    The states are those of ``rules.next_state``. A null or NaN value is a tick without
-    data, which resolves the rule or leaves it in no_data.
+    The states are those of ``states.step``. A null or NaN value is a tick without
+    data, which resolves the rule or leaves it in no_data. With ``silence_s``, so does a group
+    that sends no value for so many seconds of event time: a timer is moved on with each value.
     """
 
-    def __init__(self, critical: float | None, critical_recovery: float | None = None, warning: float | None = None, warning_recovery: float | None = None, comparator: str = "above", no_data_action: str = "notify"):
+    def __init__(self, critical: float | None, critical_recovery: float | None = None, warning: float | None = None, warning_recovery: float | None = None, comparator: str = "above", no_data_action: str = "notify", silence_s: int | None = None):
         self.limits = (critical, critical_recovery, warning, warning_recovery, comparator)
-        self.missing = "ok" if no_data_action == "resolve" else "no_data"
+        self.missing, self.silence_s = "ok" if no_data_action == "resolve" else "no_data", silence_s
 
     def init(self, handle) -> None:
-        self.state = handle.getValueState("state", "name string")
+        self.handle = handle
+        self.state = handle.getValueState("state", "name string, last bigint")
 
     def after(self, now: str, value: float | None) -> str:
-        return self.missing if value is None or value != value else rules.state_after(now, value, *self.limits)
+        return self.missing if value is None or value != value else states.state_after(now, value, *self.limits)
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        """The state that a batch has left, as (state)."""
+        for name in initialState["state"]:
+            self.state.update((name, 0))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
-        now = self.state.get()[0] if self.state.exists() else "ok"
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        now, last = self.state.get() if self.state.exists() else ("ok", 0)
         changes = []
         for at, value in pd.concat(list(rows))[["at", "value"]].sort_values("at").itertuples(index=False):
             new = self.after(now, value)
             if new != now:
                 changes.append((*key, at, value, now, new))
-            now = new
-        self.state.update((now,))
-        yield pd.DataFrame(changes, columns=["rule_id", "grp", "at", "value", "old_state", "new_state"])
+            now, last = new, max(last, int(at))
+        self.state.update((now, last))
+        if self.silence_s is not None:
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer((last + self.silence_s) * 1000)
+        yield _changes(changes)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now, last = self.state.get()
+        self.state.update((self.missing, last))
+        yield _changes([(*key, last + self.silence_s, None, now, self.missing)] if now != self.missing else [])
 
     def close(self) -> None:
         pass
 
 
+def _changes(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["rule_id", "grp", "at", "value", "old_state", "new_state"]).astype({"value": "float64"})
+
+
 class EwmaMonitor(StatefulProcessor):
-    """Keeps mean and variance of each series, warmed up on its first values, and emits a verdict for each later one."""
+    """Keeps the band of each series (``rules.Band``) and emits a verdict for each value after its warm-up."""
 
-    def __init__(self, sensitivity: float = 3.0, alpha: float = 0.25, warmup: int = 12):
-        self.sensitivity, self.alpha, self.warmup = sensitivity, alpha, warmup
+    def __init__(self, sensitivity: float = 3.0, alpha: float = 0.25):
+        self.sensitivity, self.alpha = sensitivity, alpha
 
     def init(self, handle) -> None:
-        self.state = handle.getValueState("band", "mean double, var double, floor double, first array<double>")
+        self.state = handle.getValueState("band", "mean double, var double, floor double, warm array<double>")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
-        mean, var, floor, first = self.state.get() if self.state.exists() else (0.0, 0.0, 0.0, [])
-        first, out = list(first), []
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        """The band that a batch has left, as ``rules.ewma_bands`` gives it."""
+        for mean, var, floor, warm in initialState[["mean", "var", "floor", "warm"]].itertuples(index=False):
+            self.state.update((mean, var, floor, None if warm is None else [float(x) for x in warm]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        band = rules.Band(self.sensitivity, self.alpha, *([tuple(self.state.get())] if self.state.exists() else []))
+        out = []
         for at, x in pd.concat(list(rows))[["at", "value"]].sort_values("at").itertuples(index=False):
-            if len(first) < self.warmup:
-                first.append(x)
-                mean = sum(first) / len(first)
-                var = sum((v - mean) ** 2 for v in first) / len(first)
-                floor = 0.3 * var
-                continue
-            std = var**0.5
-            hit = x > mean + self.sensitivity * std or x < max(mean - self.sensitivity * std, 0.0)
-            if not hit:
-                diff = x - mean
-                mean = self.alpha * x + (1 - self.alpha) * mean
-                var = max(self.alpha * 0.25 * diff * diff + (1 - self.alpha * 0.25) * var, floor)
-            out.append((*key, at, float(x), bool(hit)))
-        self.state.update((mean, var, floor, first))
+            if band.see(float(x)):
+                out.append((*key, at, float(x), bool(band.hit)))
+        self.state.update(band.saved())
         yield pd.DataFrame(out, columns=["series_key", "at", "value", "anomalous"])
 
     def close(self) -> None:
@@ -147,28 +167,31 @@ TRANSITIONS = "rule_id string, grp string, at bigint, value double, old_state st
 VERDICTS = "series_key string, at bigint, value double, anomalous boolean"
 
 
-def monitor(values: DataFrame, processor: ThresholdMonitor) -> DataFrame:
-    """State changes of a stream of (rule_id, grp, at, value); needs the RocksDB state store."""
-    return values.groupBy("rule_id", "grp").transformWithStateInPandas(processor, TRANSITIONS, "append", "none")
+def monitor(values: DataFrame, processor: ThresholdMonitor, initial: DataFrame | None = None) -> DataFrame:
+    """State changes of a stream of (rule_id, grp, at, value); needs the RocksDB state store.
+
+    With ``silence_s``, values come with a watermark, such as those of ``sliding_means``.
+    ``initial`` (rule_id, grp, state) is what the groups begin with.
+    """
+    mode = "none" if processor.silence_s is None else "eventTime"
+    begun = initial.groupBy("rule_id", "grp") if initial is not None else None
+    return values.groupBy("rule_id", "grp").transformWithStateInPandas(processor, TRANSITIONS, "append", mode, begun)
 
 
-def anomalies(values: DataFrame, processor: EwmaMonitor) -> DataFrame:
-    return values.groupBy("series_key").transformWithStateInPandas(processor, VERDICTS, "append", "none")
+def anomalies(values: DataFrame, processor: EwmaMonitor, initial: DataFrame | None = None) -> DataFrame:
+    """Verdicts of a stream of (series_key, at, value); ``initial`` are the bands that history has left."""
+    begun = initial.groupBy("series_key") if initial is not None else None
+    return values.groupBy("series_key").transformWithStateInPandas(processor, VERDICTS, "append", "none", begun)
 
 
 def detect_each_batch(stream: DataFrame, rule: Callable[[DataFrame], DataFrame], path: str, checkpoint: str):
-    """Run a detection on every micro-batch and append what it finds."""
+    """Run a detection on every micro-batch and keep what it finds by ``batch``; one that is run again overwrites its own rows."""
     def write(batch: DataFrame, number: int) -> None:
-        rule(batch).withColumn("batch", F.lit(number)).write.mode("append").parquet(path)
+        rule(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder beside the checkpoints that all executors share."""
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-
-
 def drain(df: DataFrame, spark: SparkSession, label: str, mode: str = "append") -> DataFrame:
     """Run a stream over all files that are there, into a table of its own, and read it."""
     path = scratch(spark, label)
