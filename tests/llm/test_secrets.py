@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from tidewatch.llm import secrets as sc
 from tidewatch.llm.queries import op10_secret_scans
 
@@ -112,3 +114,29 @@ def test_query(spark, sf_dir):
         digest = ",".join(f"{sc.KINDS[k]}:{a}:{b}" for a, k, b in base)
         assert row.base_sha256 == hashlib.sha256(digest.encode()).hexdigest()
         assert [row.n_assign, row.n_access, row.n_hex] == [sum(k == i for _, k, _ in base) for i in range(3)]
+
+
+#: Identifiers of public programs and words of several languages; training knows none of them.
+REAL = """AbstractSingletonProxyFactoryBean PKCS12KeyStoreFactoryImplTest SHA256withRSAandMGF1Padding JSESSIONIDCookieSerializer vkGetPhysicalDeviceQueueFamilyProperties xmlns/w3c/xhtml1-strict-dtd
+Szczebrzeszynskiego_chrzaszcza getElementsByClassName removeEventListener requestAnimationFrame XMLHttpRequestUpload CFBundleShortVersionString NSAppTransportSecurity UIApplicationDelegate kCFStreamPropertySSLSettings
+pthread_mutex_unlock DATABASE_CONNECTION_STRING libgstreamer-plugins-base1 aarch64-apple-darwin application/x-www-form-urlencoded Content-Security-Policy Access-Control-Allow-Origin org/springframework/context
+com/fasterxml/jackson/databind java/util/concurrent/ConcurrentHashMap usr/local/share/applications node_modules/typescript/lib HttpServletRequestWrapper NoSuchAlgorithmException IllegalArgumentException
+ArrayIndexOutOfBoundsException kubernetes-dashboard-token kube-controller-manager elasticsearch-master-headless grafana-piechart-panel parseFloatingPointLiteral glDrawElementsInstancedBaseVertex D3D11CreateDeviceAndSwapChain
+WM_DISPLAYCHANGE_HANDLER ERROR_INSUFFICIENT_BUFFER PYTHONDONTWRITEBYTECODE Donaudampfschifffahrtsgesellschaft Rindfleischetikettierung antidisestablishmentarianism internationalization desenvolvimento_sustentavel
+anticonstitutionnellement testShouldReturnNullWhenEmpty should_return_404_not_found 2024-01-15-meeting-notes v1beta1-admission-review ISO8601DateFormatter utf8mb4_unicode_ci Base64UrlEncodedString
+TLS_ECDHE_RSA_WITH_AES_128_GCM_SHA256 ssh-ed25519-authorized IEEE754DoublePrecision WebAssemblyMemoryBuffer QAbstractItemModelTester tensorflow_probability batch_normalization_1 MobileNetV3LargeClassifier
+distilbert-base-uncased bert-large-cased-whole-word Krankenversicherung_Nr wykorzystywanie_danych rozpoznawanie-obrazow http2_max_concurrent_streams SELECT_DISTINCT_ON_CLAUSE""".split()
+
+
+def test_identifiers_that_training_has_not_seen(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    table = sc.train(sc.labelled_samples(docs))
+    draw = random.Random(9)
+    token = lambda n: "".join(draw.choice(sc.RANDOM["base64 for urls"]) for _ in range(n))
+    web = [f"eyJ{token(33)}.eyJ{token(60)}.{token(43)}" for _ in range(40)]
+    values = spark.createDataFrame([("real", v) for v in REAL] + [("web", v) for v in web], "kind string, value string")
+    scored = values.select("kind", "value", (sc.ratio_of(F.col("value"), table) >= 10.0).alias("secret")).collect()
+    assert sum(r.secret for r in scored if r.kind == "real") <= 0.05 * len(REAL)
+    assert all(r.secret for r in scored if r.kind == "web")
+    spans = sc.scan(spark.createDataFrame([(i, f"see {w} there") for i, w in enumerate(web)], "doc_id long, text string")).select("doc", F.explode("tokens").alias("t")).collect()
+    assert {(r.doc, r.t.value) for r in spans} == set(enumerate(web))

@@ -24,8 +24,8 @@ ACCESS = r"AKIA[A-Z0-9]+"
 #: Shorter runs never pass and hold no longer one, so the length is part of the pattern.
 HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "random")
-#: Tokens that are samples or candidates.
-TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
+#: Tokens that are samples or candidates; long pieces that dots join are one, such as signed web tokens.
+TOKEN = r"[A-Za-z0-9+/_=-]{16,}(?:\.[A-Za-z0-9+/_=-]{16,})*"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
 OTHER = len(ALPHABET)
 SIZE = OTHER + 1
@@ -44,6 +44,16 @@ RANDOM = {
     "small letters": _LOWER,
     "capitals": _UPPER,
 }
+# Training labels: words of which identifiers are made, in English and other languages, and abbreviations. No corpus is needed for them.
+PARTS = (
+    "access account action active adapter address agent alert android angular apache application archive array async audio backup batch binary block boolean bridge browser buffer builder button cache "
+    "calendar callback cancel capture channel character checkout checksum client cluster collection column command comment commit common complete component condition config connection console constant "
+    "container content context control convert counter country create credential currency current custom database decode default delete delivery deploy descriptor destination detail dialog digest directory "
+    "display distance document domain download driver dynamic editor element encode engine environment error event exception exchange execute expression external failure feature filter folder format "
+    "fragment framework function gateway generator global graph handler hardware header height helper history identity image import index inner input instance integer interface internal invoice iterator"
+)
+FOREIGN = "straße verwaltung rechnung kunden benutzer uebersicht schluessel przyklad wartosc uzytkownik szczegoly wszystkie dziennik fichier utilisateur paiement adresse bibliotheque nombre usuario contraseña pedido factura".replace("ß", "ss").replace("ñ", "n")
+SHORT = "AES API ASCII AWS CPU CSS CSV DB DNS DTO EC2 FTP GPU GUI H264 HTML HTTP HTTPS I18N ID IO IPV4 IPV6 JDBC JPEG JSON JWT K8S LDAP MD5 MP4 OAUTH2 OS PDF PNG RPC RSA S3 SDK SHA1 SHA512 SQL SSH SSL TCP TLS UDP UI URI URL UTF8 UUID VM WIFI X509 XHTML XML XSS"
 #: Words of ordinary identifiers: letters alone between characters that end a token.
 WORD = r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{2,15}(?![A-Za-z0-9+/_=-])"
 
@@ -144,10 +154,34 @@ def ordinary_identifiers(docs: DataFrame, doc_id: str, text: str, max_texts: int
     return texts.select(F.explode(F.transform(places, made)).alias("s")).select("s.source", "s.value")
 
 
+def known_identifiers(spark: SparkSession, names: int = 20_000) -> DataFrame:
+    """(source, value): identifiers made of ``PARTS``, ``FOREIGN`` and ``SHORT``, the same at each call.
+
+    Two to four words are joined in the ways of programming languages, file names and
+    protocols, with abbreviations, numbers and rows of capitals at any place.
+    """
+    draw = lambda *salt: F.xxhash64("id", *map(F.lit, salt))
+    pick = lambda words, salt: F.element_at(F.split(F.lit(words), " "), F.pmod(draw(salt), F.lit(len(words.split()))).cast("int") + 1)
+    often = lambda salt, of: F.pmod(draw(salt, of), F.lit(of)) == 0
+    word = lambda i: F.when(often(f"f{i}", 6), pick(FOREIGN, f"w{i}")).otherwise(pick(PARTS, f"w{i}"))
+    short, number = pick(SHORT, "s"), F.abs(F.pmod(draw("n"), F.lit(1000))).cast("string")
+    a, b, c, d = (word(i) for i in range(4))
+    up = F.initcap
+    shapes = (
+        F.concat(a, up(b), up(c), F.when(often("d", 2), up(d)).otherwise("")), F.concat(up(a), up(b), up(c), F.when(often("d", 2), up(d)).otherwise("")), F.concat(F.lower(F.substr(short, F.lit(1), F.lit(2))), up(a), up(b), up(c)),
+        F.concat(short, up(a), up(b), F.when(often("d", 2), up(c)).otherwise("")), F.concat(up(a), short, up(b), up(c)), F.concat(up(a), up(b), short), F.concat(short, a, F.substr(short, F.lit(1), F.lit(3)), up(b), number),
+        F.concat_ws("_", a, b, c), F.upper(F.concat_ws("_", a, b, c)), F.concat_ws("_", short, F.upper(a), F.upper(b)), F.concat_ws("_", up(a), up(b), c), F.concat(F.concat_ws("_", a, b), number), F.concat(F.lit("__"), a, F.lit("_"), b, F.lit("__")),
+        F.concat_ws("-", a, b, c), F.concat_ws("-", up(a), up(b), up(c)), F.concat_ws("-", F.lower(short), a, number, b), F.concat_ws("/", a, b, F.lower(short), c), F.concat_ws("/", a, F.concat_ws("-", b, number), c), F.concat_ws("/", up(a), F.concat(b, F.lit("_"), c)),
+        F.concat(a, b, c), F.upper(F.concat(a, b, c)), F.concat(a, F.lit("="), b, F.lit("_"), c, number), F.concat_ws("+", a, b, c), F.concat(a, number, up(b), number, up(c)),
+    )
+    value = F.element_at(F.array(*shapes), F.pmod(draw("shape"), F.lit(len(shapes))).cast("int") + 1)
+    return spark.range(names).select(F.lit("known").alias("source"), value.alias("value"))
+
+
 def labelled_samples(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", strings: int = 2000, max_texts: int = 500) -> DataFrame:
     """(secret, source, value): random strings and ordinary identifiers."""
     secret = random_strings(docs.sparkSession, strings).unionByName(caught_values(docs, doc_id, text))
-    plain = ordinary_identifiers(docs, doc_id, text, max_texts)
+    plain = ordinary_identifiers(docs, doc_id, text, max_texts).unionByName(known_identifiers(docs.sparkSession))
     return secret.withColumn("secret", F.lit(True)).unionByName(plain.withColumn("secret", F.lit(False)))
 
 
