@@ -1,6 +1,7 @@
 import importlib
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from tests.llm.test_decontaminate import brute as leaks
@@ -36,6 +37,23 @@ def test_stages_keep_the_columns_and_bear_empty_tables(spark, sf_dir):
     assert cp.STAGES[-1][1](spark, docs, sf_dir).count() == 0
 
 
+def test_stages_bear_nulls_repeats_clashing_names_and_long_texts(spark, sf_dir):
+    """Every column that an operator makes is a column of the user's here, and comes back as it was."""
+    names = "kept n_words quality_score n_lines n_dropped kept_text row judged base_failed cut_lines lost_lines fp component_id matches near h1 doc".split()
+    shared = "A line of some length that many documents share."
+    rows = [(i, f"{shared}\n" + " ".join(f"word{(i * 31 + j * 7) % 997}" for j in range(90)), "en") for i in range(6)]
+    rows += [(6, None, None), (7, "", "en"), (None, shared + " and more " * 30, "en"), (8, "long " * 60_000, "de"), (3, rows[3][1], "en"), (3, "other text under the same id " * 9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("n_chars", F.char_length("text").cast("long")).withColumn("source", F.lit(None).cast("string"))
+    docs = docs.withColumns({n: F.concat(F.lit(f"{n}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for n in names})
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert all(r[n] == f"{n}-{'none' if r.doc_id is None else r.doc_id}" for r in got for n in names), name
+        assert 0 < len(got) <= len(rows) and len(got) == {"line_dedup": len(rows), "benchmark_decontamination": len(rows)}.get(name, len(got))
+    assert cp.STAGES[-1][1](spark, docs, sf_dir).count() == len(rows)
+
+
 def test_entry_works_without_the_subpackage(monkeypatch):
     entry = importlib.import_module("__spark_entry__")
     assert "pipeline" in entry.queries()

@@ -2,73 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.functions.core import discard, materialize, release, shared_folder  # noqa: F401
+
 #: The six ASCII white-space characters, for ``trim`` and regular expressions.
 SPACE_CLASS = r"\x20\x09-\x0D"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    A cluster names it in ``spark.checkpoint.dir``, or by ``setCheckpointDir``. On a local
-    master, where all tasks share one disk, a temporary folder is made if neither is set;
-    on any other master that is an error, since executors would write to disks of their own.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="tidewatch-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-#: Folders written by ``materialize`` and not removed yet, by application.
-_WRITTEN: dict[str, list[str]] = {}
-
-
-def materialize(df: DataFrame, label: str, **options) -> DataFrame:
-    """Write ``df`` once into the shared folder, with options of the Parquet writer, and read it back.
-
-    Cuts the lineage: a lost executor costs a reread, not a recomputation, and
-    several consumers share one computation. The folder stays until ``release``.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession, keep_last: int = 0) -> None:
-    """Remove what ``materialize`` has written in this application, but the ``keep_last`` newest folders.
-
-    For use once all results that read those folders have been written.
-    """
-    paths = _WRITTEN.get(spark.sparkContext.applicationId, [])
-    while len(paths) > keep_last:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(paths.pop(0))
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def discard(df: DataFrame) -> None:
-    """Remove the folder of one materialised frame that nothing reads any more."""
-    spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        folder = file.rpartition("/")[0]
-        paths = _WRITTEN.get(spark.sparkContext.applicationId, [])
-        for known in [p for p in paths if p.rpartition("/")[2] == folder.rpartition("/")[2]]:
-            paths.remove(known)
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(known)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def fresh(name: str, *frames: DataFrame) -> str:
     """``name``, lengthened until no frame has a column of that name."""
     taken = {c.lower() for df in frames for c in df.columns}

@@ -225,13 +225,13 @@ def prober(min_docs: int):
                     count, last = index.look_up(h1[lo:hi], h2[lo:hi])
                     lost = (count >= min_docs) & (last > doc[lo:hi])
                     if lost.any():
-                        yield pa.RecordBatch.from_arrays([pa.array(doc[lo:hi][lost]), pa.array(h1[lo:hi][lost].view(np.int64))], ["doc", "h1"])
+                        yield pa.RecordBatch.from_arrays([pa.array(doc[lo:hi][lost]), pa.array(h1[lo:hi][lost].view(np.int64)), pa.array(h2[lo:hi][lost])], ["doc", "h1", "h2"])
 
     return probe
 
 
 def dropped_lines(hashes: DataFrame, index: DataFrame, many: DataFrame, shards: int, min_docs: int) -> DataFrame:
-    """(doc, h1) of the line keys that a document loses."""
+    """(doc, h1, h2) of the line keys that a document loses."""
     empty = {k: F.lit(None).cast("binary").alias(k) for k in PARTS}
     wide = checked_broadcast(many, 1 << 20)  # a wide shard stands for SALTS * PROBES_PER_COPY rows at least
     salts = F.coalesce("salts", F.lit(SALTS))
@@ -239,17 +239,17 @@ def dropped_lines(hashes: DataFrame, index: DataFrame, many: DataFrame, shards:
     probes = asked.select("shard", F.pmod(F.xxhash64("doc"), salts).cast("int").alias("salt"), *empty.values(), "h1", "h2", "doc")
     copies = index.join(wide, "shard", "left").select("shard", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), *empty, *(F.lit(None).cast("long").alias(k) for k in ("h1", "h2", "doc")))
     rows = probes.unionByName(copies).repartition("shard", "salt")
-    return rows.sortWithinPartitions("shard", "salt", F.col("mph").isNull()).mapInArrow(prober(min_docs), "doc long, h1 long")
+    return rows.sortWithinPartitions("shard", "salt", F.col("mph").isNull()).mapInArrow(prober(min_docs), "doc long, h1 long, h2 long")
 
 
 def _cut(text: str | None, lost, min_chars: int) -> tuple[int, int, str]:
     lines = (text or "").split("\n")
     if lost is None or not len(lost):
         return len(lines), 0, text or ""
-    gone, kept = set(map(int, lost)), []
+    gone, kept = {(int(a), int(b)) for a, b in lost}, []
     for line in lines:
         key = line_key(line)
-        if not (countable(key, min_chars) and hash_key(key)[0] in gone):
+        if not (countable(key, min_chars) and hash_key(key) in gone):
             kept.append(line)
     return len(lines), len(lines) - len(kept), "\n".join(kept)
 
@@ -263,7 +263,7 @@ def drop_shared_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     of ``docs`` with the names of the added ones are replaced; other columns stay.
 
     Defined cases: a null or empty text is one empty line; texts and lines of any length
-    are read whole; a text that loses all its lines becomes empty; a row without an id
+    are read whole; a text that loses all its lines becomes empty; lines that tie are equal and go alike; a row without an id
     does not count and is left whole; rows that repeat an id are one document, and each
     of them is cut; an empty table stays empty.
     """
@@ -271,7 +271,7 @@ def drop_shared_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     index, many, shards = build_index(materialize(counted_lines(hashes), "distinct-lines"))
     lost = fresh("lost_lines", docs)
     key = fresh("lost_doc", docs)
-    found = dropped_lines(hashes, index, many, shards, min_docs).groupBy(F.col("doc").alias(key)).agg(F.collect_set("h1").alias(lost))
+    found = dropped_lines(hashes, index, many, shards, min_docs).groupBy(F.col("doc").alias(key)).agg(F.collect_set(F.array("h1", "h2")).alias(lost))
     cut = fresh("cut_lines", docs)
 
     @F.pandas_udf("n_lines long, n_dropped long, kept_text string")

@@ -192,7 +192,8 @@ def judge(docs: DataFrame, model: dict, text: str = "text", threshold: float = 0
     ``kept`` is false where the fixed limits fail, else whether the trees give at
     least ``threshold``. Columns of these names are replaced.
 
-    Defined cases: a null or empty text has no words and fails; without labels, or
+    Defined cases: a null or empty text has no words and fails; a text of any length is
+    measured whole; without labels, or
     with labels of one kind, the score is the prior and only the limits decide;
     repeated rows are judged alike; a label repeated with other values counts as its
     least; an empty table stays empty.
@@ -213,7 +214,7 @@ def judge(docs: DataFrame, model: dict, text: str = "text", threshold: float = 0
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **limits) -> DataFrame:
-    """The documents that the rules keep, with the columns of ``docs``; defined cases as for ``judge`` and ``train``."""
-    judged = fresh("judged_kept", docs)
-    verdict = judge(docs.select("*", F.col("text").alias(judged)), train(docs, labels), **limits)
-    return verdict.where("kept").select(*docs.columns)
+    """The documents that the rules keep, with the columns of ``docs``, whatever their names; defined cases as for ``judge`` and ``train``."""
+    row = fresh("row", docs)
+    packed = docs.select("text", F.struct(*docs.columns).alias(row))
+    return judge(packed, train(docs, labels), **limits).where("kept").select(f"{row}.*")
