@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import materialize, table
+from tidewatch.llm.common import fresh, materialize, table
 from tidewatch.llm.decontaminate import drop_contaminated
 from tidewatch.llm.line_dedup import drop_shared_lines
 from tidewatch.llm.pieces import encode_texts
@@ -22,7 +22,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that the fixed limits or the boosted trees reject go.
 
     Defined cases as for ``judge``: null, empty and short texts go; without labels only the
-    limits decide; repeated rows are judged alike; extra columns stay.
+    limits decide; repeated rows are judged alike; texts of any length are judged whole; extra columns stay, whatever their names.
     """
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
@@ -32,18 +32,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Defined cases as for ``drop_shared_lines``: no row goes; a text that loses all lines, and
     a null text, becomes empty; rows that repeat an id are one document; ``n_chars`` follows
-    the text; other columns stay.
+    the text; other columns stay, whatever their names.
     """
-    cut = drop_shared_lines(docs)
+    row = fresh("row", docs)
+    cut = drop_shared_lines(docs.select("doc_id", "text", F.struct(*docs.columns).alias(row)))
     changed = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")}
-    return cut.select(*(changed.get(c, F.col(c)).alias(c) for c in docs.columns))
+    return cut.select(*(changed.get(c, F.col(row)[c]).alias(c) for c in docs.columns))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the one with the smallest id.
 
-    Defined cases as for ``keep_one_of_each``: texts without words are one group; rows
-    without an id stay; rows that repeat an id are told apart by their text.
+    Defined cases as for ``keep_one_of_each``: texts without words are one group; texts of
+    any length count whole; rows without an id stay; rows that repeat an id are told apart
+    by their text.
     """
     return keep_one_of_each(docs)
 
