@@ -10,7 +10,9 @@ from tidewatch.plans import registry
 
 SAMPLE = (
     "red_timeseries service_edges compare_windows trace_summary span_tree funnel rum_sessions text_search error_templates rate increase deriv agg_sum agg_topk bin_div "
-    "vec_unless histogram_quantile rollup_merge monitor_states slo_trace_availability ewma_anomaly detect_post_deploy_errors usage_tenants scan_spans scan_metrics_gauge normalize_gauges any_values normalize_agent_metrics span_search autocomplete_endpoint bin_group_right bin_gt_mean maintenance_suppressed normalize_traces firewall_apply retention_tenants correlated_services correlated_logs rollup_described auto_query_gauge auto_query_counter"
+    "vec_unless histogram_quantile rollup_merge monitor_states slo_trace_availability ewma_anomaly detect_post_deploy_errors usage_tenants scan_spans scan_metrics_gauge normalize_gauges any_values normalize_agent_metrics span_search autocomplete_endpoint bin_group_right bin_gt_mean maintenance_suppressed normalize_traces firewall_apply retention_tenants correlated_services correlated_logs rollup_described auto_query_gauge auto_query_counter "
+    "monitors_many detect_many objectives_many estimated_percentiles window_quantiles rollup_quantiles rollup_uniques sketch_funnel fresh_series firewall_many trace_fetch trace_projection "
+    "derived_log_columns stream_monitor_samples stream_anomalies stream_sessions histogram_quantile_last export_csv export_json retention_effective anomaly_steps"
 ).split()
 
 

@@ -21,7 +21,7 @@ def log_count_buckets(logs: DataFrame, seconds: int) -> DataFrame:
     return logs.groupBy(bucket(seconds).alias("bucket")).agg(F.count("*").alias("total"), F.count_if(F.col("severity_number") >= 17).alias("errors"))
 
 
-def red(error_mode: str = "http", approx: bool = False) -> list[Column]:
+def red(error_mode: str = "http", approx: bool = True) -> list[Column]:
     """Rate, errors and durations in milliseconds, as aggregates of one pass."""
     marks = percentiles(milliseconds(), 0.5, 0.95, 0.99, approx=approx)
     return [F.count("*").alias("total"), F.count_if(is_error(error_mode)).alias("errors"), F.avg(milliseconds()).alias("avg_ms"), marks.alias("_p")]
@@ -31,7 +31,7 @@ def _spread(df: DataFrame) -> DataFrame:
     return df.withColumns({f"p{p}_ms": F.col("_p")[i] for i, p in enumerate((50, 95, 99))}).drop("_p")
 
 
-def red_timeseries(spans: DataFrame, seconds: int, by: str | None = None, error_mode: str = "http", approx: bool = False) -> DataFrame:
+def red_timeseries(spans: DataFrame, seconds: int, by: str | None = None, error_mode: str = "http", approx: bool = True) -> DataFrame:
     """Rate, errors and durations per bucket, and per value of a field."""
     keys = [bucket(seconds).alias("bucket")] + ([span_field(by).cast("string").alias("grp")] if by else [])
     return _spread(spans.groupBy(*keys).agg(*red(error_mode, approx)))

@@ -94,14 +94,14 @@ def log_values(logs: DataFrame, group_by: list[Column] = ()) -> DataFrame:
     return logs.groupBy(key.alias("grp")).agg(F.count("*").cast("double").alias("value"))
 
 
-def apm_metric(name: str, window_s: float, approx: bool = False) -> Column:
+def apm_metric(name: str, window_s: float, approx: bool = True) -> Column:
     """error_rate (percent), error_count, request_rate (per second) or p50, p75, p90, p95, p99 (ms) of spans."""
     if name.startswith("p"):
         return percentile(milliseconds(), int(name[1:]) / 100, approx)
     return {"error_rate": F.count_if(is_error()) * 100.0 / F.count("*"), "error_count": F.count_if(is_error()).cast("double"), "request_rate": F.count("*") / float(window_s)}[name]
 
 
-def apm_values(spans: DataFrame, metric: str, window_s: float, group_by: str = "service_name", approx: bool = False) -> DataFrame:
+def apm_values(spans: DataFrame, metric: str, window_s: float, group_by: str = "service_name", approx: bool = True) -> DataFrame:
     return spans.groupBy(F.col(group_by).alias("grp")).agg(apm_metric(metric, window_s, approx).alias("value"))
 
 
@@ -288,7 +288,7 @@ def auto_series(samples: DataFrame, metric: str, grid: series.Grid, by: list[str
     return series.aggregate(read, "sum", by=list(by))
 
 
-def apm_series(spans: DataFrame, seconds: int = 60, approx: bool = False) -> DataFrame:
+def apm_series(spans: DataFrame, seconds: int = 60, approx: bool = True) -> DataFrame:
     return spans.groupBy("service_name", bucket(seconds).alias("bucket")).agg(
         F.count("*").alias("total"), F.count_if(is_error()).alias("errors"), percentiles(milliseconds(), 0.5, 0.95, 0.99, approx=approx).alias("p")
     ).select("service_name", "bucket", "total", "errors", *(F.col("p")[i].alias(f"p{p}_ms") for i, p in enumerate((50, 95, 99))))
@@ -338,7 +338,7 @@ def _failed() -> Column:
     return F.count_if(is_error("status"))
 
 
-def _slow(spans: DataFrame, keys: list[str], p99_ms: float, least: int, approx: bool = False) -> DataFrame:
+def _slow(spans: DataFrame, keys: list[str], p99_ms: float, least: int, approx: bool = True) -> DataFrame:
     out = spans.groupBy(*keys).agg(percentile(milliseconds(), 0.99, approx).alias("p99_ms"), F.count("*").alias("total"))
     return out.where((F.col("p99_ms") > p99_ms) & (F.col("total") > least))
 
@@ -352,7 +352,7 @@ def error_rate_spike(t: Tables, start, end, rate: float = 0.05, least: int = 100
     return out.where((F.col("total") > least) & (F.col("errors") > rate * F.col("total")))
 
 
-def latency_regression(t: Tables, start, end, p99_ms: float = 500, least: int = 50, approx: bool = False) -> DataFrame:
+def latency_regression(t: Tables, start, end, p99_ms: float = 500, least: int = 50, approx: bool = True) -> DataFrame:
     return _slow(_window(t["spans"], start, end).where("kind = 'SPAN_KIND_SERVER'"), ["service_name", "span_name"], p99_ms, least, approx)
 
 
@@ -370,10 +370,10 @@ def rate_drop(t: Tables, start, end, before: str = "1 hour", least: float = 100,
     return both.withColumn("drop_pct", (F.col("previous") - F.col("current")) / F.nullif(F.col("previous"), F.lit(0.0))).where((F.col("previous") > least) & (F.col("drop_pct") > drop))
 
 
-def errors_and_latency(t: Tables, start, end, rate: float = 0.05, p99_ms: float = 500) -> DataFrame:
+def errors_and_latency(t: Tables, start, end, rate: float = 0.05, p99_ms: float = 500, approx: bool = True) -> DataFrame:
     rows = _window(t["spans"], start, end)
     failing = rows.groupBy("service_name").agg(_failed().alias("errors"), F.count("*").alias("total")).where(F.col("errors") > rate * F.col("total"))
-    return failing.select("service_name").join(_slow(rows.where("kind = 'SPAN_KIND_SERVER'"), ["service_name"], p99_ms, 0), "service_name", "left_semi")
+    return failing.select("service_name").join(_slow(rows.where("kind = 'SPAN_KIND_SERVER'"), ["service_name"], p99_ms, 0, approx), "service_name", "left_semi")
 
 
 def severe_logs(t: Tables, start, end, least: int = 100) -> DataFrame:
@@ -387,8 +387,8 @@ def logs_and_traces(t: Tables, start, end, least: int = 5) -> DataFrame:
     return noisy.join(failing, "service_name")
 
 
-def latency_and_memory(t: Tables, start, end, usage: Column, limit: Column, p99_ms: float = 500, least: int = 50, share: float = 0.85) -> DataFrame:
-    slow = _slow(_window(t["spans"], start, end).where("http_status_code > 0"), ["service_name"], p99_ms, least)
+def latency_and_memory(t: Tables, start, end, usage: Column, limit: Column, p99_ms: float = 500, least: int = 50, share: float = 0.85, approx: bool = True) -> DataFrame:
+    slow = _slow(_window(t["spans"], start, end).where("http_status_code > 0"), ["service_name"], p99_ms, least, approx)
     rows = _window(t["gauges"], start, end)
     allowed = rows.where(limit).agg(F.min("value").alias("allowed"))  # one row
     pressed = rows.where(usage).groupBy("service_name").agg(F.max("value").alias("used")).join(F.broadcast(allowed)).where(F.col("used") > share * F.col("allowed"))

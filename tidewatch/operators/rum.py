@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions.core import percentile
 
 
-def vitals(rum: DataFrame, approx: bool = False) -> DataFrame:
+def vitals(rum: DataFrame, approx: bool = True) -> DataFrame:
     """(vital_name, samples, p75, good_pct, improve_pct, poor_pct)."""
     share = lambda rating: F.round(F.count_if(F.col("vital_rating") == rating) * 100.0 / F.count("*"), 2)
     rows = rum.where("event_type = 'web_vital'")

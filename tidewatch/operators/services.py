@@ -11,7 +11,7 @@ from tidewatch.operators.explore import _spread, red
 SERVER = "SPAN_KIND_SERVER"
 
 
-def service_nodes(spans: DataFrame, approx: bool = False) -> DataFrame:
+def service_nodes(spans: DataFrame, approx: bool = True) -> DataFrame:
     """Rate, errors and durations of each service."""
     return _spread(spans.groupBy("service_name").agg(*red("status_or_http", approx)))
 
@@ -34,17 +34,17 @@ def latency_histogram(spans: DataFrame) -> DataFrame:
     return spans.groupBy(power.alias("power")).agg(F.count("*").alias("total"))
 
 
-def latency_percentiles(spans: DataFrame, approx: bool = False) -> DataFrame:
+def latency_percentiles(spans: DataFrame, approx: bool = True) -> DataFrame:
     marks = spans.agg(percentiles(milliseconds(), 0.5, 0.95, 0.99, approx=approx).alias("_p"))
     return _spread(marks)
 
 
-def endpoint_red(spans: DataFrame, service: str, approx: bool = False) -> DataFrame:
+def endpoint_red(spans: DataFrame, service: str, approx: bool = True) -> DataFrame:
     """Server spans of a service by method and path."""
     return _spread(spans.where((F.col("service_name") == service) & (F.col("kind") == SERVER)).groupBy("http_method", "http_path").agg(*red("status_or_http", approx)))
 
 
-def operation_red(spans: DataFrame, service: str, noise: tuple[str, ...] = (), approx: bool = False) -> DataFrame:
+def operation_red(spans: DataFrame, service: str, noise: tuple[str, ...] = (), approx: bool = True) -> DataFrame:
     """Spans of a service that no client asked for directly, by name; ``noise`` are LIKE patterns to leave out."""
     rows = spans.where((F.col("service_name") == service) & (F.col("kind") != SERVER))
     for pattern in noise:

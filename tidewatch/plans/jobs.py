@@ -324,3 +324,37 @@ def stream_anomalies(spark, sf_dir):
         rows.where(~before).repartitionByRange(1, "ts").write.parquet(path)
         later = jobs.read(spark, path, rows.schema).select("series_key", "at", "value")
         return jobs.drain(jobs.anomalies(later, jobs.EwmaMonitor(), bands), spark, "anomalies")
+
+
+@query(
+    "stream_sessions",
+    """WITH g AS (SELECT user_id, ts, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 6 HOUR AS begins FROM events), s AS (SELECT *, count(*) FILTER (begins) OVER (PARTITION BY user_id ORDER BY ts) AS i FROM g)
+    SELECT user_id, epoch_us(min(ts)) // 1000000 AS started, epoch_us(max(ts)) // 1000000 + 21600 AS ended, count(*) AS events FROM s GROUP BY user_id, i""",
+)
+def stream_sessions(spark, sf_dir):
+    """Sessions of users by inactivity, complete after the last batch."""
+    rows = bind.events(spark, sf_dir).select("user_id", "ts")
+    with _small_state(spark):
+        every = jobs.drain(jobs.session_windows(_stream(spark, rows), "user_id", "6 hours", "40 days"), spark, "sessions", "complete")
+    last = every.agg(F.max("batch").alias("last"))
+    return every.join(F.broadcast(last), F.col("batch") == F.col("last")).select("user_id", "started", "ended", "events")  # one row
+
+
+@query("retention_effective", f"WITH {SAMPLES_SQL} SELECT service_name, count(*) AS total FROM samples WHERE ts >= TIMESTAMP '2024-01-30' - INTERVAL 20 DAY AND (service_name <> 'click' OR ts >= TIMESTAMP '2024-01-29') GROUP BY 1")
+def retention_effective(spark, sf_dir):
+    """The longest of a default and the rules for a table, and a cap that is never under a day for one service."""
+    as_of, rows = F.lit("2024-01-30").cast("timestamp"), bind.samples(spark, sf_dir)
+    table = retention.effective_days(7, [20, 14])
+    rules_ = [{"metric": "app*", "days": table}]
+    kept = retention.keep(rows, retention.expired_metrics(rules_, as_of))
+    own = retention.capped_days(0, 0)
+    gone = retention.expired_metrics([{"metric": "app*", "days": own}], as_of) & (F.col("service_name") == "click")
+    return retention.keep(kept, gone).groupBy("service_name").agg(F.count("*").alias("total"))
+
+
+@query("anomaly_steps", f"WITH {SPANS_SQL} SELECT service_name, w, epoch_us(ts) // 1000000 // step * step AS bucket, count(*) AS total FROM spans JOIN (VALUES (3600, 15), (21600, 60), (86400, 300)) t(w, step) ON epoch_us(ts) // 1000000 >= 1705276800 - w AND epoch_us(ts) // 1000000 < 1705276800 GROUP BY 1, 2, 3")
+def anomaly_steps(spark, sf_dir):
+    """Series of the hour, six hours and day before a time, each in the steps of its window."""
+    spans, at = bind.spans(spark, sf_dir), F.unix_seconds("ts")
+    one = lambda w: rules.apm_series(spans.where((at >= 1705276800 - w) & (at < 1705276800)), rules.anomaly_step(w)).select("service_name", F.lit(w).alias("w"), "bucket", "total")
+    return one(3600).unionByName(one(21600)).unionByName(one(86400))

@@ -233,12 +233,21 @@ def vec_merge(spark, sf_dir):
     SELECT '{{"service_name":"' || service || '"}}' AS series_key, k, round(CASE WHEN n > pn THEN CASE WHEN le > 1e300 THEN 'inf'::DOUBLE ELSE ple + (le - ple) * (target - pn) / (n - pn) END ELSE ple END, 6) AS value FROM f WHERE i = 1""",
 )
 def histogram_quantile(spark, sf_dir):
+    return _shown(ts.histogram_quantile(_bucket_counts(spark, sf_dir), 0.9))
+
+
+@query("histogram_quantile_last", f"WITH h AS ({ORACLES['histogram_quantile']}) SELECT * FROM h WHERE k = (SELECT max(k) FROM h h2 WHERE h2.series_key = h.series_key)")
+def histogram_quantile_last(spark, sf_dir):
+    return _shown(ts.histogram_quantile(_bucket_counts(spark, sf_dir), 0.9, last_only=True))
+
+
+def _bucket_counts(spark, sf_dir):
     bounds = [10.0, 25.0, 50.0, 100.0, 200.0, math.inf]
     rows = bind.samples(spark, sf_dir).withColumn("bound", F.explode(F.array(*map(F.lit, bounds))))
     le = F.when(F.col("bound") > 1e300, "+Inf").otherwise(F.col("bound").cast("string"))
     labels = F.create_map(F.lit("__name__"), F.lit("app.value_bucket"), F.lit("service_name"), F.col("service_name"), F.lit("le"), le)
     counted = rows.select(labels.alias("labels"), "ts_ms", F.when(F.col("value") <= F.col("bound"), 1.0).otherwise(0.0).alias("value")).withColumn("series_key", ts.series_key("labels"))
-    return _shown(ts.histogram_quantile(ts.range_function(counted, GRID, RANGE, "sum_over_time"), 0.9))
+    return ts.range_function(counted, GRID, RANGE, "sum_over_time")
 
 
 ROLL = "round(sum(value) / count(*), 6) AS avg, round(min(value), 6) AS min, round(max(value), 6) AS max, round(max_by(value, ts_ms), 6) AS last, count(*) AS cnt"

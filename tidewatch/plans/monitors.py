@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.core import is_error, materialize, milliseconds
-from tidewatch.operators import monitors, sketches
+from tidewatch.operators import monitors, rules, rum, services, sketches
 from tidewatch.sources import bind
-from tidewatch.sources.bind import LOGS_SQL, SAMPLES_SQL, SPANS_SQL
+from tidewatch.sources.bind import LOGS_SQL, RUM_SQL, SAMPLES_SQL, SPANS_SQL
 
 QUERIES, ORACLES = {}, {}
 NOW = 1705708800
@@ -108,6 +108,39 @@ def objectives_many(spark, sf_dir):
     return monitors.objective_counts(table, bind.spans(spark, sf_dir), NOW)
 
 
+# ------------------------------------------------------- estimated percentiles
+
+
+@query(
+    "estimated_percentiles",
+    f"""WITH {SPANS_SQL}, {RUM_SQL.replace("e AS", "r0 AS").replace("FROM e)", "FROM r0)")} SELECT 'red' AS kind, service_name AS grp, TRUE AS close FROM spans GROUP BY 2 UNION ALL SELECT 'apm', service_name, TRUE FROM spans GROUP BY 2
+    UNION ALL SELECT 'operation', span_name, TRUE FROM spans WHERE service_name = 'view' AND kind = 'SPAN_KIND_SERVER' GROUP BY 2
+    UNION ALL SELECT 'vital', vital_name, TRUE FROM rum WHERE vital_name IS NOT NULL GROUP BY 2 UNION ALL SELECT 'all', '', TRUE""",
+)
+def estimated_percentiles(spark, sf_dir):
+    """What the operators estimate by default lies between the exact percentiles of ranks one hundredth off."""
+    spans, vitals = bind.spans(spark, sf_dir), bind.rum(spark, sf_dir)
+    server = spans.where("service_name = 'view' AND kind = 'SPAN_KIND_SERVER'")
+    kinds = {
+        "red": (services.service_nodes(spans).select(F.col("service_name").alias("grp"), F.array("p50_ms", "p95_ms", "p99_ms").alias("got")), spans, F.col("service_name"), milliseconds(), (0.5, 0.95, 0.99)),
+        "apm": (rules.apm_values(spans, "p90", 60).select("grp", F.array("value").alias("got")), spans, F.col("service_name"), milliseconds(), (0.9,)),
+        "operation": (rules.latency_regression({"spans": spans}, "2000-01-01", "2100-01-01", p99_ms=0, least=0).where("service_name = 'view'").select(F.col("span_name").alias("grp"), F.array("p99_ms").alias("got")), server, F.col("span_name"), milliseconds(), (0.99,)),
+        "vital": (rum.vitals(vitals).select(F.col("vital_name").alias("grp"), F.array("p75").alias("got")), vitals.where("vital_name IS NOT NULL"), F.col("vital_name"), F.col("vital_value"), (0.75,)),
+        "all": (services.latency_percentiles(spans).select(F.lit("").alias("grp"), F.array("p50_ms", "p95_ms", "p99_ms").alias("got")), spans, F.lit(""), milliseconds(), (0.5, 0.95, 0.99)),
+    }
+
+    def close(kind: str) -> DataFrame:
+        found, rows, key, value, marks = kinds[kind]
+        edge = lambda off: F.percentile(value, F.array(*(F.lit(min(max(m + off, 0.0), 1.0)) for m in marks)))
+        exact = rows.groupBy(key.alias("grp")).agg(F.count("*").alias("n"), edge(-0.01).alias("low"), edge(0.01).alias("high"), F.sort_array(F.collect_set(value)).alias("values"))
+        # a group of few values allows for the value next to the rank
+        near = lambda x, low, high: (F.array_position("values", x) > 0) & (x >= F.element_at("values", F.greatest(F.size(F.filter("values", lambda v: v < low)), F.lit(1)))) & (x <= F.element_at("values", F.least(F.size(F.filter("values", lambda v: v <= high)) + 1, F.size("values"))))
+        every = F.forall(F.arrays_zip("got", "low", "high"), lambda m: near(m["got"], m["low"], m["high"]))
+        return found.join(exact, "grp").select(F.lit(kind).alias("kind"), "grp", every.alias("close"))
+
+    return reduce(DataFrame.unionByName, map(close, kinds))
+
+
 # -------------------------------------------------------------- stored sketches
 
 _DAY = "epoch_us(ts) // 86400000000 * 86400"
@@ -140,6 +173,21 @@ def rollup_quantiles(spark, sf_dir):
     return _within(found, exact, ["service_name", "bucket"], _MARKS)
 
 
+@query("window_quantiles", f"WITH {SAMPLES_SQL}, g AS (SELECT 1704153600 + 43200 * unnest(range(0, 56)) AS step) SELECT service_name, step AS \"at\", count(*) AS cnt, TRUE AS close FROM g JOIN samples ON ts_ms // 3600000 * 3600 >= step - 86400 AND ts_ms // 3600000 * 3600 < step GROUP BY 1, 2")
+def window_quantiles(spark, sf_dir):
+    """Percentiles of sliding days from stored sketches of hours, held against exact ones at ranks one hundredth off."""
+    rows = bind.samples(spark, sf_dir)
+    hours = materialize(sketches.quantile_partials(rows, ["service_name"], F.col("value"), 3600), "hours")
+    found = sketches.window_quantiles(hours, ["service_name"], 0.9, 1704153600, 1704153600 + 43200 * 55, 43200, 86400)
+    at = F.col("hour") - F.pmod(F.col("hour") - 1704153600, F.lit(43200))
+    moved = rows.withColumn("hour", (F.floor(F.col("ts_ms") / 3_600_000) * 3600).cast("bigint")).select("service_name", "value", F.explode(F.array(at + 43200, at + 86400)).alias("at"))
+    exact = moved.groupBy("service_name", "at").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("value")).alias("v"))
+    off = F.greatest(F.col("n") * RANK_ERROR, F.lit(1))
+    place = lambda rank: F.element_at("v", F.greatest(F.least(rank, F.size("v")), F.lit(1)).cast("int"))
+    close = F.col("value").between(place(F.floor(F.col("n") * 0.9 - off)), place(F.ceil(F.col("n") * 0.9 + off)))
+    return found.join(exact, ["service_name", "at"]).select("service_name", "at", "cnt", close.alias("close"))
+
+
 def _close(a, b):
     return F.abs(a - b) <= F.greatest(b * DISTINCT_ERROR, F.lit(1))
 

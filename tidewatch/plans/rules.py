@@ -63,7 +63,7 @@ _APM = {"error_rate": "count(*) FILTER (is_error) * 100.0 / count(*)", "error_co
 
 
 def _apm(metric):
-    return lambda spark, sf_dir: _round(rules.apm_values(rules._window(bind.spans(spark, sf_dir), *W), metric, 604800), "value")
+    return lambda spark, sf_dir: _round(rules.apm_values(rules._window(bind.spans(spark, sf_dir), *W), metric, 604800, approx=False), "value")
 
 
 for _m, _sql in _APM.items():
@@ -208,7 +208,7 @@ def anomaly_verdict(spark, sf_dir):
     f"WITH {SPANS_SQL} SELECT service_name, epoch_us(ts) // 3600000000 * 3600 AS bucket, count(*) AS total, count(*) FILTER (is_error) AS errors, round(quantile_cont(duration_ns / 1e6, 0.5), 6) AS p50_ms, round(quantile_cont(duration_ns / 1e6, 0.95), 6) AS p95_ms, round(quantile_cont(duration_ns / 1e6, 0.99), 6) AS p99_ms FROM spans GROUP BY 1, 2",
 )
 def anomaly_apm_series(spark, sf_dir):
-    return _round(rules.apm_series(bind.spans(spark, sf_dir), 3600), "p50_ms", "p95_ms", "p99_ms")
+    return _round(rules.apm_series(bind.spans(spark, sf_dir), 3600, approx=False), "p50_ms", "p95_ms", "p99_ms")
 
 
 @query("correlate_event", f"WITH {SPANS_SQL}, {LOGS_SQL}, n AS (SELECT service_name, count(*) AS spans, count(*) FILTER (is_error) AS errors FROM spans WHERE epoch_us(ts) // 1000000 BETWEEN 1704067200 AND 1704110400 GROUP BY 1 ORDER BY 3 DESC, 1 LIMIT 3) SELECT service_name, spans, errors, CAST(0 AS BIGINT) AS log_errors FROM n")
@@ -254,7 +254,7 @@ def detect_error_rate_spike(spark, sf_dir):
 
 @query("detect_latency_regression", f"WITH {SPANS_SQL} SELECT service_name, span_name, round(quantile_cont(duration_ns / 1e6, 0.99), 6) AS p99_ms, count(*) AS total FROM spans WHERE {IN} AND kind = 'SPAN_KIND_SERVER' GROUP BY 1, 2 HAVING p99_ms > 200 AND total > 50")
 def detect_latency_regression(spark, sf_dir):
-    return _round(rules.latency_regression(_tables(spark, sf_dir), *W, p99_ms=200), "p99_ms")
+    return _round(rules.latency_regression(_tables(spark, sf_dir), *W, p99_ms=200, approx=False), "p99_ms")
 
 
 @query("detect_saturation", f"WITH {SAMPLES_SQL} SELECT service_name, shard AS host, round(avg(value), 6) AS mean FROM samples WHERE {IN} GROUP BY 1, 2 HAVING avg(value) > 50")
@@ -272,7 +272,7 @@ def detect_rate_drop(spark, sf_dir):
 
 @query("detect_errors_and_latency", f"WITH {SPANS_SQL} SELECT service_name FROM spans WHERE {IN} GROUP BY 1 HAVING count(*) FILTER (status = 'STATUS_CODE_ERROR') > 0.05 * count(*) AND quantile_cont(duration_ns / 1e6, 0.99) FILTER (kind = 'SPAN_KIND_SERVER') > 100")
 def detect_errors_and_latency(spark, sf_dir):
-    return rules.errors_and_latency(_tables(spark, sf_dir), *W, p99_ms=100)
+    return rules.errors_and_latency(_tables(spark, sf_dir), *W, p99_ms=100, approx=False)
 
 
 @query("detect_severe_logs", f"WITH {LOGS_SQL} SELECT service_name, severity_text, count(*) AS total FROM logs WHERE severity_text IN ('ERROR', 'FATAL') GROUP BY 1, 2 HAVING count(*) >= 20")
@@ -288,9 +288,9 @@ def detect_logs_and_traces(spark, sf_dir):
     return rules.logs_and_traces(tables | {"spans": named}, *_times(tables["logs"], tables["spans"]))
 
 
-@query("detect_latency_and_memory", f"WITH {SPANS_SQL}, {SAMPLES_SQL}, a AS (SELECT min(value) * 0 + 200 AS allowed FROM samples) SELECT service_name FROM spans WHERE {IN} GROUP BY 1 HAVING quantile_cont(duration_ns / 1e6, 0.99) > 100 AND count(*) > 50 AND service_name IN (SELECT service_name FROM samples WHERE {IN} GROUP BY 1 HAVING max(value) > 0.85 * (SELECT min(value) FROM samples WHERE {IN} AND value > 200))")
+@query("detect_latency_and_memory", f"WITH {SPANS_SQL}, {SAMPLES_SQL} SELECT service_name FROM spans WHERE {IN} GROUP BY 1 HAVING quantile_cont(duration_ns / 1e6, 0.99) > 100 AND count(*) > 50 AND service_name IN (SELECT service_name FROM samples WHERE {IN} GROUP BY 1 HAVING max(value) > 0.85 * (SELECT min(value) FROM samples WHERE {IN} AND value > 200))")
 def detect_latency_and_memory(spark, sf_dir):
-    return rules.latency_and_memory(_tables(spark, sf_dir), *W, usage=F.col("metric_name") == "app.value", limit=F.col("value") > 200, p99_ms=100)
+    return rules.latency_and_memory(_tables(spark, sf_dir), *W, usage=F.col("metric_name") == "app.value", limit=F.col("value") > 200, p99_ms=100, approx=False)
 
 
 @query(

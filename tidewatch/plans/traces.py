@@ -35,12 +35,12 @@ HOUR, DAY = "epoch_ms(ts) // 3600000 * 3600", "epoch_ms(ts) // 86400000 * 86400"
 
 @query("red_timeseries", f"WITH {SPANS_SQL} SELECT {DAY} AS bucket, count(*) AS total, count(*) FILTER (http_status_code >= 500) AS errors, {P_SQL} FROM spans GROUP BY 1")
 def red_timeseries(spark, sf_dir):
-    return _round(explore.red_timeseries(bind.spans(spark, sf_dir), clamp_bucket("1d", *JAN)), *MS)
+    return _round(explore.red_timeseries(bind.spans(spark, sf_dir), clamp_bucket("1d", *JAN), approx=False), *MS)
 
 
 @query("red_timeseries_by", f"WITH {SPANS_SQL} SELECT {DAY} AS bucket, service_name AS grp, count(*) AS total, count(*) FILTER (http_status_code >= 500) AS errors, {P_SQL} FROM spans GROUP BY 1, 2")
 def red_timeseries_by(spark, sf_dir):
-    return _round(explore.red_timeseries(bind.spans(spark, sf_dir), 86400, by="service_name"), *MS)
+    return _round(explore.red_timeseries(bind.spans(spark, sf_dir), 86400, by="service_name", approx=False), *MS)
 
 
 @query("count_buckets", f"WITH {SPANS_SQL} SELECT {HOUR} AS bucket, count(*) AS total, count(*) FILTER (is_error) AS errors FROM spans GROUP BY 1")
@@ -147,7 +147,7 @@ def autocomplete_services(spark, sf_dir):
 
 @query("service_nodes", f"WITH {SPANS_SQL} SELECT service_name, count(*) AS total, count(*) FILTER (is_error) AS errors, {P_SQL} FROM spans GROUP BY 1")
 def service_nodes(spark, sf_dir):
-    return _round(services.service_nodes(bind.spans(spark, sf_dir)), *MS)
+    return _round(services.service_nodes(bind.spans(spark, sf_dir), approx=False), *MS)
 
 
 @query(
@@ -165,17 +165,17 @@ def latency_histogram(spark, sf_dir):
 
 @query("latency_percentiles", f"WITH {SPANS_SQL} SELECT {P_SQL.split('avg_ms, ')[1]} FROM spans")
 def latency_percentiles(spark, sf_dir):
-    return _round(services.latency_percentiles(bind.spans(spark, sf_dir)), *MS[1:])
+    return _round(services.latency_percentiles(bind.spans(spark, sf_dir), approx=False), *MS[1:])
 
 
 @query("endpoint_red", f"WITH {SPANS_SQL} SELECT http_method, http_path, count(*) AS total, count(*) FILTER (is_error) AS errors, {P_SQL} FROM spans WHERE service_name = 'click' AND kind = 'SPAN_KIND_SERVER' GROUP BY 1, 2")
 def endpoint_red(spark, sf_dir):
-    return _round(services.endpoint_red(bind.spans(spark, sf_dir), "click"), *MS)
+    return _round(services.endpoint_red(bind.spans(spark, sf_dir), "click", approx=False), *MS)
 
 
 @query("operation_red", f"WITH {SPANS_SQL} SELECT span_name, count(*) AS total, count(*) FILTER (is_error) AS errors, {P_SQL} FROM spans WHERE service_name = 'view' AND kind <> 'SPAN_KIND_SERVER' AND span_name NOT LIKE '%.1' GROUP BY 1")
 def operation_red(spark, sf_dir):
-    return _round(services.operation_red(bind.spans(spark, sf_dir), "view", ("%.1",)), *MS)
+    return _round(services.operation_red(bind.spans(spark, sf_dir), "view", ("%.1",), approx=False), *MS)
 
 
 @query("error_groups", f"WITH {SPANS_SQL} SELECT CAST(http_status_code AS VARCHAR) || ' ' || http_method || ' ' || http_path AS key, count(*) AS total, max(ts_ns) AS last_seen FROM spans WHERE service_name = 'error' AND kind = 'SPAN_KIND_SERVER' AND is_error GROUP BY 1")
@@ -234,7 +234,7 @@ def service_catalog(spark, sf_dir):
     f"WITH {RUM_SQL} SELECT vital_name, count(*) AS samples, round(quantile_cont(vital_value, 0.75), 6) AS p75, round(count(*) FILTER (vital_rating = 'good') * 100.0 / count(*), 2) AS good_pct, round(count(*) FILTER (vital_rating = 'needs-improvement') * 100.0 / count(*), 2) AS improve_pct, round(count(*) FILTER (vital_rating = 'poor') * 100.0 / count(*), 2) AS poor_pct FROM rum WHERE event_type = 'web_vital' GROUP BY 1",
 )
 def rum_vitals(spark, sf_dir):
-    return _round(rum.vitals(bind.rum(spark, sf_dir)), "p75")
+    return _round(rum.vitals(bind.rum(spark, sf_dir), approx=False), "p75")
 
 
 @query("rum_pages", f"WITH {RUM_SQL} SELECT page_path, count(*) FILTER (event_type = 'pageview') AS views, count(DISTINCT session_id) AS sessions, round(avg(duration_ms) FILTER (duration_ms > 0), 6) AS avg_ms, count(*) FILTER (event_type = 'error') AS errors FROM rum GROUP BY 1")

@@ -367,3 +367,28 @@ def bin_group_right(spark, sf_dir):
 def instant_one_step(spark, sf_dir):
     at = 1_704_499_200_000
     return _shown(ts.instant_select(bind.samples(spark, sf_dir), ts.Grid(at, at + 3_600_000, 3_600_001)))
+
+
+# ---------------------------------------------------------------------- exports
+
+
+def _daily(spark, sf_dir):
+    rows = bind.spans(spark, sf_dir)
+    return rows.groupBy("service_name", F.date_trunc("day", "ts").alias("ts")).agg(F.count("*").alias("total"), F.max("duration_ns").alias("slowest"))
+
+
+@query("export_csv", f"WITH {SPANS_SQL} SELECT service_name, strftime(ts, '%Y-%m-%d') || 'T00:00:00.000000Z' AS ts, CAST(count(*) AS VARCHAR) AS total FROM (SELECT service_name, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS ts FROM spans) GROUP BY 1, 2")
+def export_csv(spark, sf_dir):
+    """A table of days, exported with some of its columns and read back as text."""
+    path = scratch(spark, "export-csv")
+    tables.export_csv(_daily(spark, sf_dir), path, ["service_name", "ts", "total"], max_rows=tables.MOST_ROWS, note={"query": "daily"})
+    return spark.read.option("header", True).csv(path)
+
+
+@query("export_json", f"WITH {SPANS_SQL} SELECT 'daily' AS query, CAST(count(*) AS BIGINT) AS rows, FALSE AS truncated, CAST(sum(total) AS BIGINT) AS total FROM (SELECT count(*) AS total FROM spans GROUP BY service_name, CAST(ts AS DATE))")
+def export_json(spark, sf_dir):
+    """The envelope of an export, with the rows that it is about."""
+    path = scratch(spark, "export-json")
+    tables.export_json(_daily(spark, sf_dir), path, tables.MOST_ROWS, {"query": "daily"})
+    side = spark.read.schema("query string, rows bigint, truncated boolean").json(path + "_query")
+    return side.join(F.broadcast(spark.read.json(path).agg(F.sum("total").alias("total"))))  # one row each
