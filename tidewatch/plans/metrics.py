@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from tidewatch.functions.predicates import label_matchers
-from tidewatch.operators import explore, rollup, rules
+from tidewatch.operators import expressions, explore, rollup, rules
 from tidewatch.operators import series as ts
 from tidewatch.sources import bind
 from tidewatch.sources.bind import COUNTERS_SQL, SAMPLES_SQL
@@ -296,3 +296,18 @@ def _auto(metric, source):
 for _name, _metric, _source, _rows, _with in _AUTO:
     QUERIES[_name] = _auto(_metric, _source)
     ORACLES[_name] = f"""WITH {_rows}, {_with} SELECT '{{"service_name":"' || service_name || '"}}' AS series_key, k, round(sum(value), 6) + 0.0 AS value FROM r GROUP BY service_name, k"""
+
+
+_HALF = STEP // 2
+
+
+@query(
+    "expression",
+    f"""WITH {SAMPLES_SQL}, {STEPS_SQL}, a AS (SELECT service_name, k, sum(value) AS v FROM samples JOIN steps ON ts_ms + 86400000 BETWEEN t - {RANGE} AND t GROUP BY 1, 2), b AS (SELECT service_name, k, sum(value) AS v FROM samples JOIN steps ON ts_ms BETWEEN t - {3 * RANGE} AND t WHERE shard = '1' GROUP BY 1, 2)
+    SELECT '{{"service_name":"' || service_name || '"}}' AS series_key, k, round(abs(a.v / b.v - b.v), 6) AS value FROM a JOIN b USING (service_name, k)""",
+)
+def expression(spark, sf_dir):
+    """A range a day ago, related to a longer one of a single shard, which occurs twice and is computed once."""
+    sums = lambda m: expressions.Aggregate("sum", m.over("sum_over_time"), by=("service_name",))
+    ago, now = sums(expressions.Metric("app.value", (), RANGE, 86_400_000)), sums(expressions.Metric("app.value", (("shard", "1"),), 3 * RANGE))
+    return _shown(expressions.evaluate(expressions.Apply("abs", ago / now - now), bind.samples(spark, sf_dir), GRID))
