@@ -161,21 +161,25 @@ def known_identifiers(spark: SparkSession, names: int = 20_000) -> DataFrame:
     protocols, with abbreviations, numbers and rows of capitals at any place.
     """
     draw = lambda *salt: F.xxhash64("id", *map(F.lit, salt))
-    pick = lambda words, salt: F.element_at(F.split(F.lit(words), " "), F.pmod(draw(salt), F.lit(len(words.split()))).cast("int") + 1)
-    often = lambda salt, of: F.pmod(draw(salt, of), F.lit(of)) == 0
-    word = lambda i: F.when(often(f"f{i}", 6), pick(FOREIGN, f"w{i}")).otherwise(pick(PARTS, f"w{i}"))
-    short, number = pick(SHORT, "s"), F.abs(F.pmod(draw("n"), F.lit(1000))).cast("string")
-    a, b, c, d = (word(i) for i in range(4))
-    up = F.initcap
+    listed = lambda words: F.split(F.lit(words), " ")
+    pick = lambda words, salt: F.get(listed(words), F.pmod(draw(salt), F.lit(len(words.split()))).cast("int"))
+    word = lambda i: F.when(F.pmod(draw(f"f{i}"), F.lit(6)) == 0, pick(FOREIGN, f"w{i}")).otherwise(pick(PARTS, f"w{i}"))
+    # drawn in a projection of their own, so that the shapes below refer to columns
+    drawn = spark.range(names).select(
+        *(word(i).alias(c) for i, c in enumerate("abcd")), pick(SHORT, "s").alias("short"), F.abs(F.pmod(draw("n"), F.lit(1000))).cast("string").alias("number"),
+        (F.pmod(draw("more"), F.lit(2)) == 0).alias("more"), F.pmod(draw("shape"), F.lit(24)).cast("int").alias("shape"),
+    )
+    a, b, c, d, short, number = map(F.col, ("a", "b", "c", "d", "short", "number"))
+    up, more = F.initcap, lambda x: F.when(F.col("more"), x).otherwise("")
     shapes = (
-        F.concat(a, up(b), up(c), F.when(often("d", 2), up(d)).otherwise("")), F.concat(up(a), up(b), up(c), F.when(often("d", 2), up(d)).otherwise("")), F.concat(F.lower(F.substr(short, F.lit(1), F.lit(2))), up(a), up(b), up(c)),
-        F.concat(short, up(a), up(b), F.when(often("d", 2), up(c)).otherwise("")), F.concat(up(a), short, up(b), up(c)), F.concat(up(a), up(b), short), F.concat(short, a, F.substr(short, F.lit(1), F.lit(3)), up(b), number),
+        F.concat(a, up(b), up(c), more(up(d))), F.concat(up(a), up(b), up(c), more(up(d))), F.concat(F.lower(F.substr(short, F.lit(1), F.lit(2))), up(a), up(b), up(c)),
+        F.concat(short, up(a), up(b), more(up(c))), F.concat(up(a), short, up(b), up(c)), F.concat(up(a), up(b), short), F.concat(short, a, F.substr(short, F.lit(1), F.lit(3)), up(b), number),
         F.concat_ws("_", a, b, c), F.upper(F.concat_ws("_", a, b, c)), F.concat_ws("_", short, F.upper(a), F.upper(b)), F.concat_ws("_", up(a), up(b), c), F.concat(F.concat_ws("_", a, b), number), F.concat(F.lit("__"), a, F.lit("_"), b, F.lit("__")),
         F.concat_ws("-", a, b, c), F.concat_ws("-", up(a), up(b), up(c)), F.concat_ws("-", F.lower(short), a, number, b), F.concat_ws("/", a, b, F.lower(short), c), F.concat_ws("/", a, F.concat_ws("-", b, number), c), F.concat_ws("/", up(a), F.concat(b, F.lit("_"), c)),
         F.concat(a, b, c), F.upper(F.concat(a, b, c)), F.concat(a, F.lit("="), b, F.lit("_"), c, number), F.concat_ws("+", a, b, c), F.concat(a, number, up(b), number, up(c)),
     )
-    value = F.element_at(F.array(*shapes), F.pmod(draw("shape"), F.lit(len(shapes))).cast("int") + 1)
-    return spark.range(names).select(F.lit("known").alias("source"), value.alias("value"))
+    chosen = [F.when(F.col("shape") == i, shape) for i, shape in enumerate(shapes)]
+    return drawn.select(F.lit("known").alias("source"), F.coalesce(*chosen).alias("value"))
 
 
 def labelled_samples(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", strings: int = 2000, max_texts: int = 500) -> DataFrame:
