@@ -313,7 +313,7 @@ def stream_monitor_samples(spark, sf_dir):
 
 
 @query("stream_anomalies", f"""{_EWMA_SQL.replace("ORDER BY ts_ms, value", "ORDER BY ts").replace("SELECT series_key, value AS x,", "SELECT series_key, ts, value AS x,")}
-    SELECT series_key, epoch_us(ts) AS "at", x AS value, hit AS anomalous FROM s JOIN v USING (series_key, i) WHERE ts >= TIMESTAMP '2024-01-15'""")
+    SELECT series_key, epoch_us(ts) AS "at", x AS value, hit AS anomalous FROM s JOIN v USING (series_key, i) WHERE i > 12 AND ts >= TIMESTAMP '2024-01-15'""")
 def stream_anomalies(spark, sf_dir):
     """A stream that goes on from the bands that a batch over the days before has left."""
     rows = bind.samples(spark, sf_dir).select("series_key", F.unix_micros("ts").alias("at"), "value", "ts")
