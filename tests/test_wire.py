@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import explore
 from tidewatch.operators import normalize as nz
+from tidewatch.plans import wire
 from tidewatch.sources import tables
 
 
@@ -98,3 +99,13 @@ def test_pages_and_exports_refuse_what_they_would_cut(spark, tmp_path):
         side = spark.read.json(path + "_query").first()
         assert (side.query, side.rows, side.truncated) == ("all", min(rows, 30), cut)
         assert spark.read.option("header", True).csv(path).count() == min(rows, 30)
+
+
+def test_no_metric_record_grows_with_the_events(spark, sf_dir):
+    metrics = wire._metric_records(spark, sf_dir).select(F.explode("resourceMetrics").alias("r")).select(F.explode("r.scopeMetrics").alias("s")).select(F.explode("s.metrics").alias("m"))
+    kinds = ("gauge", "sum", "histogram", "exponentialHistogram", "summary")
+    found = metrics.agg(*(F.struct(F.max(F.size(f"m.{k}.dataPoints")).alias("most"), F.sum(F.size(f"m.{k}.dataPoints")).alias("points")).alias(k) for k in kinds)).first()
+    assert [found[k].most for k in ("gauge", "sum")] == [1, 1] and found.histogram.most <= 24
+    assert found.exponentialHistogram.most <= 31 and found.summary.most <= 31
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").count()
+    assert found.gauge.points == found["sum"].points == events

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions import predicates as P
@@ -107,7 +110,11 @@ def scan_rum_replay(spark, sf_dir):
 
 
 def _metric_records(spark, sf_dir):
-    """Metric records of all five kinds, one record a service and kind, read back from JSON by schema."""
+    """Metric records of all five kinds, read back from JSON by schema.
+
+    Every event is a record with its gauge and its sum, as a client sends it; the points of a service
+    by hours are a record a day, those by days a record a month. No record grows with the events.
+    """
     e = _events(spark, sf_dir)
     about = F.array(_text("shard", F.col("user_id") % 5))
     example = F.struct(F.array(_text("k", F.col("k"))).alias("filteredAttributes"), F.col("ts_ns").alias("timeUnixNano"), F.col("value").alias("asDouble"), F.hex("event_id").alias("spanId"), F.lit("").alias("traceId"))
@@ -119,22 +126,27 @@ def _metric_records(spark, sf_dir):
     daily = e.groupBy("event_type", day.alias("timeUnixNano")).agg(*shape, *(F.count_if(F.col("k") % 3 == i).alias(f"b{i}") for i in range(3)), F.max("k").cast("double").alias("most"))
     buckets = F.array("b0", "b1", "b2")
     hour = bind.histograms(spark, sf_dir).select(F.col("service_name").alias("event_type"), (F.col("hour") * 1_000_000_000).cast("bigint").alias("timeUnixNano"), "count", "sum", F.col("bucket_counts").alias("bucketCounts"), F.col("explicit_bounds").alias("explicitBounds"))
-    kinds = {
-        "gauge": (e, gauge, {}),
-        "sum": (e, whole, {"aggregationTemporality": 2, "isMonotonic": True}),
-        "histogram": (hour, F.struct("timeUnixNano", "count", "sum", "bucketCounts", "explicitBounds"), {"aggregationTemporality": 1}),
-        "exponentialHistogram": (daily, F.struct("timeUnixNano", "count", "sum", F.lit(3).alias("scale"), F.col("b0").alias("zeroCount"), F.struct(F.lit(1).alias("offset"), buckets.alias("bucketCounts")).alias("positive")), {"aggregationTemporality": 2}),
-        "summary": (daily, F.struct("timeUnixNano", "count", "sum", F.array(F.struct(F.lit(1.0).alias("quantile"), F.col("most").alias("value"))).alias("quantileValues")), {}),
-    }
-    texts = None
-    for kind, (rows, point, extra) in kinds.items():
-        data = F.struct(F.col("points").alias("dataPoints"), *(F.lit(v).alias(k) for k, v in extra.items()))
-        metric = F.struct(F.lit(f"app.{kind}").alias("name"), F.lit("ms").alias("unit"), data.alias(kind))
+    histogram = F.struct("timeUnixNano", "count", "sum", "bucketCounts", "explicitBounds")
+    exponential = F.struct("timeUnixNano", "count", "sum", F.lit(3).alias("scale"), F.col("b0").alias("zeroCount"), F.struct(F.lit(1).alias("offset"), buckets.alias("bucketCounts")).alias("positive"))
+    summary = F.struct("timeUnixNano", "count", "sum", F.array(F.struct(F.lit(1.0).alias("quantile"), F.col("most").alias("value"))).alias("quantileValues"))
+    at = F.timestamp_seconds(F.expr("timeUnixNano div 1000000000"))
+    listed = lambda rows, point, unit: rows.groupBy("event_type", F.date_trunc(unit, at)).agg(F.collect_list(point).alias("points"))
+
+    def texts(rows, **points):
+        data = {kind: F.struct(p.alias("dataPoints"), *(F.lit(v).alias(k) for k, v in extra.items())) for kind, (p, extra) in points.items()}
+        # each metric has a field for the data of every kind of the record, so that they are of one type
+        metrics = [F.struct(F.lit(f"app.{kind}").alias("name"), F.lit("ms").alias("unit"), *(F.when(F.lit(k == kind), d).alias(k) for k, d in data.items())) for kind in data]
         resource = F.struct(F.array(_text("service.name", F.col("event_type"))).alias("attributes"))
-        record = F.struct(F.array(F.struct(resource.alias("resource"), F.array(F.struct(F.array(metric).alias("metrics"))).alias("scopeMetrics"))).alias("resourceMetrics"))
-        one = rows.groupBy("event_type").agg(F.collect_list(point).alias("points")).select(F.to_json(record).alias("value"))
-        texts = one if texts is None else texts.unionByName(one)
-    return texts.select(F.from_json("value", nz.METRIC_RECORDS).alias("r")).select("r.*")
+        record = F.struct(F.array(F.struct(resource.alias("resource"), F.array(F.struct(F.array(*metrics).alias("metrics"))).alias("scopeMetrics"))).alias("resourceMetrics"))
+        return rows.select(F.to_json(record).alias("value"))
+
+    sent = [
+        texts(e, gauge=(F.array(gauge), {}), sum=(F.array(whole), {"aggregationTemporality": 2, "isMonotonic": True})),
+        texts(listed(hour, histogram, "day"), histogram=(F.col("points"), {"aggregationTemporality": 1})),
+        texts(listed(daily, exponential, "month"), exponentialHistogram=(F.col("points"), {"aggregationTemporality": 2})),
+        texts(listed(daily, summary, "month"), summary=(F.col("points"), {})),
+    ]
+    return reduce(DataFrame.unionByName, sent).select(F.from_json("value", nz.METRIC_RECORDS).alias("r")).select("r.*")
 
 
 def _metric_table(spark, sf_dir, name):
