@@ -45,3 +45,15 @@ def test_query_matches_sql(spark, sf_dir, duck, name):
 def test_every_query_but_a_few_has_a_twin():
     assert set(registry.ORACLES) <= set(registry.QUERIES)
     assert not set(registry.QUERIES) - set(registry.ORACLES)
+
+
+@pytest.mark.parametrize("name", ["count_buckets", "usage_merge", "histogram_quantile", "histogram_quantile_last", "red_timeseries", "rollup_1m", "rollup_merge"])
+def test_times_between_milliseconds_match_sql(spark, tmp_path, name):
+    """Half a millisecond before an hour and a step, and two samples of a millisecond that ends its minute."""
+    times = ["2024-01-06 05:59:59.999400", "2024-01-06 05:59:59.999500", "2024-01-06 05:59:59.999900", "2024-01-06 06:00:00.000100", "2024-01-06 23:59:59.999700"]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE events AS " + " UNION ALL ".join(f"SELECT {i}::BIGINT AS event_id, TIMESTAMP '{t}' AS ts, 5::BIGINT AS user_id, 'view' AS event_type, {v}::DOUBLE AS value, '{{\"k\": {i}}}' AS props" for i, (t, v) in enumerate(zip(times, (3, 4, 90, 30, 150)))))
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet'")
+    df, want = registry.QUERIES[name](spark, str(tmp_path)), con.sql(registry.ORACLES[name])
+    columns = sorted(df.columns)
+    assert sorted(map(repr, (cells(r) for r in df.select(*columns).collect()))) == sorted(map(repr, (cells(r) for r in want.select(*(f'"{c}"' for c in columns)).fetchall())))

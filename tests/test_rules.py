@@ -130,3 +130,12 @@ def test_lookback_and_counters():
 
     assert series.lookback() == 300_000 and series.lookback(60_000, 3_600_000) == 3_600_000
     assert rules.counter_like("requests_total") and rules.counter_like("a_created") and not rules.counter_like("cpu")
+
+
+def test_equal_times_roll_up_to_the_first_of_an_order(spark):
+    rows = spark.createDataFrame([("a", 59_000, 1.0, 4), ("a", 59_000, 9.0, 7), ("a", 61_000, 5.0, 9), ("a", 61_000, 3.0, 8), ("a", 60_500, 8.0, 1)], "series_key string, ts_ms long, value double, n long")
+    ordered = rollup.rollup(rows, 60, "n")
+    assert {r.bucket: (r.last_value, r.last_order) for r in ordered.collect()} == {0: (1.0, 4), 60: (3.0, 8)}
+    whole = rollup.rollup(rows.where("n % 2 = 0"), 60, "n").unionByName(rollup.rollup(rows.where("n % 2 = 1"), 60, "n"))
+    assert {r.bucket: r.last_value for r in rollup.merge(whole).collect()} == {0: 1.0, 60: 3.0}
+    assert {r.bucket: r.last_value for r in rollup.rollup(rows, 60).collect()} == {0: 9.0, 60: 5.0}

@@ -10,24 +10,31 @@ RAW_SPAN, MINUTE_SPAN = 6 * 3600, 2 * 86400
 ABOUT = ("metric_description", "metric_unit")
 
 
-def rollup(samples: DataFrame, seconds: int) -> DataFrame:
+def rollup(samples: DataFrame, seconds: int, order: str | None = None) -> DataFrame:
     """(series_key, bucket, sum, cnt, min, max, last_value, last_ms): partial rows that merge without loss.
 
-    Samples with ``metric_description`` or ``metric_unit`` keep the last one of each.
+    Samples with ``metric_description`` or ``metric_unit`` keep the last one of each. Of several
+    samples of the last millisecond the value is the largest; with ``order``, a numeric column,
+    it is that of the first in this order, kept as ``last_order``.
     """
+    latest = F.struct("ts_ms", *([(-F.col(order)).alias("order")] if order else []), "value")
     width = seconds * 1000
     start = (F.floor(F.col("ts_ms") / width) * seconds).cast("bigint")
     return samples.groupBy("series_key", start.alias("bucket")).agg(
-        F.sum("value").alias("sum"), F.count("*").alias("cnt"), F.min("value").alias("min"), F.max("value").alias("max"), F.max_by("value", F.struct("ts_ms", "value")).alias("last_value"), F.max("ts_ms").alias("last_ms"),
+        F.sum("value").alias("sum"), F.count("*").alias("cnt"), F.min("value").alias("min"), F.max("value").alias("max"), F.max_by("value", latest).alias("last_value"), F.max("ts_ms").alias("last_ms"),
+        *([(-F.max(latest)["order"]).alias("last_order")] if order else []),
         *(F.max_by(c, F.struct("ts_ms", "value", c)).alias(c) for c in ABOUT if c in samples.columns),
     )
 
 
 def merge(partials: DataFrame, seconds: int | None = None) -> DataFrame:
     """Merge partial rows of the same bucket, or into coarser buckets. Late rows only add partials."""
+    ordered = "last_order" in partials.columns
+    latest = F.struct("last_ms", *([(-F.col("last_order")).alias("order")] if ordered else []), "last_value")
     start = F.col("bucket") if seconds is None else (F.floor(F.col("bucket") / seconds) * seconds).cast("bigint")
     return partials.groupBy("series_key", start.alias("bucket")).agg(
-        F.sum("sum").alias("sum"), F.sum("cnt").alias("cnt"), F.min("min").alias("min"), F.max("max").alias("max"), F.max_by("last_value", F.struct("last_ms", "last_value")).alias("last_value"), F.max("last_ms").alias("last_ms"),
+        F.sum("sum").alias("sum"), F.sum("cnt").alias("cnt"), F.min("min").alias("min"), F.max("max").alias("max"), F.max_by("last_value", latest).alias("last_value"), F.max("last_ms").alias("last_ms"),
+        *([(-F.max(latest)["order"]).alias("last_order")] if ordered else []),
         *(F.max_by(c, F.struct("last_ms", "last_value", c)).alias(c) for c in ABOUT if c in partials.columns),
     )
 
@@ -53,10 +60,10 @@ def choose_source(start_s: int, end_s: int, bucket_s: int, needs_samples: bool =
     return "1m" if fits(60) else "raw"
 
 
-def backfill(samples: DataFrame, seconds: int, now_s: int) -> DataFrame:
+def backfill(samples: DataFrame, seconds: int, now_s: int, order: str | None = None) -> DataFrame:
     """Rollup of the buckets that are closed at ``now_s``; the open one is left to the stream."""
     cutover = now_s // seconds * seconds
-    return rollup(samples.where(F.col("ts_ms") < cutover * 1000), seconds)
+    return rollup(samples.where(F.col("ts_ms") < cutover * 1000), seconds, order)
 
 
 def backfill_if_empty(samples: DataFrame, target: DataFrame | None, seconds: int, now_s: int) -> DataFrame | None:

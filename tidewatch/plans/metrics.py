@@ -243,7 +243,7 @@ def histogram_quantile_last(spark, sf_dir):
 
 def _bucket_counts(spark, sf_dir):
     bounds = [10.0, 25.0, 50.0, 100.0, 200.0, math.inf]
-    rows = bind.samples(spark, sf_dir).withColumn("bound", F.explode(F.array(*map(F.lit, bounds))))
+    rows = bind.samples(spark, sf_dir).withColumn("ts_ms", bind.nearest_ms()).withColumn("bound", F.explode(F.array(*map(F.lit, bounds))))
     le = F.when(F.col("bound") > 1e300, "+Inf").otherwise(F.col("bound").cast("string"))
     labels = F.create_map(F.lit("__name__"), F.lit("app.value_bucket"), F.lit("service_name"), F.col("service_name"), F.lit("le"), le)
     counted = rows.select(labels.alias("labels"), "ts_ms", F.when(F.col("value") <= F.col("bound"), 1.0).otherwise(0.0).alias("value")).withColumn("series_key", ts.series_key("labels"))
@@ -259,25 +259,25 @@ def _rolled(df):
 
 @query("rollup_1m", f"WITH {SAMPLES_SQL} SELECT series_key, ts_ms // 60000 * 60 AS bucket, {ROLL} FROM samples GROUP BY 1, 2")
 def rollup_1m(spark, sf_dir):
-    return _rolled(rollup.rollup(bind.samples(spark, sf_dir), 60))
+    return _rolled(rollup.rollup(bind.samples(spark, sf_dir), 60, "event_id"))
 
 
 @query("rollup_merge", f"WITH {SAMPLES_SQL} SELECT series_key, ts_ms // 3600000 * 3600 AS bucket, {ROLL} FROM samples GROUP BY 1, 2")
 def rollup_merge(spark, sf_dir):
     """Hours merged from minutes are the hours of the raw samples."""
-    return _rolled(rollup.merge(rollup.rollup(bind.samples(spark, sf_dir), 60), 3600))
+    return _rolled(rollup.merge(rollup.rollup(bind.samples(spark, sf_dir), 60, "event_id"), 3600))
 
 
 @query("rollup_backfill", f"WITH {SAMPLES_SQL} SELECT series_key, ts_ms // 3600000 * 3600 AS bucket, {ROLL} FROM samples WHERE ts_ms < 1705276800000 GROUP BY 1, 2")
 def rollup_backfill(spark, sf_dir):
-    return _rolled(rollup.backfill(bind.samples(spark, sf_dir), 3600, 1705278000))
+    return _rolled(rollup.backfill(bind.samples(spark, sf_dir), 3600, 1705278000, "event_id"))
 
 
 @query("rollup_described", f"WITH {COUNTERS_SQL} SELECT series_key, ts_ms // 3600000 * 3600 AS bucket, round(min(value), 6) AS min, round(max(value), 6) AS max, round(max_by(value, ts_ms), 6) AS last, count(*) AS cnt, 'seen at ' || max(event_id) AS metric_description, max_by(CASE WHEN ts_ms % 2 = 0 THEN 'ms' ELSE 's' END, ts_ms) AS metric_unit FROM samples GROUP BY 1, 2")
 def rollup_described(spark, sf_dir):
     """Counters, with the last description and unit of an hour, merged from minutes."""
     rows = bind.counters(spark, sf_dir).withColumns({"metric_description": F.concat(F.lit("seen at "), F.col("event_id").cast("string")), "metric_unit": F.when(F.col("ts_ms") % 2 == 0, "ms").otherwise("s")})
-    out = rollup.finished(rollup.merge(rollup.rollup(rows, 60), 3600), counter=True)
+    out = rollup.finished(rollup.merge(rollup.rollup(rows, 60, "event_id"), 3600), counter=True)
     return out.withColumns({c: F.round(c, 6) for c in ("min", "max", "last")})
 
 
