@@ -194,3 +194,20 @@ def test_a_value_that_is_no_number_spoils_only_its_windows(spark):
         spoiled = 50_000 <= r.k * 10_000 <= 90_000
         assert (math.isnan(r.stddev_over_time), math.isnan(r.sum_over_time)) == (spoiled, spoiled) and not math.isnan(r.min_over_time)
         assert r.deriv is None if r.k == 0 else math.isnan(r.deriv) == spoiled
+
+
+def test_plain_sums_never_sort_their_samples(spark):
+    """Samples of a task meet in a hash table of tiles; labels that differ under one key, such as unset ones, are one series."""
+    rows = spark.createDataFrame([("a", {"x": "1"}, i * 1000, float(i)) for i in range(50)] + [("a", {"x": "1", "y": None}, 50_000, math.nan), ("a", {"x": "1"}, 51_000, None)], "series_key string, labels map<string,string>, ts_ms long, value double")
+    grid = ts.Grid(10_000, 60_000, 10_000)
+    out = ts.range_functions(rows, grid, 30_000, dict.fromkeys(sorted(ts._PLAIN)))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate(keys=[series_key#" in plan and "partial_sum(value#" in plan
+    assert not any("SortAggregate" in line and "partial_sum(value#" in line for line in plan.splitlines())
+    got = {r.k: r for r in out.collect()}
+    assert sorted(got) == list(range(grid.steps))
+    for k, r in got.items():
+        held = [v for v in range(50) if 10_000 * k - 20_000 <= v * 1000 <= 10_000 * (k + 1)]
+        assert (r.min_over_time, r.max_over_time) == (min(held), max(held)) and r.present_over_time == 1
+        assert r.count_over_time == len(held) + sum(10_000 * k - 20_000 <= at <= 10_000 * (k + 1) for at in (50_000, 51_000))
+        assert math.isnan(r.sum_over_time) if k >= 4 else r.sum_over_time == sum(held)

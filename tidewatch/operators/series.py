@@ -143,6 +143,9 @@ def _functions(origin_ms: int) -> dict:
 
 
 RANGE_FUNCTIONS = (*_functions(0), "quantile_over_time", "absent_over_time")
+#: Functions whose tiles have plain numbers only, and the way in which tiles add up.
+_PLAIN = {"sum_over_time", "avg_over_time", "min_over_time", "max_over_time", "count_over_time", "present_over_time"}
+_ADDED = {"n": F.sum, "valued": F.sum, "sum": F.sum, "low": F.min, "high": F.max}
 _NEEDS_PREVIOUS = {"rate", "irate", "increase", "idelta", "changes", "resets"}
 
 
@@ -198,6 +201,17 @@ def _tiles(rows: DataFrame, grid: Grid, range_ms: int, differences: bool) -> Dat
     return tiles.withColumns({**{f"edge_{c}": edge[c] for c in sums}, "last": F.struct("last.ts_ms", "last.value", *own.values())})
 
 
+def _plain_tiles(rows: DataFrame, grid: Grid, range_ms: int) -> DataFrame:
+    """The tiles of ``_PLAIN`` functions.
+
+    Labels are part of the key at first, so that the aggregate holds numbers alone and each
+    task keeps a row a tile; with labels, or the ends of tiles, it would sort all its samples.
+    """
+    keyed = rows.select("series_key", F.map_entries("labels").alias("entries"), _tile(grid, range_ms).alias("tile"), "value")
+    counted = keyed.groupBy("series_key", "entries", "tile").agg(F.count("*").alias("n"), F.count("value").alias("valued"), F.sum("value").alias("sum"), F.min(_not_nan()).alias("low"), F.max(_not_nan()).alias("high"))
+    return counted.groupBy("series_key", "tile").agg(F.map_from_entries(F.first("entries")).alias("labels"), *(add(c).alias(c) for c, add in _ADDED.items()))
+
+
 def _pieces(tiles: DataFrame, grid: Grid, range_ms: int, differences: bool) -> DataFrame:
     """At most two rows for each series and step k, with the parts of the tiles: what its window merges.
 
@@ -208,30 +222,36 @@ def _pieces(tiles: DataFrame, grid: Grid, range_ms: int, differences: bool) -> D
     """
     _, whole, rest = _step(grid, range_ms)
     width = 4 * whole + (2 if rest else 0) + 1
-    names = ("inc", "changed", "fell") if differences else ()
+    names, plain = ("inc", "changed", "fell") if differences else (), "moments" not in tiles.columns
     block = Window.partitionBy("series_key", "block")
     orders = {"up": block.orderBy("tile"), "down": block.orderBy(F.desc("tile"))}
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     rows = tiles.withColumn("block", F.floor(F.col("tile") / width).cast("bigint"))
-    rows = rows.withColumns({f"{v}_{way}": F.first(c).over(order) for way, order in orders.items() for v, c in (("x", "line.x"), ("y", "moments.mean"))})
+    if not plain:
+        rows = rows.withColumns({f"{v}_{way}": F.first(c).over(order) for way, order in orders.items() for v, c in (("x", "line.x"), ("y", "moments.mean"))})
     rows = rows.withColumns({f"edge_{c}": zero(F.col(f"edge_{c}")) for c in names})
 
-    def piece(way: str) -> Column:
-        begins, order = way == "up", orders[way]
-        run = order.rowsBetween(Window.unboundedPreceding, 0)
-        total = lambda c: F.sum(c).over(run)
-        end = lambda c, at_end: F.first(c).over(run) if at_end else F.col(c)
+    def composed(way: str, begins: bool, total, end) -> dict[str, Column]:
         m, x, y = F.col("moments.n"), F.col("line.x") - F.col(f"x_{way}"), F.col("moments.mean") - F.col(f"y_{way}")
         n = F.nullif(total(m), F.lit(0.0))
         dx, dy = total(m * x), total(m * y)
         mean_x, mean_y = zero(F.col(f"x_{way}") + dx / n), zero(F.col(f"y_{way}") + dy / n)
         square = lambda own, a, b, da, db: zero(total(F.col(own) + m * a * b) - da * db / n)
-        parts = {
-            **{c: total(c) for c in ("n", "valued", "sum")}, "low": F.min("low").over(run), "high": F.max("high").over(run), "first": end("first", begins), "last": end("last", not begins),
+        return {
+            "first": end("first", begins), "last": end("last", not begins),
             "moments": F.struct(total(m).alias("n"), mean_y.alias("mean"), F.greatest(square("moments.m2", y, y, dy, dy), F.lit(0.0)).alias("m2")),
             "line": F.struct(total(m).alias("n"), mean_x.alias("x"), mean_y.alias("y"), F.greatest(square("line.xx", x, x, dx, dx), F.lit(0.0)).alias("xx"), square("line.xy", x, y, dx, dy).alias("xy")),
             **{c: total(zero(F.col(c)) + F.col(f"edge_{c}")) - end(f"edge_{c}", begins) for c in names}, **{f"edge_{c}": end(f"edge_{c}", begins) for c in names},
         }
+
+    def piece(way: str) -> Column:
+        begins, order = way == "up", orders[way]
+        run = order.rowsBetween(Window.unboundedPreceding, 0)
+        total = lambda c: F.sum(c).over(run)
+        end = lambda c, at_end: F.first(c).over(run) if at_end else F.col(c)
+        parts = {**{c: total(c) for c in ("n", "valued", "sum")}, "low": F.min("low").over(run), "high": F.max("high").over(run)}
+        if not plain:
+            parts |= composed(way, begins, total, end)
         near, start = F.lead("tile").over(order), F.col("block") * width
         if begins:
             low, high = F.ceil(F.col("tile") / 4), F.floor((F.coalesce(near, start + width) - 1) / 4)
@@ -258,7 +278,8 @@ def range_functions(samples: DataFrame, grid: Grid, range_ms: int, wanted: dict[
     outs = []
     if merged:
         differences = bool(_NEEDS_PREVIOUS & set(merged))
-        pieces = _pieces(_tiles(rows, grid, range_ms, differences), grid, range_ms, differences)
+        tiles = _plain_tiles(rows, grid, range_ms) if set(merged) <= _PLAIN else _tiles(rows, grid, range_ms, differences)
+        pieces = _pieces(tiles, grid, range_ms, differences)
         outs.append(pieces.groupBy("series_key", "k").agg(F.first("labels").alias("labels"), *(known[f](p).alias(f) for f, p in merged.items())))
     if "quantile_over_time" in wanted:
         point = min(max(wanted["quantile_over_time"], 0.0), 1.0)
