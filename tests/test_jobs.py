@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.operators import normalize as nz
@@ -181,3 +182,12 @@ def test_late_rows_follow_the_policy_of_each_stream(spark, tmp_path):
     path = str(tmp_path / "partials")
     jobs.rollup_partials(stream(), path, path + "-state", 60).awaitTermination()
     assert {r.bucket: (r.cnt, r["sum"]) for r in rollup.merge(spark.read.parquet(path)).collect()} == {0: (2, 30.0), 3600: (1, 3600.0), 3660: (1, 3700.0), 18_000: (1, 18_000.0)}
+
+
+def test_flattening_a_stream_orders_no_files(spark, sf_dir, monkeypatch):
+    """Ranges of times would normalise all spans twice, once for a sample, and leave three tasks to write them."""
+    monkeypatch.setattr(plans, "_by_day", lambda *_: pytest.fail("spans are put in order"))
+    rows = plans.stream_flatten(spark, sf_dir)
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    assert rows.count() == rows.select("span_id").distinct().count() == events.count()
+    assert rows.where("status = 'STATUS_CODE_ERROR'").count() == events.where("event_type = 'error'").count()
