@@ -140,3 +140,18 @@ def test_identifiers_that_training_has_not_seen(spark):
     assert all(r.secret for r in scored if r.kind == "web")
     spans = sc.scan(spark.createDataFrame([(i, f"see {w} there") for i, w in enumerate(web)], "doc_id long, text string")).select("doc", F.explode("tokens").alias("t")).collect()
     assert {(r.doc, r.t.value) for r in spans} == set(enumerate(web))
+
+
+def test_training_draws_every_sample_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def drawn(value):
+        seen.add(1)
+        return value
+
+    rows = [(i % 2 == 0, f"s{i % 5}", f"value{i}") for i in range(40)]
+    samples = spark.createDataFrame(rows, "secret boolean, source string, value string")
+    table = sc.train(samples.withColumn("value", drawn.asNondeterministic()("value")))
+    assert seen.value == len(rows)
+    assert all(abs(x - y) < 1e-9 for x, y in zip(table, _brute_table(rows)))

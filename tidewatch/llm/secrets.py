@@ -14,7 +14,9 @@ alphabet and travels as a literal; texts are neither shuffled nor written.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -200,24 +202,25 @@ def train(samples: DataFrame, weight: float = 100_000.0, smoothing: float = 0.5)
     """Log-likelihood ratio of every pair: random strings against ordinary identifiers.
 
     Counts are taken over all of ``samples(secret, source, value)``; those of random
-    sources are scaled to ``weight`` pairs each. Exactly ``SIZE * SIZE`` numbers reach the
-    driver, whatever the corpus.
+    sources are scaled to ``weight`` pairs each. A row for each pair that occurs, ``SIZE * SIZE``
+    at most, reaches the driver, whatever the corpus.
     """
     pairs = samples.where(F.char_length("value") > 1).select("secret", "source", F.explode(pair_codes(F.col("value"))).alias("pair"))
     counted = pairs.groupBy("secret", "source", "pair").agg(F.count("*").alias("n"))
-    whole = counted.groupBy("secret", "source").agg(F.sum("n").alias("all"))
-    scaled = counted.join(F.broadcast(whole), ["secret", "source"]).withColumn("n", F.when(F.col("secret"), F.col("n") * weight / F.col("all")).otherwise(F.col("n")))
-    both = scaled.groupBy("pair").agg(F.sum(F.when(F.col("secret"), F.col("n"))).alias("random"), F.sum(F.when(~F.col("secret"), F.col("n"))).alias("plain"))
-    spark = samples.sparkSession
-    grid = spark.range(SIZE * SIZE).select(F.col("id").cast("int").alias("pair"), (F.col("id") / SIZE).cast("int").alias("first"))
-    full = grid.join(both, "pair", "left").na.fill(0.0, ["random", "plain"])
-    totals = full.groupBy("first").agg(F.sum("random").alias("random_all"), F.sum("plain").alias("plain_all"))
-    ratio = F.log((F.col("random") + smoothing) / (F.col("random_all") + smoothing * SIZE)) - F.log((F.col("plain") + smoothing) / (F.col("plain_all") + smoothing * SIZE))
-    rows = full.join(totals, "first").select("pair", ratio.alias("ratio")).collect()
-    table = [0.0] * (SIZE * SIZE)
+    # a window over the few pairs of a source, not a join of the counts with their own sums, which would plan and run all of the sampling again
+    whole = F.sum("n").over(Window.partitionBy("secret", "source"))
+    scaled = counted.select("secret", "pair", F.when(F.col("secret"), F.col("n") * weight / whole).otherwise(F.col("n")).alias("n"))
+    rows = scaled.groupBy("pair").agg(F.sum(F.when(F.col("secret"), F.col("n"))).alias("random"), F.sum(F.when(~F.col("secret"), F.col("n"))).alias("plain")).collect()
+    random, plain = [0.0] * (SIZE * SIZE), [0.0] * (SIZE * SIZE)
     for row in rows:
-        table[row.pair] = row.ratio
-    return table
+        random[row.pair], plain[row.pair] = row.random or 0.0, row.plain or 0.0
+
+    def likelihoods(counts: list[float]) -> list[float]:
+        """Logarithm of the smoothed probability of every pair, given its first character."""
+        after = [sum(counts[i : i + SIZE]) for i in range(0, SIZE * SIZE, SIZE)]
+        return [math.log((n + smoothing) / (after[p // SIZE] + smoothing * SIZE)) for p, n in enumerate(counts)]
+
+    return [r - p for r, p in zip(likelihoods(random), likelihoods(plain))]
 
 
 def ratio_of(value: Column, table: list[float]) -> Column:
