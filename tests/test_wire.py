@@ -109,3 +109,10 @@ def test_no_metric_record_grows_with_the_events(spark, sf_dir):
     assert found.exponentialHistogram.most <= 31 and found.summary.most <= 31
     events = spark.read.parquet(f"{sf_dir}/events.parquet").count()
     assert found.gauge.points == found["sum"].points == events
+
+
+def test_metric_texts_are_parsed_once(spark, sf_dir):
+    plan = wire._metric_table(spark, sf_dir, "metrics_sum")._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json" in plan and not [line for line in plan.splitlines() if "Filter" in line.split("(")[0] and "from_json" in line]
+    none = spark.createDataFrame([(None,), ([],)], nz.METRIC_RECORDS)
+    assert [table.count() for table in nz.metrics(none, "t").values()] == [0] * 5

@@ -108,8 +108,12 @@ def _cols(columns: dict[str, Column]) -> list[Column]:
 
 
 def _unpacked(records: DataFrame, outer: str, inner: str) -> DataFrame:
-    """(resource, scope, s): one row a scope. The maps of a resource and of a scope are built where there is one row of each."""
-    resources = records.select(F.explode(outer).alias("r")).select(attributes(F.col("r.resource.attributes")).alias("resource"), F.col(f"r.{inner}").alias("scopes"))
+    """(resource, scope, s): one row a scope. The maps of a resource and of a scope are built where there is one row of each.
+
+    A record without resources gives a row without scopes, which the second explode drops. A plain explode
+    first would be planned with a filter on the records, for which their texts are parsed twice more.
+    """
+    resources = records.select(F.explode_outer(outer).alias("r")).select(attributes(F.col("r.resource.attributes")).alias("resource"), F.col(f"r.{inner}").alias("scopes"))
     scopes = resources.select("resource", F.explode("scopes").alias("s"))
     return scopes.select("resource", F.struct("s.scope.name", "s.scope.version", attributes(F.col("s.scope.attributes")).alias("held")).alias("scope"), "s")
 
